@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Unicode white space; a cut before such a run never splits a match of the pattern
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+from heatgrid.llm.pieces import PieceEncoder, text_slices
+
 STATE_ROWS = 1_500_000
-LEARN_PIECES = 40_000
-CACHE_WORDS = 500_000
 _coders: dict[tuple[str, str], "Coder"] = {}
 
 _ROUNDS = """
@@ -53,7 +50,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """A worker's merge table in DuckDB, and the words it has encoded lately (at most CACHE_WORDS)."""
+    """A worker's merge table in DuckDB, and the pieces it has encoded lately."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
@@ -62,7 +59,7 @@ class Coder:
         self.ranks = load_ranks(ranks_path)
         self.bytes = {i: t for t, i in self.ranks.items()}
         self.single = np.array([self.ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
-        self.split, self.cut = regex.compile(pattern), re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        self.split = regex.compile(pattern)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         cols = list(zip(*rows, strict=True)) or [[], [], []]
@@ -72,7 +69,7 @@ class Coder:
         vocab = pa.table({"id": pa.array(list(self.bytes), pa.int64()), "chars": pa.array([t.decode("latin-1") for t in self.bytes.values()])})
         self.db.register("vocab_in", vocab)
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
-        self.known: dict[str, bytes] = {}
+        self.pieces = PieceEncoder(self._learn)
 
     def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of words that aren't tokens themselves."""
@@ -112,17 +109,6 @@ class Coder:
         ids.update({w: raw[b] for w, b in words.items() if w not in ids})
         return {p: ids[ms[0]] if len(ms) == 1 else b"".join([ids[w] for w in ms]) for p, ms in zip(pieces, split, strict=True)}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.cut.findall(t) if t else [] for t in texts]
-        used = set().union(*cut) if cut else set()
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(used - self.known.keys())
-        for i in range(0, len(new), LEARN_PIECES):
-            self.known.update(self._learn(new[i : i + LEARN_PIECES]))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """Ordered aggregation of token bytes, in batches of a bounded number of tokens."""
         out: list[bytes] = []
@@ -152,21 +138,13 @@ def coder(ranks_path: str, pattern: str) -> Coder:
     return _coders[key]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``size`` bytes of text."""
-    for b in batches:
-        step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
-
-
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id_col, ids, n_tokens, ids_sha256, decoded_sha256) of each row: its ids, their digest, and that of the bytes they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(ranks_path, pattern)
-        for b in _slices(batches):
-            ids = own.encode(b.column(1).to_pylist())
+        for b in text_slices(batches):
+            ids = own.pieces.encode(b.column(1).to_pylist())
             decoded = own.decode(ids)
             cols = {id_col: b.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
             if keep_ids:
