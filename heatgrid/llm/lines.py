@@ -5,9 +5,7 @@ streams each key's first document through a window on that order. A line is drop
 key. What comes back is a keep bitmap of each document that loses lines, as its 64-line words that aren't all ones, and
 not text; ``apply_bitmaps`` joins them to the documents.
 
-A key held by a large share of all lines is dealt out over SLICES slices by document; its first document comes from one
-row for each such key. A frequent-items sketch of fixed size names these keys (at most MAX_HEAVY); it only decides how
-rows are dealt, never the result.
+A key held by a large share of all lines is dealt out over slices by document (see ``first_seen``).
 
 Cases: null and empty texts are one empty line; keys under ``min_chars`` code points are kept; rows with a null id keep
 all lines and count for no other; rows with equal ids are one document; all columns of the documents stay.
@@ -17,12 +15,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from heatgrid.llm.firsts import first_seen
 from heatgrid.llm.store import written
 
-SLICES = 256
-MAX_HEAVY = 1000
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,17 +41,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines.select("_id", "_text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     lines = written(lines.select("_id", "_text_hash", "pos", F.xxhash64("key").alias("h1"), F.hash(F.lit("line"), "key").alias("h2")), "line-keys")
 
-    sketch = lines.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {MAX_HEAVY}, {10 * MAX_HEAVY})").alias("top")).first()
-    heavy = [r["item"] for r in sketch["top"] or [] if r["count"] * MAX_HEAVY > sketch["n"]]
-    is_heavy = F.col("h1").isin(heavy) if heavy else F.lit(False)
-    keyed = lines.withColumn("slice", F.when(is_heavy, F.pmod(F.xxhash64("_id"), F.lit(SLICES))).otherwise(0).cast("int"))
-    order = ["h1", "h2", "slice", "_id", "_text_hash", "pos"]
-    ranged = keyed.repartitionByRange("h1", "h2", "slice").sortWithinPartitions(*order)
-    seen = ranged.withColumn("first", F.first("_id").over(W.partitionBy("h1", "h2", "slice").orderBy("_id", "_text_hash", "pos")))
-    if heavy:  # at most MAX_HEAVY rows
-        firsts = lines.where(is_heavy).groupBy("h1", "h2").agg(F.min("_id").alias("over_slices"))
-        seen = seen.join(F.broadcast(firsts), ["h1", "h2"], "left").withColumn("first", F.coalesce("over_slices", "first"))
-    dropped = seen.where(F.col("_id") > F.col("first")).select("_id", "_text_hash", "pos")
+    seen = first_seen(lines, ["h1", "h2"], ["_id", "_text_hash", "pos"], ranged=True)
+    dropped = seen.where(F.col("_id") > F.col("_first._id")).select("_id", "_text_hash", "pos")
     words = dropped.groupBy("_id", "_text_hash", F.shiftright("pos", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits"))
     word = F.struct("word", F.bitwise_not("bits").alias("bits"))
     return words.groupBy("_id", "_text_hash").agg(F.array_sort(F.collect_list(word)).alias("_keep"), F.sum(F.bit_count("bits")).alias("_dropped"))

@@ -49,6 +49,41 @@ FROM f GROUP BY doc_id
 """
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.spans import remove_spans, repeated_spans
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = remove_spans(docs, repeated_spans(docs), digest=True)
+    return kept.select("doc_id", F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("n_removed"), F.col("text").alias("kept_sha256"))
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.ngramjoin import ngram_groups
+
+    return ngram_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL8 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-6
+), r AS (
+  SELECT a AS v, a AS c FROM l
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.v
+)
+SELECT d.doc_id, coalesce((SELECT min(c) FROM r WHERE v = d.doc_id), d.doc_id) AS class_id, (SELECT count(*) FROM l WHERE a = d.doc_id) AS n_links
+FROM documents d WHERE d.doc_id IS NOT NULL
+"""
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,9 +98,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_sentence_spans": op4_sentence_spans,
+    "op8_ngram_join": op8_ngram_join,
     "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": SQL3,
+    "op8_ngram_join": SQL8,
 }
