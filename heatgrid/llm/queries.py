@@ -57,6 +57,81 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("n_removed"), F.col("text").alias("kept_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _sql5() -> str:
+    from heatgrid.llm.quality import RATIOS
+
+    ratios = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rule, CASE WHEN {b} > 0 THEN {a} * 1000000 // {b} ELSE 0 END AS v FROM c" for k, (a, b) in RATIOS.items())
+    q = ", ".join(f"min(bucket) FILTER (upto * 100 >= rows * {p}) AS q{p}" for p in (10, 50, 90))
+
+    def fences(keys: str) -> str:
+        by = f"{keys}, rule" if keys else "rule"
+        return f"""SELECT {by}, q50 - 6 * greatest(q50 - q10, 20000) AS low, q50 + 6 * greatest(q90 - q50, 20000) AS high, rows FROM (
+          SELECT {by}, {q}, max(rows) AS rows FROM (
+            SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS rows
+            FROM (SELECT {by}, bucket, count(*) AS n FROM h GROUP BY {by}, bucket)) GROUP BY {by})"""
+
+    return f"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), rw AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE times > 1) GROUP BY 1
+), dl AS (
+  SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1
+), b AS (
+  SELECT w.doc_id, lang, source, len(w.w) AS n_words, coalesce(length(array_to_string(w.w, '')), 0) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         coalesce(dl.dup, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(dl.n, 0) AS n_lines
+  FROM w LEFT JOIN rw ON rw.doc_id = w.doc_id LEFT JOIN dl ON dl.doc_id = w.doc_id
+), c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+r AS ({ratios}),
+h AS (SELECT *, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END AS bucket FROM r WHERE NOT base_failed),
+fs AS ({fences("lang, source")}), fl AS ({fences("lang")}), fc AS ({fences("")}),
+f AS (
+  SELECT fs.lang, fs.source, fs.rule, CASE WHEN fs.rows >= 200 THEN fs.low WHEN fl.rows >= 200 THEN fl.low ELSE fc.low END AS low,
+         CASE WHEN fs.rows >= 200 THEN fs.high WHEN fl.rows >= 200 THEN fl.high ELSE fc.high END AS high
+  FROM fs JOIN fl ON fl.lang IS NOT DISTINCT FROM fs.lang AND fl.rule = fs.rule JOIN fc ON fc.rule = fs.rule
+), out_ AS (
+  SELECT r.doc_id, bool_or(v > high OR (r.rule = 'word_length' AND v < low)) AS beyond
+  FROM r JOIN f ON f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source AND f.rule = r.rule GROUP BY 1
+)
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept
+FROM c LEFT JOIN out_ ON out_.doc_id = c.doc_id
+"""
+
+
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), r AS (
+  SELECT a AS v, a AS c FROM l
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.v
+), o AS (
+  SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, coalesce((SELECT min(c) FROM r WHERE v = vec_id), vec_id) AS component_id
+  FROM embeddings WHERE vec_id IS NOT NULL
+)
+SELECT *, component_id = vec_id AS kept FROM o
+"""
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heatgrid.llm.ngramjoin import ngram_groups
 
@@ -99,11 +174,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_sentence_spans": op4_sentence_spans,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_near_vectors": op7_near_vectors,
     "op8_ngram_join": op8_ngram_join,
     "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": SQL3,
+    "op5_quality_rules": _sql5(),
+    "op7_near_vectors": SQL7,
     "op8_ngram_join": SQL8,
 }
