@@ -19,8 +19,8 @@ from pyspark.sql.window import Window as W
 from heatgrid.llm.store import written
 
 SYMBOLS = "#*$%&|<>"
-#: name: numerator and denominator of each ratio, in millionths
-RATIOS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+#: name: numerator, denominator and least spread of each ratio, in millionths
+RATIOS = {"symbols": ("n_symbols", "word_chars", 15_000), "dup_lines": ("n_dup_lines", "n_lines", 60_000), "repeats": ("n_repeat_words", "n_words", 50_000), "word_length": ("word_chars", "n_words", 500_000)}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -67,23 +67,25 @@ def bucket(value: str) -> str:
 
 
 def ratio(name: str) -> Column:
-    top, bottom = RATIOS[name]
+    top, bottom, _ = RATIOS[name]
     return F.expr(f"CASE WHEN {bottom} > 0 THEN ({top} * 1000000) div {bottom} ELSE 0 END")
 
 
-def limits(counts: DataFrame, spread: int, floor: int, min_rows: int) -> DataFrame:
+def limits(counts: DataFrame, spread: int, min_rows: int) -> DataFrame:
     """(_lang, _source, rule, low, high) of each group of languages and sources."""
     long = counts.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), ratio(k).alias("value")) for k in RATIOS])).alias("r"))
     sketch = long.select("lang", "source", "r.rule", F.expr(bucket("r.value")).alias("bucket")).groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
     sketch = written(sketch, "sketch")
 
+    floor = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[2])])[F.col("rule")]
+
     def fences(keys: list[str], suffix: str) -> DataFrame:
         """Merged to ``keys``; quantiles by running counts over the buckets of a group, whose number is bounded."""
         merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
         w = W.partitionBy(*keys, "rule")
         run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
         q = run.groupBy(*keys, "rule").agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("all") * p, F.col("bucket"))).alias(f"q{p}") for p in (10, 50, 90)], F.max("all").alias("rows"))
-        width = lambda a, b: spread * F.greatest(F.col(a) - F.col(b), F.lit(floor))
+        width = lambda a, b: spread * F.greatest(F.col(a) - F.col(b), floor)
         return q.select(*[F.col(k).alias(f"_{k}{suffix}") for k in keys], F.col("rule").alias(f"rule{suffix}"), (F.col("q50") - width("q50", "q10")).alias(f"low{suffix}"), (F.col("q50") + width("q90", "q50")).alias(f"high{suffix}"), F.col("rows").alias(f"rows{suffix}"))
 
     a, b, c = fences(["lang", "source"], "_s"), fences(["lang"], "_l"), fences([], "_c")
@@ -92,13 +94,13 @@ def limits(counts: DataFrame, spread: int, floor: int, min_rows: int) -> DataFra
     return both.select(F.col("_lang_s").alias("_lang"), F.col("_source_s").alias("_source"), F.col("rule_s").alias("rule"), pick("low").alias("low"), pick("high").alias("high"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, spread: int = 6, floor: int = 20_000, min_rows: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, spread: int = 6, min_rows: int = 200) -> DataFrame:
     """(id_col, the base counts, base_failed, kept) of each row. Fences are ``spread`` times the distance between the
-    median and the 10th or 90th percentile, or ``floor`` millionths if that is more, away from the median."""
+    median and the 10th or 90th percentile, or the ratio's least spread if that is more, away from the median."""
     counts = text_counts(docs.select(F.col(id_col), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col(text_col).alias("text")), [id_col, "lang", "source"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = written(counts.withColumn("base_failed", failed), "counts")
-    fence = limits(counts, spread, floor, min_rows).groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("rule") == k, F.col(side))).alias(f"_{side}_{k}") for k in RATIOS for side in ("low", "high")])
+    fence = limits(counts, spread, min_rows).groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("rule") == k, F.col(side))).alias(f"_{side}_{k}") for k in RATIOS for side in ("low", "high")])
     joined = counts.join(fence, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     within = F.lit(True)
     for k in RATIOS:

@@ -26,6 +26,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), ranks_path(), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keeps the share of documents that labels call good, drawn by importance."""
+    from heatgrid.llm.resampling import importance_sample
+
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND doc_id IS NOT NULL")
+    share = labels.agg(F.avg("quality")).first()[0]
+    return importance_sample(table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"), 1.0 if share is None else share)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heatgrid.llm.lines import apply_bitmaps, line_bitmaps, split_lines
 
@@ -66,12 +75,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql5() -> str:
     from heatgrid.llm.quality import RATIOS
 
-    ratios = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rule, CASE WHEN {b} > 0 THEN {a} * 1000000 // {b} ELSE 0 END AS v FROM c" for k, (a, b) in RATIOS.items())
+    ratios = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rule, CASE WHEN {b} > 0 THEN {a} * 1000000 // {b} ELSE 0 END AS v FROM c" for k, (a, b, _) in RATIOS.items())
+    floor = "CASE rule " + " ".join(f"WHEN '{k}' THEN {v[2]}" for k, v in RATIOS.items()) + " END"
     q = ", ".join(f"min(bucket) FILTER (upto * 100 >= rows * {p}) AS q{p}" for p in (10, 50, 90))
 
     def fences(keys: str) -> str:
         by = f"{keys}, rule" if keys else "rule"
-        return f"""SELECT {by}, q50 - 6 * greatest(q50 - q10, 20000) AS low, q50 + 6 * greatest(q90 - q50, 20000) AS high, rows FROM (
+        return f"""SELECT {by}, q50 - 6 * greatest(q50 - q10, {floor}) AS low, q50 + 6 * greatest(q90 - q50, {floor}) AS high, rows FROM (
           SELECT {by}, {q}, max(rows) AS rows FROM (
             SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS rows
             FROM (SELECT {by}, bucket, count(*) AS n FROM h GROUP BY {by}, bucket)) GROUP BY {by})"""
@@ -106,6 +116,13 @@ FROM c LEFT JOIN out_ ON out_.doc_id = c.doc_id
 """
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.mixing import mix, n_words
+
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, F.array("source"), n_words(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heatgrid.llm.vectors import near_vectors
 
@@ -159,6 +176,18 @@ FROM documents d WHERE d.doc_id IS NOT NULL
 """
 
 
+def held_out(id_: str = "doc_id"):
+    return F.crc32(F.col(id_).cast("string").cast("binary")) % 5 == 0
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.toxicity import toxicity
+
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -172,11 +201,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_importance": op2_importance,
     "op3_line_dedup": op3_line_dedup,
     "op4_sentence_spans": op4_sentence_spans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_source_mix": op6_source_mix,
     "op7_near_vectors": op7_near_vectors,
     "op8_ngram_join": op8_ngram_join,
+    "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 
