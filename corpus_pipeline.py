@@ -1,22 +1,56 @@
-"""A training-data pipeline over documents: STAGES in order, each written as Parquet and reread as the next one's docs."""
+"""A training-data pipeline over documents: STAGES in order, each written as Parquet and reread as the next one's docs.
+
+Toxic documents go; lines that an earlier document holds go; one document of each group of near copies stays; sources are
+mixed to their target weights (a document that the mix takes twice is there twice, one it doesn't take goes); what is
+left is encoded. All stages but the last return the columns of their input, with ``n_chars`` brought up to date.
+Nulls, empty texts and empty tables pass as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heatgrid.llm.queries import ranks_path
+from heatgrid.llm.bpe import bpe_encode
+from heatgrid.llm.lines import line_dedup
+from heatgrid.llm.mixing import mix, n_words
+from heatgrid.llm.ngramjoin import drop_near_copies
+from heatgrid.llm.queries import held_out, ranks_path
 from heatgrid.llm.store import written
+from heatgrid.llm.toxicity import toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    return toxicity(docs, labels).where("score < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    th = F.xxhash64("text")
+    taken = mix(docs.select(F.struct("doc_id", th.alias("th")).alias("row"), "source", "text"), F.array("source"), n_words(F.col("text")), id_col="row")
+    times = taken.where("taken > 0").groupBy("row").agg(F.max(F.expr("taken div size")).alias("_times"))
+    times = times.select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th"), "_times")
+    both = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from heatgrid.llm.bpe import bpe_encode
-
     return bpe_encode(docs, ranks_path(), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_copies), ("source mix", mix_sources), ("byte-level BPE", encode)]
+#: The toxicity scores and the byte-pair merges have no SQL form.
 ORACLE_SQL = None
 
 

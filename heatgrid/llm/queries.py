@@ -184,7 +184,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heatgrid.llm.toxicity import toxicity
 
     labels = table(spark, sf_dir, "labels").where(~held_out())
-    scored = toxicity(table(spark, sf_dir, "documents"), labels)
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

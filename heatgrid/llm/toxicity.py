@@ -8,7 +8,8 @@ blocks by falling bound and stops when no other block can reach its k-th cosine,
 distance and a step function, fitted on the examples with each one's own vote left out, calibrates them.
 
 Cases: null and empty texts and texts without a kept term take the calibrated score of such examples; equal cosines rank by
-example; rows with null labels or ids are no examples; with no example every score is 0; extra columns are ignored.
+example; rows with null labels or ids are no examples; with no example every score is 0; extra columns stay
+(those named score or evidence are replaced).
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 4096, max_terms: int = 256, min_chi: float = 40.0, k: int = 25, seed: int = 11) -> DataFrame:
-    """(id_col, score, evidence array<struct<id, label, cosine>>) of each row; ``labels`` are those it may learn from."""
+    """All columns of the documents, score, and evidence array<struct<id, label, cosine>>; ``labels`` are those it may learn from."""
     fitted = fit(docs, labels, id_col, text_col, label_col, max_examples, max_terms, min_chi, k, seed)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted, idf, index, steps, rate, bare = fitted or (np.zeros(0, np.uint64), np.zeros(0), None, None, 0.0, 0.0)
@@ -183,7 +184,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         memory: dict[tuple, tuple[float, list]] = {}
         for b in batches:
             scores, evidence = np.full(b.num_rows, bare), [[] for _ in range(b.num_rows)]
-            for first, _, doc, t, times in term_chunks(b.column(1), wanted) if index is not None else ():
+            for first, _, doc, t, times in term_chunks(b.column(at_text), wanted) if index is not None else ():
                 at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
                 for i, j in zip(at, np.r_[at[1:], len(doc)] if len(at) else [], strict=True):
                     key = (t[i:j].tobytes(), times[i:j].tobytes())
@@ -195,6 +196,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                         step = min(int(np.searchsorted(steps[0], raw)), len(steps[1]) - 1)
                         memory[key] = (float(steps[1][step]), [{"id": index.ids[n], "label": int(index.labels[n]), "cosine": float(c)} for n, c in zip(near[:3], cosine[:3], strict=True)])
                     scores[first + doc[i]], evidence[first + doc[i]] = memory[key]
-            yield pa.RecordBatch.from_pydict({id_col: b.column(0), "score": pa.array(scores), "evidence": pa.array(evidence, pa.list_(pa.struct([("id", b.column(0).type), ("label", pa.int32()), ("cosine", pa.float64())])))})
+            shown = pa.array(evidence, pa.list_(pa.struct([("id", b.column(at_id).type), ("label", pa.int32()), ("cosine", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), shown], names=[*b.schema.names, "score", "evidence"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>")
+    kept = docs.drop("score", "evidence")
+    at_id, at_text = kept.columns.index(id_col), kept.columns.index(text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{schema}, score double, evidence array<struct<id:{kind},label:int,cosine:double>>")
