@@ -6,5 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heatgrid.sources.standins import duck, standin
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, inputs: str, sql: str | None = None) -> Callable:
+    """Register fn(*inputs): ``inputs`` names stand-ins; ``sql``, where {table} and {stand-in} may stand, is the same query in DuckDB."""
+
+    def register(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: fn(*(standin(spark, sf_dir, x) for x in inputs.split()))
+        if sql:
+            ORACLES[name] = duck(sql)
+        return fn
+
+    return register
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from heatgrid.plans import analyses, catalog, cells, cooling, models, sampling, scores, spatial, statistics, vectors  # noqa: F401
+
+
+load()
