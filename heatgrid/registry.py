@@ -18,7 +18,7 @@ def query(name: str, inputs: str, sql: str | None = None) -> Callable:
     def register(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: fn(*(standin(spark, sf_dir, x) for x in inputs.split()))
         if sql:
-            ORACLES[name] = duck(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
@@ -28,5 +28,7 @@ def load() -> None:
     """Import the modules that register queries."""
     from heatgrid.plans import analyses, catalog, cells, cooling, models, sampling, scores, spatial, statistics, vectors  # noqa: F401
 
+    ORACLES.update({k: duck(v) for k, v in ORACLES.items()})
+
 
 load()
