@@ -1 +1,34 @@
-"""Queries."""
+"""Queries of correlation and regression."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heatgrid.operators import scores
+from heatgrid.operators import statistics as op
+from heatgrid.operators.sampling import holdout
+from heatgrid.registry import query
+
+XS = ["x1", "x2", "x3"]
+_CORR = " UNION ALL ".join(f"SELECT '{x}' AS variable, round(corr(y, {x}), 4) AS r FROM {{regress}} t WHERE x3 IS NOT NULL" for x in XS)
+query("x3_correlation", "regress", _CORR)(lambda df: op.correlation(df, "y", XS).select("variable", "r"))
+query("t1_strongest", "regress", f"SELECT variable, r FROM ({_CORR}) ORDER BY abs(r) DESC, variable LIMIT 2")(lambda df: op.correlation(df, "y", XS).select("variable", "r").orderBy(F.abs("r").desc(), "variable").limit(2))
+query("x3_correlation_p", "regress")(lambda df: op.correlation(df, "y", XS))
+query("x4_bootstrap_ci", "regress")(lambda df: op.correlation(df, "y", ["x1"], n_boot=200))
+query("x5_partial_correlation", "regress", """SELECT variable, round((ryx - ryc * rxc) / sqrt((1 - ryc ** 2) * (1 - rxc ** 2)), 4) AS partial_r FROM (
+  SELECT 'x1' AS variable, corr(y, x1) AS ryx, corr(y, x2) AS ryc, corr(x1, x2) AS rxc FROM {regress} t UNION ALL SELECT 'x3', corr(y, x3), corr(y, x2), corr(x3, x2) FROM {regress} u)""")(lambda df: op.correlation(df, "y", ["x1", "x3"], ["x2"]).select("variable", "partial_r"))
+query("x8_ols_summary", "regress", """SELECT 'x1' AS variable, round(regr_slope(y, x1), 4) AS estimate, round(corr(y, x1), 4) AS std_beta FROM {regress} t UNION ALL SELECT '(Intercept)', round(regr_intercept(y, x1), 4), NULL FROM {regress} u""")(
+    lambda df: op.ols_summary(df, "y", ["x1"]).select("variable", F.round("estimate", 4).alias("estimate"), F.round("std_beta", 4).alias("std_beta")))
+for _d in ("backward", "forward", "both"):
+    query(f"x6_stepwise_{_d}", "regress")(lambda df, d=_d: op.regression(df, "y", XS, d))
+query("x7_vif_prune", "regress")(lambda df: df.sparkSession.createDataFrame([(x,) for x in op.vif_prune(op.Gram(df.withColumn("x4", F.col("x1") + F.col("x2") * 0.001), ["x1", "x2", "x3", "x4"]), ["x1", "x2", "x3", "x4"])], "variable string"))
+query("x9_diagnostics", "regress")(lambda df: op.diagnostics(df, "y", XS))
+query("x15_condition_number", "regress")(lambda df: op.diagnostics(df, "y", XS).where("metric = 'condition_number'"))
+
+
+def _scored(df):
+    parts = holdout(df.dropna(subset=XS), 0.25, 7)
+    return scores.score_regression(op.fitted(parts.where("partition = 'test'"), parts.where("partition = 'train'"), "y", XS), "y", "pred")
+
+
+query("x10_holdout_score", "regress")(_scored)
