@@ -127,11 +127,12 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     kind = docs.schema[id_col].dataType.simpleString()
     signed = written(signatures(docs, n, bands, rows, id_col, text_col), "signatures")
     classes = written(signed.groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    members = signed.select("id", "s1", "s2", "size").join(classes.select("s1", "s2", "size", "rep", "copies"), ["s1", "s2", "size"]).select("id", "rep", "copies")
+    members = signed.select("id", "s1", "s2", "size").join(classes.select("s1", "s2", "size", "rep", "copies").hint("merge"), ["s1", "s2", "size"]).select("id", "rep", "copies")
 
-    dealt = classes.select("rep", "copies", "bands", F.posexplode("bands").alias("band", "bucket"))
+    dealt = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    candidates = dealt.join(full, "bucket")
+    candidates = written(dealt.join(full.hint("merge"), "bucket"), "candidates")  # bands come back only for these
+    candidates = candidates.join(classes.select("rep", "copies", "bands").hint("merge"), "rep")
     paired = block_pairs(candidates, "bucket", F.col("n"), F.col("rep"), BLOCK_ROWS).select("bucket", "_i", "_j", "_own", "band", "rep", "copies", "bands")
     by = ["bucket", "_i", "_j"]
     shape = f"bucket bigint, _i int, _j int, _own int, band int, rep {kind}, bands array<bigint>, copies bigint"
@@ -159,10 +160,8 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
                 "linked": pa.array(np.r_[counts[at], np.zeros(len(a), np.int64)].astype(np.int64)),
             })
 
-    wanted = needed.select("rep").distinct()
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    texts = written(texts.join(wanted, "rep", "left_semi"), "class-texts")
-    with_text = needed.join(texts, "rep").select(*by, "_own", "band", "rep", "copies", "bands", "text")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    with_text = texts.join(needed.hint("merge"), "rep").select(*by, "_own", "band", "rep", "copies", "bands", "text")
     links = written(with_text.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify, f"a {kind}, b {kind}, linked bigint"), "class-links")
     return members, links
 
@@ -181,4 +180,4 @@ def ngram_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document, the one of smallest id, of each group that links connect."""
     groups_of = ngram_groups(docs, n, threshold, recall, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-    return docs.join(groups_of, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(groups_of.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
