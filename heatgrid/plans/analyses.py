@@ -1 +1,111 @@
-"""Queries."""
+"""End-to-end analyses: chains of the operators, each one lazy plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heatgrid.operators import camera, cells, cooling, sampling, scores, spatial, statistics, vectors
+from heatgrid.operators.models import apply_regressor, segment_pixels, train_regressor
+from heatgrid.operators.regrid import Grid, reproject_cells
+from heatgrid.plans.spatial import GI, TIER, inside
+from heatgrid.registry import query
+from heatgrid.sources import standins
+from heatgrid.streaming import gatekeeper
+
+standins.SQL |= {
+    "arrivals": """SELECT page_id AS id, CAST(page_id AS STRING) || CASE page_id % 4 WHEN 0 THEN '.geojson' WHEN 1 THEN '.tif' WHEN 2 THEN '.yml' ELSE '.txt' END AS path,
+      CASE page_id % 20 WHEN 0 THEN '{"type":"FeatureCollection","features":[]}' WHEN 4 THEN '{"type":"FeatureCollection"}' WHEN 8 THEN '{"type":"Feature"}' WHEN 12 THEN '[1]' WHEN 16 THEN html WHEN 1 THEN 'MM' WHEN 2 THEN '{"city":{"name":"a","id":"b"},"crs":{"working":1}}' WHEN 6 THEN '{"city":{"id":"b"},"crs":{"working":1}}' ELSE html END AS body FROM {pages}""",
+    "poses": "SELECT s_suppkey AS frame_id, 0.1E0 + CAST(s_suppkey % 5 AS DOUBLE) / 50 AS rx, 0.02E0 AS ry, 0.01E0 AS rz, -2.0E0 AS tx, -2.0E0 AS ty, 8.0E0 + CAST(s_suppkey % 7 AS DOUBLE) AS tz, 0.0E0 AS roi_x0, 4.0E0 AS roi_x1, 0.0E0 AS roi_y0, 4.0E0 AS roi_y1, 1.0E0 AS target_x0, 2.0E0 AS target_x1, 1.0E0 AS target_y0, 3.0E0 AS target_y1, CASE WHEN s_suppkey % 4 = 0 THEN 0.3E0 ELSE 0.9E0 END AS coverage FROM {supplier}",
+    "frames_px": "SELECT l_suppkey AS frame_id, CAST(l_partkey % 64 AS INT) AS row, CAST(l_orderkey % 64 AS INT) AS col, CAST(max(l_partkey % 8) AS INT) AS code FROM {lineitem} GROUP BY 1, 2, 3",
+}
+CAMERA = (60.0, 60.0, 32.0, 32.0)
+_UNREADABLE = "['unreadable']"
+query("k2_validate", "arrivals", """SELECT path, file_type, status, array_to_string(errors, ';') AS errors FROM (SELECT path, t AS file_type, CASE WHEN t = 'unknown' THEN 'skipped' WHEN e IS NULL THEN 'poisoned' WHEN len(e) > 0 THEN 'invalid' ELSE 'ready' END AS status, coalesce(e, ['unreadable']) AS errors FROM (
+SELECT path, CASE id % 4 WHEN 0 THEN 'geojson' WHEN 1 THEN 'geotiff' WHEN 2 THEN 'manifest' ELSE 'unknown' END AS t, CASE id % 20 WHEN 0 THEN [] WHEN 4 THEN ['FeatureCollection without features'] WHEN 8 THEN ['Feature without geometry'] WHEN 1 THEN NULL WHEN 2 THEN [] WHEN 6 THEN ['missing city.name']
+ ELSE CASE id % 4 WHEN 1 THEN ['no TIFF signature'] WHEN 3 THEN [] END END AS e FROM {arrivals} a))""")(lambda a: gatekeeper.validate(a.select("path", F.encode("body", "UTF-8").alias("content"))).withColumn("errors", F.array_join("errors", ";")))
+query("k5_validation_sidecars", "arrivals", "SELECT CASE id % 4 WHEN 0 THEN 'geojson' WHEN 1 THEN 'geotiff' WHEN 2 THEN 'manifest' ELSE 'unknown' END AS file_type, count(*) AS n, '1' AS version FROM {arrivals} a GROUP BY 1")(
+    lambda a: gatekeeper.sidecars(gatekeeper.validate(a.select("path", F.encode("body", "UTF-8").alias("content")))).groupBy("file_type").agg(F.count("*").alias("n"), F.max("validator_version").alias("version")))
+_SRC, _DST = Grid(3857, 0.0, 0.0, 1.0, 1.0, 64, 64), Grid(3857, 0.25, 0.25, 2.0, 2.0, 30, 30)
+query("r1_reproject_cells_nearest", "lst", "SELECT CAST(y AS INT) AS row, CAST(x AS INT) AS col, value FROM range(30) a(y), range(30) b(x) JOIN {lst} t ON t.row = floor(0.25 + (y + 0.5) * 2) AND t.col = floor(0.25 + (x + 0.5) * 2)")(lambda lst: reproject_cells(lst, _SRC, _DST, "nearest"))
+query("r1_reproject_cells_bilinear", "lst", """SELECT CAST(y AS INT) AS row, CAST(x AS INT) AS col, round(sum(CASE WHEN dy = 0 THEN 1 - wy ELSE wy END * CASE WHEN dx = 0 THEN 1 - wx ELSE wx END * value) / sum(CASE WHEN dy = 0 THEN 1 - wy ELSE wy END * CASE WHEN dx = 0 THEN 1 - wx ELSE wx END), 4) AS value
+FROM (SELECT y, x, 0.75::DOUBLE AS wy, 0.75::DOUBLE AS wx FROM range(30) a(y), range(30) b(x)), range(2) c(dy), range(2) d(dx) JOIN {lst} t ON t.row = 2 * y + dy AND t.col = 2 * x + dx GROUP BY y, x""")(lambda lst: reproject_cells(lst, _SRC, _DST).withColumn("value", F.round("value", 4)))
+query("r1_reproject_cells_utm", "lst")(lambda lst: reproject_cells(lst, Grid(32616, 500000.0, 4500000.0, 30.0, 30.0, 64, 64), Grid(4326, -87.0, 40.65, 0.0003, 0.0003, 60, 60), "nearest"))
+query("r5_rectify_to_ground", "frames_px poses")(lambda px, p: camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0))
+query("r5_valid_fraction", "frames_px poses")(lambda px, p: camera.valid_fraction(camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0)))
+query("a18_score_composition", "poses")(lambda p: camera.score_composition(p, CAMERA, (0.1, -0.05)))
+query("p18_featurize_frames", "labelled_pixels", """SELECT p.frame_id, p.row, p.col, 2 * g - r - b AS exg, label FROM {labelled_pixels} p WHERE label <> 0""")(lambda px: cells.featurize_frames(px.drop("label"), px.select("frame_id", "row", "col", "label"), "labeled").select("frame_id", "row", "col", F.col("exg"), "label"))
+
+_PARK = f"SELECT feature_id, round(median(value), 6) AS lst_median FROM ({inside('lst', 'zones', 'value')}) GROUP BY 1"
+
+
+def park_cooling(zones, lst):
+    """Q1: audit, normalise, area filter, rings, medians, PCI."""
+    good = vectors.audit(zones).where("valid").select("feature_id")
+    rings = vectors.normalise_rings(zones.join(good, "feature_id", "left_semi"))
+    large = vectors.filter_by_area(rings, 0.005).select("feature_id")
+    parks = rings.join(large, "feature_id", "left_semi")
+    band = spatial.distance_bands(lst, parks, 1, 5).groupBy("feature_id", "distance_m").agg(F.median("value").alias("lst_median"))
+    own = spatial.zonal_statistics(lst, parks).select("feature_id", F.col("median").alias("lst_median"))
+    return cooling.park_cooling_intensity(band, own, min_rings=2)
+
+
+query("q1_park_cooling", "zones lst")(park_cooling)
+query("q2_heat_islands", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI.replace('{lst}', '(SELECT * FROM {lst} c WHERE row < 40)')})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst.where("row < 40"))).groupBy("tier").agg(F.count("*").alias("n")))
+query("q3_cooling_differential", "lst lc")(lambda lst, lc: cooling.cooling_differential(cells.composite(lst.selectExpr("cast(row div 4 as int) row", "cast(col div 4 as int) col", "value", "row * 64 + col time"), "median").join(cells.resample_majority(lc, 4), ["row", "col"]), [10], [30, 50]))
+
+
+def predict_temperature(lst, lc):
+    """Q4: sample valid cells, window shares, blocks to train and test, fit, apply, score."""
+    at = cells.valid_mask(lst, lc).withColumn("id", F.col("row") * 1000 + F.col("col"))
+    drawn = sampling.sample_random(at, 800, 7)
+    shares = spatial.buffer_fractions(lc, drawn, 3, {"green": [10, 30], "grey": [50], "blue": [80]})
+    rows = shares.join(drawn.select("id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.col("value").alias("lst")), "id")
+    parts = sampling.split_spatial(rows, 0.3, 0.0, 7, 8)
+    model = train_regressor(parts.where("partition = 'train'"), "lst", ["green", "grey", "blue"], "linear")
+    return scores.score_regression(apply_regressor(model, parts.where("partition = 'test'")), "lst", "pred")
+
+
+query("q4_predict_temperature", "lst lc")(predict_temperature)
+
+
+def evaluate_segmenters(px):
+    """Q5: split labelled frames, fit on training pixels, apply, score by frame, average."""
+    feats = ["r", "g", "b", "exg", "vari", "gli"]
+    rows = cells.visible_indices(px)
+    parts = sampling.split_random(rows.select("frame_id").distinct(), 0.3, 0.0, 7, "frame_id")
+    train = rows.join(parts.where("partition = 'train'"), "frame_id", "left_semi")
+    test = rows.join(parts.where("partition = 'test'"), "frame_id", "left_semi")
+    from heatgrid.operators.models import train_classifier
+
+    done = segment_pixels(test, feats, model=train_classifier(train.where("label <> 0"), "label", feats, "rf", 10))
+    by_frame = scores.score_segmenters(done.withColumn("model", F.lit("rf")), ["frame_id", "model"], "label", "pred")
+    return scores.macro_average(by_frame, ["model"], ["accuracy", "mean_iou", "kappa"])
+
+
+query("q5_evaluate_segmenters", "labelled_pixels")(evaluate_segmenters)
+
+
+def landscape_survey(px, poses, weights):
+    """Q6: index of whole frames and of their ground view, with coverage; coldest first."""
+    potential = lambda m, s: cooling.space_cooling_potential(m.select(F.col("frame_id").alias("space"), "code"), weights, {"green": [1, 2, 3]}).select("space", F.col("index").alias(s))
+    ground = camera.rectify_to_ground(px, poses, CAMERA, (0, 4, 0, 4), 4.0)
+    cover = camera.valid_fraction(ground).select(F.col("frame_id").alias("space"), "valid_fraction")
+    return potential(px, "whole").join(potential(ground, "ground"), "space", "left").join(cover, "space", "left").where("whole IS NOT NULL").orderBy("whole", "space")
+
+
+query("q6_landscape_survey", "frames_px poses weights")(landscape_survey)
+query("q7_composition_lst", "composition class_lst", "SELECT round(avg(lst), 3) AS mean, count(lst) AS n FROM (SELECT space, round(sum(fraction * lst::DOUBLE) / sum(fraction), 3) AS lst FROM {composition} c JOIN {class_lst} t USING (cls) WHERE cls NOT IN ('water', 'soil') GROUP BY space)")(
+    lambda c, t: cooling.scene_rollup(cooling.predicted_lst(c.where("cls <> 'water'"), t.withColumn("lst", F.col("lst").cast("double")), "excluded").withColumn("g", F.lit(1)), ["g"], "lst").drop("g"))
+query("q8_falsification", "three poses")(lambda t, p: scores.composition_error(t, 0.9, [1, 2, 3, 4]).select("verdict").unionByName(camera.score_composition(p, CAMERA).select("verdict")).groupBy("verdict").agg(F.count("*").alias("n")))
+
+
+def explain_pci(zones, lst, lc, crosswalk):
+    """Q9: landscape metrics and class shares against PCI: correlations."""
+    pci = park_cooling(zones, lst).where("PCI IS NOT NULL").select("feature_id", "PCI")
+    metrics = spatial.landscape_metrics(vectors.geometry(zones), zones, lc, lst.withColumn("value", F.col("value") / 50 - 0.3))
+    shares = spatial.land_cover_proportions(lc, zones, crosswalk, ["forest", "open", "built"])
+    rows = pci.join(metrics, "feature_id").join(shares, "feature_id").withColumnRenamed("feature_id", "id")
+    return statistics.correlation(rows, "PCI", ["PA", "LPI", "prop_forest", "prop_open"], ["PP"])
+
+
+query("q9_explain_pci", "zones lst lc crosswalk")(explain_pci)

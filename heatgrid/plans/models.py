@@ -12,7 +12,7 @@ from heatgrid.sources import standins
 
 standins.SQL |= {
     "classify": "SELECT d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(length(d.lang) + ascii(d.lang) AS DOUBLE) AS lang_code, CAST(l.toxic AS DOUBLE) AS toxic, l.quality FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id",
-    "labelled_pixels": "SELECT l_suppkey AS frame_id, CAST(l_orderkey AS INT) AS row, l_linenumber AS col, CAST(l_partkey % 256 AS INT) AS r, CAST(l_suppkey % 256 AS INT) AS g, CAST(l_orderkey % 256 AS INT) AS b, CASE WHEN l_orderkey % 3 = 0 THEN CASE WHEN l_partkey % 256 > 128 THEN 1 ELSE 2 END ELSE 0 END AS label FROM {lineitem}",
+    "labelled_pixels": "SELECT frame_id, row, col, CAST(p % 256 AS INT) AS r, CAST(frame_id % 256 AS INT) AS g, CAST(row % 256 AS INT) AS b, CASE WHEN row % 3 = 0 THEN CASE WHEN p % 256 > 128 THEN 1 ELSE 2 END ELSE 0 END AS label FROM (SELECT l_suppkey AS frame_id, CAST(l_orderkey AS INT) AS row, l_linenumber AS col, min(l_partkey) AS p FROM {lineitem} GROUP BY 1, 2, 3) t",
 }
 XS = ["n_chars", "lang_code", "toxic"]
 for _kind in ("rf", "logistic", "gbt"):
