@@ -38,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     th = F.xxhash64("text")
     taken = mix(docs.select(F.struct("doc_id", th.alias("th")).alias("row"), "source", "text"), F.array("source"), n_words(F.col("text")), id_col="row")
     times = taken.where("taken > 0").groupBy("row").agg(F.max(F.expr("taken div size")).alias("_times"))
-    times = times.select(F.col("row.doc_id").alias("_id"), F.col("row.th").alias("_th"), "_times")
-    both = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    times = times.select(F.col("row.doc_id").alias("_hg_id"), F.col("row.th").alias("_hg_th"), F.col("_times").alias("_hg_times"))
+    both = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hg_id")) & (th == F.col("_hg_th")))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_hg_times").cast("int"))).alias("_hg_copy")).drop("_hg_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ not text; ``apply_bitmaps`` joins them to the documents.
 A key held by a large share of all lines is dealt out over slices by document (see ``first_seen``).
 
 Cases: null and empty texts are one empty line; keys under ``min_chars`` code points are kept; rows with a null id keep
-all lines and count for no other; rows with equal ids are one document; all columns of the documents stay.
+all lines and count for no other; rows with equal ids are one document; all columns of the documents stay (names in _hg_
+are the operator's own).
 """
 
 from __future__ import annotations
@@ -49,15 +50,16 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with ``text_col`` less the dropped lines, and the bitmap columns ``_keep`` and ``_dropped`` (null: nothing dropped)."""
+    """The documents with ``text_col`` less the dropped lines, and the bitmap columns ``_hg_keep`` and ``_hg_dropped`` (null: nothing dropped)."""
     text = F.col(text_col)
-    joined = docs.withColumn("_th", _text_hash(text)).join(bitmaps.withColumnRenamed("_id", "_bid"), (F.col(id_col) == F.col("_bid")) & (F.col("_th") == F.col("_text_hash")), "left")
-    dense = F.array(F.transform(F.sequence(F.lit(0), F.element_at("_keep", -1)["word"]), lambda w: F.coalesce(F.element_at(F.map_from_entries("_keep"), w), F.lit(-1).cast("bigint"))))
+    found = bitmaps.select(F.col("_id").alias("_hg_id"), F.col("_text_hash").alias("_hg_hash"), F.col("_keep").alias("_hg_keep"), F.col("_dropped").alias("_hg_dropped"))
+    joined = docs.withColumn("_hg_text", _text_hash(text)).join(found.hint("merge"), (F.col(id_col) == F.col("_hg_id")) & (F.col("_hg_text") == F.col("_hg_hash")), "left")
+    dense = F.array(F.transform(F.sequence(F.lit(0), F.element_at("_hg_keep", -1)["word"]), lambda w: F.coalesce(F.element_at(F.map_from_entries("_hg_keep"), w), F.lit(-1).cast("bigint"))))
     # the outer transform binds the dense words once
     kept = F.transform(dense, lambda bits: F.filter(split_lines(text), lambda _, i: F.coalesce(F.get(bits, F.shiftright(i, 6)), F.lit(-1).cast("bigint")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i.bitwiseAND(63))) != 0))
-    return joined.withColumn(text_col, F.when(F.col("_keep").isNull(), text).otherwise(F.array_join(kept[0], "\n"))).drop("_bid", "_th", "_text_hash")
+    return joined.withColumn(text_col, F.when(F.col("_hg_keep").isNull(), text).otherwise(F.array_join(kept[0], "\n"))).drop("_hg_id", "_hg_text", "_hg_hash")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """The documents without repeated lines; a document whose lines all go has an empty text."""
-    return apply_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_chars), id_col, text_col).drop("_keep", "_dropped").select(*docs.columns)
+    return apply_bitmaps(docs, line_bitmaps(docs, id_col, text_col, min_chars), id_col, text_col).select(*docs.columns)

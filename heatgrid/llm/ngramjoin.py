@@ -179,5 +179,5 @@ def ngram_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
 def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document, the one of smallest id, of each group that links connect."""
-    groups_of = ngram_groups(docs, n, threshold, recall, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-    return docs.join(groups_of.hint("merge"), F.col(id_col) == F.col("_gone"), "left_anti")
+    groups_of = ngram_groups(docs, n, threshold, recall, id_col, text_col).where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_hg_gone"))
+    return docs.join(groups_of.hint("merge"), F.col(id_col) == F.col("_hg_gone"), "left_anti")

@@ -40,7 +40,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(split_lines(F.col("text"))).cast("bigint").alias("n_lines"))
     kept = apply_bitmaps(docs, line_bitmaps(docs))
-    return kept.select("doc_id", "n_lines", F.coalesce("_dropped", F.lit(0)).cast("bigint").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_lines", F.coalesce("_hg_dropped", F.lit(0)).cast("bigint").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL3 = """

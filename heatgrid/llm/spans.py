@@ -98,8 +98,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(all columns, ``_sentences``, ``_removed``) with ``text_col`` less the sentences that spans cover, or its sha256 if ``digest``."""
-    joined = docs.withColumn("_th", F.xxhash64(text_col)).join(spans.withColumnRenamed("_id", "_sid"), (F.col(id_col) == F.col("_sid")) & (F.col("_th") == F.col("_text_hash")), "left")
-    joined = joined.select(*docs.columns, "_spans")
+    found = spans.select(F.col("_id").alias("_hg_id"), F.col("_text_hash").alias("_hg_hash"), F.col("_spans").alias("_hg_spans"))
+    joined = docs.withColumn("_hg_text", F.xxhash64(text_col)).join(found.hint("merge"), (F.col(id_col) == F.col("_hg_id")) & (F.col("_hg_text") == F.col("_hg_hash")), "left")
+    joined = joined.select(*docs.columns, "_hg_spans")
     at, at_spans = docs.columns.index(text_col), len(docs.columns)
     out = docs.columns + ["_sentences", "_removed"]
 
