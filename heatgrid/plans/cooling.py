@@ -12,6 +12,7 @@ standins.SQL |= {
     "lst_lc": "SELECT t.row, t.col, value, code FROM {lst} t JOIN {lc} c ON c.row = t.row AND c.col = t.col WHERE code <> 0",
     "masks": "SELECT l_suppkey AS space, CAST(l_partkey % 8 AS INT) AS code FROM {lineitem}",
     "weights": "SELECT * FROM (VALUES (1, 1.0E0), (2, 0.8E0), (3, 0.5E0), (4, 0.1E0), (5, -0.5E0), (6, 0.9E0)) AS t(code, weight)",
+    "coarse_composition": "SELECT space, cls, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY space) AS DOUBLE) AS fraction FROM (SELECT c_nationkey % 3 AS space, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'canopy' WHEN 'BUILDING' THEN 'grass' WHEN 'FURNITURE' THEN 'impervious' WHEN 'HOUSEHOLD' THEN 'water' ELSE 'soil' END AS cls, count(*) AS n FROM {customer} GROUP BY 1, 2) t",
     "readings": "SELECT c_nationkey AS scene, c_mktsegment AS model, c_acctbal AS green FROM {customer}",
 }
 PCI = """WITH r AS (SELECT *, row_number() OVER w AS j, lead(lst_median) OVER w AS nxt FROM {rings} q WINDOW w AS (PARTITION BY feature_id ORDER BY distance_m)),
@@ -37,14 +38,14 @@ query("a7_space_cooling_potential", "masks weights", """SELECT space, round(sum(
 FROM (SELECT space, code, round(count(*) / sum(count(*)) OVER (PARTITION BY space), 5) AS f FROM {masks} m WHERE code <> 0 GROUP BY space, code) JOIN {weights} w USING (code) GROUP BY space""")(lambda m, w: op.space_cooling_potential(m, w, {"green": [1, 2, 3], "blue": [6]}))
 _W = {"canopy": 1.0, "grass": 0.5, "impervious": -0.5, "water": 0.8, "soil": 0.1}
 _WSQL = "CASE cls " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in _W.items()) + " END"
-query("a8_counterfactual_cooling", "composition", f"""SELECT space, round(sum(f * w), 4) AS index_before, round(sum(f2 * w), 4) AS index_after, round(round(sum(f2 * w), 4) - round(sum(f * w), 4), 4) AS delta FROM (
+query("a8_counterfactual_cooling", "coarse_composition", f"""SELECT space, round(sum(f * w), 4) AS index_before, round(sum(f2 * w), 4) AS index_after, round(round(sum(f2 * w), 4) - round(sum(f * w), 4), 4) AS delta FROM (
 SELECT space, cls, f, {_WSQL} AS w, CASE cls WHEN 'impervious' THEN round(f - round(f * 0.25, 5), 5) WHEN 'grass' THEN round(round(f + p1, 5) - p2, 5) WHEN 'canopy' THEN round(f + p2, 5) ELSE f END AS f2
-FROM (SELECT *, round((gf + p1) * 0.5, 5) AS p2 FROM (SELECT *, round(max(CASE WHEN cls = 'impervious' THEN f END) OVER (PARTITION BY space) * 0.25, 5) AS p1, max(CASE WHEN cls = 'grass' THEN f END) OVER (PARTITION BY space) AS gf FROM (SELECT space, cls, round(fraction, 5) AS f FROM {{composition}} c)))) GROUP BY space""")(
+FROM (SELECT *, round((gf + p1) * 0.5, 5) AS p2 FROM (SELECT *, round(max(CASE WHEN cls = 'impervious' THEN f END) OVER (PARTITION BY space) * 0.25, 5) AS p1, max(CASE WHEN cls = 'grass' THEN f END) OVER (PARTITION BY space) AS gf FROM (SELECT space, cls, round(fraction, 5) AS f FROM {{coarse_composition}} c)))) GROUP BY space""")(
     lambda c: op.counterfactual_cooling(c, _W, [("impervious", "grass", 0.25), ("grass", "canopy", 0.5), ("absent", "canopy", 1.0), ("soil", "no_such", 1.0)]))
 for _mode, _cls, _where in (("measured", "cls", "true"), ("excluded", "cls", "cls <> 'soil'"), ("organic", "CASE cls WHEN 'soil' THEN 'grass' ELSE cls END", "true")):
     query(f"a9_predicted_lst_{_mode}", "composition class_lst", f"SELECT space, round(CASE WHEN NOT bool_or(lst IS NULL) THEN sum(fraction * lst::DOUBLE) / sum(fraction) END, 3) AS lst FROM (SELECT space, fraction, {_cls} AS cls FROM {{composition}} c WHERE cls <> 'water' AND {_where}) c LEFT JOIN {{class_lst}} t ON t.cls = c.cls GROUP BY space")(
         lambda c, t, m=_mode: op.predicted_lst(c.where("cls <> 'water'"), t.withColumn("lst", F.col("lst").cast("double")), m))
-query("a9_predicted_lst_missing", "composition class_lst", "SELECT DISTINCT space, NULL::DOUBLE AS lst FROM {composition} c")(lambda c, t: op.predicted_lst(c, t.withColumn("lst", F.col("lst").cast("double"))))
+query("a9_predicted_lst_missing", "composition class_lst", "SELECT space, round(CASE WHEN NOT bool_or(lst IS NULL) THEN sum(fraction * lst::DOUBLE) / sum(fraction) END, 3) AS lst FROM {composition} c LEFT JOIN {class_lst} t ON t.cls = c.cls GROUP BY space")(lambda c, t: op.predicted_lst(c, t.withColumn("lst", F.col("lst").cast("double"))))
 query("a10_scene_rollup", "readings", "SELECT scene, model, round(avg(green), 3) AS mean, count(green) AS n FROM {readings} r GROUP BY scene, model")(lambda r: op.scene_rollup(r, ["scene", "model"], "green"))
 query("a11_green_pivot", "readings", "SELECT scene, round(avg(green) FILTER (model = 'BUILDING'), 3) AS \"BUILDING\", round(avg(green) FILTER (model = 'MACHINERY'), 3) AS \"MACHINERY\" FROM {readings} r GROUP BY scene")(lambda r: op.green_pivot(r, "scene", "model", ["BUILDING", "MACHINERY"], "green"))
 query("a12_satellite_fraction", "lc", "SELECT round(count(*) FILTER (code IN (10, 30)) / count(*), 5) AS fraction FROM {lc} t")(lambda lc: op.satellite_fraction(lc, [10, 30]))

@@ -71,8 +71,8 @@ FROM ({inside('lc', 'zones', 'code')}) i LEFT JOIN {{crosswalk}} m ON m.code = i
 GEOM = "SELECT feature_id, round(area, 2) AS area_m2, round(area / 1e4, 4) AS area_ha, round(len, 2) AS perimeter_m FROM (SELECT feature_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len FROM {zones} z GROUP BY 1)"
 query("a3_landscape_metrics", "zones lc lst", f"""SELECT feature_id, round(area_m2 / 1e4, 4) AS PA, perimeter_m AS PP, round(perimeter_m / (2 * sqrt(pi() * area_m2)), 4) AS LSI, LPI, NDVI_veg FROM ({GEOM})
 LEFT JOIN (SELECT feature_id, round(100 * max(n) / sum(n), 2) AS LPI FROM (SELECT feature_id, code, count(*) AS n FROM ({inside('lc', 'zones', 'code')}) GROUP BY ALL) GROUP BY 1) USING (feature_id)
-LEFT JOIN (SELECT feature_id, round(avg(value / 50 - 0.3) FILTER (value / 50 - 0.3::DOUBLE > 0.2::DOUBLE), 4) AS NDVI_veg FROM ({inside('lst', 'zones', 'value')}) GROUP BY 1) USING (feature_id)""")(
-    lambda z, lc, lst: op.landscape_metrics(vec.geometry(z), z, lc, lst.withColumn("value", F.col("value") / 50 - 0.3)))
+LEFT JOIN (SELECT feature_id, round(avg(value / 49 - 0.31::DOUBLE) FILTER (value / 49 - 0.31::DOUBLE > 0.2::DOUBLE), 4) AS NDVI_veg FROM ({inside('lst', 'zones', 'value')}) GROUP BY 1) USING (feature_id)""")(
+    lambda z, lc, lst: op.landscape_metrics(vec.geometry(z), z, lc, lst.withColumn("value", F.col("value") / 49 - 0.31)))
 query("a4_edge_metrics", "lc", """SELECT code, round(unlike / all_, 4) AS ED, round(100 * like2 / 2 / (2 * s * (s - 1) + CASE WHEN n = s * s THEN 0 WHEN n - s * s <= s THEN 2 * (n - s * s) - 1 ELSE 2 * (n - s * s) - 2 END), 4) AS AI FROM (
   SELECT code, n, floor(sqrt(n)) AS s, sum(n) OVER () AS all_ FROM (SELECT code, count(*) AS n FROM {lc} c GROUP BY 1)) JOIN (
   SELECT a.code, count(*) FILTER (a.code = b.code) AS like2, count(*) FILTER (a.code <> b.code) AS unlike FROM {lc} a JOIN {lc} b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY 1) USING (code)""")(op.edge_metrics)
