@@ -12,21 +12,29 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _ODD = re.compile(f"[{WHITE}]")
 LEARN_PIECES = 40_000
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 700_000
+#: a run of these after a letter or number, at a piece's end, is one match of the pattern
+MARKS = ".,;:!?*&%$#|"
+
+
+def regular(piece: str) -> bool:
+    """One space or line break, then no white space: such pieces can be encoded after one another in one text."""
+    return piece[0] in " \n" and len(piece) > 1 and not _ODD.search(piece, 1)
 
 
 class PieceEncoder:
     """encode(texts) joins the encoded pieces of each text; ``learn`` encodes pieces that aren't known.
 
     Most texts are words between single spaces or line breaks: they are split at spaces, a part standing for the part
-    after a space (or from its line break on). A text with any other white space has a part without a known value and is
-    cut by CUT. At most KNOWN_PIECES and those of one batch are remembered.
+    after a space (or from its line break on), less the marks at its end, which are encoded once. A text with any other white space has a part without a known value and is
+    cut by CUT. At most KNOWN_PIECES and those of one batch are remembered; the longer half, which recurs less, goes first.
     """
 
     def __init__(self, learn: Callable[[list[str]], dict[str, bytes]]):
         self.learn = learn
         self.parts: dict[str, bytes | None] = {}
         self.first: dict[str, bytes | None] = {"": b""}
+        self.marks: dict[str, bytes] = {}
 
     def _learned(self, pieces: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
@@ -36,15 +44,21 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.parts) > KNOWN_PIECES:
-            self.parts, self.first = {}, {"": b""}
+            self.first, self.marks = {"": b""}, {}
+            middle = sorted(map(len, self.parts))[len(self.parts) // 2]
+            self.parts = {p: x for p, x in self.parts.items() if len(p) < middle}
         split = [t.replace("\n", " \n").split(" ") if t else [""] for t in texts]
         firsts = {s.pop(0) for s in (s[:1] for s in split)} - self.first.keys()
         new = set().union(*(s[1:] for s in split)) - self.parts.keys()
         odd = {p for p in new if not p or p == "\n" or _ODD.search(p, p[0] == "\n")}
         odd_first = {p for p in firsts if _ODD.search(p)}
-        as_piece = {p: p if p[0] == "\n" else " " + p for p in new - odd}
-        got = self._learned(list({*as_piece.values(), *(firsts - odd_first)}))
-        self.parts.update((p, got[x]) for p, x in as_piece.items())
+        ends = {p: base for p in new - odd if len(base := p.rstrip(MARKS)) < len(p) and base and base[-1].isalnum()}
+        plain = {p: p if p[0] == "\n" else " " + p for p in (new - odd - ends.keys()) | (set(ends.values()) - self.parts.keys())}
+        marks = {p[len(base) :] for p, base in ends.items()} - self.marks.keys()
+        got = self._learned(list({*plain.values(), *(firsts - odd_first), *marks}))
+        self.parts.update((p, got[x]) for p, x in plain.items())
+        self.marks.update((m, got[m]) for m in marks)
+        self.parts.update((p, self.parts[base] + self.marks[p[len(base) :]]) for p, base in ends.items())
         self.parts.update(dict.fromkeys(odd))
         self.first.update((p, got[p]) for p in firsts - odd_first)
         self.first.update(dict.fromkeys(odd_first))

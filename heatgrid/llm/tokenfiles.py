@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgrid.llm.pieces import PieceEncoder, text_slices
+from heatgrid.llm.pieces import PieceEncoder, regular, text_slices
 
 BLOCK = 1024
 SEGMENT_IDS = 1 << 20
@@ -41,11 +41,22 @@ def encoder(path: str) -> PieceEncoder:
         own.no_truncation()
         own.no_padding()
 
+        sizes = np.zeros(own.get_vocab_size(), np.int64)
+        for token, i in own.get_vocab().items():
+            sizes[i] = len(token)  # a character of a token stands for a byte
+
         def learn(pieces: list[str]) -> dict[str, bytes]:
-            got = [e.ids for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
-            off = np.cumsum([0] + [len(x) for x in got]) * 4
-            raw = np.array([i for x in got for i in x], "<u4").tobytes()
-            return {p: raw[off[k] : off[k + 1]] for k, p in enumerate(pieces)}
+            """Regular pieces go through the tokenizer by the thousand and are told apart by their bytes; others alone."""
+            alone = [p for p in pieces if not regular(p)]
+            out = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(alone, own.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+            rest = [p for p in pieces if p not in out]
+            if rest:
+                texts = ["".join(rest[i : i + 1000]) for i in range(0, len(rest), 1000)]
+                ids = np.concatenate([np.array(e.ids, "<u4") for e in own.encode_batch_fast(texts, add_special_tokens=False)])
+                ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(p.encode()) for p in rest])) + 1
+                raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+                out.update((p, raw[at[k] : at[k + 1]]) for k, p in enumerate(rest))
+            return out
 
         _encoders[path] = PieceEncoder(learn)
     return _encoders[path]
