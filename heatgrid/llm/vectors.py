@@ -122,7 +122,8 @@ def vector_links(vectors: DataFrame, threshold: float, id_col: str, vector_col:
     full = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).where("n > 1 AND owners > 0")
     by = ["bucket", "_i", "_j"]
     paired = block_pairs(dealt.join(full, "bucket"), "bucket", F.col("n"), F.col("rep"), BLOCK_ROWS).select(*by, "_own", "t", "rep")
-    with_x = paired.join(keyed, "rep").join(classes.select("rep", "copies", "x"), "rep").select(*by, "_own", "t", "rep", "copies", "keys", "x")
+    given = vectors.schema[vector_col].dataType.simpleString()  # floats travel as floats
+    with_x = paired.join(keyed, "rep").join(classes.select("rep", "copies", F.col("x").cast(given).alias("x")), "rep").select(*by, "_own", "t", "rep", "copies", "keys", "x")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
@@ -159,7 +160,7 @@ def hash_label(label: str) -> int:
     return zlib.crc32(label.encode()) * 2654435761 % (1 << 63)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = 6, depth: int = 2, probes: int = 4, seed: int = 5) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tables: int = 8, depth: int = 3, probes: int = 8, seed: int = 5) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row with an id."""
     members, links = vector_links(vectors, threshold, id_col, vector_col, label_col, tables, depth, probes, seed)
     labels = components(links.where("b IS NOT NULL"))
