@@ -1,8 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, through a block-max inverted index.
 
 Terms are lower-cased words and their first 4, 5 and 6 bytes. ``fit`` takes at most about ``max_examples`` labelled texts
-(by hash of their id, equal texts once), keeps the ``max_terms`` terms that depend most on the label (chi-square, at least ``min_chi``), and takes document
-frequencies of these over all documents. The index holds, for each term, the examples that have it with their weights, in
+(by hash of their id, equal texts once), keeps the terms of ``min_texts`` texts or more that point to the rarer label, and
+takes document frequencies of these over all documents. A term points there if its texts' share of that label, with one text of the
+base rate added, covers ``min_gain`` of the way from the base rate to 1: this asks the same of a term whatever the number of examples.
+Beyond ``max_terms`` those with the largest chi-square stay. The index holds, for each term, the examples that have it with their weights, in
 blocks of BLOCK examples with the largest weight of each block; all of it is bounded by the two parameters. A query visits
 blocks by falling bound and stops when no other block can reach its k-th cosine, so neighbours are exact. Votes weigh by
 distance and a step function, fitted on the examples with each one's own vote left out, calibrates them.
@@ -121,7 +123,7 @@ def weigh(terms: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.sqrt(x @ x)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, max_terms: int, min_chi: float, k: int, seed: int):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, max_terms: int, min_texts: int, min_gain: float, k: int, seed: int):
     """(wanted terms, idf, index, calibration, prior, score without terms), or None without examples."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     n = known.count()
@@ -142,8 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     if not total or not 0 < pos < total:
         return None if not total else (np.zeros(0, np.uint64), np.zeros(0), None, None, pos / total, pos / total)
     rate = pos / total
-    chi = counted.where("d >= 3").select("term", ((F.col("a") - F.col("d") * rate) ** 2 / (F.col("d") * rate * (1 - rate))).alias("chi"))
-    wanted = np.sort(np.array([r["term"] for r in chi.where(F.col("chi") >= min_chi).orderBy(F.desc("chi"), "term").limit(max_terms).collect()], np.int64).view(np.uint64))
+    rare, base = (F.col("a"), rate) if rate <= 0.5 else (F.col("d") - F.col("a"), 1 - rate)
+    more = rare - F.col("d") * base
+    chosen_terms = counted.where((F.col("d") >= min_texts) & (more >= min_gain * (1 - base) * (F.col("d") + 1) - 1e-9)).select("term", (more**2 / F.col("d")).alias("chi"))  # chi-square but for a constant
+    wanted = np.sort(np.array([r["term"] for r in chosen_terms.orderBy(F.desc("chi"), "term").limit(max_terms).collect()], np.int64).view(np.uint64))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, rows = np.zeros(len(wanted), np.int64), 0
@@ -174,9 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return wanted, idf, index, steps, rate, (sum(empty) + rate) / (len(empty) + 1)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 4096, max_terms: int = 256, min_chi: float = 40.0, k: int = 25, seed: int = 11) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 4096, max_terms: int = 4096, min_texts: int = 4, min_gain: float = 0.75, k: int = 25, seed: int = 11) -> DataFrame:
     """All columns of the documents, score, and evidence array<struct<id, label, cosine>>; ``labels`` are those it may learn from."""
-    fitted = fit(docs, labels, id_col, text_col, label_col, max_examples, max_terms, min_chi, k, seed)
+    fitted = fit(docs, labels, id_col, text_col, label_col, max_examples, max_terms, min_texts, min_gain, k, seed)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted, idf, index, steps, rate, bare = fitted or (np.zeros(0, np.uint64), np.zeros(0), None, None, 0.0, 0.0)
 

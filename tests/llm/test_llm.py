@@ -254,6 +254,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert all((r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in scored)
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    hits = wrong = 0
+    for k in range(5):
+        got = toxicity.toxicity(docs, labels.where(fold != k)).select("doc_id", "score").join(labels.where(fold == k), "doc_id").collect()
+        hits += sum(r["toxic"] and r["score"] >= 0.5 for r in got)
+        wrong += sum(r["toxic"] == 0 and r["score"] >= 0.5 for r in got)
+    assert hits >= 5 and wrong <= 1
+
+
 def test_pipeline(spark, sf):
     for path in (SF, f"file://{sf}", f"file://{sf}/empty"):
         docs = spark.read.parquet(f"{path}/documents.parquet")
