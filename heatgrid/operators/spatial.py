@@ -78,13 +78,46 @@ def neighbours(cells: DataFrame, d: float) -> DataFrame:
     return cells.select("row", "col", "value").join(moved, ["row", "col"])
 
 
-def knn(cells: DataFrame, k: int = 8, reach: int = 2) -> DataFrame:
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("row", "col").orderBy("d2", "n_row", "n_col"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def knn_within(cells: DataFrame, k: int = 8, reach: int = 2) -> DataFrame:
     """The k nearest cells of each one within ``reach`` (ties by row and column): (row, col, n_row, n_col, d2)."""
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a or b])
     moved = cells.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.explode(shifts).alias("s"))
     pairs = cells.select("row", "col").join(moved.select("n_row", "n_col", (F.col("n_row") - F.col("s.a")).alias("row"), (F.col("n_col") - F.col("s.b")).alias("col"), (F.col("s.a") * F.col("s.a") + F.col("s.b") * F.col("s.b")).alias("d2")), ["row", "col"])
-    rank = F.row_number().over(W.partitionBy("row", "col").orderBy("d2", "n_row", "n_col"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return _nearest(pairs, k)
+
+
+def knn(cells: DataFrame, k: int = 8, reach: int = 2) -> DataFrame:
+    """The k nearest cells of each one however far they lie, or all others if fewer: columns and ties as in ``knn_within``.
+
+    Cells whose k neighbours aren't sure within ``reach`` look again within twice that, by buckets of that size, until none is left.
+    """
+    at = cells.select("row", "col")
+    ends = at.agg(*[f(c).alias(n) for f, c, n in ((F.min, "row", "r0"), (F.max, "row", "r1"), (F.min, "col", "c0"), (F.max, "col", "c1"))]).first()
+    span = 0 if ends["r0"] is None else max(ends["r1"] - ends["r0"], ends["c1"] - ends["c0"])
+    near, left, parts = knn_within(cells, k, reach), at, []
+    while reach < span:
+        near = checkpointed(near)
+        sure = near.groupBy("row", "col").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") >= k) & (F.col("far") < (reach + 1) ** 2)).select("row", "col")
+        parts.append(near.join(sure, ["row", "col"], "left_semi"))
+        left = checkpointed(left.join(sure, ["row", "col"], "left_anti"))
+        if left.isEmpty():
+            near = near.limit(0)
+            break
+        reach *= 2
+        by = lambda c: F.floor(F.col(c) / reach).cast("bigint")  # noqa: B023, E731
+        around = lambda c: F.explode(F.sequence(by(c) - 1, by(c) + 1))  # noqa: B023, E731
+        asks = left.withColumn("_br", around("row")).withColumn("_bc", around("col"))
+        others = at.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), by("row").alias("_br"), by("col").alias("_bc"))
+        dr, dc = F.col("row") - F.col("n_row"), F.col("col") - F.col("n_col")
+        near = _nearest(asks.join(others, ["_br", "_bc"]).where((dr != 0) | (dc != 0)).select("row", "col", "n_row", "n_col", (dr * dr + dc * dc).alias("d2")), k)
+    for part in parts:
+        near = near.unionByName(part)
+    return near
 
 
 def local_gi(cells: DataFrame, d: float = 1.5, include_self: bool = False, queen: bool = False) -> DataFrame:

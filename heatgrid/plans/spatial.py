@@ -46,7 +46,9 @@ query("p9_crop_to_boundary", "lst boundary", f"""SELECT DISTINCT row, col, value
 query("j4_neighbours_within", "lst", "SELECT a.row, a.col, a.value, sum(b.value) AS total, count(*) AS n FROM {lst} a JOIN {lst} b ON (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 2.25 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY ALL")(
     lambda lst: op.neighbours(lst, 1.5).groupBy("row", "col", "value").agg(F.sum("other").alias("total"), F.count("*").alias("n")))
 query("j5_knn", "lst", """SELECT row, col, n_row, n_col, d2 FROM (SELECT a.row, a.col, b.row AS n_row, b.col AS n_col, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 AS d2, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) AS k
-FROM {lst} a JOIN {lst} b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 AND NOT (a.row = b.row AND a.col = b.col)) WHERE k <= 8""")(op.knn)
+FROM {lst} a JOIN {lst} b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 AND NOT (a.row = b.row AND a.col = b.col)) WHERE k <= 8""")(op.knn_within)
+query("j5_knn_whole", "lst", """SELECT row, col, n_row, n_col, d2 FROM (SELECT a.row, a.col, b.row AS n_row, b.col AS n_col, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 AS d2, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) AS k
+FROM {lst} a JOIN {lst} b ON NOT (a.row = b.row AND a.col = b.col)) WHERE k <= 8""")(op.knn)
 GI = """SELECT row, col, value, (l - w * m) / sqrt(((q - value * value) / (n - 1) - m * m) * ((n - 1) * w - w * w) / (n - 2)) AS z FROM (SELECT *, (s - value) / (n - 1) AS m FROM (
   SELECT *, count(*) OVER () AS n, sum(value) OVER () AS s, sum(value * value) OVER () AS q FROM (
   SELECT a.row, a.col, a.value, count(*)::DOUBLE AS w, sum(b.value) AS l FROM {lst} a JOIN {lst} b ON (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 2.25 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY ALL)))"""

@@ -42,6 +42,16 @@ def test_identity(spark):
         identity.assign_feature_id(df.where("s IS NOT NULL"), "s")
 
 
+def test_nearest_cells_however_far(spark):
+    places = [(0, 0), (0, 1), (1, 0), (1, 1), (3, 9), (20, 20), (20, 27), (64, 3), (65, 3), (-40, 7), (-40, 8)] + [(30 + a, 30 + b) for a in range(4) for b in range(4)]
+    cells = spark.createDataFrame([(r, c, float(r * c % 13)) for r, c in places], "row int, col int, value double")
+    for k in (1, 8, 40):
+        want = {(r, c, *o[1:], o[0]) for r, c in places for o in sorted(((r - a) ** 2 + (c - b) ** 2, a, b) for a, b in places if (a, b) != (r, c))[:k]}
+        assert {(x["row"], x["col"], x["n_row"], x["n_col"], x["d2"]) for x in spatial.knn(cells, k).collect()} == want
+    assert spatial.local_gi(cells, queen=True).count() == len(places)
+    assert spatial.knn(cells.limit(1)).count() == spatial.knn(cells.limit(0)).count() == 0
+
+
 def test_tails():
     assert statistics.t_p(2.228138851986273, 10) == pytest.approx(0.05, abs=1e-9)
     assert statistics.chi2_p(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
