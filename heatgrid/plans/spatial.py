@@ -41,6 +41,7 @@ JOIN (SELECT x1, y1, x2, y2 FROM {boundary} b) e ON ((y1 <= y) <> (y2 <= y)) AND
 query("j3_distance_bands", "lst some_zones", f"""SELECT d.feature_id, d.row, d.col, greatest(1, ceil(round(d / 2, 9))) * 2.0 AS distance_m FROM ({DIST}) d
 ANTI JOIN ({inside('lst', 'some_zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 6""")(
     lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
+query("j3_distance_bands_whole", "lst zones")(lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
 query("p9_crop_to_boundary", "lst boundary", f"""SELECT DISTINCT row, col, value FROM (SELECT row, col, value FROM ({inside('lst', 'boundary', 'value')}) UNION ALL SELECT row, col, value FROM ({DIST.replace('{some_zones}', '{boundary}')}) WHERE d <= 4)""")(
     lambda lst, b: op.crop(lst, b, 4))
 query("j4_neighbours_within", "lst", "SELECT a.row, a.col, a.value, sum(b.value) AS total, count(*) AS n FROM {lst} a JOIN {lst} b ON (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 2.25 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY ALL")(

@@ -1,11 +1,16 @@
 """Hand-computed cases of the branchy operators."""
 
 import math
+from collections import defaultdict
 
+import numpy as np
 import pytest
+from compare import SF
 from pyspark.sql import functions as F
 
+from heatgrid import registry
 from heatgrid.operators import camera, catalog, cooling, identity, sampling, spatial, statistics, vectors
+from heatgrid.sources import standins
 from heatgrid.streaming import gatekeeper
 
 
@@ -52,6 +57,25 @@ def test_nearest_cells_however_far(spark):
     assert spatial.knn(cells.limit(1)).count() == spatial.knn(cells.limit(0)).count() == 0
 
 
+def test_distance_bands_of_all_zones(spark):
+    lst, zones = (standins.standin(spark, SF, x).collect() for x in ("lst", "zones"))
+    edges = defaultdict(list)
+    for e in zones:
+        edges[e["feature_id"]].append((e["x1"], e["y1"], e["x2"], e["y2"]))
+    x, y = np.array([r["col"] + 0.5 for r in lst]), np.array([r["row"] + 0.5 for r in lst])
+    want = set()
+    for f, part in edges.items():
+        inside, d = np.zeros(len(x), bool), np.full(len(x), np.inf)
+        for x1, y1, x2, y2 in part:
+            if y1 != y2:
+                inside ^= ((y1 <= y) != (y2 <= y)) & (x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+            t = np.clip(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+            d = np.minimum(d, np.hypot(x - x1 - t * (x2 - x1), y - y1 - t * (y2 - y1)))
+        want |= {(f, lst[i]["row"], lst[i]["col"], max(1.0, np.ceil(round(d[i] / 2, 9))) * 2) for i in np.flatnonzero(~inside & (d <= 6))}
+    got = [tuple(r) for r in registry.QUERIES["j3_distance_bands_whole"](spark, SF).select("feature_id", "row", "col", "distance_m").collect()]
+    assert len(edges) == 75 and len(got) == len(want) and set(got) == want
+
+
 def test_tails():
     assert statistics.t_p(2.228138851986273, 10) == pytest.approx(0.05, abs=1e-9)
     assert statistics.chi2_p(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
