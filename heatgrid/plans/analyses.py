@@ -51,6 +51,7 @@ def park_cooling(zones, lst):
 
 query("q1_park_cooling", "zones lst")(park_cooling)
 query("q2_heat_islands", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI.replace('{lst}', '(SELECT * FROM {lst} c WHERE row < 40)')})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst.where("row < 40"))).groupBy("tier").agg(F.count("*").alias("n")))
+query("q2_heat_islands_whole", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst)).groupBy("tier").agg(F.count("*").alias("n")))
 query("q3_cooling_differential", "lst lc")(lambda lst, lc: cooling.cooling_differential(cells.composite(lst.selectExpr("cast(row div 4 as int) row", "cast(col div 4 as int) col", "value", "row * 64 + col time"), "median").join(cells.resample_majority(lc, 4), ["row", "col"]), [10], [30, 50]))
 
 

@@ -76,6 +76,13 @@ def test_distance_bands_of_all_zones(spark):
     assert len(edges) == 75 and len(got) == len(want) and set(got) == want
 
 
+def test_heat_islands_of_the_whole_grid(spark):
+    lst = standins.standin(spark, SF, "lst")
+    near = spatial.neighbours(lst, 1.5).select("row", "col").distinct()
+    assert near.where("row >= 40").count() > 0
+    assert sum(r["n"] for r in registry.QUERIES["q2_heat_islands_whole"](spark, SF).collect()) == near.count()
+
+
 def test_tails():
     assert statistics.t_p(2.228138851986273, 10) == pytest.approx(0.05, abs=1e-9)
     assert statistics.chi2_p(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
