@@ -38,7 +38,8 @@ def _text_hash(text: Column) -> Column:
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(_id, _text_hash, _keep array<struct<word, bits>>, _dropped) of each document that loses lines."""
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), _text_hash(F.col(text_col)).alias("_text_hash"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
+    cut = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), _text_hash(F.col(text_col)).alias("_text_hash"), split_lines(F.col(text_col)).alias("_lines"))
+    lines = cut.select("_id", "_text_hash", F.posexplode("_lines").alias("pos", "line"))
     lines = lines.select("_id", "_text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     lines = written(lines.select("_id", "_text_hash", "pos", F.xxhash64("key").alias("h1"), F.hash(F.lit("line"), "key").alias("h2")), "line-keys")
 
@@ -54,7 +55,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     text = F.col(text_col)
     found = bitmaps.select(F.col("_id").alias("_hg_id"), F.col("_text_hash").alias("_hg_hash"), F.col("_keep").alias("_hg_keep"), F.col("_dropped").alias("_hg_dropped"))
     joined = docs.withColumn("_hg_text", _text_hash(text)).join(found.hint("merge"), (F.col(id_col) == F.col("_hg_id")) & (F.col("_hg_text") == F.col("_hg_hash")), "left")
-    dense = F.array(F.transform(F.sequence(F.lit(0), F.element_at("_hg_keep", -1)["word"]), lambda w: F.coalesce(F.element_at(F.map_from_entries("_hg_keep"), w), F.lit(-1).cast("bigint"))))
+    gap = lambda e, k: e["word"] - F.when(k > 0, F.get("_hg_keep", k - 1)["word"]).otherwise(-1) - 1
+    dense = F.array(F.flatten(F.transform("_hg_keep", lambda e, k: F.concat(F.array_repeat(F.lit(-1).cast("bigint"), gap(e, k).cast("int")), F.array(e["bits"])))))
     # the outer transform binds the dense words once
     kept = F.transform(dense, lambda bits: F.filter(split_lines(text), lambda _, i: F.coalesce(F.get(bits, F.shiftright(i, 6)), F.lit(-1).cast("bigint")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i.bitwiseAND(63))) != 0))
     return joined.withColumn(text_col, F.when(F.col("_hg_keep").isNull(), text).otherwise(F.array_join(kept[0], "\n"))).drop("_hg_id", "_hg_text", "_hg_hash")
