@@ -1,7 +1,7 @@
 """Importance resampling: the log ratio of hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Word unigrams and bigrams fall into ``buckets`` hashed features. The raw model counts them over all documents, the target
-model over at most ``max_target`` labelled ones (a bound on what is broadcast: their ids). A document's log weight sums the log
+model over the labelled ones whose hashed id is below a cut that keeps ``max_target`` on average (their ids are broadcast). A document's log weight sums the log
 ratios over all its n-grams; its key adds Gumbel noise drawn from its id and the seed. The k largest keys are found
 exactly, by counts of the keys' 16-bit digits.
 
@@ -68,8 +68,8 @@ def importance_sample(docs: DataFrame, target: DataFrame, share: float, id_col:
     """(id_col, log_weight, key, kept): ``share`` of all rows is kept. ``target``: a column of ids of target documents."""
     n_target = target.count()
     part = min(1.0, max_target / max(1, n_target))
-    ids = target.select(F.col(target.columns[0]).alias("_t")).where(F.pmod(F.xxhash64("_t", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30))).distinct().limit(max_target)
-    chosen = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("_t"), "left_semi")  # at most max_target ids
+    ids = target.select(F.col(target.columns[0]).alias("_t")).where(F.pmod(F.xxhash64("_t", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30))).distinct()
+    chosen = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("_t"), "left_semi")  # about max_target ids, as the hash filter bounds them
     p, q = _counts(chosen, text_col, buckets), _counts(docs, text_col, buckets)
     ratio = np.log((p + 1) / (p.sum() + buckets)) - np.log((q + 1) / (q.sum() + buckets)) if p.sum() else np.zeros(buckets)
     kind = docs.schema[id_col].dataType.simpleString()
