@@ -31,8 +31,8 @@ def select_scenes(scenes: DataFrame, max_cloud: float, months: list[int], n: int
 
 def resolve_bands(assets: DataFrame, aliases: DataFrame) -> DataFrame:
     """(scene, band, asset): for each scene and band the present alias of lowest rank; null if there is none."""
-    best = assets.join(F.broadcast(aliases), "asset").groupBy("scene", "band").agg(F.min_by("asset", "rank").alias("asset"))
-    wanted = assets.select("scene").distinct().crossJoin(F.broadcast(aliases.select("band").distinct()))
+    best = assets.join(aliases, "asset").groupBy("scene", "band").agg(F.min_by("asset", "rank").alias("asset"))
+    wanted = assets.select("scene").distinct().crossJoin(F.broadcast(aliases.agg(F.collect_set("band").alias("band")))).withColumn("band", F.explode("band"))  # one row
     return wanted.join(best, ["scene", "band"], "left")
 
 
@@ -108,17 +108,17 @@ def suggestions(names: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     return near.where((F.col("name") != F.col("suggestion")) & (F.levenshtein("name", "suggestion") <= most))
 
 
-def trace_impact(edges: DataFrame, missing: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(missing, step): every step (step, depends_on) that depends on a missing one, through rounds of joins over the newly reached."""
-    total = checkpointed(missing.select(F.col("step").alias("missing"), F.col("step")))
-    front = total
-    for _ in range(max_rounds):
+def trace_impact(edges: DataFrame, missing: DataFrame) -> DataFrame:
+    """(missing, step): every step (step, depends_on) that depends on a missing one, through rounds of joins over the newly
+    reached; each round adds a table and none is written again. Ends when a round reaches nothing new."""
+    front = checkpointed(missing.select(F.col("step").alias("missing"), F.col("step")))
+    total = front
+    while True:
         near = front.join(edges.withColumnRenamed("step", "_s"), F.col("step") == F.col("depends_on")).select("missing", F.col("_s").alias("step")).distinct()
         front = checkpointed(near.join(total, ["missing", "step"], "left_anti"))
-        if not front.limit(1).count():
+        if front.isEmpty():
             return total.where("step <> missing")
-        total = checkpointed(total.unionByName(front))
-    raise RuntimeError(f"lineage is deeper than {max_rounds}")
+        total = total.unionByName(front)
 
 
 def runnable(steps: DataFrame, impact: DataFrame, missing: DataFrame) -> DataFrame:
