@@ -1 +1 @@
-"""Part of the heatgrid engine."""
+"""Column and table functions that operators share."""

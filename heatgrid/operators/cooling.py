@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from heatgrid.operators.checks import require_columns
+from heatgrid.functions.order import medians
 
 
 def park_cooling_intensity(rings: DataFrame, interior: DataFrame, method: str = "TPM-M", min_rings: int = 2, lst_col: str = "lst_median") -> DataFrame:
@@ -41,12 +42,14 @@ def park_cooling_intensity(rings: DataFrame, interior: DataFrame, method: str =
 def pci_quality(pci: DataFrame) -> DataFrame:
     negative = F.count_if(F.col("PCI") < 0)
     kinds = [F.count_if(F.col("status") == s).alias(s) for s in ("success", "no_turning_point_found", "insufficient_rings", "no_interior_lst")]
-    return pci.agg(*kinds, negative.alias("n_negative"), F.round(100 * negative / F.count("PCI"), 2).alias("pct_negative"), F.min("PCI").alias("least"), F.max("PCI").alias("most"), F.round(F.avg("PCI"), 4).alias("mean"), F.round(F.median("PCI"), 4).alias("median"))
+    return pci.agg(*kinds, negative.alias("n_negative"), F.round(100 * negative / F.count("PCI"), 2).alias("pct_negative"), F.min("PCI").alias("least"), F.max("PCI").alias("most"), F.round(F.avg("PCI"), 4).alias("mean")).join(medians(pci, "PCI", []).select(F.round("median", 4).alias("median")), how="left")  # one row each
 
 
 def class_statistics(cells: DataFrame) -> DataFrame:
     """n, mean, median and population deviation of ``value`` by ``code``."""
-    return cells.groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.median("value"), 3).alias("median"), F.round(F.stddev_pop("value"), 3).alias("std"))
+    out = cells.groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.stddev_pop("value"), 3).alias("std"))
+    middle = medians(cells, "value", ["code"]).select(F.col("code").alias("_code"), F.round("median", 3).alias("median"))  # a row for each class
+    return out.join(middle, F.col("code").eqNullSafe(F.col("_code")), "left").select("code", "n", "mean", "median", "std")
 
 
 def cooling_differential(cells: DataFrame, forest: list[int], open_: list[int], tendency: str = "median", min_pixels: int = 20) -> DataFrame:
@@ -54,8 +57,11 @@ def cooling_differential(cells: DataFrame, forest: list[int], open_: list[int],
     pick = lambda codes: F.when(F.col("code").isin(*codes), F.col("value"))
     aggs: list[Column] = []
     for name, codes in (("forest", forest), ("open", open_)):
-        aggs += [F.count(pick(codes)).alias(f"{name}_n"), F.avg(pick(codes)).alias(f"{name}_mean"), F.median(pick(codes)).alias(f"{name}_median"), F.stddev_pop(pick(codes)).alias(f"{name}_std")]
-    one = cells.agg(*aggs)
+        aggs += [F.count(pick(codes)).alias(f"{name}_n"), F.avg(pick(codes)).alias(f"{name}_mean"), F.stddev_pop(pick(codes)).alias(f"{name}_std")]
+    group = F.filter(F.array(*[F.when(F.col("code").isin(*codes), F.lit(name)) for name, codes in (("forest", forest), ("open", open_))]), lambda g: g.isNotNull())
+    middle = medians(cells.select("value", F.explode(group).alias("_group")), "value", ["_group"])
+    both = middle.agg(*[F.max(F.when(F.col("_group") == g, F.col("median"))).alias(f"{g}_median") for g in ("forest", "open")])
+    one = cells.agg(*aggs).crossJoin(both)  # one row each
     rounded = [F.col(f"{n}_n") for n in ("forest", "open")] + [F.round(f"{n}_{s}", 3).alias(f"{n}_{s}") for n in ("forest", "open") for s in ("mean", "median", "std")]
     diff = {s: F.round(F.col(f"open_{s}") - F.col(f"forest_{s}"), 3) for s in ("mean", "median")}
     return one.select(*rounded, diff["mean"].alias("diff_mean"), diff["median"].alias("diff_median"), diff[tendency].alias("differential"), (F.least("forest_n", "open_n") < min_pixels).alias("few_pixels"))
@@ -69,7 +75,7 @@ def class_distribution(cells: DataFrame) -> DataFrame:
 def space_cooling_potential(masks: DataFrame, weights: DataFrame, groups: dict[str, list[int]], nodata: int = 0) -> DataFrame:
     """Index, shares by group and dominant class of each space (space, code); ``weights``: (code, weight)."""
     n = masks.where(F.col("code") != nodata).groupBy("space", "code").agg(F.count("*").alias("n"))
-    share = n.withColumn("f", F.round(F.col("n") / F.sum("n").over(W.partitionBy("space")), 5)).join(F.broadcast(weights), "code")
+    share = n.withColumn("f", F.round(F.col("n") / F.sum("n").over(W.partitionBy("space")), 5)).join(weights, "code")
     return share.groupBy("space").agg(F.round(F.sum(F.col("weight") * F.col("f")), 4).alias("index"), *[F.round(F.coalesce(F.sum(F.when(F.col("code").isin(*codes), F.col("f"))), F.lit(0.0)), 5).alias(g) for g, codes in groups.items()], F.max_by("code", F.struct("f", -F.col("code"))).alias("dominant"))
 
 
@@ -100,7 +106,7 @@ def predicted_lst(composition: DataFrame, class_lst: DataFrame, mode: str = "mea
         c = c.where(F.col("cls") != soil)
     if mode == "organic":
         c = c.withColumn("cls", F.when(F.col("cls") == soil, grass).otherwise(F.col("cls")))
-    joined = c.join(F.broadcast(class_lst), "cls", "left")
+    joined = c.join(class_lst, "cls", "left")
     value = F.sum(F.col("fraction") * F.col("lst")) / F.sum("fraction")
     return joined.groupBy("space").agg(F.round(F.when(~F.bool_or(F.col("lst").isNull()), value), 3).alias("lst"))
 

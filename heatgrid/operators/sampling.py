@@ -19,14 +19,18 @@ def hash_order(id_: Column, seed: int) -> Column:
     return F.md5(F.concat(id_.cast("string"), F.lit(f"_{seed}")).cast("binary"))
 
 
-def ranked(df: DataFrame, key: Column, tie: str) -> DataFrame:
-    """``df`` and ``_rank`` from 0 in (key, tie) order. ``key``: a hex string; its prefixes' counts (65,536 rows at most) give
-    each prefix its first rank, and a window ranks within a prefix."""
-    keyed = df.withColumn("_key", key).withColumn("_prefix", F.substring("_key", 1, PREFIX))
-    counts = keyed.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(W.orderBy("_prefix")) - F.col("_n")).drop("_n")
-    within = F.row_number().over(W.partitionBy("_prefix").orderBy("_key", tie)) - 1
-    return keyed.join(F.broadcast(before), "_prefix").withColumn("_rank", F.col("_before") + within).drop("_key", "_prefix", "_before")
+def ranked(df: DataFrame, key: Column, tie: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` and ``_rank`` from 0 in (key, tie) order, in each group of ``within``. ``key``: a hex string; its prefixes' counts
+    (65,536 rows at most for a group) give each prefix its first rank, and a window ranks within a prefix."""
+    keyed = df.withColumn("_key", key).withColumn("_prefix", F.coalesce(F.substring("_key", 1, PREFIX), F.lit("")))
+    counts = keyed.groupBy(*within, "_prefix").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*within).orderBy("_prefix")) - F.col("_n"))
+    before = before.select(*[F.col(c).alias(f"_w_{c}") for c in within], F.col("_prefix").alias("_p"), "_before")
+    same = F.col("_prefix") == F.col("_p")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    place = F.row_number().over(W.partitionBy(*within, "_prefix").orderBy("_key", tie)) - 1
+    return keyed.join(before if within else F.broadcast(before), same).withColumn("_rank", F.col("_before") + place).drop("_key", "_prefix", "_p", "_before", *[f"_w_{c}" for c in within])
 
 
 def sample_random(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
@@ -37,8 +41,7 @@ def sample_random(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataF
 
 def sample_stratified(df: DataFrame, n: int, seed: int, stratum: str, id_col: str = "id") -> DataFrame:
     """n rows of each stratum, all if it has fewer."""
-    w = W.partitionBy(stratum).orderBy(hash_order(F.col(id_col), seed), id_col)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    return ranked(df, hash_order(F.col(id_col), seed), id_col, (stratum,)).where(F.col("_rank") < n).drop("_rank")
 
 
 def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
@@ -75,10 +78,11 @@ def split_random(df: DataFrame, test: float, val: float, seed: int, id_col: str
 
 
 def split_stratified(df: DataFrame, test: float, val: float, seed: int, stratum: str, id_col: str = "id") -> DataFrame:
+    """``split_random`` in each stratum."""
     _check(test, val)
-    w = W.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(hash_order(F.col(id_col), seed), id_col)) - 1
-    return df.withColumn("_rank", rank).withColumn("_n", F.count("*").over(w)).withColumn("partition", _part(F.col("_rank"), F.col("_n"), test, val)).drop("_rank", "_n")
+    n = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    out = ranked(df, hash_order(F.col(id_col), seed), id_col, (stratum,)).join(n, F.col(stratum).eqNullSafe(F.col("_s")))
+    return out.withColumn("partition", _part(F.col("_rank"), F.col("_n"), test, val)).drop("_rank", "_n", "_s")
 
 
 def split_grouped(df: DataFrame, test: float, val: float, seed: int, group: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from heatgrid.operators.checks import require_columns
+from heatgrid.functions.order import medians, rank_descending
 
 
 def confusion(pairs: DataFrame, by: list[str], truth: str, pred: str, nodata: int = 0) -> DataFrame:
@@ -89,9 +90,9 @@ def class_counts(df: DataFrame, label: str, least: int = 30) -> DataFrame:
 
 def drop_outliers_mad(df: DataFrame, value: str, k: float = 3.0, min_keep: int = 10) -> DataFrame:
     """Rows up to median + k MAD (at least 1e-9), or all if that leaves fewer than ``min_keep``. Two one-row sums."""
-    mid = df.agg(F.median(value).alias("_m"))
-    mad = df.crossJoin(F.broadcast(mid)).agg(F.first("_m").alias("_m"), F.greatest(F.median(F.abs(F.col(value) - F.col("_m"))), F.lit(1e-9)).alias("_d"))
-    cut = mad.select((F.col("_m") + k * F.col("_d")).alias("_cut"))
+    mid = medians(df, value, []).withColumnRenamed("median", "_m")
+    away = medians(df.crossJoin(F.broadcast(mid)).select(F.abs(F.col(value) - F.col("_m")).alias("_away")), "_away", []).withColumnRenamed("median", "_d")
+    cut = mid.crossJoin(away).select((F.col("_m") + k * F.greatest("_d", F.lit(1e-9))).alias("_cut"))  # one row each
     n = df.crossJoin(F.broadcast(cut)).agg(F.first("_cut").alias("_cut"), F.count_if(F.col(value) <= F.col("_cut")).alias("_n"))
     return df.crossJoin(F.broadcast(n)).where((F.col(value) <= F.col("_cut")) | (F.col("_n") < min_keep)).drop("_cut", "_n")
 
@@ -102,7 +103,7 @@ def frame_rms(points: DataFrame) -> DataFrame:
 
 def rank_frames(errors: DataFrame, value: str = "rms") -> DataFrame:
     """Worst first; a row for each frame."""
-    return errors.withColumn("rank", F.rank().over(W.partitionBy().orderBy(F.desc(value))))
+    return rank_descending(errors, value)
 
 
 def raster_profile(cells: DataFrame, cell: float = 1.0) -> DataFrame:
