@@ -144,12 +144,16 @@ def match_grid(cells: DataFrame, h: int, w: int, to_h: int, to_w: int) -> DataFr
 
 
 def snap_palette(pixels: DataFrame, palette: DataFrame, tolerance: float = 30.0) -> DataFrame:
-    """``code`` of the nearest palette colour within ``tolerance``, else 0. Distinct colours meet the (small) palette once."""
-    colours = pixels.select("r", "g", "b").distinct()
+    """``code`` of the nearest palette colour within ``tolerance``, else 0, ties to the smallest code. Distinct colours meet
+    the palette in cubes of that side: each palette colour is in 27 cubes, a pixel's colour in its own."""
+    side = max(1.0, float(tolerance))
+    cube = lambda c: F.floor(F.col(c) / side).cast("int")
+    around = lambda c: F.explode(F.sequence(cube(c) - 1, cube(c) + 1))
+    colours = pixels.select("r", "g", "b").distinct().withColumns({"_x": cube("r"), "_y": cube("g"), "_z": cube("b")})
+    known = palette.withColumn("_x", around("pr")).withColumn("_y", around("pg")).withColumn("_z", around("pb"))
     d2 = sum((F.col(x) - F.col(p)) * (F.col(x) - F.col(p)) for x, p in (("r", "pr"), ("g", "pg"), ("b", "pb")))
-    near = colours.join(F.broadcast(palette)).groupBy("r", "g", "b").agg(F.min(F.struct(d2.alias("d2"), F.col("code"))).alias("m"))
-    snapped = near.select("r", "g", "b", F.when(F.col("m.d2") <= tolerance * tolerance, F.col("m.code")).otherwise(0).alias("code"))
-    return pixels.join(snapped, ["r", "g", "b"], "left")
+    near = colours.join(known, ["_x", "_y", "_z"]).where(d2 <= tolerance * tolerance).groupBy("r", "g", "b").agg(F.min(F.struct(d2.alias("d2"), F.col("code"))).alias("m"))
+    return pixels.join(near.select("r", "g", "b", F.col("m.code").alias("code")), ["r", "g", "b"], "left").withColumn("code", F.when(F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull(), F.coalesce("code", F.lit(0))))
 
 
 def drop_small_classes(cells: DataFrame, min_px: int = 20) -> DataFrame:
@@ -171,34 +175,38 @@ def visible_indices(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({"exg": 2 * g - r - b, "vari": vari, "gli": (2 * g - r - b) / (2 * g + r + b + 1e-6), "grey": (r + g + b) / 3})
 
 
-def focal_std(cells: DataFrame, k: int = 7) -> DataFrame:
-    """Standard deviation of ``value`` over k x k cells of a full grid, edges reflected: sums along rows, then columns."""
+def focal_std(cells: DataFrame, k: int = 7, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Standard deviation of ``value`` over k x k cells of a full grid, edges reflected: sums along rows, then columns. Each
+    value of ``keys`` is a grid of its own."""
     h = k // 2
 
     def mirrored(df: DataFrame, axis: str) -> DataFrame:
         other = "row" if axis == "col" else "col"
-        ends = df.select("*", F.min(axis).over(W.partitionBy(other)).alias("_lo"), F.max(axis).over(W.partitionBy(other)).alias("_hi"))
+        ends = df.select("*", F.min(axis).over(W.partitionBy(*keys, other)).alias("_lo"), F.max(axis).over(W.partitionBy(*keys, other)).alias("_hi"))
         at = F.col(axis)
         low, high = 2 * F.col("_lo") - 1 - at, 2 * F.col("_hi") + 1 - at
         copies = F.array(at, F.when(low >= F.col("_lo") - h, low), F.when(high <= F.col("_hi") + h, high))
         return ends.withColumn("_at", F.explode(F.filter(copies, lambda x: x.isNotNull()))).drop(axis).withColumnRenamed("_at", axis)
 
-    out = cells.select(*CELL, F.col("value").alias("s"), (F.col("value") * F.col("value")).alias("q"))
+    out = cells.select(*keys, *CELL, F.col("value").alias("s"), (F.col("value") * F.col("value")).alias("q"))
     for axis in ("col", "row"):
         other = "row" if axis == "col" else "col"
-        w = W.partitionBy(other).orderBy(axis).rangeBetween(-h, h)
+        w = W.partitionBy(*keys, other).orderBy(axis).rangeBetween(-h, h)
         inside = F.col(axis).between(F.col("_lo"), F.col("_hi"))
-        out = mirrored(out, axis).select(*CELL, F.avg("s").over(w).alias("s"), F.avg("q").over(w).alias("q"), inside.alias("_in")).where("_in").drop("_in")
-    return out.select(*CELL, F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))).alias("texture"))
+        out = mirrored(out, axis).select(*keys, *CELL, F.avg("s").over(w).alias("s"), F.avg("q").over(w).alias("q"), inside.alias("_in")).where("_in").drop("_in")
+    return out.select(*keys, *CELL, F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))).alias("texture"))
 
 
-def featurize_frames(pixels: DataFrame, labels: DataFrame | None = None, mode: str = "all") -> DataFrame:
-    """Colour, indices and texture of each pixel (frame_id, row, col, r, g, b), with labels if given; ``labeled`` keeps labelled ones."""
+FEATURES = ["r", "g", "b", "exg", "vari", "gli", "texture"]
+
+
+def featurize_frames(pixels: DataFrame, labels: DataFrame | None = None, mode: str = "all", k: int = 7) -> DataFrame:
+    """Colour, indices and texture (deviation of grey over k x k pixels) of each pixel (frame_id, row, col, r, g, b), with
+    labels if given; ``labeled`` keeps labelled ones. A pixel that is there more than once counts as its mean grey."""
+    at = ["frame_id", "row", "col"]
     base = visible_indices(pixels)
-    texture = base.groupBy("frame_id", "row", "col").agg(F.first("grey").alias("value"))
-    framed = texture.withColumn("row", F.struct("frame_id", "row"))
-    out = base.join(framed.select("row.frame_id", "row.row", "col", "value"), ["frame_id", "row", "col"])
-    out = out.drop("value")
+    grey = base.groupBy(*at).agg(F.avg("grey").alias("value"))
+    out = base.join(focal_std(grey, k, ("frame_id",)), at)
     if labels is not None:
         out = out.join(labels, ["frame_id", "row", "col"], "left")
         if mode == "labeled":
