@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from heatgrid.sources.shared import new_folder
+
 
 def zone_spans(edges: DataFrame, k: int = 1) -> DataFrame:
     """(feature_id, row, from, to): sub-columns whose centres lie inside on each sub-row, k of them to a cell.
@@ -178,7 +180,7 @@ def zonal_statistics(cells: DataFrame, edges: DataFrame, zones: DataFrame | None
 
 def land_cover_proportions(cells: DataFrame, edges: DataFrame, crosswalk: DataFrame, targets: list[str], k: int = 1) -> DataFrame:
     """prop_<class> of each zone; unmapped codes count in the whole only; ``row_ok`` says whether the shares sum to about 1."""
-    inside = cells_in_zones(cells, edges, k).where("code IS NOT NULL").join(F.broadcast(crosswalk), "code", "left")
+    inside = cells_in_zones(cells, edges, k).where("code IS NOT NULL").join(crosswalk, "code", "left")
     whole = F.sum("weight")
     out = inside.groupBy("feature_id").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("target") == t, F.col("weight"))), F.lit(0)) / whole, 4).alias(f"prop_{t}") for t in targets])
     return out.withColumn("row_ok", sum(F.col(f"prop_{t}") for t in targets).between(0.95, 1.05))
@@ -229,11 +231,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the session's checkpoint folder; a new one only where it is unset."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="heatgrid-"))
+        sc.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

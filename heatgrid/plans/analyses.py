@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from heatgrid.operators import camera, cells, cooling, sampling, scores, spatial, statistics, vectors
 from heatgrid.operators.models import apply_regressor, segment_pixels, train_regressor
 from heatgrid.operators.regrid import Grid, reproject_cells
-from heatgrid.plans.spatial import GI, TIER, inside
+from heatgrid.plans.cooling import DIFFERENTIAL, PCI
+from heatgrid.plans.spatial import DIST, GEOM, GI, TIER, inside
 from heatgrid.registry import query
 from heatgrid.sources import standins
+from heatgrid.sources.shared import new_folder
 from heatgrid.streaming import gatekeeper
 
 standins.SQL |= {
@@ -23,6 +25,20 @@ _UNREADABLE = "['unreadable']"
 query("k2_validate", "arrivals", """SELECT path, file_type, status, array_to_string(errors, ';') AS errors FROM (SELECT path, t AS file_type, CASE WHEN t = 'unknown' THEN 'skipped' WHEN e IS NULL THEN 'poisoned' WHEN len(e) > 0 THEN 'invalid' ELSE 'ready' END AS status, coalesce(e, ['unreadable']) AS errors FROM (
 SELECT path, CASE id % 4 WHEN 0 THEN 'geojson' WHEN 1 THEN 'geotiff' WHEN 2 THEN 'manifest' ELSE 'unknown' END AS t, CASE id % 20 WHEN 0 THEN [] WHEN 4 THEN ['FeatureCollection without features'] WHEN 8 THEN ['Feature without geometry'] WHEN 1 THEN NULL WHEN 2 THEN [] WHEN 6 THEN ['missing city.name']
  ELSE CASE id % 4 WHEN 1 THEN ['no TIFF signature'] WHEN 3 THEN [] END END AS e FROM {arrivals} a))""")(lambda a: gatekeeper.validate(a.select("path", F.encode("body", "UTF-8").alias("content"))).withColumn("errors", F.array_join("errors", ";")))
+
+
+def routed(arrivals):
+    """K1, K6: a stream over the written arrivals, routed to three tables, which are read back."""
+    spark, base = arrivals.sparkSession, new_folder(arrivals.sparkSession, "arrivals")
+    arrivals.select("path", F.encode("body", "UTF-8").alias("content")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("path string, content binary").parquet(f"{base}/in")
+    gatekeeper.route(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    read = [spark.read.parquet(f"{base}/out/{t}").select(F.col("source_file").alias("path"), F.lit(t).alias("routed"), F.array_join("errors", ";").alias("errors")) for t in ("ready", "invalid", "quarantine")]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+query("k6_route", "arrivals", """SELECT path, CASE WHEN e IS NULL THEN 'quarantine' WHEN len(e) > 0 THEN 'invalid' ELSE 'ready' END AS routed, array_to_string(coalesce(e, ['unreadable']), ';') AS errors FROM (
+SELECT path, CASE id % 20 WHEN 0 THEN [] WHEN 4 THEN ['FeatureCollection without features'] WHEN 8 THEN ['Feature without geometry'] WHEN 1 THEN NULL WHEN 2 THEN [] WHEN 6 THEN ['missing city.name'] ELSE CASE WHEN id % 4 = 1 THEN ['no TIFF signature'] END END AS e FROM {arrivals} a WHERE id % 4 <> 3)""")(routed)
 query("k5_validation_sidecars", "arrivals", "SELECT CASE id % 4 WHEN 0 THEN 'geojson' WHEN 1 THEN 'geotiff' WHEN 2 THEN 'manifest' ELSE 'unknown' END AS file_type, count(*) AS n, '1' AS version FROM {arrivals} a GROUP BY 1")(
     lambda a: gatekeeper.sidecars(gatekeeper.validate(a.select("path", F.encode("body", "UTF-8").alias("content")))).groupBy("file_type").agg(F.count("*").alias("n"), F.max("validator_version").alias("version")))
 _SRC, _DST = Grid(3857, 0.0, 0.0, 1.0, 1.0, 64, 64), Grid(3857, 0.25, 0.25, 2.0, 2.0, 30, 30)
@@ -33,7 +49,21 @@ query("r1_reproject_cells_utm", "lst")(lambda lst: reproject_cells(lst, Grid(326
 query("r5_rectify_to_ground", "frames_px poses")(lambda px, p: camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0))
 query("r5_valid_fraction", "frames_px poses")(lambda px, p: camera.valid_fraction(camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0)))
 query("a18_score_composition", "poses")(lambda p: camera.score_composition(p, CAMERA, (0.1, -0.05)))
-query("p18_featurize_frames", "labelled_pixels", """SELECT p.frame_id, p.row, p.col, 2 * g - r - b AS exg, label FROM {labelled_pixels} p WHERE label <> 0""")(lambda px: cells.featurize_frames(px.drop("label"), px.select("frame_id", "row", "col", "label"), "labeled").select("frame_id", "row", "col", F.col("exg"), "label"))
+_MIRROR = """SELECT *, {at} AS _at FROM {t} UNION ALL SELECT *, 2 * lo - 1 - {at} FROM {t} WHERE 2 * lo - 1 - {at} >= lo - 3 UNION ALL SELECT *, 2 * hi + 1 - {at} FROM {t} WHERE 2 * hi + 1 - {at} <= hi + 3"""
+
+
+def _means(t: str, at: str, other: str) -> str:
+    """SQL: means of s and q over 7 cells along ``at``, ends reflected, at the cells of ``t``."""
+    ends = f"(SELECT *, min({at}) OVER (PARTITION BY frame_id, {other}) AS lo, max({at}) OVER (PARTITION BY frame_id, {other}) AS hi FROM {t})"
+    frame = f"(PARTITION BY frame_id, {other} ORDER BY _at RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
+    return f"SELECT frame_id, {other}, _at AS {at}, s, q FROM (SELECT frame_id, {other}, _at, avg(s) OVER {frame} AS s, avg(q) OVER {frame} AS q, _at BETWEEN lo AND hi AS inside FROM ({_MIRROR.format(t=ends, at=at)})) WHERE inside"
+
+
+query("p18_featurize_frames", "labelled_pixels", f"""WITH p AS (SELECT frame_id, row, col, label, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM {{labelled_pixels}}), grey AS (SELECT frame_id, row, col, (r + g + b) / 3 AS s, (r + g + b) / 3 * ((r + g + b) / 3) AS q FROM p),
+ h AS ({_means('grey', 'col', 'row')}), v AS ({_means('h', 'row', 'col')})
+ SELECT frame_id, row, col, r, g, b, 2 * g - r - b AS exg, round(greatest(-1, least(1, (g - r) / (g + r - b + 1e-6))), 4) AS vari, round((2 * g - r - b) / (2 * g + r + b + 1e-6), 4) AS gli, round(sqrt(greatest(q - s * s, 0)), 3) AS texture, label
+ FROM p JOIN v USING (frame_id, row, col) WHERE label <> 0""")(
+    lambda px: cells.featurize_frames(px.drop("label"), px.select("frame_id", "row", "col", "label"), "labeled").select("frame_id", "row", "col", *[F.col(c).cast("double").alias(c) for c in "rgb"], "exg", F.round("vari", 4).alias("vari"), F.round("gli", 4).alias("gli"), F.round("texture", 3).alias("texture"), "label"))
 
 _PARK = f"SELECT feature_id, round(median(value), 6) AS lst_median FROM ({inside('lst', 'zones', 'value')}) GROUP BY 1"
 
@@ -49,10 +79,15 @@ def park_cooling(zones, lst):
     return cooling.park_cooling_intensity(band, own, min_rings=2)
 
 
-query("q1_park_cooling", "zones lst")(park_cooling)
+_BANDS = f"""SELECT feature_id, distance_m, median(value) AS lst_median FROM (SELECT d.feature_id, d.value, greatest(1, ceil(round(d, 9))) * 1.0::DOUBLE AS distance_m FROM ({DIST.replace('{some_zones}', '{zones}')}) d
+ANTI JOIN ({inside('lst', 'zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 5) WHERE feature_id IN (SELECT feature_id FROM ({GEOM}) WHERE area_ha >= 0.005) GROUP BY 1, 2"""
+#: every zone is valid
+Q1 = PCI.replace("LEVEL", "tv").replace("j >= 3", "j >= 2").replace("n_rings < 3", "n_rings < 2").replace("{rings}", f"({_BANDS})").replace("{interior}", f"({_PARK.replace('round(median(value), 6)', 'median(value)')})")
+query("q1_park_cooling", "zones lst", Q1 + "SELECT * FROM pci")(park_cooling)
 query("q2_heat_islands", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI.replace('{lst}', '(SELECT * FROM {lst} c WHERE row < 40)')})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst.where("row < 40"))).groupBy("tier").agg(F.count("*").alias("n")))
 query("q2_heat_islands_whole", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst)).groupBy("tier").agg(F.count("*").alias("n")))
-query("q3_cooling_differential", "lst lc")(lambda lst, lc: cooling.cooling_differential(cells.composite(lst.selectExpr("cast(row div 4 as int) row", "cast(col div 4 as int) col", "value", "row * 64 + col time"), "median").join(cells.resample_majority(lc, 4), ["row", "col"]), [10], [30, 50]))
+_COARSE = """SELECT value, code FROM (SELECT row // 4 AS row, col // 4 AS col, median(value) AS value FROM {lst} t GROUP BY ALL) JOIN (SELECT row, col, arg_min(code, code - 1000 * n) AS code FROM (SELECT row // 4 AS row, col // 4 AS col, code, count(*) AS n FROM {lc} t GROUP BY ALL) GROUP BY row, col) USING (row, col)"""
+query("q3_cooling_differential", "lst lc", DIFFERENTIAL.replace("{lst_lc}", f"({_COARSE})"))(lambda lst, lc: cooling.cooling_differential(cells.composite(lst.selectExpr("cast(row div 4 as int) row", "cast(col div 4 as int) col", "value", "row * 64 + col time"), "median").join(cells.resample_majority(lc, 4), ["row", "col"]), [10], [30, 50]))
 
 
 def predict_temperature(lst, lc):
@@ -71,8 +106,8 @@ query("q4_predict_temperature", "lst lc")(predict_temperature)
 
 def evaluate_segmenters(px):
     """Q5: split labelled frames, fit on training pixels, apply, score by frame, average."""
-    feats = ["r", "g", "b", "exg", "vari", "gli"]
-    rows = cells.visible_indices(px)
+    feats = cells.FEATURES
+    rows = cells.featurize_frames(px.drop("label"), px.select("frame_id", "row", "col", "label"))
     parts = sampling.split_random(rows.select("frame_id").distinct(), 0.3, 0.0, 7, "frame_id")
     train = rows.join(parts.where("partition = 'train'"), "frame_id", "left_semi")
     test = rows.join(parts.where("partition = 'test'"), "frame_id", "left_semi")

@@ -8,6 +8,7 @@ from heatgrid.operators import catalog as op
 from heatgrid.operators.cells import range_warnings, scale_cells
 from heatgrid.registry import query
 from heatgrid.sources import standins
+from heatgrid.sources.shared import new_folder
 
 standins.SQL |= {
     "assets": "SELECT event_id AS scene, event_type || '_' || CAST(event_id % 3 AS STRING) AS asset FROM {events} UNION ALL SELECT event_id, 'red_' || CAST(event_id % 2 AS STRING) FROM {events} WHERE event_id % 4 > 0",
@@ -48,3 +49,23 @@ def op_assign(df, source):
     from heatgrid.operators.identity import assign_feature_id
 
     return assign_feature_id(df, source)
+
+
+def _written(samples, kind: str):
+    path = f"{new_folder(samples.sparkSession, 'samples')}.{kind}"
+    op.write_table(samples, path)
+    return op.read_table(samples.sparkSession, path)
+
+
+_SAMPLES = "SELECT id, grp, stratum, value FROM {samples} s"
+query("s3_read_csv", "samples", _SAMPLES)(lambda s: _written(s.select("id", "grp", "stratum", "value"), "csv"))
+query("s3_read_parquet", "samples", _SAMPLES)(lambda s: _written(s.select("id", "grp", "stratum", "value"), "parquet"))
+
+
+def _json(catalog):
+    path = new_folder(catalog.sparkSession, "result")
+    op.write_result_json(catalog.select("id", "policy", "available"), path)
+    return catalog.sparkSession.read.schema("id bigint, policy string, available boolean").json(path)
+
+
+query("s4_write_result_json", "catalog", "SELECT id, policy, available FROM {catalog} c")(_json)

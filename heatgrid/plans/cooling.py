@@ -30,8 +30,9 @@ count(*) FILTER (status = 'no_interior_lst') AS no_interior_lst, count(*) FILTER
     lambda r, i: op.pci_quality(op.park_cooling_intensity(r, i, min_rings=3)))
 query("j8_pci_inputs", "rings interior", "SELECT r.*, i.lst_median AS park FROM {rings} r LEFT JOIN {interior} i USING (feature_id)")(lambda r, i: r.join(i.dropDuplicates(["feature_id"]).withColumnRenamed("lst_median", "park"), "feature_id", "left"))
 query("a5_class_statistics", "lst_lc", "SELECT code, count(*) AS n, round(avg(value), 3) AS mean, round(median(value), 3) AS median, round(stddev_pop(value), 3) AS std FROM {lst_lc} t GROUP BY code")(op.class_statistics)
-query("a5_cooling_differential", "lst_lc", """SELECT *, diff_median AS differential, least(forest_n, open_n) < 20 AS few_pixels FROM (SELECT fn AS forest_n, o_n AS open_n, round(fm, 3) AS forest_mean, round(fd, 3) AS forest_median, round(fs, 3) AS forest_std, round(om, 3) AS open_mean, round(od, 3) AS open_median, round(os, 3) AS open_std, round(om - fm, 3) AS diff_mean, round(od - fd, 3) AS diff_median
-FROM (SELECT count(*) FILTER (code = 10) AS fn, avg(value) FILTER (code = 10) AS fm, median(value) FILTER (code = 10) AS fd, stddev_pop(value) FILTER (code = 10) AS fs, count(*) FILTER (code IN (30, 50)) AS o_n, avg(value) FILTER (code IN (30, 50)) AS om, median(value) FILTER (code IN (30, 50)) AS od, stddev_pop(value) FILTER (code IN (30, 50)) AS os FROM {lst_lc} t))""")(
+DIFFERENTIAL = """SELECT *, diff_median AS differential, least(forest_n, open_n) < 20 AS few_pixels FROM (SELECT fn AS forest_n, o_n AS open_n, round(fm, 3) AS forest_mean, round(fd, 3) AS forest_median, round(fs, 3) AS forest_std, round(om, 3) AS open_mean, round(od, 3) AS open_median, round(os, 3) AS open_std, round(om - fm, 3) AS diff_mean, round(od - fd, 3) AS diff_median
+FROM (SELECT count(*) FILTER (code = 10) AS fn, avg(value) FILTER (code = 10) AS fm, median(value) FILTER (code = 10) AS fd, stddev_pop(value) FILTER (code = 10) AS fs, count(*) FILTER (code IN (30, 50)) AS o_n, avg(value) FILTER (code IN (30, 50)) AS om, median(value) FILTER (code IN (30, 50)) AS od, stddev_pop(value) FILTER (code IN (30, 50)) AS os FROM {lst_lc} t))"""
+query("a5_cooling_differential", "lst_lc", DIFFERENTIAL)(
     lambda c: op.cooling_differential(c, [10], [30, 50]))
 query("a6_class_distribution", "lc", "SELECT code, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM {lc} t WHERE code > 0 GROUP BY code")(op.class_distribution)
 query("a7_space_cooling_potential", "masks weights", """SELECT space, round(sum(weight * f), 4) AS index, round(coalesce(sum(f) FILTER (code IN (1, 2, 3)), 0), 5) AS green, round(coalesce(sum(f) FILTER (code = 6), 0), 5) AS blue, arg_max(code, f * 100000 * 10 - code) AS dominant

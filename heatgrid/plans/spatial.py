@@ -41,7 +41,8 @@ JOIN (SELECT x1, y1, x2, y2 FROM {boundary} b) e ON ((y1 <= y) <> (y2 <= y)) AND
 query("j3_distance_bands", "lst some_zones", f"""SELECT d.feature_id, d.row, d.col, greatest(1, ceil(round(d / 2, 9))) * 2.0 AS distance_m FROM ({DIST}) d
 ANTI JOIN ({inside('lst', 'some_zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 6""")(
     lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
-query("j3_distance_bands_whole", "lst zones")(lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
+query("j3_distance_bands_whole", "lst zones", f"""SELECT d.feature_id, d.row, d.col, greatest(1, ceil(round(d / 2, 9))) * 2.0 AS distance_m FROM ({DIST.replace('{some_zones}', '{zones}')}) d
+ANTI JOIN ({inside('lst', 'zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 6""")(lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
 query("p9_crop_to_boundary", "lst boundary", f"""SELECT DISTINCT row, col, value FROM (SELECT row, col, value FROM ({inside('lst', 'boundary', 'value')}) UNION ALL SELECT row, col, value FROM ({DIST.replace('{some_zones}', '{boundary}')}) WHERE d <= 4)""")(
     lambda lst, b: op.crop(lst, b, 4))
 query("j4_neighbours_within", "lst", "SELECT a.row, a.col, a.value, sum(b.value) AS total, count(*) AS n FROM {lst} a JOIN {lst} b ON (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 2.25 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY ALL")(
@@ -60,7 +61,10 @@ TIER = "CASE WHEN z >= 2.5758293 THEN 99 WHEN z <= -2.5758293 THEN -99 WHEN z >=
 _z = lambda df: df.withColumn("z", F.round("z", 4))
 query("x1_local_gi", "lst", f"SELECT row, col, value, round(z, 4) AS z FROM ({GI})")(lambda lst: _z(op.local_gi(lst)))
 query("x1_local_gi_star", "lst", f"SELECT row, col, value, round(z, 4) AS z FROM ({GI_STAR})")(lambda lst: _z(op.local_gi(lst, include_self=True)))
-query("x1_local_gi_queen", "lst")(lambda lst: _z(op.local_gi(lst, queen=True)))
+KNN = """SELECT row, col, n_row, n_col FROM (SELECT a.row, a.col, b.row AS n_row, b.col AS n_col, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) AS k
+FROM {lst} a JOIN {lst} b ON NOT (a.row = b.row AND a.col = b.col)) WHERE k <= 8"""
+GI_QUEEN = GI[: GI.index("  SELECT a.row")] + f"""  SELECT a.row, a.col, a.value, count(*)::DOUBLE AS w, sum(b.value) AS l FROM ({KNN}) k JOIN {{lst}} a ON a.row = k.row AND a.col = k.col JOIN {{lst}} b ON b.row = k.n_row AND b.col = k.n_col GROUP BY ALL)))"""
+query("x1_local_gi_queen", "lst", f"SELECT row, col, value, round(z, 4) AS z FROM ({GI_QUEEN})")(lambda lst: _z(op.local_gi(lst, queen=True)))
 query("x2_classify_clusters", "lst", f"SELECT row, col, round(z, 4) AS z, {TIER} AS tier FROM ({GI})")(lambda lst: _z(op.classify_clusters(op.local_gi(lst))).drop("value"))
 query("a19_cluster_summary", "lst", f"""SELECT category, confidence, coalesce(n, 0) AS n_cells, round(100 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 2) AS pct_valid FROM (VALUES ('hot', 99, 99), ('hot', 95, 95), ('hot', 90, 90), ('cold', 99, -99), ('cold', 95, -95), ('cold', 90, -90), ('not_significant', NULL, 0)) k(category, confidence, tier)
 LEFT JOIN (SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI})) GROUP BY tier) USING (tier)""")(lambda lst: op.cluster_summary(op.classify_clusters(op.local_gi(lst))))
@@ -68,7 +72,9 @@ query("a1_zonal_statistics", "lst all_zones", f"""SELECT feature_id, round(s.mea
 FROM (SELECT DISTINCT feature_id FROM {{all_zones}} z) LEFT JOIN (SELECT feature_id, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max, sum(value) AS sum, count(*) AS count, stddev_samp(value) AS stdev, var_samp(value) AS variance FROM ({inside('lst', 'all_zones', 'value')}) GROUP BY 1) s USING (feature_id)
 LEFT JOIN (SELECT feature_id, arg_max(value, n * 1000 - value) AS majority FROM (SELECT feature_id, value, count(*) AS n FROM ({inside('lst', 'all_zones', 'value')}) GROUP BY ALL) GROUP BY 1) m USING (feature_id)""")(
     lambda lst, z: op.zonal_statistics(lst, z).select("feature_id", "min", "max", "count", "majority", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sum", "stdev", "variance")]))
-query("a1_zonal_weighted", "lst zones")(lambda lst, z: op.zonal_statistics(lst, z, k=8).select("feature_id", "count", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sum")]))
+query("a1_zonal_weighted", "lst zones", """SELECT feature_id, count(DISTINCT row * 1000 + col) AS count, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(sum(value) / 64, 4) AS sum FROM (
+SELECT feature_id, row, col, i, j, value FROM (SELECT row, col, value, i, j, col + (i + 0.5::DOUBLE) / 8 AS px, row + (j + 0.5::DOUBLE) / 8 AS py FROM {lst} c, range(8) a(i), range(8) b(j)) t
+JOIN {zones} e ON ((y1 <= py) <> (y2 <= py)) AND px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1""")(lambda lst, z: op.zonal_statistics(lst, z, k=8).select("feature_id", "count", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sum")]))
 query("a2_land_cover_proportions", "lc zones crosswalk", f"""SELECT *, prop_forest + prop_open + prop_built BETWEEN 0.95 AND 1.05 AS row_ok FROM (SELECT feature_id, {', '.join(f"round(count(*) FILTER (target = '{t}') / count(*), 4) AS prop_{t}" for t in ('forest', 'open', 'built'))}
 FROM ({inside('lc', 'zones', 'code')}) i LEFT JOIN {{crosswalk}} m ON m.code = i.code GROUP BY feature_id)""")(lambda lc, z, m: op.land_cover_proportions(lc, z, m, ["forest", "open", "built"]))
 GEOM = "SELECT feature_id, round(area, 2) AS area_m2, round(area / 1e4, 4) AS area_ha, round(len, 2) AS perimeter_m FROM (SELECT feature_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len FROM {zones} z GROUP BY 1)"
