@@ -72,9 +72,9 @@ query("a1_zonal_statistics", "lst all_zones", f"""SELECT feature_id, round(s.mea
 FROM (SELECT DISTINCT feature_id FROM {{all_zones}} z) LEFT JOIN (SELECT feature_id, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max, sum(value) AS sum, count(*) AS count, stddev_samp(value) AS stdev, var_samp(value) AS variance FROM ({inside('lst', 'all_zones', 'value')}) GROUP BY 1) s USING (feature_id)
 LEFT JOIN (SELECT feature_id, arg_max(value, n * 1000 - value) AS majority FROM (SELECT feature_id, value, count(*) AS n FROM ({inside('lst', 'all_zones', 'value')}) GROUP BY ALL) GROUP BY 1) m USING (feature_id)""")(
     lambda lst, z: op.zonal_statistics(lst, z).select("feature_id", "min", "max", "count", "majority", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sum", "stdev", "variance")]))
-query("a1_zonal_weighted", "lst zones", """SELECT feature_id, count(DISTINCT row * 1000 + col) AS count, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(sum(value) / 64, 4) AS sum FROM (
+query("a1_zonal_weighted", "lst zones", """SELECT feature_id, count(DISTINCT row * 1000 + col) AS count, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(sum(value) / 64, 6) AS sum FROM (
 SELECT feature_id, row, col, i, j, value FROM (SELECT row, col, value, i, j, col + (i + 0.5::DOUBLE) / 8 AS px, row + (j + 0.5::DOUBLE) / 8 AS py FROM {lst} c, range(8) a(i), range(8) b(j)) t
-JOIN {zones} e ON ((y1 <= py) <> (y2 <= py)) AND px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1""")(lambda lst, z: op.zonal_statistics(lst, z, k=8).select("feature_id", "count", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sum")]))
+JOIN {zones} e ON ((y1 <= py) <> (y2 <= py)) AND px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1""")(lambda lst, z: op.zonal_statistics(lst, z, k=8).select("feature_id", "count", *[F.round(c, 6).alias(c) for c in ("mean", "median", "sum")]))
 query("a2_land_cover_proportions", "lc zones crosswalk", f"""SELECT *, prop_forest + prop_open + prop_built BETWEEN 0.95 AND 1.05 AS row_ok FROM (SELECT feature_id, {', '.join(f"round(count(*) FILTER (target = '{t}') / count(*), 4) AS prop_{t}" for t in ('forest', 'open', 'built'))}
 FROM ({inside('lc', 'zones', 'code')}) i LEFT JOIN {{crosswalk}} m ON m.code = i.code GROUP BY feature_id)""")(lambda lc, z, m: op.land_cover_proportions(lc, z, m, ["forest", "open", "built"]))
 GEOM = "SELECT feature_id, round(area, 2) AS area_m2, round(area / 1e4, 4) AS area_ha, round(len, 2) AS perimeter_m FROM (SELECT feature_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len FROM {zones} z GROUP BY 1)"
