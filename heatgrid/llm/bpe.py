@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries inside Spark tasks.
 
 A text is cut where white space follows something else (never inside a match of the split pattern), each different
-piece is split by the pattern, and the words not yet known to the worker go through one recursive query: rows
+piece is split by the pattern, and the words that the task doesn't know yet go through one recursive query: rows
 (word, position, id) join the merge table and every round contracts each word's leftmost pair of minimum rank, until
-no pair is left (between rounds a word's ids are one list). Decoding is an ordered aggregation of the token bytes. Results depend on the text alone, so a lost
-executor's partitions are simply encoded again.
+no pair is left (between rounds a word's ids are one list). Decoding is an ordered aggregation of the token bytes.
+Results depend on the text alone, so a lost executor's partitions are simply encoded again. A task opens its own DuckDB
+and closes it, so a reused Python worker keeps no memory for the stages after it.
 
 Cases: null and empty texts encode to no ids; words of any length are encoded in rounds of bounded size; extra
 columns are ignored; equal rows give equal results; an empty table gives an empty result.
@@ -14,17 +15,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from heatgrid.llm.pieces import PieceEncoder, text_slices
+from heatgrid.llm.pieces import PieceEncoder, release, text_slices
 
-STATE_ROWS = 1_500_000
-_coders: dict[tuple[str, str], "Coder"] = {}
+STATE_ROWS = 800_000
 
 _ROUNDS = """
 WITH RECURSIVE s AS (
@@ -50,25 +52,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    """A worker's merge table in DuckDB, and the pieces it has encoded lately."""
+    """A task's merge table in DuckDB, and the pieces it has encoded lately."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
         import regex
 
         self.ranks = load_ranks(ranks_path)
-        self.bytes = {i: t for t, i in self.ranks.items()}
         self.single = np.array([self.ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
         self.split = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        rows = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        merges = pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("l", "r", "rank"), cols, strict=True)})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "100MB", "temp_directory": ""})
+        parts = (array("q"), array("q"), array("q"))
+        for t, rank in self.ranks.items():
+            for i in range(1, len(t)):
+                left, right = self.ranks.get(t[:i]), self.ranks.get(t[i:])
+                if left is not None and right is not None:
+                    for column, value in zip(parts, (left, right, rank), strict=True):
+                        column.append(value)
+        merges = pa.table({k: np.frombuffer(v, np.int64) if len(v) else np.zeros(0, np.int64) for k, v in zip(("l", "r", "rank"), parts, strict=True)})
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS SELECT (l << 20) | r AS pair, rank FROM merges_in")
-        vocab = pa.table({"id": pa.array(list(self.bytes), pa.int64()), "chars": pa.array([t.decode("latin-1") for t in self.bytes.values()])})
+        vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int64()), "chars": pa.array([t.decode("latin-1") for t in self.ranks])})
         self.db.register("vocab_in", vocab)
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
+        for name in ("merges_in", "vocab_in"):
+            self.db.unregister(name)
         self.pieces = PieceEncoder(self._learn)
 
     def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -100,59 +108,64 @@ class Coder:
             i = j
         return out
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece."""
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and how many each has."""
         split = [self.split.findall(p) for p in pieces]
         words = {w: w.encode() for ms in split for w in ms}
         ids = {w: int.to_bytes(self.ranks[b], 4, "little") for w, b in words.items() if b in self.ranks}
         raw = self._contract([b for w, b in words.items() if w not in ids])
         ids.update({w: raw[b] for w, b in words.items() if w not in ids})
-        return {p: ids[ms[0]] if len(ms) == 1 else b"".join([ids[w] for w in ms]) for p, ms in zip(pieces, split, strict=True)}
+        parts = [ids[ms[0]] if len(ms) == 1 else b"".join([ids[w] for w in ms]) for ms in split]
+        return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
-    def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """Ordered aggregation of token bytes, in batches of a bounded number of tokens."""
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """Ordered aggregation of the token bytes of rows with ``counts`` ids each, in batches of a bounded number of ids."""
         out: list[bytes] = []
+        ends = np.r_[0, np.cumsum(counts)]
         i = 0
-        while i < len(encoded):
-            j, n = i, 0
-            while j < len(encoded) and (j == i or n + len(encoded[j]) // 4 < STATE_ROWS // 4):
-                n += len(encoded[j]) // 4
-                j += 1
-            part = encoded[i:j]
-            counts = np.array([len(b) // 4 for b in part])
-            ids = np.frombuffer(b"".join(part), "<u4").astype(np.int64)
-            rows = pa.table({"doc": np.repeat(np.arange(len(part)), counts), "pos": np.arange(len(ids)), "id": ids})
+        while i < len(counts):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + STATE_ROWS // 4, "right")) - 1)
+            rows = pa.table({"doc": np.repeat(np.arange(j - i), counts[i:j]), "pos": np.arange(ends[j] - ends[i]), "id": ids[ends[i] : ends[j]].astype(np.int64)})
             self.db.register("ids_in", rows)
             got = dict(self.db.execute(_DECODE).fetchall())
             self.db.unregister("ids_in")
-            out += [got.get(k, "").encode("latin-1") for k in range(len(part))]
+            out += [got.get(k, "").encode("latin-1") for k in range(j - i)]
             i = j
         return out
 
+    def close(self) -> None:
+        self.db.close()
+        self.pieces.forget()
 
-def coder(ranks_path: str, pattern: str) -> Coder:
-    """One coder for each Python worker."""
-    key = (ranks_path, pattern)
-    if key not in _coders:
-        _coders[key] = Coder(*key)
-    return _coders[key]
+
+@contextmanager
+def coder(ranks_path: str, pattern: str) -> Iterator[Coder]:
+    """A coder for one task."""
+    own = Coder(ranks_path, pattern)
+    try:
+        yield own
+    finally:
+        own.close()
+        del own
+        release()
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id_col, ids, n_tokens, ids_sha256, decoded_sha256) of each row: its ids, their digest, and that of the bytes they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(ranks_path, pattern)
-        for b in text_slices(batches):
-            ids = own.pieces.encode(b.column(1).to_pylist())
-            decoded = own.decode(ids)
-            cols = {id_col: b.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-            if keep_ids:
-                off = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-            cols["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
-            cols["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())
-            yield pa.RecordBatch.from_pydict(cols)
+        with coder(ranks_path, pattern) as own:
+            for b in text_slices(batches):
+                ids, counts = own.pieces.encode(b.column(1))
+                decoded = own.decode(ids, counts)
+                ends = np.r_[0, np.cumsum(counts)]
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                cols = {id_col: b.column(0), "n_tokens": pa.array(counts)}
+                if keep_ids:
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                cols["ids_sha256"] = pa.array([hashlib.sha256(raw[4 * i : 4 * j]).hexdigest() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+                cols["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())
+                yield pa.RecordBatch.from_pydict(cols)
 
     kind = docs.schema[id_col].dataType.simpleString()
     ids = "ids array<int>, " if keep_ids else ""
@@ -163,9 +176,10 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """(id_col, text) from (id_col, ids array<int>); bytes that are no UTF-8 become replacement characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(ranks_path, pattern)
-        for b in batches:
-            got = own.decode([np.asarray(x or [], "<u4").tobytes() for x in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_pydict({id_col: b.column(0), "text": pa.array([x.decode("utf-8", "replace") for x in got], pa.string())})
+        with coder(ranks_path, pattern) as own:
+            for b in batches:
+                ids = b.column(1).fill_null([])
+                got = own.decode(ids.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
+                yield pa.RecordBatch.from_pydict({id_col: b.column(0), "text": pa.array([x.decode("utf-8", "replace") for x in got], pa.string())})
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, text string")

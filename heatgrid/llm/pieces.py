@@ -1,84 +1,157 @@
-"""Texts cut into pieces that byte-level BPE encodes independently, and a worker's bounded memory of encoded pieces."""
+"""Texts cut into pieces that byte-level BPE encodes independently, each different piece of a slice encoded once."""
 
 from __future__ import annotations
 
-import re
+import ctypes
+import functools
+import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Unicode white space; a cut before such a run, after something else, never splits a match of the pattern
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_ODD = re.compile(f"[{WHITE}]")
-LEARN_PIECES = 40_000
-KNOWN_PIECES = 700_000
+from heatgrid.llm.textops import string_parts
+
+#: Unicode white space in UTF-8, by its last byte after the first ones; a cut before a run of it, after something else,
+#: never splits a match of the pattern
+WHITE1 = np.zeros(256, bool)
+WHITE1[[9, 10, 11, 12, 13, 32]] = True
+WHITE2 = {0xC2: (0x85, 0xA0)}
+WHITE3 = {(0xE1, 0x9A): (0x80,), (0xE2, 0x80): (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), (0xE2, 0x81): (0x9F,), (0xE3, 0x80): (0x80,)}
 #: a run of these after a letter or number, at a piece's end, is one match of the pattern
 MARKS = ".,;:!?*&%$#|"
+LEARN_PIECES = 20_000
+#: bytes of pieces and ids that a task remembers from slice to slice
+KNOWN_BYTES = 16 << 20
+
+
+def white(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text belongs to white space."""
+    out = WHITE1[data]
+    for lead, last in WHITE2.items():
+        at = np.flatnonzero(data[:-1] == lead)
+        at = at[np.isin(data[at + 1], last)]
+        out[at] = out[at + 1] = True
+    for (lead, second), last in WHITE3.items():
+        at = np.flatnonzero(data[:-2] == lead)
+        at = at[(data[at + 1] == second)]
+        at = at[np.isin(data[at + 2], last)]
+        out[at] = out[at + 1] = out[at + 2] = True
+    return out
+
+
+def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of a string column, and how many each row has."""
+    data, offsets = string_parts(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    begins = np.zeros(len(data) + 1, bool)
+    if len(data):
+        blank = white(data)
+        begins[1:-1] = blank[1:] & ~blank[:-1]
+        begins[offsets] = True
+    begins[len(data)] = True
+    starts = np.flatnonzero(begins)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    return pieces, np.diff(np.searchsorted(starts, offsets))
 
 
-def regular(piece: str) -> bool:
-    """One space or line break, then no white space: such pieces can be encoded after one another in one text."""
-    return piece[0] in " \n" and len(piece) > 1 and not _ODD.search(piece, 1)
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] numbers), first[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class PieceEncoder:
-    """encode(texts) joins the encoded pieces of each text; ``learn`` encodes pieces that aren't known.
+    """``encode`` cuts texts into pieces, gives ``learn`` those that are new and joins the ids of each text's pieces.
 
-    Most texts are words between single spaces or line breaks: they are split at spaces, a part standing for the part
-    after a space (or from its line break on), less the marks at its end, which are encoded once. A text with any other white space has a part without a known value and is
-    cut by CUT. At most KNOWN_PIECES and those of one batch are remembered; the longer half, which recurs less, goes first.
+    Marks at the end of a piece are encoded apart from it. The pieces of earlier slices are remembered up to KNOWN_BYTES;
+    beyond that only those of the last slice stay, so memory is bounded by that number and a slice.
     """
 
-    def __init__(self, learn: Callable[[list[str]], dict[str, bytes]]):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        """learn: all ids (unsigned 32-bit) of pieces, one after another, and how many each has."""
         self.learn = learn
-        self.parts: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {"": b""}
-        self.marks: dict[str, bytes] = {}
-
-    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for i in range(0, len(pieces), LEARN_PIECES):
-            out.update(self.learn(pieces[i : i + LEARN_PIECES]))
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.parts) > KNOWN_PIECES:
-            self.first, self.marks = {"": b""}, {}
-            middle = sorted(map(len, self.parts))[len(self.parts) // 2]
-            self.parts = {p: x for p, x in self.parts.items() if len(p) < middle}
-        split = [t.replace("\n", " \n").split(" ") if t else [""] for t in texts]
-        firsts = {s.pop(0) for s in (s[:1] for s in split)} - self.first.keys()
-        new = set().union(*(s[1:] for s in split)) - self.parts.keys()
-        odd = {p for p in new if not p or p == "\n" or _ODD.search(p, p[0] == "\n")}
-        odd_first = {p for p in firsts if _ODD.search(p)}
-        ends = {p: base for p in new - odd if len(base := p.rstrip(MARKS)) < len(p) and base and base[-1].isalnum()}
-        plain = {p: p if p[0] == "\n" else " " + p for p in (new - odd - ends.keys()) | (set(ends.values()) - self.parts.keys())}
-        marks = {p[len(base) :] for p, base in ends.items()} - self.marks.keys()
-        got = self._learned(list({*plain.values(), *(firsts - odd_first), *marks}))
-        self.parts.update((p, got[x]) for p, x in plain.items())
-        self.marks.update((m, got[m]) for m in marks)
-        self.parts.update((p, self.parts[base] + self.marks[p[len(base) :]]) for p, base in ends.items())
-        self.parts.update(dict.fromkeys(odd))
-        self.first.update((p, got[p]) for p in firsts - odd_first)
-        self.first.update(dict.fromkeys(odd_first))
-        get, out = self.parts.__getitem__, []
-        rest: dict[int, list[str]] = {}
-        for i, s in enumerate(split):
-            try:
-                out.append(self.first[s[0]] + b"".join(map(get, s[1:])))
-            except TypeError:
-                out.append(b"")
-                rest[i] = CUT.findall(texts[i])
-        got = self._learned(list(set().union(*rest.values())))
-        for i, pieces in rest.items():
-            out[i] = b"".join([got[p] for p in pieces])
-        return out
-
-
-def text_slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each of different pieces in ``known``; new ones are learned."""
+        at = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.known) + np.arange(len(new))
+            learned = pieces.take(pa.array(new))
+            parts = [self.learn(learned.slice(i, LEARN_PIECES).to_pylist()) for i in range(0, len(new), LEARN_PIECES)]
+            self.known = pa.concat_arrays([self.known, learned])
+            self.ids = np.concatenate([self.ids, *[x for x, _ in parts]])
+            self.counts = np.concatenate([self.counts, *[n for _, n in parts]])
+        return at
+
+    def _encoded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of different pieces, and how many each has."""
+        base = pc.utf8_rtrim(pieces, MARKS)
+        data, offsets = string_parts(pieces)
+        short = offsets[1:] - offsets[:-1] - pc.binary_length(base).to_numpy()
+        marked = (short > 0) & pc.utf8_is_alnum(pc.utf8_slice_codeunits(base, -1)).to_numpy(zero_copy_only=False)
+        short = short[marked]
+        ends = pa.py_buffer(np.ascontiguousarray(data[ranges(offsets[1:][marked] - short, short)]))
+        marks = pa.Array.from_buffers(pa.large_string(), len(short), [None, pa.py_buffer(np.r_[0, np.cumsum(short)].astype(np.int64)), ends])
+        coded = pa.concat_arrays([pc.if_else(pa.array(marked), base, pieces), marks]).dictionary_encode()
+        at = self._places(coded.dictionary)
+        if self.known.nbytes + self.ids.nbytes + self.counts.nbytes > KNOWN_BYTES:
+            first = np.cumsum(self.counts) - self.counts
+            self.known, self.ids, self.counts = self.known.take(pa.array(at)), self.ids[ranges(first[at], self.counts[at])], self.counts[at]
+            at = np.arange(len(at))
+        at = at[coded.indices.to_numpy()]
+        two = np.full((len(pieces), 2), -1)
+        two[:, 0], two[marked, 1] = at[: len(pieces)], at[len(pieces) :]
+        first = np.cumsum(self.counts) - self.counts
+        n = np.where(two < 0, 0, self.counts[two])
+        return self.ids[ranges(first[two].ravel(), n.ravel())], n.sum(1)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column in order (unsigned 32-bit), and the number of ids of each row; null counts as empty."""
+        pieces, n_pieces = cut(column)
+        if not len(pieces):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        coded = pieces.dictionary_encode()
+        flat, counts = self._encoded(coded.dictionary)
+        index = coded.indices.to_numpy()
+        n = counts[index]
+        out = flat[ranges((np.cumsum(counts) - counts)[index], n)]
+        return out, np.diff(np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(n_pieces)]])
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``size`` bytes."""
     for b in batches:
         step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with ``release`` at the end of each partition."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Give memory that a finished partition used back to the system; the Python worker may serve other stages next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

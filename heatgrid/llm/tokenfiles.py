@@ -7,59 +7,90 @@ less the minimum packed in ``width`` bits, then positions (2 bytes each) and val
 more bits. The width is the one that a given share of the block's ids fits. ``read_tokens`` decodes the ids again and
 ``read_block`` any one block by its start.
 
+The ids are those of the tokenizers library as its file says: a special token's string in a text is that token.
 Cases: a null or empty text is the end id alone; equal ids (or null ones, first) keep the order of their texts; an empty table
 writes no segment and reads as no rows; texts of any length are whole, and one that spans many blocks is one segment.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgrid.llm.pieces import PieceEncoder, regular, text_slices
+from heatgrid.llm.pieces import PieceEncoder, freeing, ranges, text_slices
 
 BLOCK = 1024
 SEGMENT_IDS = 1 << 20
 SHARE = 0.9
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 HEADER = np.dtype([("min", "<u4"), ("width", "u1"), ("n", "<u2"), ("exceptions", "<u2")])
-_encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each Python worker."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        own.no_truncation()
-        own.no_padding()
+class Encoder:
+    """The tokenizers library, given each different piece of a slice once; texts that hold an added token go to it whole."""
 
-        sizes = np.zeros(own.get_vocab_size(), np.int64)
-        for token, i in own.get_vocab().items():
-            sizes[i] = len(token)  # a character of a token stands for a byte
-
-        def learn(pieces: list[str]) -> dict[str, bytes]:
-            """Regular pieces go through the tokenizer by the thousand and are told apart by their bytes; others alone."""
-            alone = [p for p in pieces if not regular(p)]
-            out = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(alone, own.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
-            rest = [p for p in pieces if p not in out]
-            if rest:
-                texts = ["".join(rest[i : i + 1000]) for i in range(0, len(rest), 1000)]
-                ids = np.concatenate([np.array(e.ids, "<u4") for e in own.encode_batch_fast(texts, add_special_tokens=False)])
-                ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(p.encode()) for p in rest])) + 1
-                raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                out.update((p, raw[at[k] : at[k + 1]]) for k, p in enumerate(rest))
-            return out
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
 
-        _encoders[path] = PieceEncoder(learn)
-    return _encoders[path]
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        for own in (self.whole, self.plain):
+            own.no_truncation()
+            own.no_padding()
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.sizes = np.zeros(self.plain.get_vocab_size(), np.int64)
+        for token, i in self.plain.get_vocab().items():
+            self.sizes[i] = len(token)  # a character of a token stands for a byte
+        self.pieces = PieceEncoder(self._learn)
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and how many each has. Pieces go through the tokenizer by the thousand, each that
+        doesn't begin with white space after a line break, and are told apart by their bytes; those that end in white space
+        and might join the next one go alone."""
+        alone = {k: np.array(self.plain.encode(p, add_special_tokens=False).ids, np.uint32) for k, p in enumerate(pieces) if p[-1].isspace()}
+        joined = [k for k in range(len(pieces)) if k not in alone]
+        counts = np.zeros(len(pieces), np.int64)
+        counts[list(alone)] = [len(x) for x in alone.values()]
+        out = [np.zeros(0, np.uint32)] * len(pieces) if alone else []
+        ids = np.zeros(0, np.uint32)
+        if joined:
+            after = np.array([pieces[k][0] not in WHITE for k in joined])
+            whole = ["\n" + pieces[k] if a else pieces[k] for k, a in zip(joined, after, strict=True)]
+            texts = ["".join(whole[i : i + 1000]) for i in range(0, len(whole), 1000)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) for p in whole])) + 1
+            starts = np.r_[0, ends[:-1]] + after
+            counts[joined] = ends - starts
+            ids = ids[ranges(starts, ends - starts)]
+        if not alone:
+            return ids, counts
+        for k, part in zip(joined, np.split(ids, np.cumsum(counts[joined])[:-1]), strict=True):
+            out[k] = part
+        for k, part in alone.items():
+            out[k] = part
+        return np.concatenate(out), counts
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column in order (unsigned 32-bit), and the number of ids of each row; null counts as empty."""
+        odd = np.zeros(len(column), bool)
+        for content in self.added:
+            odd |= pc.match_substring(column, content).fill_null(False).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self.pieces.encode(column)
+        ids, counts = self.pieces.encode(pc.if_else(pa.array(odd), pa.scalar(None, column.type), column))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(odd):
+            parts[i] = np.array(self.whole.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
 def _bits(v: np.ndarray) -> np.ndarray:
@@ -160,35 +191,29 @@ SEGMENTS = "shard int, segment int, first bigint, n_tokens bigint, doc_ids array
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> None:
     """Write the ids of all documents, each followed by ``end_id``, in ascending id order. ``first``: ids of the shard before the segment."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(tokenizer_path), int.to_bytes(end_id, 4, "little")
-        shard, segment, first = TaskContext.get().partitionId(), 0, 0
-        ids: list = []
-        held: list[bytes] = []
-        size = 0
+        own = Encoder(tokenizer_path)
+        shard, segment, first, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            counts = [len(x) // 4 + 1 for x in held]
-            payload, starts = pack_blocks(np.frombuffer(end.join([*held, b""]), "<u4"), share)
+            ids, counts = np.concatenate([x for _, x, _ in held]), np.concatenate([n for *_, n in held])
+            payload, starts = pack_blocks(ids, share)
+            docs = pa.concat_arrays([a for a, *_ in held])
             return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "first": pa.array([first], pa.int64()), "n_tokens": pa.array([sum(counts)], pa.int64()),
-                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids)), "doc_tokens": pa.array([counts], pa.list_(pa.int64())),
+                "shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "first": pa.array([first], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), "doc_tokens": pa.array([counts], pa.list_(pa.int64())),
                 "block_starts": pa.array([starts], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary()),
             })
 
         for b in text_slices(batches):
-            got = own.encode(b.column(1).to_pylist())
-            at = 0
-            for i, x in enumerate(got):
-                held.append(x)
-                size += len(x) // 4 + 1
-                if size >= SEGMENT_IDS:
-                    ids.append(b.column(0).slice(at, i + 1 - at))
-                    yield flush()
-                    segment, first, at, size = segment + 1, first + size, i + 1, 0
-                    ids, held = [], []
-            if at < len(got):
-                ids.append(b.column(0).slice(at))
+            ids, counts = own.encode(b.column(1))
+            held.append((b.column(0), np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32), counts + 1))
+            size += len(ids) + len(counts)
+            if size >= SEGMENT_IDS:
+                yield flush()
+                segment, first, size, held = segment + 1, first + size, 0, []
         if held:
             yield flush()
 
@@ -203,6 +228,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", keep_ids
     totals = sorted((r[0], r[1]) for r in files.groupBy("shard").agg(F.sum("n_tokens")).collect())
     before = dict(zip((s for s, _ in totals), np.r_[0, np.cumsum([n for _, n in totals])].tolist(), strict=False))
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
