@@ -15,9 +15,10 @@ STEPS = 4096
 
 
 def bucket(value: Column) -> Column:
-    """A whole number that never falls as ``value`` rises."""
+    """A whole number that never falls as ``value`` rises (NaN counts as the largest, as in Spark's order)."""
     v = value.cast("double")
-    return (F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * STEPS)).cast("bigint")
+    sign = F.when(F.isnan(v), 1.0).otherwise(F.signum(v))
+    return (sign * F.floor(F.least(F.lit(1100.0), F.log2(1 + F.abs(v))) * STEPS)).cast("bigint")
 
 
 def _same(keys: list[str], prefix: str) -> Column:
@@ -28,7 +29,7 @@ def _same(keys: list[str], prefix: str) -> Column:
 
 
 def medians(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, median) of the values that aren't null, one row for each group that has any (without keys: one row at most)."""
+    """(keys, median) of the values that aren't null, one row for each group that has any (without keys one row, null if there are none)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", bucket(F.col("_v")))
     sums = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     w = W.partitionBy(*keys)  # a row for each bucket

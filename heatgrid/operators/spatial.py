@@ -57,9 +57,11 @@ def edge_distances(cells: DataFrame, edges: DataFrame, most: float) -> DataFrame
     return near.groupBy("feature_id", "row", "col").agg(F.min("d").alias("d"), F.first("value").alias("value"))
 
 
-def distance_bands(cells: DataFrame, edges: DataFrame, interval: float, most: float) -> DataFrame:
-    """Cells outside each feature with ``distance_m``, the outer edge of the ring (distance - interval, distance] they lie in."""
-    outside = edge_distances(cells, edges, most).join(cells_in_zones(cells, edges).select("feature_id", "row", "col"), ["feature_id", "row", "col"], "left_anti")
+def distance_bands(cells: DataFrame, edges: DataFrame, interval: float, most: float, inside: DataFrame | None = None) -> DataFrame:
+    """Cells outside each feature with ``distance_m``, the outer edge of the ring (distance - interval, distance] they lie in.
+    ``inside``: ``cells_in_zones`` of the same, where it is known."""
+    inside = cells_in_zones(cells, edges) if inside is None else inside
+    outside = edge_distances(cells, edges, most).join(inside.select("feature_id", "row", "col"), ["feature_id", "row", "col"], "left_anti")
     ring = F.greatest(F.lit(1), F.ceil(F.round(F.col("d") / interval, 9))) * F.lit(float(interval))
     return outside.withColumn("distance_m", ring)
 
@@ -194,37 +196,38 @@ def landscape_metrics(geometry: DataFrame, edges: DataFrame, classes: DataFrame,
     return out.join(n, "feature_id", "left").join(veg, "feature_id", "left")
 
 
-def edge_metrics(cells: DataFrame) -> DataFrame:
-    """Edge density (per unit of area) and aggregation index of each class of (row, col, code), from its 4-neighbours."""
+def edge_metrics(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Edge density (per unit of area) and aggregation index of each class of (row, col, code), from its 4-neighbours; ``by``:
+    columns whose every value is a landscape of its own, such as feature_id."""
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
-    moved = cells.withColumn("s", F.explode(shifts)).select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), F.col("code").alias("other"))
-    pairs = cells.join(moved, ["row", "col"]).groupBy("code").agg(F.count_if(F.col("code") == F.col("other")).alias("like2"), F.count_if(F.col("code") != F.col("other")).alias("unlike"))
-    area = cells.groupBy("code").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy()))  # a row for each class
+    moved = cells.withColumn("s", F.explode(shifts)).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), F.col("code").alias("other"))
+    pairs = cells.join(moved, [*by, "row", "col"]).groupBy(*by, "code").agg(F.count_if(F.col("code") == F.col("other")).alias("like2"), F.count_if(F.col("code") != F.col("other")).alias("unlike"))
+    area = cells.groupBy(*by, "code").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy(*by)))  # a row for each class
     side = F.floor(F.sqrt("n"))
     left = F.col("n") - side * side
     most = 2 * side * (side - 1) + F.when(left == 0, 0).when(left <= side, 2 * left - 1).otherwise(2 * left - 2)
-    return pairs.join(area, "code").select("code", F.round(F.col("unlike") / F.col("all"), 4).alias("ED"), F.round(100 * F.col("like2") / 2 / most, 4).alias("AI"))
+    return pairs.join(area, [*by, "code"]).select(*by, "code", F.round(F.col("unlike") / F.col("all"), 4).alias("ED"), F.round(100 * F.col("like2") / 2 / F.when(most > 0, most), 4).alias("AI"))
 
 
-def patches(cells: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(row, col, code, patch): patches of equal 8-neighbours; ``patch`` is the smallest cell number, by rounds of joins.
+def patches(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, code, patch): patches of equal 8-neighbours; ``patch`` is the smallest cell number, by rounds of joins.
 
-    Every round takes the least label around a cell, then that label's label; rounds are checkpointed in turn.
+    Every round takes the least label around a cell, then that label's label; rounds are checkpointed in turn and
+    end, as labels only fall.
     """
     key = F.col("row").cast("bigint") * (1 << 31) + F.col("col")
-    base = cells.select("row", "col", "code", key.alias("v"))
+    base = cells.select(*by, "row", "col", "code", (F.struct(*by, key.alias("cell")) if by else key).alias("v"))
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    moved = base.withColumn("s", F.explode(shifts)).select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "code", F.col("v").alias("u"))
-    links = checkpointed(base.select("row", "col", "code", "v").join(moved, ["row", "col", "code"]).select("v", "u"))
+    moved = base.withColumn("s", F.explode(shifts)).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "code", F.col("v").alias("u"))
+    links = checkpointed(base.select(*by, "row", "col", "code", "v").join(moved, [*by, "row", "col", "code"]).select("v", "u"))
     label = checkpointed(base.select("v", F.col("v").alias("c")))
-    for _ in range(max_rounds):
+    while True:
         near = links.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("m"))
         low = label.join(near, "v", "left").select("v", "c", F.least("c", "m").alias("m"))
         new = checkpointed(low.join(label.select(F.col("v").alias("m"), F.col("c").alias("cm")), "m", "left").select("v", F.least("m", "cm").alias("c"), F.col("c").alias("old")))
         label = new.select("v", "c")
         if not new.where("c <> old").limit(1).count():
-            return base.join(label, "v").select("row", "col", "code", F.col("c").alias("patch"))
-    raise RuntimeError(f"patches did not settle in {max_rounds} rounds")
+            return base.join(label, "v").select(*by, "row", "col", "code", F.col("c").alias("patch"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -235,16 +238,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def patch_metrics(cells: DataFrame) -> DataFrame:
-    """Patches, patch density and mean shape index (outline over that of the most compact patch of its size) of each class."""
-    p = checkpointed(patches(cells))
+def patch_metrics(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Patches, patch density and mean shape index (outline over that of the most compact patch of its size) of each class,
+    in each landscape of ``by``."""
+    p = checkpointed(patches(cells, by))
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
-    moved = p.withColumn("s", F.explode(shifts)).select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "patch")
-    like = p.join(moved, ["row", "col", "patch"]).groupBy("patch").agg(F.count("*").alias("like"))
-    size = p.groupBy("patch").agg(F.first("code").alias("code"), F.count("*").alias("n")).join(like, "patch", "left")
+    moved = p.withColumn("s", F.explode(shifts)).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "patch")
+    like = p.join(moved, [*by, "row", "col", "patch"]).groupBy(*by, "patch").agg(F.count("*").alias("like"))
+    size = p.groupBy(*by, "patch").agg(F.first("code").alias("code"), F.count("*").alias("n")).join(like, [*by, "patch"], "left")
     shape = size.withColumn("outline", 4 * F.col("n") - F.coalesce("like", F.lit(0))).withColumn("least", 2 * F.ceil(2 * F.sqrt("n")))
-    out = shape.groupBy("code").agg(F.count("*").alias("n_patches"), F.sum("n").alias("n"), F.avg(F.col("outline") / F.col("least")).alias("shape"))
-    return out.select("code", "n_patches", F.round(F.col("n_patches") / F.sum("n").over(W.partitionBy()), 6).alias("PD"), F.round("shape", 4).alias("SHAPE_MN"))
+    out = shape.groupBy(*by, "code").agg(F.count("*").alias("n_patches"), F.sum("n").alias("n"), F.avg(F.col("outline") / F.col("least")).alias("shape"))
+    return out.select(*by, "code", "n_patches", F.round(F.col("n_patches") / F.sum("n").over(W.partitionBy(*by)), 6).alias("PD"), F.round("shape", 4).alias("SHAPE_MN"))
 
 
 def buffer_fractions(cells: DataFrame, points: DataFrame, r: int, groups: dict[str, list[int]], min_valid: int = 10) -> DataFrame:

@@ -69,13 +69,14 @@ _PARK = f"SELECT feature_id, round(median(value), 6) AS lst_median FROM ({inside
 
 
 def park_cooling(zones, lst):
-    """Q1: audit, normalise, area filter, rings, medians, PCI."""
+    """Q1: audit, normalise, area filter, rings, medians, PCI. The parks and their cells are found once."""
     good = vectors.audit(zones).where("valid").select("feature_id")
     rings = vectors.normalise_rings(zones.join(good, "feature_id", "left_semi"))
     large = vectors.filter_by_area(rings, 0.005).select("feature_id")
-    parks = rings.join(large, "feature_id", "left_semi")
-    band = spatial.distance_bands(lst, parks, 1, 5).groupBy("feature_id", "distance_m").agg(F.median("value").alias("lst_median"))
-    own = spatial.zonal_statistics(lst, parks).select("feature_id", F.col("median").alias("lst_median"))
+    parks = spatial.checkpointed(rings.join(large, "feature_id", "left_semi"))
+    inside_ = spatial.checkpointed(spatial.cells_in_zones(lst, parks))
+    band = spatial.distance_bands(lst, parks, 1, 5, inside_).groupBy("feature_id", "distance_m").agg(F.median("value").alias("lst_median"))
+    own = inside_.groupBy("feature_id").agg(F.median("value").alias("lst_median"))
     return cooling.park_cooling_intensity(band, own, min_rings=2)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from heatgrid.operators import spatial as op
 from heatgrid.operators import vectors as vec
@@ -29,6 +30,11 @@ def inside(src: str, zones: str, v: str) -> str:
     return IN.replace("{src}", "{" + src + "}").replace("{zones}", "{" + zones + "}").replace("{v}", v)
 
 
+def _large(cells):
+    """Cells of zones with more than four."""
+    return cells.where("code IS NOT NULL").select("feature_id", "row", "col", "code").withColumn("_n", F.count("*").over(W.partitionBy("feature_id"))).where("_n > 4").drop("_n")
+
+
 DIST = """SELECT feature_id, row, col, value, min(sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2)) AS d FROM (
   SELECT *, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM (SELECT row, col, value, col + 0.5::DOUBLE AS px, row + 0.5::DOUBLE AS py FROM {lst} c) c, {some_zones} e)
 GROUP BY feature_id, row, col, value"""
@@ -85,6 +91,21 @@ LEFT JOIN (SELECT feature_id, round(avg(value / 49 - 0.31::DOUBLE) FILTER (value
 query("a4_edge_metrics", "lc", """SELECT code, round(unlike / all_, 4) AS ED, round(100 * like2 / 2 / (2 * s * (s - 1) + CASE WHEN n = s * s THEN 0 WHEN n - s * s <= s THEN 2 * (n - s * s) - 1 ELSE 2 * (n - s * s) - 2 END), 4) AS AI FROM (
   SELECT code, n, floor(sqrt(n)) AS s, sum(n) OVER () AS all_ FROM (SELECT code, count(*) AS n FROM {lc} c GROUP BY 1)) JOIN (
   SELECT a.code, count(*) FILTER (a.code = b.code) AS like2, count(*) FILTER (a.code <> b.code) AS unlike FROM {lc} a JOIN {lc} b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY 1) USING (code)""")(op.edge_metrics)
-query("a4_patch_metrics", "lc")(op.patch_metrics)
+query("a4_patch_metrics", "lc", """WITH RECURSIVE c AS (SELECT row, col, code FROM {lc} t), n AS (SELECT a.row, a.col, b.row AS r2, b.col AS c2 FROM c a JOIN c b ON a.code = b.code AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1),
+ w AS (SELECT row, col, row * 100000 + col AS p FROM c UNION SELECT r2, c2, p FROM w JOIN n ON n.row = w.row AND n.col = w.col), l AS (SELECT row, col, min(p) AS p FROM w GROUP BY 1, 2),
+ k AS (SELECT a.p, count(*) AS alike FROM l a JOIN l b ON a.p = b.p AND abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY 1),
+ s AS (SELECT p, min(code) AS code, count(*) AS n FROM l JOIN c USING (row, col) GROUP BY 1)
+ SELECT code, count(*) AS n_patches, round(count(*) / (SELECT count(*) FROM c), 6) AS PD, round(avg((4 * n - coalesce(alike, 0)) / (2 * ceil(2 * sqrt(n)))), 4) AS SHAPE_MN FROM s LEFT JOIN k USING (p) GROUP BY code""")(op.patch_metrics)
+_BY = f"""WITH RECURSIVE c AS (SELECT feature_id, row, col, code FROM ({inside('lc', 'zones', 'code')}) WHERE feature_id IN (SELECT feature_id FROM ({inside('lc', 'zones', 'code')}) GROUP BY 1 HAVING count(*) > 4))"""
+query("a4_edge_metrics_by_zone", "lc zones", _BY + """, p AS (SELECT a.feature_id, a.code, count(*) FILTER (a.code = b.code) AS like2, count(*) FILTER (a.code <> b.code) AS unlike FROM c a JOIN c b ON a.feature_id = b.feature_id AND abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY 1, 2),
+ n AS (SELECT feature_id, code, count(*) AS n, floor(sqrt(count(*))) AS s, sum(count(*)) OVER (PARTITION BY feature_id) AS all_ FROM c GROUP BY 1, 2)
+ SELECT feature_id, code, round(unlike / all_, 4) AS ED, round(100 * like2 / 2 / nullif(2 * s * (s - 1) + CASE WHEN n = s * s THEN 0 WHEN n - s * s <= s THEN 2 * (n - s * s) - 1 ELSE 2 * (n - s * s) - 2 END, 0), 4) AS AI FROM p JOIN n USING (feature_id, code)""")(
+    lambda lc, z: op.edge_metrics(_large(op.cells_in_zones(lc, z)), ("feature_id",)))
+query("a4_patch_metrics_by_zone", "lc zones", _BY + """, n AS (SELECT a.feature_id, a.row, a.col, b.row AS r2, b.col AS c2 FROM c a JOIN c b ON a.feature_id = b.feature_id AND a.code = b.code AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+ w AS (SELECT feature_id, row, col, row * 100000 + col AS p FROM c UNION SELECT w.feature_id, r2, c2, p FROM w JOIN n ON n.feature_id = w.feature_id AND n.row = w.row AND n.col = w.col), l AS (SELECT feature_id, row, col, min(p) AS p FROM w GROUP BY 1, 2, 3),
+ k AS (SELECT a.feature_id, a.p, count(*) AS alike FROM l a JOIN l b ON a.feature_id = b.feature_id AND a.p = b.p AND abs(a.row - b.row) + abs(a.col - b.col) = 1 GROUP BY 1, 2),
+ s AS (SELECT feature_id, p, min(code) AS code, count(*) AS n FROM l JOIN c USING (feature_id, row, col) GROUP BY 1, 2)
+ SELECT feature_id, code, count(*) AS n_patches, round(count(*) / sum(sum(n)) OVER (PARTITION BY feature_id), 6) AS PD, round(avg((4 * n - coalesce(alike, 0)) / (2 * ceil(2 * sqrt(n)))), 4) AS SHAPE_MN FROM s LEFT JOIN k USING (feature_id, p) GROUP BY feature_id, code""")(
+    lambda lc, z: op.patch_metrics(_large(op.cells_in_zones(lc, z)), ("feature_id",)))
 query("w5_buffer_fractions", "lc at_points", """SELECT id, round(count(*) FILTER (code IN (10, 30)) / count(*) FILTER (code <> 0), 5) AS green, round(count(*) FILTER (code = 80) / count(*) FILTER (code <> 0), 5) AS blue
 FROM {at_points} p JOIN {lc} c ON abs(c.row - p.row) <= 3 AND abs(c.col - p.col) <= 3 GROUP BY id HAVING count(*) FILTER (code <> 0) >= 10""")(lambda lc, p: op.buffer_fractions(lc, p, 3, {"green": [10, 30], "blue": [80]}))

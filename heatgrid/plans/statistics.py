@@ -31,4 +31,19 @@ def _scored(df):
     return scores.score_regression(op.fitted(parts.where("partition = 'test'"), parts.where("partition = 'train'"), "y", XS), "y", "pred")
 
 
-query("x10_holdout_score", "regress")(_scored)
+_C = {(a, b): f"covar_pop({a}, {b})" for i, a in enumerate(["y", *XS]) for b in ["y", *XS][i:]}
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+
+
+def _cramer() -> str:
+    """SQL: coefficients of y on XS by Cramer's rule over the covariances of table tr."""
+    cols = ", ".join(f"{v} AS c_{a}_{b}" for (a, b), v in _C.items()) + "".join(f", avg({x}) AS m_{x}" for x in ["y", *XS])
+    at = lambda a, b: f"c_{a}_{b}" if (a, b) in _C else f"c_{b}_{a}"
+    det = lambda put: _DET.format(*[at("y", r) if c == put else at(r, c) for r in XS for c in XS])
+    return f"SELECT *, {', '.join(f'{det(x)} / {det(None)} AS b_{x}' for x in XS)} FROM (SELECT {cols} FROM tr)"
+
+
+query("x10_holdout_score", "regress", f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '_7'), id) - 1 AS k, count(*) OVER () AS n FROM {{regress}} t WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL),
+ tr AS (SELECT * FROM r WHERE k >= floor(n * 0.25)), f AS ({_cramer()}),
+ p AS (SELECT y AS truth, m_y + {' + '.join(f'b_{x} * ({x} - m_{x})' for x in XS)} AS pred FROM r, f WHERE k < floor(n * 0.25))
+ SELECT count(*) AS n, round(1 - sum((truth - pred) ** 2) / (var_pop(truth) * count(*)), 4) AS r2, round(sqrt(avg((truth - pred) ** 2)), 4) AS rmse, round(avg(abs(truth - pred)), 4) AS mae FROM p""")(_scored)

@@ -21,7 +21,13 @@ query("g1_geometry", "zones", f"""SELECT g.*, round(cx, 2) AS centroid_x, round(
 max(x1) - min(x1) AS w, max(y1) - min(y1) AS h FROM {{zones}} z GROUP BY 1) USING (feature_id)""")(op.geometry)
 query("p7_filter_by_area", "zones", f"SELECT feature_id, area_ha FROM ({GEOM}) WHERE area_ha BETWEEN 0.0055 AND 0.02")(lambda z: op.filter_by_area(z, 0.0055, 0.02).select("feature_id", "area_ha"))
 query("p7_area_excluded", "zones", f"SELECT count(*) AS n, min(area_ha) AS least, max(area_ha) AS most FROM ({GEOM}) WHERE NOT area_ha BETWEEN 0.0055 AND 0.02")(lambda z: op.area_excluded(z, 0.0055, 0.02))
-query("g2_audit", "rough")(op.audit)
+_SIDE = "sign(({q}.x2 - {q}.x1) * ({p}.y{n} - {q}.y1) - ({q}.y2 - {q}.y1) * ({p}.x{n} - {q}.x1))"
+_CROSS = " AND ".join(f"{_SIDE.format(p=p, q=q, n=1)} * {_SIDE.format(p=p, q=q, n=2)} < 0" for p, q in ("ab", "ba"))
+query("g2_audit", "rough", f"""WITH e AS (SELECT * FROM {{rough}} r), s AS (SELECT *, lag(x2) OVER w <> x1 OR lag(y2) OVER w <> y1 AS gap FROM e WINDOW w AS (PARTITION BY feature_id, part, ring ORDER BY seq)),
+ r AS (SELECT feature_id, part, ring, coalesce(bool_or(gap), false) AS gap, arg_min(x1, seq) <> arg_max(x2, seq) OR arg_min(y1, seq) <> arg_max(y2, seq) AS apart, count(DISTINCT (x1, y1)) AS different, count(*) AS n, sum(x1 * y2 - x2 * y1) AS area2 FROM s GROUP BY 1, 2, 3),
+ f AS (SELECT feature_id, count(*) FILTER (gap OR apart) AS open_rings, count(*) FILTER (different < 3) AS thin_rings, count(*) FILTER (area2 = 0) AS empty_rings, count(*) FILTER (different < n) AS repeated FROM r GROUP BY 1),
+ c AS (SELECT a.feature_id, count(*) AS crossings FROM e a JOIN e b ON a.feature_id = b.feature_id AND (a.part, a.ring, a.seq) < (b.part, b.ring, b.seq) AND {_CROSS} GROUP BY 1)
+ SELECT f.*, coalesce(crossings, 0) AS crossings, open_rings + thin_rings + empty_rings + coalesce(crossings, 0) = 0 AS valid FROM f LEFT JOIN c USING (feature_id)""")(op.audit)
 query("g2_audit_summary", "rough", "SELECT left(feature_id, 1) AS kind, count(*) AS n, count(*) FILTER (feature_id NOT LIKE 't1%' AND feature_id NOT LIKE 'bow%') AS valid FROM (SELECT DISTINCT feature_id FROM {rough} r) GROUP BY 1")(
     lambda r: op.audit(r).groupBy(F.substring("feature_id", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.count_if("valid").alias("valid")))
 query("g3_normalise_rings", "flipped", "SELECT feature_id, sum(x1 * y2 - x2 * y1) / 2 AS area, count(*) AS n FROM {zones} z GROUP BY 1")(lambda e: op.normalise_rings(e).groupBy("feature_id").agg((F.sum(F.expr("x1 * y2 - x2 * y1")) / 2).alias("area"), F.count("*").alias("n")))
