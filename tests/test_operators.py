@@ -1,6 +1,7 @@
 """Hand-computed cases of the branchy operators."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,8 @@ from compare import SF
 from pyspark.sql import functions as F
 
 from heatgrid import registry
-from heatgrid.operators import camera, catalog, cooling, identity, sampling, spatial, statistics, vectors
+from heatgrid.functions.order import medians, rank_descending
+from heatgrid.operators import camera, catalog, cells, cooling, identity, sampling, spatial, statistics, vectors
 from heatgrid.sources import standins
 from heatgrid.streaming import gatekeeper
 
@@ -168,3 +170,64 @@ def test_tables_and_hashes(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/r.json").count() == 2
     (tmp_path / "x.bin").write_bytes(b"abc")
     assert catalog.hash_inputs(spark, [f"file://{tmp_path}/x.bin"]).first()["hash"] == "900150983cd24fb0d6963f7d28e17f72"
+
+
+def test_medians_and_ranks_by_buckets(spark):
+    import statistics
+
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([None, float("-inf"), -1e300, -2.5, 0.0, 1e-12, rnd.uniform(-5, 5), rnd.uniform(20, 21)])) for k in ("a", "b", None) for _ in range(301 if k else 150)] + [("none", None)] * 3
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: r["median"] for r in medians(df, "v", ["k"]).collect()}
+    for k in ("a", "b", None):
+        assert got[k] == pytest.approx(statistics.median([v for g, v in rows if g == k and v is not None]))
+    assert "none" not in got and medians(df.where("k = 'none'"), "v", []).collect()[0][0] is None
+    assert medians(df, "v", []).collect()[0][0] == pytest.approx(statistics.median([v for _, v in rows if v is not None]))
+    values = [v for _, v in rows]
+    for r in rank_descending(df, "v").collect():
+        more = sum(v is not None and (r["v"] is None or v > r["v"]) for v in values)
+        assert r["rank"] == more + 1
+
+
+def test_stratified_samples_of_a_hot_stratum(spark):
+    df = spark.range(5000).selectExpr("id", "case when id % 100 = 0 then 'rare' when id % 7 = 0 then null else 'hot' end s").repartition(6)
+    drawn = {r["s"]: r["count"] for r in sampling.sample_stratified(df, 40, 1, "s").groupBy("s").count().collect()}
+    assert drawn == {"hot": 40, "rare": 40, None: 40}
+    parts = sampling.split_stratified(df, 0.2, 0.1, 1, "s")
+    n = {r["s"]: r["n"] for r in df.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    assert parts.count() == 5000
+    for r in parts.groupBy("s", "partition").count().collect():
+        share = {"test": 0.2, "val": 0.1, "train": 0.7}[r["partition"]]
+        assert abs(r["count"] - share * n[r["s"]]) <= 1.01
+
+
+def test_texture_of_each_frame(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    frames = {f: rng.integers(0, 256, (9, 11, 3)) for f in (1, 2)}
+    rows = [(f, r, c, *map(int, x[r, c])) for f, x in frames.items() for r in range(9) for c in range(11)]
+    got = {(r["frame_id"], r["row"], r["col"]): r["texture"] for r in cells.featurize_frames(spark.createDataFrame(rows, "frame_id int, row int, col int, r int, g int, b int")).collect()}
+    for f, x in frames.items():
+        grey = np.pad(x.mean(2), 3, mode="symmetric")
+        for r in range(9):
+            for c in range(11):
+                assert got[f, r, c] == pytest.approx(grey[r : r + 7, c : c + 7].std(), abs=1e-6)
+
+
+def test_patches_by_hand(spark):
+    grid = ["aab", "bbb", "acb"]
+    codes = {"a": 1, "b": 2, "c": 3}
+    df = spark.createDataFrame([(r, c, codes[x]) for r, line in enumerate(grid) for c, x in enumerate(line)], "row int, col int, code int")
+    got = {r["code"]: r for r in spatial.patch_metrics(df).collect()}
+    assert {k: r["n_patches"] for k, r in got.items()} == {1: 2, 2: 1, 3: 1}
+    # outlines: a 6 of 6 and 4 of 4, b 12 of 10, c 4 of 4
+    assert (got[1]["SHAPE_MN"], got[2]["SHAPE_MN"], got[3]["SHAPE_MN"]) == (1.0, 1.2, 1.0)
+    assert got[1]["PD"] == pytest.approx(2 / 9, abs=1e-6)
+
+
+def test_palette_ties_nulls_and_tolerance(spark):
+    px = spark.createDataFrame([(0, 100, 0), (30, 100, 0), (31, 100, 0), (10, 10, 10), (None, 1, 1)], "r int, g int, b int")
+    palette = spark.createDataFrame([(0, 100, 0, 5), (60, 100, 0, 4), (20, 10, 10, 9), (0, 10, 10, 8)], "pr int, pg int, pb int, code int")
+    got = {(r["r"], r["g"]): r["code"] for r in cells.snap_palette(px, palette).collect()}
+    assert got == {(0, 100): 5, (30, 100): 4, (31, 100): 4, (10, 10): 8, (None, 1): None}
