@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from heatgrid.llm.pieces import PieceEncoder, release, text_slices
 
 STATE_ROWS = 800_000
+KNOWN_BYTES = 16 << 20
 
 _ROUNDS = """
 WITH RECURSIVE s AS (
@@ -77,7 +78,7 @@ class Coder:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         for name in ("merges_in", "vocab_in"):
             self.db.unregister(name)
-        self.pieces = PieceEncoder(self._learn)
+        self.pieces = PieceEncoder(self._learn, KNOWN_BYTES)
 
     def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of words that aren't tokens themselves."""

@@ -22,8 +22,6 @@ WHITE3 = {(0xE1, 0x9A): (0x80,), (0xE2, 0x80): (*range(0x80, 0x8B), 0xA8, 0xA9,
 #: a run of these after a letter or number, at a piece's end, is one match of the pattern
 MARKS = ".,;:!?*&%$#|"
 LEARN_PIECES = 20_000
-#: bytes of pieces and ids that a task remembers from slice to slice
-KNOWN_BYTES = 16 << 20
 
 
 def white(data: np.ndarray) -> np.ndarray:
@@ -65,13 +63,13 @@ def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """``encode`` cuts texts into pieces, gives ``learn`` those that are new and joins the ids of each text's pieces.
 
-    Marks at the end of a piece are encoded apart from it. The pieces of earlier slices are remembered up to KNOWN_BYTES;
+    Marks at the end of a piece are encoded apart from it. The pieces of earlier slices are remembered up to ``known_bytes``;
     beyond that only those of the last slice stay, so memory is bounded by that number and a slice.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], known_bytes: int):
         """learn: all ids (unsigned 32-bit) of pieces, one after another, and how many each has."""
-        self.learn = learn
+        self.learn, self.known_bytes = learn, known_bytes
         self.forget()
 
     def forget(self) -> None:
@@ -102,7 +100,7 @@ class PieceEncoder:
         marks = pa.Array.from_buffers(pa.large_string(), len(short), [None, pa.py_buffer(np.r_[0, np.cumsum(short)].astype(np.int64)), ends])
         coded = pa.concat_arrays([pc.if_else(pa.array(marked), base, pieces), marks]).dictionary_encode()
         at = self._places(coded.dictionary)
-        if self.known.nbytes + self.ids.nbytes + self.counts.nbytes > KNOWN_BYTES:
+        if self.known.nbytes + self.ids.nbytes + self.counts.nbytes > self.known_bytes:
             first = np.cumsum(self.counts) - self.counts
             self.known, self.ids, self.counts = self.known.take(pa.array(at)), self.ids[ranges(first[at], self.counts[at])], self.counts[at]
             at = np.arange(len(at))

@@ -30,6 +30,8 @@ from heatgrid.llm.pieces import PieceEncoder, freeing, ranges, text_slices
 BLOCK = 1024
 SEGMENT_IDS = 1 << 20
 SHARE = 0.9
+KNOWN_BYTES = 40 << 20
+SLICE_BYTES = 6 << 20
 WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 HEADER = np.dtype([("min", "<u4"), ("width", "u1"), ("n", "<u2"), ("exceptions", "<u2")])
 
@@ -50,7 +52,7 @@ class Encoder:
         self.sizes = np.zeros(self.plain.get_vocab_size(), np.int64)
         for token, i in self.plain.get_vocab().items():
             self.sizes[i] = len(token)  # a character of a token stands for a byte
-        self.pieces = PieceEncoder(self._learn)
+        self.pieces = PieceEncoder(self._learn, KNOWN_BYTES)
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and how many each has. Pieces go through the tokenizer by the thousand, each that
@@ -207,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                 "block_starts": pa.array([starts], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary()),
             })
 
-        for b in text_slices(batches):
+        for b in text_slices(batches, SLICE_BYTES):
             ids, counts = own.encode(b.column(1))
             held.append((b.column(0), np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32), counts + 1))
             size += len(ids) + len(counts)
