@@ -41,6 +41,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length, without nulls, as rows."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def once(table: pa.Table, name: str) -> pa.Table:
+    """The first row of each value of a column."""
+    codes = table.column(name).combine_chunks().dictionary_encode().indices.to_numpy()
+    first = np.unique(codes, return_index=True)[1]
+    return table if len(first) == len(codes) else table.take(pa.array(np.sort(first)))
+
+
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Star edges (smallest, other) of the components that pairs of 0..n-1 form."""
     parent = list(range(n))

@@ -10,8 +10,9 @@
 
 Words are runs outside `[\\x20\\x09-\\x0D]`, as they stand; a shingle's identity is a 64-bit hash, a set's 128 bits.
 Cases: null and empty texts have no shingle and no link; a text of fewer than n words has one shingle, all its words;
-equal texts are linked; rows with a null id are left out; rows with equal ids must hold one text (else each text
-counts, under the same id); extra columns are ignored; an empty table gives no row.
+equal texts are linked; rows with a null id are left out; rows with equal ids are one document, which has the text of
+the smallest set digest among theirs, and each of these rows gets its result; extra columns are ignored; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatgrid.llm.blocks import block_pairs, groups, spanning
+from heatgrid.llm.blocks import block_pairs, groups, matrix, once, spanning
 from heatgrid.llm.components import components
-from heatgrid.llm.store import written
+from heatgrid.llm.pieces import freeing
+from heatgrid.llm.store import remove, repeated, written
 from heatgrid.llm.textops import U, mix, ngrams, seeded, word_chunks
 
 BLOCK_ROWS = 256
@@ -50,10 +52,11 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, size, s1, s2, bands array<long>) of each row whose text has a shingle."""
+    """(id, th, size, s1, s2, bands array<long>) of each row whose text has a shingle; th: a hash of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
     xor, mul = seeded(bands * rows, 71), seeded(bands * rows, 72)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in word_chunks(b.column(1)):
@@ -69,11 +72,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, id_col: str, text
                     band = mix(band + np.arange(1, bands + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
                     s1, s2 = np.add.reduceat(mix(h ^ U(0x1F83D9ABFB41BD6B)), at), np.add.reduceat(mix(h ^ U(0x5BE0CD19137E2179)), at)
                 yield pa.RecordBatch.from_pydict({
-                    "id": b.column(0).take(pa.array(doc[at] + w.first)), "size": pa.array(np.diff(np.r_[at, len(h)])), "s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)),
+                    "id": b.column(0).take(rows_at := pa.array(doc[at] + w.first)), "th": b.column(2).take(rows_at), "size": pa.array(np.diff(np.r_[at, len(h)])), "s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)),
                     "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(band.ravel().view(np.int64))),
                 })
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, size bigint, s1 bigint, s2 bigint, bands array<bigint>")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {kind}, th bigint, size bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
 def _first_shared(bands: np.ndarray, band: int) -> np.ndarray:
@@ -90,17 +93,18 @@ def _counted(own: np.ndarray, i: int, j: int) -> np.ndarray:
     return np.ones((len(own), len(own)), bool) if i == j else own[:, None] != own[None, :]
 
 
+@freeing
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, own, band, rep, bands) that have a partner to be verified here."""
+    """Rows (bucket, i, j, own, band, rep, th, bands, copies) that have a partner to be verified here."""
     for g in groups(batches, 3):
         if g.num_rows < 2:
             continue
         own, band = g.column("_own").to_numpy(), int(g.column("band")[0].as_py())
-        bands = np.array(g.column("bands").to_pylist(), np.int64)
+        bands = matrix(g.column("bands"))
         pairs = _first_shared(bands, band) & _counted(own, g.column("_i")[0].as_py(), g.column("_j")[0].as_py())
         keep = pairs.any(1)
         if keep.any():
-            yield from g.select(["bucket", "_i", "_j", "_own", "band", "rep", "bands", "copies"]).filter(pa.array(keep)).combine_chunks().to_batches()
+            yield from g.select(["bucket", "_i", "_j", "_own", "band", "rep", "th", "bands", "copies"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _common(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -126,22 +130,28 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     bands, rows = banding(threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
     signed = written(signatures(docs, n, bands, rows, id_col, text_col), "signatures")
-    classes = written(signed.groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    if repeated(signed.select("id")):
+        signed = signed.groupBy("id").agg(F.min(F.struct("s1", "s2", "size", "th", "bands")).alias("_one")).select("id", "_one.*")
+    classes = signed.groupBy("s1", "s2", "size").agg(F.min(F.struct("id", "th")).alias("_rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = written(classes.select("s1", "s2", "size", F.col("_rep.id").alias("rep"), F.col("_rep.th").alias("th"), "copies", "bands"), "classes")
     members = signed.select("id", "s1", "s2", "size").join(classes.select("s1", "s2", "size", "rep", "copies").hint("merge"), ["s1", "s2", "size"]).select("id", "rep", "copies")
 
     dealt = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     candidates = written(dealt.join(full.hint("merge"), "bucket"), "candidates")  # bands come back only for these
-    candidates = candidates.join(classes.select("rep", "copies", "bands").hint("merge"), "rep")
-    paired = block_pairs(candidates, "bucket", F.col("n"), F.col("rep"), BLOCK_ROWS).select("bucket", "_i", "_j", "_own", "band", "rep", "copies", "bands")
+    whole = candidates.join(classes.select("rep", "th", "copies", "bands").hint("merge"), "rep")
+    paired = block_pairs(whole, "bucket", F.col("n"), F.col("rep"), BLOCK_ROWS).select("bucket", "_i", "_j", "_own", "band", "rep", "th", "copies", "bands")
     by = ["bucket", "_i", "_j"]
-    shape = f"bucket bigint, _i int, _j int, _own int, band int, rep {kind}, bands array<bigint>, copies bigint"
+    shape = f"bucket bigint, _i int, _j int, _own int, band int, rep {kind}, th bigint, bands array<bigint>, copies bigint"
     needed = written(paired.repartition(*by).sortWithinPartitions(*by).mapInArrow(_needed, shape), "needed")
+    remove(candidates)
 
+    @freeing
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 3):
+            g = once(g, "rep")
             own, band = g.column("_own").to_numpy(), int(g.column("band")[0].as_py())
-            pairs = _first_shared(np.array(g.column("bands").to_pylist(), np.int64), band) & _counted(own, g.column("_i")[0].as_py(), g.column("_j")[0].as_py())
+            pairs = _first_shared(matrix(g.column("bands")), band) & _counted(own, g.column("_i")[0].as_py(), g.column("_j")[0].as_py())
             parts = [(w.first, *ngrams(w, n)) for w in word_chunks(g.column("text"))]
             doc, h = _distinct(np.concatenate([d + f for f, d, _ in parts]), np.concatenate([x for *_, x in parts]))
             size = np.bincount(doc, minlength=g.num_rows)
@@ -160,9 +170,10 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
                 "linked": pa.array(np.r_[counts[at], np.zeros(len(a), np.int64)].astype(np.int64)),
             })
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    with_text = texts.join(needed.hint("merge"), "rep").select(*by, "_own", "band", "rep", "copies", "bands", "text")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    with_text = texts.join(needed.hint("merge"), ["rep", "th"]).select(*by, "_own", "band", "rep", "copies", "bands", "text")
     links = written(with_text.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify, f"a {kind}, b {kind}, linked bigint"), "class-links")
+    remove(needed)
     return members, links
 
 

@@ -32,3 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete the written tables that these read, once nothing else will read them."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath():
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def repeated(ids: DataFrame) -> bool:
+    """Whether a value of the only column is there more than once."""
+    return ids.groupBy(*ids.columns).count().where("count > 1").limit(1).count() > 0

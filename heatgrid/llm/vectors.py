@@ -7,8 +7,10 @@ without a possible pair go; the rest are pairs of bounded blocks, whose vectors
 precision. A pair counts in the first table and bucket where one's own bucket is the other's own or probed one.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows of a null label, link with
-nothing and stay; equal vectors of a label are linked and hashed once; vectors of unequal lengths never link; rows
-with a null id are left out; extra columns are ignored; an empty table gives no row.
+nothing and stay; equal vectors of a label are linked and hashed once; vectors of unequal lengths never link, nor do
+those of unequal labels whose buckets clash; rows with a null id are left out; rows with equal ids are one item, which has
+the smallest label and vector among theirs that can link, and each of these rows gets its result; extra columns are
+ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatgrid.llm.blocks import block_pairs, groups, spanning
+from heatgrid.llm.blocks import block_pairs, groups, matrix, spanning
 from heatgrid.llm.components import components
-from heatgrid.llm.store import written
+from heatgrid.llm.pieces import freeing
+from heatgrid.llm.store import remove, repeated, written
 from heatgrid.llm.textops import U, mix
 
 BLOCK_ROWS = 512
@@ -97,17 +101,20 @@ def vector_links(vectors: DataFrame, threshold: float, id_col: str, vector_col:
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("x")).where(good)
     rows = rows.withColumn("x", F.transform(x, lambda v: v + F.lit(0.0)))  # one zero
+    if repeated(vectors.select(id_col)):
+        rows = rows.groupBy("id").agg(F.min(F.struct("label", "x")).alias("_one")).select("id", "_one.*")
     classes = written(rows.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
     members = rows.join(classes, ["label", "x"]).select("id", "rep", "copies")
 
+    @freeing
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
-                lengths = np.array([len(v) for v in b.column(2)])
+                lengths = pc.list_value_length(b.column(2)).to_numpy()
                 for n in np.unique(lengths):
                     part = b.filter(pa.array(lengths == n))
-                    v = np.array(part.column(2).to_pylist(), float).reshape(-1, n)
+                    v = part.column(2).flatten().to_numpy().reshape(-1, n)
                     v = v / np.abs(v).max(1, keepdims=True)
                     v /= np.sqrt((v * v).sum(1, keepdims=True))
                     keys = hash_vectors(v, tables, depth, probes, seed)
@@ -123,12 +130,13 @@ def vector_links(vectors: DataFrame, threshold: float, id_col: str, vector_col:
     by = ["bucket", "_i", "_j"]
     paired = block_pairs(dealt.join(full, "bucket"), "bucket", F.col("n"), F.col("rep"), BLOCK_ROWS).select(*by, "_own", "t", "rep")
     given = vectors.schema[vector_col].dataType.simpleString()  # floats travel as floats
-    with_x = paired.join(keyed, "rep").join(classes.select("rep", "copies", F.col("x").cast(given).alias("x")), "rep").select(*by, "_own", "t", "rep", "copies", "keys", "x")
+    with_x = paired.join(keyed, "rep").join(classes.select("rep", "label", "copies", F.col("x").cast(given).alias("x")), "rep").select(*by, "_own", "t", "rep", "label", "copies", "keys", "x")
 
+    @freeing
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 3):
+        for g in (part for whole in groups(batches, 3) for part in alike(whole)):
             own, t, bucket = g.column("_own").to_numpy(), int(g.column("t")[0].as_py()), g.column("bucket")[0].as_py()
-            v = np.array(g.column("x").to_pylist(), float)
+            v = matrix(g.column("x")).astype(float)
             v = v / np.abs(v).max(1, keepdims=True)
             v /= np.sqrt((v * v).sum(1, keepdims=True))
             close = np.triu(v @ v.T >= threshold, 1)
@@ -137,7 +145,7 @@ def vector_links(vectors: DataFrame, threshold: float, id_col: str, vector_col:
             a, b = np.nonzero(close)
             if not len(a):
                 continue
-            keys = np.array(g.column("keys").to_pylist(), np.int64).view(np.uint64).reshape(len(v), tables, 1 + probes)
+            keys = matrix(g.column("keys")).view(np.uint64).reshape(len(v), tables, 1 + probes)
             here = np.concatenate([_pairs_here(keys, a[i : i + 100_000], b[i : i + 100_000], t, bucket % (1 << 64)) for i in range(0, len(a), 100_000)])
             a, b = a[here], b[here]
             rep, copies = g.column("rep").combine_chunks(), g.column("copies").to_numpy()
@@ -151,9 +159,22 @@ def vector_links(vectors: DataFrame, threshold: float, id_col: str, vector_col:
             })
 
     links = written(with_x.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify, f"a {kind}, b {kind}, linked bigint"), "vector-links")
+    remove(keyed)
     return members, links
 
 
+def alike(g: pa.Table) -> Iterator[pa.Table]:
+    """The rows of each label and length that has two or more; hashes of others may clash with theirs."""
+    labels = g.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    lengths = pc.list_value_length(g.column("x")).to_numpy()
+    kinds, counts = np.unique(labels * (int(lengths.max()) + 1) + lengths, return_counts=True)
+    if len(kinds) == 1:
+        yield g
+        return
+    for kind in kinds[counts > 1]:
+        yield g.filter(pa.array(labels * (int(lengths.max()) + 1) + lengths == kind))
+
+
 def hash_label(label: str) -> int:
     import zlib
 
