@@ -138,7 +138,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, id_col: str = "doc_id",
     sums = dealt.groupBy("pattern", "bucket").agg(F.sum("size").alias("sum"))
     before = sums.select(F.col("pattern").alias("_p"), F.col("bucket").alias("_b"), (F.sum("sum").over(W.partitionBy("pattern").orderBy("bucket")) - F.col("sum")).alias("before"))
     placed = dealt.join(before, F.col("pattern").eqNullSafe(F.col("_p")) & (F.col("bucket") == F.col("_b")))
-    upto = F.sum("size").over(W.partitionBy("pattern", "bucket").orderBy("h", id_col).rowsBetween(W.unboundedPreceding, 0))
+    upto = F.sum("size").over(W.partitionBy("pattern", "bucket").orderBy("h", id_col, "size").rowsBetween(W.unboundedPreceding, 0))
     placed = placed.withColumn("middle", F.col("before") + upto - F.col("size") / 2)
     whole = placed.join(plans, F.col("pattern") == F.col("_pattern"), "left")
     hit = F.filter(F.transform("ranges", lambda cuts: F.filter(cuts, lambda c: (F.col("size") > 0) & (F.col("middle") < c["upto"]))), lambda cuts: F.size(cuts) > 0)

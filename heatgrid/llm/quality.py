@@ -1,13 +1,15 @@
 """Quality rules whose thresholds come from quantile sketches, with DataFrame functions only.
 
 ``text_counts`` takes the base counts of each whole text in one row (arrays, no shuffle). ``limits`` merges, for each
-language and source, histogram sketches of four ratios: a value's bucket keeps its leading bits, so counts add up
-in any order and quantiles are exact to one part in 64. Each group's fence stands well beyond its own spread; a group
-with fewer than ``min_rows`` rows takes its language's fence, and that one's the corpus's. ``quality_rules`` joins the
-fences back and filters.
-
-Cases: null and empty texts have zero words and fail the base rule; null language or source is a group of its own; ties
-and repeated rows count as rows; extra columns are ignored; an empty table gives no row; texts of any length are whole.
+language and source, histogram sketches of four ratios and of their denominators: a value's bucket keeps its leading bits,
+so counts add up in any order and quantiles are exact to one part in 64. A group's quantiles are drawn to those of its
+language, and these to the corpus's, by ``weight`` rows. Its fence stands ``spread`` times its own spread beyond its median;
+a spread is at least one event (see RATIOS) in the group's median text, as ratios that are mostly 0 have no other scale, and
+a tenth of a character for word length, in case of a source of near copies. No cutoff is fixed. ``quality_rules`` joins the fences back and filters.
+
+Cases: null and empty texts have zero words and fail the base rule; null language or source is a group of its own; equal texts
+of a group are one in the sketches and each a row of the result; extra columns are ignored; an
+empty table gives no row; texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from pyspark.sql.window import Window as W
 from heatgrid.llm.store import written
 
 SYMBOLS = "#*$%&|<>"
-#: name: numerator, denominator and least spread of each ratio, in millionths
-RATIOS = {"symbols": ("n_symbols", "word_chars", 15_000), "dup_lines": ("n_dup_lines", "n_lines", 60_000), "repeats": ("n_repeat_words", "n_words", 50_000), "word_length": ("word_chars", "n_words", 500_000)}
+#: name: numerator, denominator and the numerator of one event (a repeated window covers 6 words at least; 0: no events) of each ratio
+RATIOS = {"symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 6), "word_length": ("word_chars", "n_words", 0)}
+SIZES = ("word_chars", "n_lines", "n_words")
+LEVELS = (10, 50, 90)
+SPREAD, WEIGHT = 5, 1000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -71,39 +76,62 @@ def ratio(name: str) -> Column:
     return F.expr(f"CASE WHEN {bottom} > 0 THEN ({top} * 1000000) div {bottom} ELSE 0 END")
 
 
-def limits(counts: DataFrame, spread: int, min_rows: int) -> DataFrame:
-    """(_lang, _source, rule, low, high) of each group of languages and sources."""
-    long = counts.where(~F.col("base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), ratio(k).alias("value")) for k in RATIOS])).alias("r"))
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group of ``keys``: n, q10_, q50_ and q90_ of each ratio and size, by running counts over the buckets of
+    a group, whose number is bounded."""
+    merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
+    w = W.partitionBy(*keys, "rule")
+    run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
+    at = {(k, p): F.min(F.when((F.col("rule") == k) & (F.col("upto") * 100 >= F.col("all") * p), F.col("bucket"))).alias(f"q{p}_{k}") for k in (*RATIOS, *SIZES) for p in LEVELS}
+    return run.groupBy(*keys).agg(F.max("all").alias("n"), *at.values())
+
+
+def settled(spread: int, weight: int, parent: bool, div: str = "div") -> dict[str, str]:
+    """SQL for a group's settled columns, from its own (n, q..) and, if it has a parent, the parent's settled ones (with p_ before)."""
+    out = {}
+    for k in (*RATIOS, *SIZES):
+        for p in LEVELS:
+            own = f"q{p}_{k}"
+            out[own] = f"(n * {own} + {weight} * p_{own}) {div} (n + {weight})" if parent else own
+    for k, (_, size, event) in RATIOS.items():
+        least = f"{event * 1_000_000} {div} greatest(1, {out[f'q50_{size}']})" if event else "100000"
+        for side, a, b in (("up", 90, 50), ("down", 50, 10)):
+            out[f"{side}_{k}"] = f"greatest({out[f'q{a}_{k}']} - {out[f'q{b}_{k}']}, {least})"
+        out[f"high_{k}"] = f"{out[f'q50_{k}']} + {spread} * {out[f'up_{k}']}"
+        out[f"low_{k}"] = f"{out[f'q50_{k}']} - {spread} * {out[f'down_{k}']}"
+    return out
+
+
+def limits(counts: DataFrame, spread: int, weight: int) -> DataFrame:
+    """(_lang, _source, high_ and low_ of each ratio) of each group of languages and sources, from ``text_counts`` with text_hash."""
+    values = [F.struct(F.lit(k).alias("rule"), ratio(k).alias("value")) for k in RATIOS] + [F.struct(F.lit(k).alias("rule"), F.col(k).alias("value")) for k in SIZES]
+    long = counts.where(~F.col("base_failed")).select("lang", "source", "text_hash", *COUNTS, "n_lines").distinct().select("lang", "source", F.explode(F.array(*values)).alias("r"))
     sketch = long.select("lang", "source", "r.rule", F.expr(bucket("r.value")).alias("bucket")).groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("n"))
     sketch = written(sketch, "sketch")
 
-    floor = F.create_map(*[F.lit(x) for k, v in RATIOS.items() for x in (k, v[2])])[F.col("rule")]
-
-    def fences(keys: list[str], suffix: str) -> DataFrame:
-        """Merged to ``keys``; quantiles by running counts over the buckets of a group, whose number is bounded."""
-        merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
-        w = W.partitionBy(*keys, "rule")
-        run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-        q = run.groupBy(*keys, "rule").agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("all") * p, F.col("bucket"))).alias(f"q{p}") for p in (10, 50, 90)], F.max("all").alias("rows"))
-        width = lambda a, b: spread * F.greatest(F.col(a) - F.col(b), floor)
-        return q.select(*[F.col(k).alias(f"_{k}{suffix}") for k in keys], F.col("rule").alias(f"rule{suffix}"), (F.col("q50") - width("q50", "q10")).alias(f"low{suffix}"), (F.col("q50") + width("q90", "q50")).alias(f"high{suffix}"), F.col("rows").alias(f"rows{suffix}"))
+    def settle(own: DataFrame, parent: DataFrame | None, keys: list[str]) -> DataFrame:
+        exprs = settled(spread, weight, parent is not None)
+        if parent is not None:
+            shared = [k for k in keys if k in parent.columns]
+            above = parent.select(*[F.col(c).alias(f"p_{c}") for c in parent.columns])
+            same = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in shared]
+            own = own.join(above, same) if same else own.crossJoin(F.broadcast(above))  # the corpus is one row
+        return own.select(*keys, *[F.expr(x).alias(k) for k, x in exprs.items()])
 
-    a, b, c = fences(["lang", "source"], "_s"), fences(["lang"], "_l"), fences([], "_c")
-    both = a.join(b, F.col("_lang_s").eqNullSafe(F.col("_lang_l")) & (F.col("rule_s") == F.col("rule_l")), "left").join(F.broadcast(c), F.col("rule_s") == F.col("rule_c"), "left")  # c: a row for each rule
-    pick = lambda k: F.when(F.col("rows_s") >= min_rows, F.col(f"{k}_s")).when(F.col("rows_l") >= min_rows, F.col(f"{k}_l")).otherwise(F.col(f"{k}_c"))
-    return both.select(F.col("_lang_s").alias("_lang"), F.col("_source_s").alias("_source"), F.col("rule_s").alias("rule"), pick("low").alias("low"), pick("high").alias("high"))
+    corpus = settle(quantiles(sketch, []), None, [])
+    langs = settle(quantiles(sketch, ["lang"]), corpus, ["lang"])
+    both = settle(quantiles(sketch, ["lang", "source"]), langs, ["lang", "source"])
+    return both.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{side}_{k}" for k in RATIOS for side in ("high", "low")])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, spread: int = 6, min_rows: int = 200) -> DataFrame:
-    """(id_col, the base counts, base_failed, kept) of each row. Fences are ``spread`` times the distance between the
-    median and the 10th or 90th percentile, or the ratio's least spread if that is more, away from the median."""
-    counts = text_counts(docs.select(F.col(id_col), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col(text_col).alias("text")), [id_col, "lang", "source"])
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, spread: int = SPREAD, weight: int = WEIGHT) -> DataFrame:
+    """(id_col, the base counts, base_failed, kept) of each row; a text stays within the upper fences and the lower one of word length."""
+    counts = text_counts(docs.select(F.col(id_col), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")), [id_col, "lang", "source", "text_hash"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = written(counts.withColumn("base_failed", failed), "counts")
-    fence = limits(counts, spread, min_rows).groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("rule") == k, F.col(side))).alias(f"_{side}_{k}") for k in RATIOS for side in ("low", "high")])
-    joined = counts.join(fence, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    joined = counts.join(limits(counts, spread, weight), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     within = F.lit(True)
     for k in RATIOS:
-        within &= ratio(k) <= F.coalesce(F.col(f"_high_{k}"), ratio(k))
-    within &= ratio("word_length") >= F.coalesce(F.col("_low_word_length"), ratio("word_length"))
+        within &= ratio(k) <= F.coalesce(F.col(f"high_{k}"), ratio(k))
+    within &= ratio("word_length") >= F.coalesce(F.col("low_word_length"), ratio("word_length"))
     return joined.select(id_col, *COUNTS, "base_failed", (~F.col("base_failed") & within).alias("kept"))

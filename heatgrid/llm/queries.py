@@ -63,7 +63,7 @@ def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = remove_spans(docs, repeated_spans(docs), digest=True)
-    return kept.select("doc_id", F.col("_sentences").alias("n_sentences"), F.col("_removed").alias("n_removed"), F.col("text").alias("kept_sha256"))
+    return kept.select("doc_id", F.col("_hg_sentences").alias("n_sentences"), F.col("_hg_removed").alias("n_removed"), F.col("text").alias("kept_sha256"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,19 +73,23 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql5() -> str:
-    from heatgrid.llm.quality import RATIOS
+    from heatgrid.llm.quality import COUNTS, LEVELS, RATIOS, SIZES, SPREAD, WEIGHT, settled
 
-    ratios = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{k}' AS rule, CASE WHEN {b} > 0 THEN {a} * 1000000 // {b} ELSE 0 END AS v FROM c" for k, (a, b, _) in RATIOS.items())
-    floor = "CASE rule " + " ".join(f"WHEN '{k}' THEN {v[2]}" for k, v in RATIOS.items()) + " END"
-    q = ", ".join(f"min(bucket) FILTER (upto * 100 >= rows * {p}) AS q{p}" for p in (10, 50, 90))
+    value = {k: f"CASE WHEN {b} > 0 THEN {a} * 1000000 // {b} ELSE 0 END" for k, (a, b, _) in RATIOS.items()}
+    values = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {v} AS v FROM d" for k, v in (value | {k: k for k in SIZES}).items())
+    at = ", ".join(f"min(bucket) FILTER (rule = '{k}' AND upto * 100 >= rows * {p}) AS q{p}_{k}" for k in (*RATIOS, *SIZES) for p in LEVELS)
 
-    def fences(keys: str) -> str:
-        by = f"{keys}, rule" if keys else "rule"
-        return f"""SELECT {by}, q50 - 6 * greatest(q50 - q10, {floor}) AS low, q50 + 6 * greatest(q90 - q50, {floor}) AS high, rows FROM (
-          SELECT {by}, {q}, max(rows) AS rows FROM (
-            SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS rows
-            FROM (SELECT {by}, bucket, count(*) AS n FROM h GROUP BY {by}, bucket)) GROUP BY {by})"""
+    def quantiles(keys: list[str]) -> str:
+        by = ", ".join([*keys, "rule"])
+        inner = f"SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS rows FROM (SELECT {by}, bucket, count(*) AS n FROM h GROUP BY {by}, bucket)"
+        return f"SELECT {''.join(k + ', ' for k in keys)}max(rows) AS n, {at} FROM ({inner}) {'GROUP BY ' + ', '.join(keys) if keys else ''}"
 
+    def settle(keys: list[str], parent: str, on: str) -> str:
+        exprs = settled(SPREAD, WEIGHT, bool(parent), "//")
+        above = f", (SELECT {', '.join(f'{c} AS p_{c}' for c in (*exprs, *(['lang'] if on else [])))} FROM {parent}) p" if parent else ""
+        return f"SELECT {''.join(k + ', ' for k in keys)}{', '.join(f'{x} AS {k}' for k, x in exprs.items())} FROM ({quantiles(keys)}) o{above} {on}"
+
+    beyond = " OR ".join([f"{value[k]} > f.high_{k}" for k in RATIOS] + [f"{value['word_length']} < f.low_word_length"])
     return f"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -96,23 +100,17 @@ WITH w AS (
 ), dl AS (
   SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1
 ), b AS (
-  SELECT w.doc_id, lang, source, len(w.w) AS n_words, coalesce(length(array_to_string(w.w, '')), 0) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+  SELECT w.doc_id, lang, source, text, len(w.w) AS n_words, coalesce(length(array_to_string(w.w, '')), 0) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
          coalesce(dl.dup, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, coalesce(dl.n, 0) AS n_lines
   FROM w LEFT JOIN rw ON rw.doc_id = w.doc_id LEFT JOIN dl ON dl.doc_id = w.doc_id
 ), c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
-r AS ({ratios}),
-h AS (SELECT *, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END AS bucket FROM r WHERE NOT base_failed),
-fs AS ({fences("lang, source")}), fl AS ({fences("lang")}), fc AS ({fences("")}),
-f AS (
-  SELECT fs.lang, fs.source, fs.rule, CASE WHEN fs.rows >= 200 THEN fs.low WHEN fl.rows >= 200 THEN fl.low ELSE fc.low END AS low,
-         CASE WHEN fs.rows >= 200 THEN fs.high WHEN fl.rows >= 200 THEN fl.high ELSE fc.high END AS high
-  FROM fs JOIN fl ON fl.lang IS NOT DISTINCT FROM fs.lang AND fl.rule = fs.rule JOIN fc ON fc.rule = fs.rule
-), out_ AS (
-  SELECT r.doc_id, bool_or(v > high OR (r.rule = 'word_length' AND v < low)) AS beyond
-  FROM r JOIN f ON f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source AND f.rule = r.rule GROUP BY 1
-)
-SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept
-FROM c LEFT JOIN out_ ON out_.doc_id = c.doc_id
+d AS (SELECT DISTINCT lang, source, text, {', '.join(COUNTS)}, n_lines FROM c WHERE NOT base_failed),
+h AS (SELECT *, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END AS bucket FROM ({values})),
+fc AS ({settle([], '', '')}),
+fl AS ({settle(['lang'], 'fc', '')}),
+f AS ({settle(['lang', 'source'], 'fl', 'WHERE o.lang IS NOT DISTINCT FROM p.p_lang')})
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({beyond}, false) AS kept
+FROM c LEFT JOIN f ON f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source
 """
 
 
@@ -131,7 +129,7 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL7 = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
     AND len(list_filter(embedding, lambda e: e <> 0)) > 0
 ), l AS (

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heatgrid.llm.pieces import freeing
 from heatgrid.llm.store import written
 from heatgrid.llm.textops import U, Words, mix, word_chunks
 
@@ -33,6 +34,7 @@ def features(w: Words, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _counts(docs: DataFrame, text_col: str, buckets: int) -> np.ndarray:
     """Feature counts over all rows; at most ``buckets`` sums reach the driver."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
@@ -74,6 +76,7 @@ def importance_sample(docs: DataFrame, target: DataFrame, share: float, id_col:
     ratio = np.log((p + 1) / (p.sum() + buckets)) - np.log((q + 1) / (q.sum() + buckets)) if p.sum() else np.zeros(buckets)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @freeing
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             weight = np.zeros(b.num_rows)

@@ -6,7 +6,8 @@ sentence starts one span: the shortest run of sentences that has ``sentences`` o
 sentence that any other one covers is removed. Kept sentences keep their bytes, with the white space before them.
 
 Cases: null and empty texts have no sentence and stay as they are; a text that never fills a span loses nothing; rows
-with a null id are left alone; rows with equal ids and texts count once; extra columns stay; texts of any length are whole.
+with a null id are left alone; rows with equal ids and texts count once; extra columns stay (names in _hg_ are
+the operator's own); texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgrid.llm.firsts import first_seen
+from heatgrid.llm.pieces import freeing
 from heatgrid.llm.textops import U, Words, mix, string_parts, word_chunks
 
 _STOP = np.zeros(256, bool)
@@ -80,6 +82,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(_id, _text_hash, _spans array<long>) of each document with repeated spans that aren't the first; a span is 256 * first sentence + sentences."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in word_chunks(b.column(2)):
@@ -97,13 +100,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(all columns, ``_sentences``, ``_removed``) with ``text_col`` less the sentences that spans cover, or its sha256 if ``digest``."""
+    """(all columns, ``_hg_sentences``, ``_hg_removed``) with ``text_col`` less the sentences that spans cover, or its sha256 if ``digest``."""
     found = spans.select(F.col("_id").alias("_hg_id"), F.col("_text_hash").alias("_hg_hash"), F.col("_spans").alias("_hg_spans"))
     joined = docs.withColumn("_hg_text", F.xxhash64(text_col)).join(found.hint("merge"), (F.col(id_col) == F.col("_hg_id")) & (F.col("_hg_text") == F.col("_hg_hash")), "left")
     joined = joined.select(*docs.columns, "_hg_spans")
     at, at_spans = docs.columns.index(text_col), len(docs.columns)
-    out = docs.columns + ["_sentences", "_removed"]
+    out = docs.columns + ["_hg_sentences", "_hg_removed"]
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, spans_of = b.column(at), b.column(at_spans)
@@ -137,7 +141,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(run, f"{schema}, _sentences bigint, _removed bigint")
+    return joined.mapInArrow(run, f"{schema}, _hg_sentences bigint, _hg_removed bigint")
 
 
 sentences_of = sentences
