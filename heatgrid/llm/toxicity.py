@@ -1,16 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, through a block-max inverted index.
 
-Terms are lower-cased words and their first 4, 5 and 6 bytes. ``fit`` takes at most about ``max_examples`` labelled texts
-(by hash of their id, equal texts once), keeps the terms of ``min_texts`` texts or more that point to the rarer label, and
-takes document frequencies of these over all documents. A term points there if its texts' share of that label, with one text of the
-base rate added, covers ``min_gain`` of the way from the base rate to 1: this asks the same of a term whatever the number of examples.
-Beyond ``max_terms`` those with the largest chi-square stay. The index holds, for each term, the examples that have it with their weights, in
-blocks of BLOCK examples with the largest weight of each block; all of it is bounded by the two parameters. A query visits
-blocks by falling bound and stops when no other block can reach its k-th cosine, so neighbours are exact. Votes weigh by
-distance and a step function, fitted on the examples with each one's own vote left out, calibrates them.
-
-Cases: null and empty texts and texts without a kept term take the calibrated score of such examples; equal cosines rank by
-example; rows with null labels or ids are no examples; with no example every score is 0; extra columns stay
+Terms are lower-cased words and their first 4, 5 and 6 bytes. ``fit`` takes about ``max_examples`` labelled texts at most (by
+hash of their id, equal texts once). A term's idf, over all documents, is scaled by its gain: how far the rarer label's
+share of the term's texts, with ``prior_texts`` texts of the base rate added, lies above the base rate, 0 where it doesn't.
+Every term of the examples is in the index but those of gain 0, which add 0 to every product, so cosines are exact over
+all terms. The index holds, for each term, the examples that have it with their weights, in blocks of BLOCK examples with
+the largest weight of each block. A query visits the blocks of highest bound and then those that can still reach its k-th
+cosine, so neighbours are exact. Votes weigh by distance and a step function, fitted on the examples with each one's own
+vote left out, calibrates them.
+
+Cases: null and empty texts and texts without a term of the index take the calibrated score of such examples; equal
+cosines rank by example; rows with null labels or ids are no examples; with no example every score is 0; extra columns stay
 (those named score or evidence are replaced).
 """
 
@@ -23,17 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heatgrid.llm.pieces import freeing, ranges
+from heatgrid.llm.store import remove, written
 from heatgrid.llm.textops import NON_ALNUM, U, byte_prefix, mix, span_hash, word_chunks
 
 BLOCK = 64
+COMMON = 1 / 48
+BATCH = 256
 PREFIXES = (4, 5, 6)
+SIEVE = 1 << 22
 
 
 def term_chunks(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, rows, row, term, times) of each chunk; terms are hashes, or places in the sorted ``wanted`` and only those."""
-    sieve = np.zeros(1 << 20, bool)
+    sieve = np.zeros(SIEVE, bool)
     if wanted is not None:
-        sieve[(wanted & U((1 << 20) - 1)).astype(np.int64)] = True
+        sieve[(wanted & U(SIEVE - 1)).astype(np.int64)] = True
     for w in word_chunks(column, NON_ALNUM, lower=True):
         prefix = byte_prefix(w.data)
         docs, hashes = [], []
@@ -42,7 +47,7 @@ def term_chunks(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[
             h = w.hash if n is None else mix(span_hash(prefix, w.start[at], w.start[at] + n) + U(k))
             d = w.doc[at]
             if wanted is not None:
-                hit = sieve[(h & U((1 << 20) - 1)).astype(np.int64)]
+                hit = sieve[(h & U(SIEVE - 1)).astype(np.int64)]
                 h, d = h[hit], d[hit]
             docs.append(d)
             hashes.append(h)
@@ -58,49 +63,91 @@ def term_chunks(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[
 
 
 class Index:
-    """Examples as postings by term, with the largest weight of each block of examples."""
+    """Examples as postings by term, cut into cells of one term and one block of examples, with each cell's largest weight.
+    Terms that a COMMON share of the examples has are whole rows of weights instead."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, terms: int, k: int):
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: list, terms: int, k: int):
+        """example, term, weight: the non-zero weights of all examples."""
+        self.source = (example.astype(np.int32), term.astype(np.int32), weight, labels, ids, terms, k)
         self.labels, self.ids, self.k = labels, ids, k
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.top = np.zeros((terms, self.blocks))
-        lists: list[list] = [[] for _ in range(terms)]
-        for i, (t, x) in enumerate(vectors):
-            for a, b in zip(t.tolist(), x.tolist(), strict=True):
-                lists[a].append((i, b))
-                self.top[a, i // BLOCK] = max(self.top[a, i // BLOCK], b)
-        self.posts = [(np.array([i for i, _ in x], np.int64), np.array([b for _, b in x])) for x in lists]
-        self.cuts = [np.searchsorted(i, np.arange(self.blocks + 1) * BLOCK) for i, _ in self.posts]
+        self.blocks = -(-len(labels) // BLOCK)
+        common = np.flatnonzero(np.bincount(term, minlength=terms) > max(BLOCK, COMMON * len(labels)))
+        self.row = np.full(terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.blocks, BLOCK))
+        whole = self.row[term] >= 0
+        self.rows[self.row[term[whole]], example[whole] // BLOCK, example[whole] % BLOCK] = weight[whole]
+        self.rows_top = self.rows.max(2)
+        example, term, weight = example[~whole], term[~whole], weight[~whole]
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        term, block = term[order], self.example // BLOCK
+        self.start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.length = np.diff(np.r_[self.start, len(term)])
+        self.block = block[self.start]
+        self.top = np.maximum.reduceat(self.weight, self.start) if len(term) else np.zeros(0)
+        self.cells = np.searchsorted(term[self.start], np.arange(terms + 1))
+
+    def __getstate__(self) -> tuple:
+        return self.source  # tasks build the rest again, which is several times as large
+
+    def __setstate__(self, source: tuple) -> None:
+        self.__init__(*source)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples of the k largest positive cosines and these, equal ones by example."""
-        bound = weights @ self.top[terms]
+        return next(self.search([(terms, weights)], [without]))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for each of many queries; the products of common terms are taken for BATCH queries together."""
+        rows = self.rows.reshape(len(self.rows), self.blocks * BLOCK)
+        for at in range(0, len(queries), BATCH):
+            part = queries[at : at + BATCH]
+            x = np.zeros((len(part), len(rows)))
+            rest = []
+            for q, (terms, weights) in enumerate(part):
+                whole = self.row[terms] >= 0
+                x[q, self.row[terms[whole]]] = weights[whole]
+                rest.append((terms[~whole], weights[~whole]))
+            base = x @ rows
+            for q, (terms, weights) in enumerate(rest):
+                yield self._nearest(terms, weights, base[q], without[at + q] if without else -1)
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, base: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """base: the products with all examples that common terms make."""
+        n = self.cells[terms + 1] - self.cells[terms]
+        cells, x = ranges(self.cells[terms], n), np.repeat(weights, n)
+        block, base = self.block[cells], base.reshape(self.blocks, BLOCK)
+        bound = np.bincount(block, x * self.top[cells], self.blocks) + base.max(1)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best_i, best = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), 8):
-            group = order[at : at + 8]
+        place = np.empty(self.blocks, np.int64)
+        for group in (order[:8], order[8:]):  # the second time, all blocks that can still reach
             if len(best) >= self.k:
-                group = group[bound[group] >= best[-1] - 1e-12]
-                if not len(group):
-                    break
-            got = np.zeros((len(group), BLOCK))
-            for t, x in zip(terms.tolist(), weights.tolist(), strict=True):
-                i, b = self.posts[t]
-                for g, block in enumerate(group.tolist()):
-                    lo, hi = self.cuts[t][block], self.cuts[t][block + 1]
-                    if hi > lo:
-                        got[g, i[lo:hi] - block * BLOCK] += x * b[lo:hi]
-            g, j = np.nonzero(got)
-            i, c = group[g] * BLOCK + j, got[g, j]
+                group = group[bound[group] >= best[-1] - 1e-9]
+            if not len(group):
+                break
+            place[:] = -1
+            place[group] = np.arange(len(group))
+            here = np.flatnonzero(place[block] >= 0)
+            own = cells[here]
+            at_post = ranges(self.start[own], self.length[own])
+            where = np.repeat(place[block[here]], self.length[own]) * BLOCK + self.example[at_post] % BLOCK
+            got = base[group].ravel() + np.bincount(where, np.repeat(x[here], self.length[own]) * self.weight[at_post], len(group) * BLOCK)
+            j = np.flatnonzero(got)
+            if len(j) > 4 * self.k:  # few need to be sorted
+                j = j[got[j] >= np.partition(got[j], -self.k - 1)[-self.k - 1] - 1e-8]
+            i, c = group[j // BLOCK] * BLOCK + j % BLOCK, got[j]
             keep = i != without
             best_i, best = np.r_[best_i, i[keep]], np.r_[best, c[keep]]
-            first = np.lexsort((best_i, -np.round(best, 12)))[: self.k]
+            first = np.lexsort((best_i, -np.round(best, 9)))[: self.k]
             best_i, best = best_i[first], best[first]
         return best_i, best
 
     def vote(self, i: np.ndarray, cosine: np.ndarray, prior: float) -> float:
-        w = 1 / (0.05 + np.maximum(0, 1 - cosine))
+        """Labels weighed by closeness, with one vote of ``prior``."""
+        w = cosine**2 / (0.05 + np.maximum(0, 1 - cosine))
         return float((w @ self.labels[i] + prior) / (w.sum() + 1))
 
 
@@ -123,83 +170,97 @@ def weigh(terms: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.sqrt(x @ x)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, max_terms: int, min_texts: int, min_gain: float, k: int, seed: int):
-    """(wanted terms, idf, index, calibration, prior, score without terms), or None without examples."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, prior_texts: int, k: int, seed: int):
+    """(wanted terms, their weights, index, calibration, base rate, score without terms), or None without examples."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     n = known.count()
     part = min(1.0, max_examples / max(1, n))
-    chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30))).groupBy("_id").agg(F.max("_y").alias("_y")).limit(2 * max_examples)
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("_id", "_y", F.col(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_h"]).drop("_h")  # at most 2 * max_examples ids
+    chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30))).groupBy("_id").agg(F.max("_y").alias("_y"))
+    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # about max_examples ids, by the hash filter
+    sample = sample.groupBy(F.xxhash64(text_col).alias("_h")).agg(F.min(F.struct("_id", "_y", F.col(text_col).alias("_text"))).alias("_one"))
+    sample = written(sample.select("_one.*"), "examples")
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @freeing
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             y = b.column(0).to_numpy()
             for first, _, doc, h, _ in term_chunks(b.column(1)):
                 yield pa.RecordBatch.from_pydict({"term": pa.array(h.view(np.int64)), "y": pa.array(y[first + doc])})
 
-    counted = sample.select("_y", "_text").mapInArrow(terms_of, "term bigint, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("d"))
     sums = sample.agg(F.count("*").alias("n"), F.sum("_y").alias("p")).first()
     total, pos = sums["n"], sums["p"] or 0
     if not total or not 0 < pos < total:
         return None if not total else (np.zeros(0, np.uint64), np.zeros(0), None, None, pos / total, pos / total)
     rate = pos / total
-    rare, base = (F.col("a"), rate) if rate <= 0.5 else (F.col("d") - F.col("a"), 1 - rate)
-    more = rare - F.col("d") * base
-    chosen_terms = counted.where((F.col("d") >= min_texts) & (more >= min_gain * (1 - base) * (F.col("d") + 1) - 1e-9)).select("term", (more**2 / F.col("d")).alias("chi"))  # chi-square but for a constant
-    wanted = np.sort(np.array([r["term"] for r in chosen_terms.orderBy(F.desc("chi"), "term").limit(max_terms).collect()], np.int64).view(np.uint64))
+    rare, base = ("a", rate) if rate <= 0.5 else ("d - a", 1 - rate)
+    counted = sample.select("_y", "_text").mapInArrow(terms_of, "term bigint, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("d"))
+    gain = F.expr(f"(({rare}) + {prior_texts * base}D) / (d + {prior_texts}) - {base}D") / F.lit(1 - base)
+    found = counted.select("term", gain.alias("gain")).where("gain > 1e-9").toArrow()
+    wanted, gains = found.column("term").to_numpy().view(np.uint64), found.column("gain").to_numpy()
+    order = np.argsort(wanted)
+    wanted, gains = wanted[order], gains[order]
 
+    @freeing
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, rows = np.zeros(len(wanted), np.int64), 0
         for b in batches:
             rows += b.num_rows
             for _, _, _, t, _ in term_chunks(b.column(0), wanted):
-                sums += np.bincount(t, minlength=len(wanted))
-        yield pa.RecordBatch.from_pydict({"t": pa.array(np.arange(-1, len(wanted)), pa.int32()), "n": pa.array(np.r_[rows, sums])})
+                np.add.at(sums, t, 1)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(np.r_[-1, at].astype(np.int32)), "n": pa.array(np.r_[rows, sums[at]])})
 
-    df = {r["t"]: r["n"] for r in docs.select(text_col).mapInArrow(seen, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((df.get(-1, 0) + 1) / (np.array([df.get(t, 0) for t in range(len(wanted))]) + 1)) + 1
+    df = docs.select(text_col).mapInArrow(seen, "t int, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    having = np.zeros(len(wanted) + 1)
+    having[df.column("t").to_numpy()] = df.column("n").to_numpy()  # the number of documents is last, at -1
+    idf = (np.log((having[-1] + 1) / (having[:-1] + 1)) + 1) * gains
 
+    @freeing
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists: list[tuple[list[int], list[int]]] = [([], []) for _ in range(b.num_rows)]
-            for first, _, doc, t, times in term_chunks(b.column(2), wanted):
-                for d, a, x in zip((doc + first).tolist(), t.tolist(), times.tolist(), strict=True):
-                    lists[d][0].append(a)
-                    lists[d][1].append(x)
-            yield pa.RecordBatch.from_pydict({"_id": b.column(0), "_y": b.column(1), "terms": pa.array([a for a, _ in lists], pa.list_(pa.int32())), "times": pa.array([x for _, x in lists], pa.list_(pa.int32()))})
-
-    rows = sorted(sample.mapInArrow(vectors_of, f"_id {kind}, _y int, terms array<int>, times array<int>").collect(), key=lambda r: (str(r["_id"]), r["terms"], r["times"]))
+            for first, n, doc, t, times in term_chunks(b.column(2), wanted):
+                off = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_pydict({"_id": b.column(0).slice(first, n), "_y": b.column(1).slice(first, n), "terms": pa.ListArray.from_arrays(off, pa.array(t.astype(np.int32))), "times": pa.ListArray.from_arrays(off, pa.array(times.astype(np.int32)))})
+
+    rows = sorted(sample.mapInArrow(vectors_of, f"_id {kind}, _y int, terms array<int>, times array<int>").collect(), key=lambda r: (r["_y"] != (rate <= 0.5), str(r["_id"]), r["terms"], r["times"]))  # blocks of one label bound better
     full, empty = [r for r in rows if r["terms"]], [r["_y"] for r in rows if not r["terms"]]
+    remove(sample)
+    bare = (sum(empty) + rate) / (len(empty) + 1)
+    if not full:
+        return wanted, idf, None, None, rate, bare
     vectors = [(np.array(r["terms"]), weigh(np.array(r["terms"]), np.array(r["times"]), idf)) for r in full]
-    index = Index(vectors, np.array([r["_y"] for r in full], float), [r["_id"] for r in full], len(wanted), k)
-    own = np.array([index.vote(*index.nearest(*v, without=i), rate) for i, v in enumerate(vectors)])
+    example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+    index = Index(example, np.concatenate([t for t, _ in vectors]), np.concatenate([x for _, x in vectors]), np.array([r["_y"] for r in full], float), [r["_id"] for r in full], len(wanted), k)
+    own = np.array([index.vote(*found, rate) for found in index.search(vectors, list(range(len(vectors))))])
     steps = isotonic(own, index.labels, rate)
-    return wanted, idf, index, steps, rate, (sum(empty) + rate) / (len(empty) + 1)
+    return wanted, idf, index, steps, rate, bare
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 4096, max_terms: int = 4096, min_texts: int = 4, min_gain: float = 0.75, k: int = 25, seed: int = 11) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 2048, prior_texts: int = 8, k: int = 25, seed: int = 11) -> DataFrame:
     """All columns of the documents, score, and evidence array<struct<id, label, cosine>>; ``labels`` are those it may learn from."""
-    fitted = fit(docs, labels, id_col, text_col, label_col, max_examples, max_terms, min_texts, min_gain, k, seed)
+    fitted = fit(docs, labels, id_col, text_col, label_col, max_examples, prior_texts, k, seed)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted, idf, index, steps, rate, bare = fitted or (np.zeros(0, np.uint64), np.zeros(0), None, None, 0.0, 0.0)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[tuple, tuple[float, list]] = {}
         for b in batches:
             scores, evidence = np.full(b.num_rows, bare), [[] for _ in range(b.num_rows)]
             for first, _, doc, t, times in term_chunks(b.column(at_text), wanted) if index is not None else ():
-                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
-                for i, j in zip(at, np.r_[at[1:], len(doc)] if len(at) else [], strict=True):
-                    key = (t[i:j].tobytes(), times[i:j].tobytes())
-                    if key not in memory:
-                        if len(memory) > 50_000:
-                            memory.clear()
-                        near, cosine = index.nearest(t[i:j], weigh(t[i:j], times[i:j], idf))
-                        raw = index.vote(near, cosine, rate)
-                        step = min(int(np.searchsorted(steps[0], raw)), len(steps[1]) - 1)
-                        memory[key] = (float(steps[1][step]), [{"id": index.ids[n], "label": int(index.labels[n]), "cosine": float(c)} for n, c in zip(near[:3], cosine[:3], strict=True)])
-                    scores[first + doc[i]], evidence[first + doc[i]] = memory[key]
+                at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+                queries: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+                keys = []
+                for i, j in zip(at, np.r_[at[1:], len(doc)], strict=True):
+                    keys.append((t[i:j].tobytes(), times[i:j].tobytes()))
+                    if keys[-1] not in queries:  # copies have equal terms
+                        queries[keys[-1]] = (t[i:j], weigh(t[i:j], times[i:j], idf))
+                results = {}
+                for key, (near, cosine) in zip(queries, index.search(list(queries.values())), strict=True):
+                    step = min(int(np.searchsorted(steps[0], index.vote(near, cosine, rate))), len(steps[1]) - 1)
+                    results[key] = (float(steps[1][step]), [{"id": index.ids[n], "label": int(index.labels[n]), "cosine": float(c)} for n, c in zip(near[:3], cosine[:3], strict=True)])
+                for row, key in zip((first + doc[at]).tolist(), keys, strict=True):
+                    scores[row], evidence[row] = results[key]
             shown = pa.array(evidence, pa.list_(pa.struct([("id", b.column(at_id).type), ("label", pa.int32()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores), shown], names=[*b.schema.names, "score", "evidence"])
 
