@@ -13,7 +13,7 @@ from compare import SF, duck, same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from heatgrid.llm import lines, mixing, ngramjoin, resampling, spans, tokenfiles, toxicity, vectors
+from heatgrid.llm import bpe, lines, mixing, ngramjoin, quality, resampling, spans, textops, tokenfiles, toxicity, vectors
 from heatgrid.llm.queries import ORACLES, QUERIES, ranks_path
 
 PASSAGE = " ".join(f"w{i}" + (". " if i % 9 == 8 else "") for i in range(60)).replace("  ", " ") + "."
@@ -98,7 +98,6 @@ def test_token_files_equal_tokenizers(spark, sf, where):
 
     path = SF if where == "given" else f"file://{sf}"
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     at = 0
     got = {r["doc_id"]: r for r in QUERIES["op10_token_files"](spark, path).collect()}
     for doc, text in sorted(texts_of(spark, path).items()):
@@ -234,7 +233,7 @@ def test_nearest_examples_are_exact():
     for _ in range(500):
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         made.append((t, toxicity.weigh(t, rng.integers(1, 5, len(t)), np.linspace(1, 3, 40))))
-    index = toxicity.Index(made, np.zeros(500), list(range(500)), 40, 10)
+    index = toxicity.Index(np.repeat(np.arange(500), [len(t) for t, _ in made]), np.concatenate([t for t, _ in made]), np.concatenate([x for _, x in made]), np.zeros(500), list(range(500)), 40, 10)
     dense = np.zeros((500, 40))
     for i, (t, x) in enumerate(made):
         dense[i, t] = x
@@ -288,3 +287,236 @@ def test_null_ids_do_not_crash(spark):
     assert ngramjoin.drop_near_copies(docs).where("doc_id IS NULL").count() == 2
     assert toxicity.toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == docs.count()
     assert corpus_pipeline.mix_sources(spark, docs, "").columns == docs.columns
+
+
+ODD = list(" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2002\u2028\u3000'.,;:!?*&%$#|-_()aAbsStTdmrelivéñ你١́①\U0001f600\u200b\ufeff9") + ["'re", "'ll", " the", "<|endoftext|>"]
+
+
+def test_encoders_on_odd_texts():
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(4)
+    texts = [None if k % 50 == 0 else "".join(rnd.choice(ODD) for _ in range(rnd.randint(0, 30))) for k in range(4000)]
+    whole = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids, counts = tokenfiles.Encoder(P.path("byte_bpe_50k.json")).encode(pa.array(texts))
+    for t, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(ranks_path()), special_tokens={})
+    with bpe.coder(ranks_path(), P.PATTERN) as coder:
+        ids, counts = coder.pieces.encode(pa.array(texts))
+        for t, got, back in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), coder.decode(ids, counts), strict=True):
+            assert got.tolist() == own.encode_ordinary(t or "") and back == (t or "").encode(), repr(t)
+
+
+def test_known_pieces_are_bounded(monkeypatch):
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenfiles, "KNOWN_BYTES", 20_000)
+    own = tokenfiles.Encoder(P.path("byte_bpe_50k.json"))
+    for k in range(20):
+        texts = [f"word{k}x{i} plain, words." for i in range(200)]
+        ids, counts = own.encode(pa.array(texts))
+        assert own.pieces.known.nbytes + own.pieces.ids.nbytes + own.pieces.counts.nbytes <= 40_000
+        assert ids.tolist() == [x for e in own.whole.encode_batch(texts, add_special_tokens=False) for x in e.ids]
+
+
+def exchanges(df, *keys):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange" in x and all(k in x for k in keys) for x in plan.split("\n"))
+
+
+def test_spans_are_dealt_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}." for k in range(40))) for i in range(2000)], "doc_id long, text string")
+    assert exchanges(spans.repeated_spans(docs), "h1") == 1
+
+
+def test_lines_keep_their_ranges(spark):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i} number {k}" for k in range(20))) for i in range(500)], "doc_id long, text string")
+    bitmaps = lines.line_bitmaps(docs)
+    assert exchanges(bitmaps, "rangepartitioning(h1") == 1 and exchanges(bitmaps, "hashpartitioning(h1") == 0
+
+
+def test_line_dedup_of_long_documents(spark):
+    rnd = random.Random(9)
+    texts = {i: "\n".join(rnd.choice(["short", f"a longer line {rnd.randrange(60_000)}"]) for _ in range(60_000)) for i in range(3)}
+    first = {}
+    for i, t in texts.items():
+        for x in t.split("\n"):
+            first.setdefault(x, i)
+    got = {r["doc_id"]: r["text"] for r in lines.line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        assert got[i] == "\n".join(x for x in t.split("\n") if len(x) < 10 or first[x] == i)
+
+
+def test_columns_with_the_names_of_spans(spark):
+    docs = spark.createDataFrame([(1, PASSAGE, 5, 6), (2, PASSAGE, 7, 8)], "doc_id long, text string, _sentences long, _removed long")
+    got = {r["doc_id"]: r for r in spans.substring_dedup(docs).collect()}
+    assert got[1]["text"] == PASSAGE and got[2]["text"] == "" and (got[2]["_sentences"], got[2]["_removed"]) == (7, 8)
+
+
+def test_quality_fences_follow_the_sources(spark):
+    """Two sources of unlike spread get unlike fences, and the same text passes in one only."""
+    rnd = random.Random(2)
+    rows = []
+    for i in range(6000):
+        source = "tidy" if i % 2 else "noisy"
+        words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(120)]
+        if source == "noisy":
+            words[: rnd.randrange(40)] = ["#"] * 20
+        rows.append((i, " ".join(words), "en", source))
+    rows += [(9001, " ".join(["#"] * 14 + rows[1][1].split()[:100]), "en", "tidy"), (9002, " ".join(["#"] * 14 + rows[1][1].split()[:100]), "en", "noisy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, weight=100).where("doc_id > 9000").collect()}
+    assert got == {9001: False, 9002: True}
+    counts = quality.text_counts(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "lang", "source", "text_hash"]).withColumn("base_failed", F.lit(False))
+    fence = {r["_source"]: r for r in quality.limits(counts, quality.SPREAD, 100).collect()}
+    assert fence["noisy"]["high_symbols"] > 2 * fence["tidy"]["high_symbols"]
+
+
+def test_vectors_of_clashing_labels_and_repeated_ids(spark):
+    assert zlib.crc32(b"599430bd25") == zlib.crc32(b"f7633dd321")
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], "599430bd25"), (2, [1.0, 0.01, 0.0, 0.0], "f7633dd321"), (3, [1.0, 0.0, 0.01, 0.0], "599430bd25"), (4, [1.0, 0.0], "f7633dd321"), (3, [1.0, 0.0, 0.01, 0.0], "599430bd25"), (3, [1.0, 0.0, 0.01, 0.0], "599430bd25")]
+    got = [tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()]
+    assert sorted(got) == [(1, 1, 1, True), (2, 0, 2, True), *[(3, 1, 1, False)] * 3, (4, 0, 4, True)]
+
+
+def test_documents_of_repeated_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, b = " ".join(words), " ".join([*words[:50], "x", *words[51:]])
+    rows = [(1, a), (2, b), (2, b), (2, b), (3, "one other text"), (4, a), (4, "quite another text here"), (5, "")]
+    got = sorted(tuple(r) for r in ngramjoin.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) == 8 and got[:4] == [(1, 1, got[0][2]), *[(2, 1, got[1][2])] * 3] and got[-1] == (5, 5, 0)
+    same_text = [tuple(r) for r in ngramjoin.ngram_groups(spark.createDataFrame([(1, a), (2, b), (2, b), (2, b)], "doc_id long, text string")).collect()]
+    assert sorted(same_text) == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (2, 1, 1)]
+
+
+def test_importance_weights_equal_brute_force(spark):
+    rnd = random.Random(8)
+    texts = {i: " ".join(rnd.choice("ab cd ef gh ij kl mn".split()) for _ in range(rnd.randint(0, 30))) for i in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in resampling.importance_sample(docs, spark.range(0, 40).toDF("doc_id"), 0.3, buckets=256).collect()}
+    import pyarrow as pa
+
+    grams = {i: [int(b) for w in textops.word_chunks(pa.array([t])) for b in resampling.features(w, 256)[1]] for i, t in texts.items()}
+    assert all(len(g) == max(0, 2 * len(texts[i].split()) - 1) for i, g in grams.items())
+    raw, target = np.bincount(sum(grams.values(), []), minlength=256), np.bincount(sum((grams[i] for i in range(40)), []), minlength=256)
+    for i, g in grams.items():
+        want = sum(np.log((target[b] + 1) / (target.sum() + 256)) - np.log((raw[b] + 1) / (raw.sum() + 256)) for b in g)
+        assert got[i]["log_weight"] == pytest.approx(want)
+    largest = sorted(texts, key=lambda i: -got[i]["key"])[:90]
+    assert {i for i, r in got.items() if r["kept"]} == set(largest)
+    noise = np.array([r["key"] - r["log_weight"] for r in got.values()])
+    assert abs(noise.mean() - 0.5772) < 0.3 and abs(noise.std() - np.pi / 6**0.5) < 0.3
+
+
+def test_flow_is_the_cheapest_of_the_largest():
+    from itertools import product
+
+    rnd = random.Random(1)
+    for _ in range(40):
+        supply = [rnd.randint(0, 2) for _ in range(3)]
+        members = [sorted(rnd.sample([0, 1], rnd.randint(1, 2))) for _ in range(3)]
+        quota = [rnd.randint(0, 4), rnd.randint(0, 4)]
+        best = (0, 0)
+        arcs = [(p, s) for p in range(3) for s in members[p]]
+        for x in product(*(range(2 * supply[p] + 1) for p, _ in arcs)):
+            used = [sum(v for v, (p, _) in zip(x, arcs, strict=True) if p == q) for q in range(3)]
+            filled = [sum(v for v, (_, s) in zip(x, arcs, strict=True) if s == t) for t in range(2)]
+            if all(u <= 2 * c for u, c in zip(used, supply, strict=True)) and all(f <= q for f, q in zip(filled, quota, strict=True)):
+                best = max(best, (sum(x), -sum(max(0, u - c) for u, c in zip(used, supply, strict=True))))
+        flow = mixing.min_cost_flow(supply, members, quota, 2)
+        steps = [[sum(step.values()) for step in p] for p in flow]
+        assert (sum(map(sum, steps)), -sum(s[1] for s in steps)) == best
+        assert all(s[0] <= c and s[1] <= c for s, c in zip(steps, supply, strict=True))
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Scores and neighbours by dense cosines over all terms of the whole texts."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(80)]
+    rows = []
+    for i in range(160):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40))]
+        rows.append((i, " ".join(w.capitalize() if rnd.random() < 0.1 else w for w in words + ["nastyword"] * (i % 5 == 0 and i % 10 > 0) + ["nastier"] * (i % 15 == 0))))
+    rows += [(200, None), (201, "")]
+    truth = {i: int(i % 5 == 0) for i in range(120)}
+
+    def terms(text):
+        out = defaultdict(int)
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower()):
+            for n in (None, 4, 5, 6):
+                if n is None or len(w) > n:
+                    out[n, w[:n]] += 1
+        return out
+
+    bags = {i: terms(t) for i, t in rows}
+    text_of = dict(rows)
+    examples = sorted({text_of[i]: i for i in sorted(truth, reverse=True)}.values(), key=lambda i: (-truth[i], str(i)))
+    rate = sum(truth[i] for i in examples) / len(examples)
+    d, a, df = defaultdict(int), defaultdict(int), defaultdict(int)
+    for i in examples:
+        for t in bags[i]:
+            d[t] += 1
+            a[t] += truth[i]
+    for bag in bags.values():
+        for t in bag:
+            df[t] += 1
+    gain = {t: ((a[t] + 8 * rate) / (d[t] + 8) - rate) / (1 - rate) for t in d}
+    weight = {t: (np.log((len(rows) + 1) / (df[t] + 1)) + 1) * g for t, g in gain.items() if g > 1e-9}
+
+    def vector(bag):
+        x = {t: (1 + np.log(n)) * weight[t] for t, n in bag.items() if t in weight}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        return {t: v / norm for t, v in x.items()}
+
+    known = {i: v for i in examples if (v := vector(bags[i]))}
+
+    def vote(x, without=None):
+        near = sorted(((-round(c, 9), k) for k, i in enumerate(known) if i != without and (c := sum(v * known[i].get(t, 0) for t, v in x.items())) > 0))[:25]
+        w = [c * c / (0.05 + max(0, 1 - c)) for c in (-c for c, _ in near)]
+        return (sum(u * truth[list(known)[k]] for u, (_, k) in zip(w, near, strict=True)) + rate) / (sum(w) + 1), [list(known)[k] for _, k in near[:3]]
+
+    ends, means = toxicity.isotonic(np.array([vote(v, i)[0] for i, v in known.items()]), np.array([truth[i] for i in known], float), rate)
+    bare = [truth[i] for i in examples if i not in known]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")).collect()}
+    for i, bag in bags.items():
+        if x := vector(bag):
+            raw, near = vote(x)
+            at = int(np.argmin(np.abs(ends - raw))) if np.abs(ends - raw).min() < 1e-7 else min(int(np.searchsorted(ends, raw)), len(means) - 1)
+            assert got[i]["score"] == pytest.approx(means[at]), i
+            assert [e["cosine"] for e in got[i]["evidence"]] == pytest.approx([sum(v * known[n].get(t, 0) for t, v in x.items()) for n in near])
+        else:
+            assert got[i]["score"] == pytest.approx((sum(bare) + rate) / (len(bare) + 1)) and not got[i]["evidence"]
+
+
+def test_pipeline_on_planted_cases(spark, tmp_path):
+    import public_tokenizers as P
+    import tiktoken
+
+    rnd = random.Random(12)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    texts = {i: prose(60) for i in range(40)}
+    for i in range(0, 40, 4):
+        texts[i] += " vileslur"
+    words = texts[5].split()
+    texts |= {50: " ".join([*words[:30], "changed", *words[31:]]), 51: "A footer line that repeats\n" + prose(40), 52: prose(40) + "\na footer line that repeats ", 53: texts[7], 54: ""}
+    spark.createDataFrame([(i, t, "en", "one", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    left = {i: t for i, t in texts.items() if i >= 40 or i % 4}
+    left[52] = left[52].split("\n")[0]
+    left[53] = ""  # its one line is that of 7
+    del left[50]
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(ranks_path()), special_tokens={})
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    times = defaultdict(int)
+    for r in got:
+        assert r["ids"] == own.encode_ordinary(left[r["doc_id"]])
+        times[r["doc_id"]] += 1
+    sizes = {i: len(t.split()) for i, t in left.items()}
+    assert all(n <= 2 for n in times.values()) and abs(sum(sizes[i] * n for i, n in times.items()) - 1.5 * sum(sizes.values())) <= 60
+    assert {i for i, s in sizes.items() if s} == set(times)
