@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from heatgrid.llm.bpe import bpe_encode
 from heatgrid.llm.lines import line_dedup
 from heatgrid.llm.mixing import mix, n_words
 from heatgrid.llm.ngramjoin import drop_near_copies
 from heatgrid.llm.queries import held_out, ranks_path
-from heatgrid.llm.store import written
+from heatgrid.llm.store import remove, repeated, written
 from heatgrid.llm.toxicity import toxicity
 
 
@@ -36,10 +37,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     th = F.xxhash64("text")
-    taken = mix(docs.select(F.struct("doc_id", th.alias("th")).alias("row"), "source", "text"), F.array("source"), n_words(F.col("text")), id_col="row")
-    times = taken.where("taken > 0").groupBy("row").agg(F.max(F.expr("taken div size")).alias("_times"))
-    times = times.select(F.col("row.doc_id").alias("_hg_id"), F.col("row.th").alias("_hg_th"), F.col("_times").alias("_hg_times"))
-    both = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hg_id")) & (th == F.col("_hg_th")))
+    copy = F.row_number().over(W.partitionBy("doc_id", th).orderBy("doc_id")) if repeated(docs.select("doc_id")) else F.lit(1)  # of rows with equal ids and texts
+    numbered = docs.withColumn("_hg_n", copy)
+    taken = mix(numbered.select(F.struct("doc_id", th.alias("th"), F.col("_hg_n").alias("n")).alias("row"), "source", "text"), F.array("source"), n_words(F.col("text")), id_col="row")
+    times = taken.where("taken > 0").select(F.col("row.doc_id").alias("_hg_id"), F.col("row.th").alias("_hg_th"), F.col("row.n").alias("_hg_m"), F.expr("taken div size").alias("_hg_times"))
+    both = numbered.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_hg_id")) & (th == F.col("_hg_th")) & (F.col("_hg_n") == F.col("_hg_m")))
     return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_hg_times").cast("int"))).alias("_hg_copy")).drop("_hg_copy")
 
 
@@ -56,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if k:
+            remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)
