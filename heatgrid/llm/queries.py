@@ -197,6 +197,68 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from heatgrid.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, keep_ids=False)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heatgrid.llm.merkle import build_manifest, fold, leaf_hash, proof_digest, proofs
+
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    tampered = leaf_hash(*[F.col(f).cast("decimal(38,0)") + 1 if f == "n_chars" else F.col(f) for f in fields])
+    found = proofs(build_manifest(docs, fields, claim=F.when(changed, tampered)))
+    out = found.withColumn("folded_root", fold(F.coalesce("claim", "leaf"), F.col("steps")))
+    return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+SQL13 = """
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS ft, concat_ws('', CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+    CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END) AS head, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda k: (ord(c)::BIGINT >> k) & 1))), lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295) AS rest
+  FROM documents
+), e AS (
+  SELECT *, sha256(head || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END || ft) AS leaf,
+    CASE WHEN xor(rest, 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN sha256(head || strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) || ft) END AS claim
+  FROM d
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS m, row_number() OVER () AS id FROM e
+), n AS (
+  SELECT tree, 0 AS level, i, m, leaf AS h FROM l
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM n WHERE m > 1 GROUP BY tree, level, m, i // 2
+), t AS (
+  SELECT 0 AS level, tree AS i, count(*) OVER () AS m, h FROM n WHERE m = 1
+  UNION ALL
+  SELECT level + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE m > 1 GROUP BY level, m, i // 2
+), a AS (
+  SELECT tree, level, level AS step, i, m, h FROM n UNION ALL SELECT -1, level, 1000 + level, i, m, h FROM t
+), v AS (SELECT DISTINCT tree, level, step FROM a WHERE m > 1),
+s AS (
+  SELECT l.id, row_number() OVER (PARTITION BY l.id ORDER BY v.step) AS k, (CASE WHEN v.tree < 0 THEN l.tree ELSE l.i END >> v.level) & 1 AS odd, coalesce(a.h, '') AS h
+  FROM l JOIN v ON v.tree IN (l.tree, -1) LEFT JOIN a ON a.tree = v.tree AND a.level = v.level AND a.i = xor(CASE WHEN v.tree < 0 THEN l.tree ELSE l.i END >> v.level, 1)
+), f AS (
+  SELECT id, 0 AS k, coalesce(claim, leaf) AS x FROM l
+  UNION ALL
+  SELECT f.id, s.k, sha256(CASE WHEN s.odd = 1 THEN s.h || f.x ELSE f.x || s.h END) FROM f JOIN s ON s.id = f.id AND s.k = f.k + 1
+), p AS (SELECT id, string_agg(h, '' ORDER BY k) AS h FROM s GROUP BY id),
+g AS (SELECT id, arg_max(x, k) AS x FROM f GROUP BY id), r AS (SELECT h FROM t WHERE m = 1)
+SELECT doc_id, leaf, n.h AS subroot, r.h AS root, sha256(coalesce(p.h, '')) AS proof_sha256, g.x AS folded_root, g.x = r.h AS verified
+FROM l JOIN n ON n.tree = l.tree AND n.m = 1 JOIN g ON g.id = l.id LEFT JOIN p ON p.id = l.id, r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_importance": op2_importance,
@@ -208,6 +270,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -215,4 +280,5 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": _sql5(),
     "op7_near_vectors": SQL7,
     "op8_ngram_join": SQL8,
+    "op13_merkle": SQL13,
 }
