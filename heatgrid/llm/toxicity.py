@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, through a block-max inverted index.
 
 Terms are lower-cased words and their first 4, 5 and 6 bytes. ``fit`` takes about ``max_examples`` labelled texts at most (by
-hash of their id, equal texts once). A term's idf, over all documents, is scaled by its gain: how far the rarer label's
+hash of their id, equal texts once) and about ``max_bytes`` of their texts, so what the driver and each task hold is bounded
+by these two. A term's idf, over all documents, is scaled by its gain: how far the rarer label's
 share of the term's texts, with ``prior_texts`` texts of the base rate added, lies above the base rate, 0 where it doesn't.
 Every term of the examples is in the index but those of gain 0, which add 0 to every product, so cosines are exact over
 all terms. The index holds, for each term, the examples that have it with their weights, in blocks of BLOCK examples with
@@ -152,17 +153,18 @@ class Index:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Upper ends and means of the rising step function nearest to y over x (pooled neighbours, each mean drawn to ``prior`` by one vote)."""
+    """Upper ends, halfway to the next step, and means of the rising step function nearest to y over x (pooled neighbours, each mean drawn to ``prior`` by one vote)."""
     ends: list[list[float]] = []
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else []
     for v, total, n in zip(x[at], np.add.reduceat(y, at) if len(x) else [], np.diff(np.r_[at, len(x)]), strict=True):
-        ends.append([v, total, n])
+        ends.append([v, total, n, v])
         while len(ends) > 1 and ends[-2][1] * ends[-1][2] >= ends[-1][1] * ends[-2][2]:
-            v, total, n = ends.pop()
-            ends[-1] = [v, ends[-1][1] + total, ends[-1][2] + n]
-    return np.array([e[0] for e in ends]), np.array([(e[1] + prior) / (e[2] + 1) for e in ends])
+            v, total, n, _ = ends.pop()
+            ends[-1] = [v, ends[-1][1] + total, ends[-1][2] + n, ends[-1][3]]
+    upper = [(e[0] + after[3]) / 2 for e, after in zip(ends, ends[1:], strict=False)] + [e[0] for e in ends[-1:]]
+    return np.array(upper), np.array([(e[1] + prior) / (e[2] + 1) for e in ends])
 
 
 def weigh(terms: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -170,7 +172,7 @@ def weigh(terms: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.sqrt(x @ x)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, prior_texts: int, k: int, seed: int):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, max_bytes: int, prior_texts: int, weighted: bool, k: int, seed: int):
     """(wanted terms, their weights, index, calibration, base rate, score without terms), or None without examples."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_y"))
     n = known.count()
@@ -178,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     chosen = known.where(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30))).groupBy("_id").agg(F.max("_y").alias("_y"))
     sample = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # about max_examples ids, by the hash filter
     sample = sample.groupBy(F.xxhash64(text_col).alias("_h")).agg(F.min(F.struct("_id", "_y", F.col(text_col).alias("_text"))).alias("_one"))
-    sample = written(sample.select("_one.*"), "examples")
+    table = sample = written(sample.select("_one.*"), "examples")
+    size = sample.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    if size > max_bytes:
+        sample = sample.where(F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(1 << 30)) < int(max_bytes / size * (1 << 30)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     @freeing
@@ -196,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rare, base = ("a", rate) if rate <= 0.5 else ("d - a", 1 - rate)
     counted = sample.select("_y", "_text").mapInArrow(terms_of, "term bigint, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("d"))
     gain = F.expr(f"(({rare}) + {prior_texts * base}D) / (d + {prior_texts}) - {base}D") / F.lit(1 - base)
-    found = counted.select("term", gain.alias("gain")).where("gain > 1e-9").toArrow()
+    found = counted.select("term", (gain if weighted else F.lit(1.0)).alias("gain")).where("gain > 1e-9").toArrow()
     wanted, gains = found.column("term").to_numpy().view(np.uint64), found.column("gain").to_numpy()
     order = np.argsort(wanted)
     wanted, gains = wanted[order], gains[order]
@@ -223,23 +228,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 off = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_pydict({"_id": b.column(0).slice(first, n), "_y": b.column(1).slice(first, n), "terms": pa.ListArray.from_arrays(off, pa.array(t.astype(np.int32))), "times": pa.ListArray.from_arrays(off, pa.array(times.astype(np.int32)))})
 
-    rows = sorted(sample.mapInArrow(vectors_of, f"_id {kind}, _y int, terms array<int>, times array<int>").collect(), key=lambda r: (r["_y"] != (rate <= 0.5), str(r["_id"]), r["terms"], r["times"]))  # blocks of one label bound better
-    full, empty = [r for r in rows if r["terms"]], [r["_y"] for r in rows if not r["terms"]]
-    remove(sample)
+    found = sample.mapInArrow(vectors_of, f"_id {kind}, _y int, terms array<int>, times array<int>").toArrow()
+    ids, ys = found.column("_id").to_pylist(), found.column("_y").to_pylist()
+    terms, times = (found.column(c).combine_chunks() for c in ("terms", "times"))
+    off, terms, times = np.asarray(terms.offsets), terms.values.to_numpy(), times.values.to_numpy()
+    bag = [(terms[i:j], times[i:j]) for i, j in zip(off[:-1], off[1:], strict=True)]
+    order = sorted(range(len(ids)), key=lambda r: (ys[r] != (rate <= 0.5), str(ids[r]), bag[r][0].tobytes(), bag[r][1].tobytes()))  # blocks of one label bound better
+    full, empty = [r for r in order if len(bag[r][0])], [ys[r] for r in order if not len(bag[r][0])]
+    remove(table)
     bare = (sum(empty) + rate) / (len(empty) + 1)
     if not full:
         return wanted, idf, None, None, rate, bare
-    vectors = [(np.array(r["terms"]), weigh(np.array(r["terms"]), np.array(r["times"]), idf)) for r in full]
+    vectors = [(bag[r][0], weigh(*bag[r], idf)) for r in full]
     example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-    index = Index(example, np.concatenate([t for t, _ in vectors]), np.concatenate([x for _, x in vectors]), np.array([r["_y"] for r in full], float), [r["_id"] for r in full], len(wanted), k)
+    index = Index(example, np.concatenate([t for t, _ in vectors]), np.concatenate([x for _, x in vectors]), np.array([ys[r] for r in full], float), [ids[r] for r in full], len(wanted), k)
     own = np.array([index.vote(*found, rate) for found in index.search(vectors, list(range(len(vectors))))])
     steps = isotonic(own, index.labels, rate)
     return wanted, idf, index, steps, rate, bare
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 2048, prior_texts: int = 8, k: int = 25, seed: int = 11) -> DataFrame:
-    """All columns of the documents, score, and evidence array<struct<id, label, cosine>>; ``labels`` are those it may learn from."""
-    fitted = fit(docs, labels, id_col, text_col, label_col, max_examples, prior_texts, k, seed)
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 2048, max_bytes: int = 64 << 20, prior_texts: int = 8, weighted: bool = True, k: int = 25, seed: int = 11) -> DataFrame:
+    """All columns of the documents, score, and evidence array<struct<id, label, cosine>>; ``labels`` are those it may learn from.
+    ``weighted``: terms count by their gain, else by plain idf."""
+    fitted = fit(docs, labels, id_col, text_col, label_col, max_examples, max_bytes, prior_texts, weighted, k, seed)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted, idf, index, steps, rate, bare = fitted or (np.zeros(0, np.uint64), np.zeros(0), None, None, 0.0, 0.0)
 
