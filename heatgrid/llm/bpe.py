@@ -14,6 +14,7 @@ columns are ignored; equal rows give equal results; an empty table gives an empt
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -52,13 +53,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@functools.cache
+def newer_letters() -> str:
+    """A character class of the code points that ``regex`` takes for letters or numbers and the tiktoken library, whose
+    Unicode tables are older, doesn't; empty if there are none."""
+    import regex
+    import tiktoken
+
+    known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
+    ranks = {bytes([i]): i for i in range(256)} | {b"\x01\x02": 256}
+    probe = tiktoken.Encoding("probe", pat_str=r"[\p{L}\p{N}]+|\x01\x02", mergeable_ranks=ranks, special_tokens={})
+    found, codes = [], probe.encode_ordinary("".join(c + "\x01\x02" for c in known))
+    at = 0
+    for c in known:  # what matches nothing gives no id
+        n = len(c.encode())
+        if codes[at] == 256:
+            found.append(ord(c))
+            n = 0
+        at += n + 1
+    edges = [k for k in range(len(found)) if not k or found[k] != found[k - 1] + 1] + [len(found)]
+    return "".join(f"\\U{found[a]:08X}-\\U{found[b - 1]:08X}" for a, b in zip(edges, edges[1:], strict=False))
+
+
 class Coder:
-    """A task's merge table in DuckDB, and the pieces it has encoded lately."""
+    """A task's merge table in DuckDB, and the pieces it has encoded lately. ``newer``: what ``newer_letters`` says."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, newer: str = ""):
         import duckdb
         import regex
 
+        self.newer = regex.compile(f"[{newer}]") if newer else None
         self.ranks = load_ranks(ranks_path)
         self.single = np.array([self.ranks.get(bytes([i]), 0) for i in range(256)], np.int64)
         self.split = regex.compile(pattern)
@@ -80,6 +104,12 @@ class Coder:
             self.db.unregister(name)
         self.pieces = PieceEncoder(self._learn, KNOWN_BYTES)
 
+    def _split(self, piece: str) -> list[str]:
+        """Matches of the pattern; newer letters count as code points of no kind."""
+        if self.newer is None or piece.isascii() or not self.newer.search(piece):
+            return self.split.findall(piece)
+        return [piece[m.start() : m.end()] for m in self.split.finditer(self.newer.sub("\ue000", piece))]
+
     def _contract(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of words that aren't tokens themselves."""
         out: dict[bytes, bytes] = {}
@@ -111,7 +141,7 @@ class Coder:
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and how many each has."""
-        split = [self.split.findall(p) for p in pieces]
+        split = [self._split(p) for p in pieces]
         words = {w: w.encode() for ms in split for w in ms}
         ids = {w: int.to_bytes(self.ranks[b], 4, "little") for w, b in words.items() if b in self.ranks}
         raw = self._contract([b for w, b in words.items() if w not in ids])
@@ -140,9 +170,9 @@ class Coder:
 
 
 @contextmanager
-def coder(ranks_path: str, pattern: str) -> Iterator[Coder]:
+def coder(ranks_path: str, pattern: str, newer: str = "") -> Iterator[Coder]:
     """A coder for one task."""
-    own = Coder(ranks_path, pattern)
+    own = Coder(ranks_path, pattern, newer)
     try:
         yield own
     finally:
@@ -153,9 +183,10 @@ def coder(ranks_path: str, pattern: str) -> Iterator[Coder]:
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id_col, ids, n_tokens, ids_sha256, decoded_sha256) of each row: its ids, their digest, and that of the bytes they decode to."""
+    newer = newer_letters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with coder(ranks_path, pattern) as own:
+        with coder(ranks_path, pattern, newer) as own:
             for b in text_slices(batches):
                 ids, counts = own.pieces.encode(b.column(1))
                 decoded = own.decode(ids, counts)

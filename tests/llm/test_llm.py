@@ -67,7 +67,7 @@ def test_empty_tables(spark, sf, name):
     assert QUERIES[name](spark, f"file://{sf}/empty").count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_whitening", "op12_packing"}))
 def test_awkward_rows_give_a_row_each(spark, sf, name):
     assert QUERIES[name](spark, f"file://{sf}").count() == awkward(spark).count()
 
@@ -253,6 +253,19 @@ def test_toxicity_on_held_out_labels(spark):
     assert all((r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in scored)
 
 
+def test_toxicity_of_long_labelled_texts(spark):
+    """A bound on the examples' bytes is kept, and one weak hit stays near the base rate."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 8)))
+    texts = [" ".join([word() for _ in range(2000)] + ["vileslur"] * 3 * (i % 4 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, " ".join(word() for _ in range(40)))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    whole = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert whole[100] < 0.5 and all((whole[i] > 0.5) == (i % 4 == 0) for i in range(60))
+    fitted = toxicity.fit(docs, labels, "doc_id", "text", "toxic", 2048, 300_000, 8, True, 25, 11)
+    assert 5 <= len(fitted[2].ids) <= 40
+
+
 def test_toxicity_learns_from_few_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -311,6 +324,24 @@ def test_encoders_on_odd_texts():
             assert got.tolist() == own.encode_ordinary(t or "") and back == (t or "").encode(), repr(t)
 
 
+def test_bpe_on_code_points_of_newer_unicode():
+    """Letters and numbers that one of the two libraries doesn't know yet, alone and beside what tells kinds apart."""
+    import unicodedata
+
+    import pyarrow as pa
+    import public_tokenizers as P
+    import regex
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(ranks_path()), special_tokens={})
+    points = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
+    points += [chr(c) for c in range(0x110000) if c % 211 == 0 and not 0xD800 <= c < 0xE000]
+    texts = [form.replace("{}", c) for c in points for form in ("{}'s", "{}a", "1{}!? {}")]
+    with bpe.coder(ranks_path(), P.PATTERN, bpe.newer_letters()) as coder:
+        ids, counts = coder.pieces.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == own.encode_ordinary_batch(texts)
+
+
 def test_known_pieces_are_bounded(monkeypatch):
     import public_tokenizers as P
     import pyarrow as pa
@@ -434,7 +465,8 @@ def test_flow_is_the_cheapest_of_the_largest():
         assert all(s[0] <= c and s[1] <= c for s, c in zip(steps, supply, strict=True))
 
 
-def test_toxicity_equals_brute_force(spark):
+@pytest.mark.parametrize("weighted", [True, False])
+def test_toxicity_equals_brute_force(spark, weighted):
     """Scores and neighbours by dense cosines over all terms of the whole texts."""
     rnd = random.Random(6)
     vocabulary = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(80)]
@@ -465,7 +497,7 @@ def test_toxicity_equals_brute_force(spark):
     for bag in bags.values():
         for t in bag:
             df[t] += 1
-    gain = {t: ((a[t] + 8 * rate) / (d[t] + 8) - rate) / (1 - rate) for t in d}
+    gain = {t: ((a[t] + 8 * rate) / (d[t] + 8) - rate) / (1 - rate) if weighted else 1.0 for t in d}
     weight = {t: (np.log((len(rows) + 1) / (df[t] + 1)) + 1) * g for t, g in gain.items() if g > 1e-9}
 
     def vector(bag):
@@ -480,10 +512,12 @@ def test_toxicity_equals_brute_force(spark):
         w = [c * c / (0.05 + max(0, 1 - c)) for c in (-c for c, _ in near)]
         return (sum(u * truth[list(known)[k]] for u, (_, k) in zip(w, near, strict=True)) + rate) / (sum(w) + 1), [list(known)[k] for _, k in near[:3]]
 
+    cuts, steps = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.8, 0.9, 0.95]), np.array([0, 1, 0, 1, 1, 0.5]), 0.5)
+    assert cuts == pytest.approx([0.15, 0.55, 0.95]) and steps == pytest.approx([0.25, 0.5, 0.75])  # halfway between steps
     ends, means = toxicity.isotonic(np.array([vote(v, i)[0] for i, v in known.items()]), np.array([truth[i] for i in known], float), rate)
     bare = [truth[i] for i in examples if i not in known]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")).collect()}
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int"), weighted=weighted).collect()}
     for i, bag in bags.items():
         if x := vector(bag):
             raw, near = vote(x)
