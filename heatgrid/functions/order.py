@@ -28,9 +28,11 @@ def _same(keys: list[str], prefix: str) -> Column:
     return same
 
 
-def medians(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """(keys, median) of the values that aren't null, one row for each group that has any (without keys one row, null if there are none)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", bucket(F.col("_v")))
+def medians(df: DataFrame, value: str, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, median) of the values that aren't null, one row for each group that has any (without keys one row, null if there are none).
+    ``weight``: whole numbers, how often each value counts."""
+    times = F.count("*") if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(times.alias("_n")).withColumn("_b", bucket(F.col("_v")))
     sums = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     w = W.partitionBy(*keys)  # a row for each bucket
     placed = sums.withColumn("_upto", F.sum("_n").over(w.orderBy("_b"))).withColumn("_all", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))

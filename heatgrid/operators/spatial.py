@@ -9,30 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from heatgrid.functions.order import medians
+from heatgrid.operators.coverage import UNIT, covered_cells
 from heatgrid.sources.shared import new_folder
 
 
-def zone_spans(edges: DataFrame, k: int = 1) -> DataFrame:
-    """(feature_id, row, from, to): sub-columns whose centres lie inside on each sub-row, k of them to a cell.
+def zone_spans(edges: DataFrame) -> DataFrame:
+    """(feature_id, row, from, to): columns whose centres lie inside on each row.
 
     Each edge gives its crossing with the centre line of every row that it spans; sorted crossings pair up.
     """
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    first, last = F.ceil(lo * k - 0.5), F.ceil(hi * k - 0.5) - 1
+    first, last = F.ceil(lo - 0.5), F.ceil(hi - 0.5) - 1
     rows = edges.where("y1 <> y2").where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
-    y = (F.col("row") + 0.5) / k
+    y = F.col("row") + 0.5
     x = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
     xs = rows.groupBy("feature_id", "row").agg(F.array_sort(F.collect_list(x)).alias("xs"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.ceil(F.get("xs", i) * k - 0.5).alias("from"), (F.ceil(F.get("xs", i + 1) * k - 0.5) - 1).alias("to")))
+    pairs = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.ceil(F.get("xs", i) - 0.5).alias("from"), (F.ceil(F.get("xs", i + 1) - 0.5) - 1).alias("to")))
     return xs.where(F.size("xs") >= 2).select("feature_id", "row", F.explode(pairs).alias("p")).select("feature_id", "row", "p.from", "p.to").where("from <= to")
 
 
-def cells_in_zones(cells: DataFrame, edges: DataFrame, k: int = 1) -> DataFrame:
-    """Cells with ``feature_id`` and ``weight``, the number of a cell's k x k sample points inside (k = 1: its centre)."""
-    spans = zone_spans(edges, k)
-    at = spans.withColumn("col", F.explode(F.sequence("from", "to"))).select("feature_id", F.floor(F.col("row") / k).cast("int").alias("row"), F.floor(F.col("col") / k).cast("int").alias("col"))
-    weights = at.groupBy("feature_id", "row", "col").agg(F.count("*").alias("weight"))
-    return weights.join(cells, ["row", "col"])
+def cells_in_zones(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """Cells with the ``feature_id`` of each zone that their centre lies in, and ``weight`` 1."""
+    at = zone_spans(edges).select("feature_id", F.col("row").cast("int").alias("row"), F.explode(F.sequence(F.col("from").cast("int"), F.col("to").cast("int"))).alias("col"), F.lit(1).cast("bigint").alias("weight"))
+    return at.join(cells, ["row", "col"])
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, bucket: float = 4.0) -> DataFrame:
@@ -166,25 +166,29 @@ def cluster_summary(tiers: DataFrame, levels: tuple[int, ...] = (99, 95, 90)) ->
     return out.select("category", "confidence", "n_cells", F.round(100 * F.col("n_cells") / F.sum("n_cells").over(W.partitionBy()), 2).alias("pct_valid"))  # a row for each tier
 
 
-def zonal_statistics(cells: DataFrame, edges: DataFrame, zones: DataFrame | None = None, value: str = "value", prefix: str = "", k: int = 1) -> DataFrame:
-    """Mean, median, least, most, sum, count, deviation, variance and majority of each zone; zones without cells get nulls."""
-    v, w = F.col(value), F.col("weight")
-    inside = cells_in_zones(cells, edges, k).where(v.isNotNull())
-    top = inside.groupBy("feature_id", value).agg(F.sum("weight").alias("ws")).groupBy("feature_id").agg(F.max_by(value, F.struct("ws", -v)).alias("majority"))
-    mean = F.sum(v * w) / F.sum(w)
-    out = inside.groupBy("feature_id").agg(
-        mean.alias("mean"), F.percentile(v, 0.5, w).alias("median") if k > 1 else F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * w) / (k * k)).alias("sum"), F.count("*").alias("count"),
-        F.stddev(v).alias("stdev"), F.variance(v).alias("variance"))
+def zonal_statistics(cells: DataFrame, edges: DataFrame, zones: DataFrame | None = None, value: str = "value", prefix: str = "", exact: bool = False) -> DataFrame:
+    """Mean, median, least, most, sum, count, deviation, variance and majority of each zone; zones without cells get nulls.
+
+    Cells count by their centre, with sample deviations, or ``exact``: by the share that the zone covers, with deviations of
+    the weighted whole; ``count`` is then the sum of shares."""
+    v, w = F.col(value), F.col("units") if exact else F.lit(1)
+    inside = (covered_cells(cells, edges) if exact else cells_in_zones(cells, edges)).where(v.isNotNull())
+    top = inside.groupBy("feature_id", value).agg(F.sum(w).alias("ws")).groupBy("feature_id").agg(F.max_by(value, F.struct("ws", -v)).alias("majority"))
+    unit = UNIT if exact else 1
+    total, mean = F.sum(w), F.sum(v * w) / F.sum(w)
+    var = F.greatest(F.lit(0.0), F.sum(v * v * w) / total - mean * mean) if exact else F.variance(v)
+    out = inside.groupBy("feature_id").agg(mean.alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * w) / unit).alias("sum"), (total / unit if exact else F.count("*")).alias("count"), F.sqrt(var).alias("stdev"), var.alias("variance"))
+    out = out.join(medians(inside, value, ["feature_id"], "units" if exact else None), "feature_id").join(top, "feature_id")
     ids = (zones if zones is not None else edges).select("feature_id").distinct()
-    out = ids.join(out.join(top, "feature_id"), "feature_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    out = ids.join(out, "feature_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return out.select("feature_id", *[F.col(c).alias(prefix + c) for c in out.columns if c != "feature_id"])
 
 
-def land_cover_proportions(cells: DataFrame, edges: DataFrame, crosswalk: DataFrame, targets: list[str], k: int = 1) -> DataFrame:
-    """prop_<class> of each zone; unmapped codes count in the whole only; ``row_ok`` says whether the shares sum to about 1."""
-    inside = cells_in_zones(cells, edges, k).where("code IS NOT NULL").join(crosswalk, "code", "left")
-    whole = F.sum("weight")
-    out = inside.groupBy("feature_id").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("target") == t, F.col("weight"))), F.lit(0)) / whole, 4).alias(f"prop_{t}") for t in targets])
+def land_cover_proportions(cells: DataFrame, edges: DataFrame, crosswalk: DataFrame, targets: list[str]) -> DataFrame:
+    """prop_<class> of each zone by covered area; unmapped codes count in the whole only; ``row_ok`` says whether the shares sum to about 1."""
+    inside = covered_cells(cells, edges).where("code IS NOT NULL").join(crosswalk, "code", "left")
+    whole = F.sum("units")
+    out = inside.groupBy("feature_id").agg(*[F.round(F.coalesce(F.sum(F.when(F.col("target") == t, F.col("units"))), F.lit(0)) / whole, 4).alias(f"prop_{t}") for t in targets])
     return out.withColumn("row_ok", sum(F.col(f"prop_{t}") for t in targets).between(0.95, 1.05))
 
 

@@ -85,7 +85,7 @@ ANTI JOIN ({inside('lst', 'zones', 'value')}) i ON i.feature_id = d.feature_id A
 #: every zone is valid
 Q1 = PCI.replace("LEVEL", "tv").replace("j >= 3", "j >= 2").replace("n_rings < 3", "n_rings < 2").replace("{rings}", f"({_BANDS})").replace("{interior}", f"({_PARK.replace('round(median(value), 6)', 'median(value)')})")
 query("q1_park_cooling", "zones lst", Q1 + "SELECT * FROM pci")(park_cooling)
-query("q2_heat_islands", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI.replace('{lst}', '(SELECT * FROM {lst} c WHERE row < 40)')})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst.where("row < 40"))).groupBy("tier").agg(F.count("*").alias("n")))
+query("q2_heat_islands", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst)).groupBy("tier").agg(F.count("*").alias("n")))
 query("q2_heat_islands_whole", "lst", f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI})) GROUP BY tier")(lambda lst: spatial.classify_clusters(spatial.local_gi(lst)).groupBy("tier").agg(F.count("*").alias("n")))
 _COARSE = """SELECT value, code FROM (SELECT row // 4 AS row, col // 4 AS col, median(value) AS value FROM {lst} t GROUP BY ALL) JOIN (SELECT row, col, arg_min(code, code - 1000 * n) AS code FROM (SELECT row // 4 AS row, col // 4 AS col, code, count(*) AS n FROM {lc} t GROUP BY ALL) GROUP BY row, col) USING (row, col)"""
 query("q3_cooling_differential", "lst lc", DIFFERENTIAL.replace("{lst_lc}", f"({_COARSE})"))(lambda lst, lc: cooling.cooling_differential(cells.composite(lst.selectExpr("cast(row div 4 as int) row", "cast(col div 4 as int) col", "value", "row * 64 + col time"), "median").join(cells.resample_majority(lc, 4), ["row", "col"]), [10], [30, 50]))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from heatgrid.operators import spatial as op
 from heatgrid.operators import vectors as vec
+from heatgrid.operators.coverage import UNIT, covered_cells
 from heatgrid.registry import query
 from heatgrid.sources import standins
 
@@ -30,6 +31,17 @@ def inside(src: str, zones: str, v: str) -> str:
     return IN.replace("{src}", "{" + src + "}").replace("{zones}", "{" + zones + "}").replace("{v}", v)
 
 
+#: (feature_id, row, col, value or code, w) of cells with their covered share, by the mean of what each edge leaves free to its right
+COVERED = """SELECT feature_id, row, col, {v}, round(-sum(s * h * CASE WHEN xr > xl THEN ((CASE WHEN xr <= col THEN xr - col WHEN xr >= col + 1 THEN 0.5 ELSE (xr - col) - (xr - col) ** 2 / 2 END) - (CASE WHEN xl <= col THEN xl - col WHEN xl >= col + 1 THEN 0.5 ELSE (xl - col) - (xl - col) ** 2 / 2 END)) / (xr - xl)
+  ELSE greatest(0, least(1, col + 1 - xl)) END) * 1e9) / 1e9 AS w FROM (SELECT *, least(xa, xb) AS xl, greatest(xa, xb) AS xr FROM (SELECT feature_id, row, col, {v}, s, least(hi, row + 1) - greatest(lo, row) AS h, x1 + (greatest(lo, row) - y1) / (y2 - y1) * (x2 - x1) AS xa, x1 + (least(hi, row + 1) - y1) / (y2 - y1) * (x2 - x1) AS xb
+  FROM {src} t JOIN (SELECT *, least(y1, y2) AS lo, greatest(y1, y2) AS hi, sign(y2 - y1) * CASE WHEN ring = 1 THEN 1 ELSE -1 END * sign(sum(x1 * y2 - x2 * y1) OVER (PARTITION BY feature_id, part, ring)) AS s FROM {zones} z) e ON y1 <> y2 AND hi > row AND lo < row + 1))
+GROUP BY feature_id, row, col, {v} HAVING w > 0"""
+
+
+def covered(src: str, zones: str, v: str) -> str:
+    return COVERED.replace("{src}", "{" + src + "}").replace("{zones}", "{" + zones + "}").replace("{v}", v)
+
+
 def _large(cells):
     """Cells of zones with more than four."""
     return cells.where("code IS NOT NULL").select("feature_id", "row", "col", "code").withColumn("_n", F.count("*").over(W.partitionBy("feature_id"))).where("_n > 4").drop("_n")
@@ -44,9 +56,8 @@ query("j2_points_in_polygons", "pts zones", "SELECT id, feature_id FROM {pts} p
 query("p8_clip_centroid_within", "zones boundary", """SELECT feature_id FROM (SELECT feature_id, sum((x1 + x2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS x, sum((y1 + y2) * (x1 * y2 - x2 * y1)) / (3 * sum(x1 * y2 - x2 * y1)) AS y FROM {zones} z GROUP BY 1) p
 JOIN (SELECT x1, y1, x2, y2 FROM {boundary} b) e ON ((y1 <= y) <> (y2 <= y)) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY feature_id HAVING count(*) % 2 = 1""")(
     lambda zones, boundary: op.points_in_polygons(vec.geometry(zones).select(F.col("feature_id").alias("id"), F.col("centroid_x").alias("x"), F.col("centroid_y").alias("y")), boundary.withColumn("feature_id", F.lit("b"))).select(F.col("id").alias("feature_id")))
-query("j3_distance_bands", "lst some_zones", f"""SELECT d.feature_id, d.row, d.col, greatest(1, ceil(round(d / 2, 9))) * 2.0 AS distance_m FROM ({DIST}) d
-ANTI JOIN ({inside('lst', 'some_zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 6""")(
-    lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
+query("j3_distance_bands", "lst zones", f"""SELECT d.feature_id, d.row, d.col, greatest(1, ceil(round(d / 2, 9))) * 2.0 AS distance_m FROM ({DIST.replace('{some_zones}', '{zones}')}) d
+ANTI JOIN ({inside('lst', 'zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 6""")(lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
 query("j3_distance_bands_whole", "lst zones", f"""SELECT d.feature_id, d.row, d.col, greatest(1, ceil(round(d / 2, 9))) * 2.0 AS distance_m FROM ({DIST.replace('{some_zones}', '{zones}')}) d
 ANTI JOIN ({inside('lst', 'zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 6""")(lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
 query("p9_crop_to_boundary", "lst boundary", f"""SELECT DISTINCT row, col, value FROM (SELECT row, col, value FROM ({inside('lst', 'boundary', 'value')}) UNION ALL SELECT row, col, value FROM ({DIST.replace('{some_zones}', '{boundary}')}) WHERE d <= 4)""")(
@@ -54,7 +65,7 @@ query("p9_crop_to_boundary", "lst boundary", f"""SELECT DISTINCT row, col, value
 query("j4_neighbours_within", "lst", "SELECT a.row, a.col, a.value, sum(b.value) AS total, count(*) AS n FROM {lst} a JOIN {lst} b ON (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 2.25 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY ALL")(
     lambda lst: op.neighbours(lst, 1.5).groupBy("row", "col", "value").agg(F.sum("other").alias("total"), F.count("*").alias("n")))
 query("j5_knn", "lst", """SELECT row, col, n_row, n_col, d2 FROM (SELECT a.row, a.col, b.row AS n_row, b.col AS n_col, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 AS d2, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) AS k
-FROM {lst} a JOIN {lst} b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 AND NOT (a.row = b.row AND a.col = b.col)) WHERE k <= 8""")(op.knn_within)
+FROM {lst} a JOIN {lst} b ON NOT (a.row = b.row AND a.col = b.col)) WHERE k <= 8""")(op.knn)
 query("j5_knn_whole", "lst", """SELECT row, col, n_row, n_col, d2 FROM (SELECT a.row, a.col, b.row AS n_row, b.col AS n_col, (a.row - b.row) ** 2 + (a.col - b.col) ** 2 AS d2, row_number() OVER (PARTITION BY a.row, a.col ORDER BY (a.row - b.row) ** 2 + (a.col - b.col) ** 2, b.row, b.col) AS k
 FROM {lst} a JOIN {lst} b ON NOT (a.row = b.row AND a.col = b.col)) WHERE k <= 8""")(op.knn)
 GI = """SELECT row, col, value, (l - w * m) / sqrt(((q - value * value) / (n - 1) - m * m) * ((n - 1) * w - w * w) / (n - 2)) AS z FROM (SELECT *, (s - value) / (n - 1) AS m FROM (
@@ -78,11 +89,14 @@ query("a1_zonal_statistics", "lst all_zones", f"""SELECT feature_id, round(s.mea
 FROM (SELECT DISTINCT feature_id FROM {{all_zones}} z) LEFT JOIN (SELECT feature_id, avg(value) AS mean, median(value) AS median, min(value) AS min, max(value) AS max, sum(value) AS sum, count(*) AS count, stddev_samp(value) AS stdev, var_samp(value) AS variance FROM ({inside('lst', 'all_zones', 'value')}) GROUP BY 1) s USING (feature_id)
 LEFT JOIN (SELECT feature_id, arg_max(value, n * 1000 - value) AS majority FROM (SELECT feature_id, value, count(*) AS n FROM ({inside('lst', 'all_zones', 'value')}) GROUP BY ALL) GROUP BY 1) m USING (feature_id)""")(
     lambda lst, z: op.zonal_statistics(lst, z).select("feature_id", "min", "max", "count", "majority", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sum", "stdev", "variance")]))
-query("a1_zonal_weighted", "lst zones", """SELECT feature_id, count(DISTINCT row * 1000 + col) AS count, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(sum(value) / 64, 6) AS sum FROM (
-SELECT feature_id, row, col, i, j, value FROM (SELECT row, col, value, i, j, col + (i + 0.5::DOUBLE) / 8 AS px, row + (j + 0.5::DOUBLE) / 8 AS py FROM {lst} c, range(8) a(i), range(8) b(j)) t
-JOIN {zones} e ON ((y1 <= py) <> (y2 <= py)) AND px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1""")(lambda lst, z: op.zonal_statistics(lst, z, k=8).select("feature_id", "count", *[F.round(c, 6).alias(c) for c in ("mean", "median", "sum")]))
-query("a2_land_cover_proportions", "lc zones crosswalk", f"""SELECT *, prop_forest + prop_open + prop_built BETWEEN 0.95 AND 1.05 AS row_ok FROM (SELECT feature_id, {', '.join(f"round(count(*) FILTER (target = '{t}') / count(*), 4) AS prop_{t}" for t in ('forest', 'open', 'built'))}
-FROM ({inside('lc', 'zones', 'code')}) i LEFT JOIN {{crosswalk}} m ON m.code = i.code GROUP BY feature_id)""")(lambda lc, z, m: op.land_cover_proportions(lc, z, m, ["forest", "open", "built"]))
+WEIGHTED = f"""WITH c AS ({covered('lst', 'zones', 'value')}), u AS (SELECT feature_id, value, CAST(round(w * 1e9) AS BIGINT) AS u FROM c), o AS (SELECT *, sum(u) OVER (PARTITION BY feature_id ORDER BY value) AS upto, sum(u) OVER (PARTITION BY feature_id) AS whole FROM u)
+SELECT feature_id, round(sum(u) / 1e9, 6) AS count, round(sum(value * u) / sum(u), 6) AS mean, round((min(value) FILTER (2 * upto >= whole) + min(value) FILTER (2 * upto > whole)) / 2, 6) AS median, round(sum(value * u) / 1e9, 6) AS sum, round(sum(value * value * u) / sum(u) - (sum(value * u) / sum(u)) ** 2, 4) AS variance FROM o GROUP BY 1"""
+weighted = lambda lst, z: op.zonal_statistics(lst, z, exact=True).where("mean IS NOT NULL").select("feature_id", *[F.round(c, 6).alias(c) for c in ("count", "mean", "median", "sum")], F.round("variance", 4).alias("variance"))
+query("a1_zonal_weighted", "lst zones", WEIGHTED)(weighted)
+query("j1_coverage", "lst zones", f"SELECT feature_id, row, col, value, round(w, 6) AS share FROM ({covered('lst', 'zones', 'value')})")(
+    lambda lst, z: covered_cells(lst, z).select("feature_id", "row", "col", "value", F.round(F.col("units") / UNIT, 6).alias("share")))
+query("a2_land_cover_proportions", "lc zones crosswalk", f"""SELECT *, prop_forest + prop_open + prop_built BETWEEN 0.95 AND 1.05 AS row_ok FROM (SELECT feature_id, {', '.join(f"round(coalesce(sum(w) FILTER (target = '{t}'), 0) / sum(w), 4) AS prop_{t}" for t in ('forest', 'open', 'built'))}
+FROM ({covered('lc', 'zones', 'code')}) i LEFT JOIN {{crosswalk}} m ON m.code = i.code GROUP BY feature_id)""")(lambda lc, z, m: op.land_cover_proportions(lc, z, m, ["forest", "open", "built"]))
 GEOM = "SELECT feature_id, round(area, 2) AS area_m2, round(area / 1e4, 4) AS area_ha, round(len, 2) AS perimeter_m FROM (SELECT feature_id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area, sum(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len FROM {zones} z GROUP BY 1)"
 query("a3_landscape_metrics", "zones lc lst", f"""SELECT feature_id, round(area_m2 / 1e4, 4) AS PA, perimeter_m AS PP, round(perimeter_m / (2 * sqrt(pi() * area_m2)), 4) AS LSI, LPI, NDVI_veg FROM ({GEOM})
 LEFT JOIN (SELECT feature_id, round(100 * max(n) / sum(n), 2) AS LPI FROM (SELECT feature_id, code, count(*) AS n FROM ({inside('lc', 'zones', 'code')}) GROUP BY ALL) GROUP BY 1) USING (feature_id)

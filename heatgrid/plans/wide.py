@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heatgrid.operators import spatial as op
-from heatgrid.plans.spatial import DIST, GI, TIER, inside
+from heatgrid.plans.spatial import DIST, GI, TIER, WEIGHTED, weighted, inside
 from heatgrid.registry import query
 from heatgrid.sources import standins
 
@@ -31,6 +31,7 @@ query("q2_heat_islands_wide", "lst_wide", _wide(f"SELECT tier, count(*) AS n FRO
 query("a1_zonal_statistics_wide", "lst_wide zones_wide", _wide(f"""SELECT feature_id, round(avg(value), 4) AS mean, round(median(value), 4) AS median, min(value) AS min, max(value) AS max, count(value) AS count
 FROM (SELECT DISTINCT feature_id FROM {{zones}} z) LEFT JOIN ({inside('lst', 'zones', 'value')}) USING (feature_id) GROUP BY 1"""))(
     lambda lst, z: op.zonal_statistics(lst, z).select("feature_id", "min", "max", "count", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median")))
+query("a1_zonal_weighted_wide", "lst_wide zones_wide", _wide(WEIGHTED))(weighted)
 query("w5_buffer_fractions_wide", "lc_wide points_wide", """SELECT id, round(count(*) FILTER (code IN (10, 30)) / count(*) FILTER (code <> 0), 5) AS green, round(count(*) FILTER (code = 80) / count(*) FILTER (code <> 0), 5) AS blue
 FROM {points_wide} p JOIN {lc_wide} c ON abs(c.row - p.row) <= 3 AND abs(c.col - p.col) <= 3 GROUP BY id HAVING count(*) FILTER (code <> 0) >= 10""")(lambda lc, p: op.buffer_fractions(lc, p, 3, {"green": [10, 30], "blue": [80]}))
 query("a4_edge_metrics_wide", "lc_wide", """SELECT a.code, count(*) FILTER (a.code = b.code) AS like2, count(*) FILTER (a.code <> b.code) AS unlike FROM {lc_wide} a JOIN {lc_wide} b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row AND b.col = a.col - 1) OR (b.col = a.col AND b.row = a.row + 1) OR (b.col = a.col AND b.row = a.row - 1) GROUP BY 1""")(

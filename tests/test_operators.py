@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from heatgrid import registry
 from heatgrid.functions.order import medians, rank_descending
-from heatgrid.operators import camera, catalog, cells, cooling, identity, sampling, spatial, statistics, vectors
+from heatgrid.operators import camera, catalog, cells, cooling, coverage, identity, sampling, spatial, statistics, vectors
 from heatgrid.sources import standins
 from heatgrid.streaming import gatekeeper
 
@@ -103,11 +103,61 @@ def test_stepwise_and_vif(spark):
     assert table["a"][1] == pytest.approx(2, abs=0.05) and table["b"][1] == pytest.approx(-3, abs=0.05)
 
 
-def test_coverage_weights_approach_area(spark):
-    edges = spark.createDataFrame([("z", 1, 1, 1, 0.25, 0.5, 3.75, 0.5), ("z", 1, 1, 2, 3.75, 0.5, 3.75, 2.5), ("z", 1, 1, 3, 3.75, 2.5, 0.25, 2.5), ("z", 1, 1, 4, 0.25, 2.5, 0.25, 0.5)], "feature_id string, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
-    cells = spark.range(16).selectExpr("cast(id div 4 as int) row", "cast(id % 4 as int) col", "1.0 value")
-    total = spatial.cells_in_zones(cells, edges, 8).agg(F.sum("weight")).first()[0] / 64
-    assert total == pytest.approx(7.0, abs=1e-9)
+EDGES = "feature_id string, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double"
+
+
+def ring_edges(feature, ring, points, part=1):
+    return [(feature, part, ring, k + 1, *map(float, p), *map(float, q)) for k, (p, q) in enumerate(zip(points, points[1:] + points[:1], strict=True))]
+
+
+def clipped_area(points, row, col):
+    """Area of a ring inside a cell, by cutting it at the cell's four sides."""
+    for axis, bound, keep in ((0, col, 1), (0, col + 1, -1), (1, row, 1), (1, row + 1, -1)):
+        out = []
+        for p, q in zip(points, points[1:] + points[:1], strict=True):
+            inside = [(x[axis] - bound) * keep >= 0 for x in (p, q)]
+            if inside[0]:
+                out.append(p)
+            if inside[0] != inside[1]:
+                t = (bound - p[axis]) / (q[axis] - p[axis])
+                out.append(tuple(bound if i == axis else p[i] + t * (q[i] - p[i]) for i in (0, 1)))
+        points = out
+        if not points:
+            return 0.0
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True))) / 2
+
+
+def test_coverage_equals_clipped_areas(spark):
+    """Triangles, a hole, slivers, rings of either turn, two parts and sides on cell borders, to a billionth."""
+    rnd = random.Random(8)
+    shapes = {f"t{i}": [(1, [(rnd.uniform(0, 20), rnd.uniform(0, 20)) for _ in range(3)])] for i in range(12)}
+    shapes["square"] = [(1, [(2, 2), (2, 5), (6, 5), (6, 2)])]
+    shapes["hole"] = [(1, [(0.25, 0.5), (12.75, 0.5), (12.75, 9.5), (0.25, 9.5)]), (2, [(3.3, 3.1), (8.2, 4.4), (5.5, 8.7)])]
+    shapes["sliver"] = [(1, [(0.1, 0.2), (19.9, 17.3), (19.9, 17.300001)])]
+    shapes["flat"] = [(1, [(0.5, 3.0000001), (19.5, 3.0000002), (19.5, 3.4), (0.5, 3.3)])]
+    edges = [e for f, rings in shapes.items() for r, points in rings for e in ring_edges(f, r, points)]
+    edges += ring_edges("two", 1, [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5)]) + ring_edges("two", 1, [(10.25, 10.5), (11, 12.5), (10.25, 12.5)], 2)
+    shapes["two"] = [(1, [(0.5, 0.5), (1.5, 0.5), (1.5, 1.5)]), (1, [(10.25, 10.5), (11, 12.5), (10.25, 12.5)])]
+    cells = spark.range(400).selectExpr("cast(id div 20 as int) row", "cast(id % 20 as int) col", "cast(id as double) value")
+    table = spark.createDataFrame(edges, EDGES)
+    got = {(r["feature_id"], r["row"], r["col"]): r["units"] / coverage.UNIT for r in coverage.covered_cells(cells, table).collect()}
+    for f, rings in shapes.items():
+        for row in range(20):
+            for col in range(20):
+                want = sum((1 if r == 1 else -1) * clipped_area([tuple(map(float, p)) for p in points], row, col) for r, points in rings)
+                assert got.get((f, row, col), 0.0) == pytest.approx(want, abs=2e-9), (f, row, col)
+    stats = {r["feature_id"]: r for r in spatial.zonal_statistics(cells, table, exact=True).collect()}
+    own = [(row * 20 + col, w) for (f, row, col), w in got.items() if f == "hole"]
+    whole = sum(w for _, w in own)
+    assert stats["hole"]["count"] == pytest.approx(whole) and stats["hole"]["mean"] == pytest.approx(sum(v * w for v, w in own) / whole)
+    assert coverage.covered_cells(cells, table.limit(0)).count() == 0
+
+
+def test_coverage_costs_by_the_cells_that_edges_cross(spark):
+    """A zone of a million cells adds a few numbers for each row, not for each cell."""
+    table = spark.createDataFrame(ring_edges("z", 1, [(0.5, 0.5), (1000.5, 0.5), (1000.5, 1000.5), (0.5, 1000.5)]), EDGES)
+    assert coverage.edge_areas(table).count() <= 4 * 1001
+    assert coverage.coverage_spans(table).selectExpr("sum((to - from + 1) * units)").first()[0] == 1_000_000 * coverage.UNIT
 
 
 def test_projection_known_points(spark):
