@@ -6,6 +6,12 @@ and only its rows are ranked.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -131,18 +137,60 @@ def quota_per_scene(df: DataFrame, n: int, scene: str, ok: str, order: str) -> D
     return df.withColumn("_before", F.coalesce(F.sum(F.col(ok).cast("int")).over(w), F.lit(0))).where(F.col("_before") < n).drop("_before")
 
 
+#: chances that a Poisson(1) draw is at most 0, 1, 2, ...
+POISSON = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+
+
+def poisson(hashed: Column) -> Column:
+    """A Poisson(1) draw from a 64-bit hash."""
+    u = (F.pmod(hashed, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return sum((F.when(u > p, 1).otherwise(0) for p in POISSON[:11]), F.lit(0))
+
+
+def bootstrap_correlations(df: DataFrame, response: str, predictors: list[str], n_boot: int, seed: int, id_col: str = "id") -> DataFrame:
+    """(variable, b, r): correlation of each resample of the rows where both values are there.
+
+    Resample b counts a row by a Poisson(1) draw from the row's hash and b. Rows aren't multiplied: a task keeps n_boot sums
+    for each predictor, adds a batch of rows by one product of draws and moments, and gives the sums once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n_boot, 6 * len(predictors)))
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)]
+            for i in range(0, len(h), 1024):
+                y, moments = values[0][i : i + 1024], []
+                for x in (v[i : i + 1024] for v in values[1:]):
+                    here = ~(np.isnan(x) | np.isnan(y))
+                    a, b = np.where(here, x, 0), np.where(here, y, 0)
+                    moments += [here, a, b, a * a, b * b, a * b]
+                sums += draws(h[i : i + 1024], n_boot).T @ np.stack(moments, 1)
+        for k, name in enumerate(predictors):
+            part = sums[:, 6 * k : 6 * k + 6]
+            yield pa.RecordBatch.from_pydict({"variable": pa.array([name] * n_boot), "b": pa.array(np.arange(1, n_boot + 1), pa.int32())} | {c: pa.array(part[:, j].copy()) for j, c in enumerate(("n", "x", "y", "xx", "yy", "xy"))})
+
+    means = df.agg(*[F.avg(c).alias(c) for c in (response, *predictors)]).first()  # less their means, sums keep their digits
+    less = lambda c: (F.col(c).cast("double") - F.lit(means[c] or 0.0)).alias(c)
+    rows = df.where(F.col(response).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"), less(response), *[less(c) for c in predictors])
+    found = rows.mapInArrow(run, "variable string, b int, n double, x double, y double, xx double, yy double, xy double").groupBy("variable", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = F.expr("(n * xx - x * x) * (n * yy - y * y)")
+    return found.select("variable", "b", F.when(spread > 0, F.expr("n * xy - x * y") / F.sqrt(spread)).alias("r"))
+
+
+def draws(hashes: np.ndarray, n_boot: int) -> np.ndarray:
+    """Poisson(1) draws, a row for each hash and a column for each resample."""
+    with np.errstate(over="ignore"):
+        z = hashes[:, None] + np.arange(1, n_boot + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.searchsorted(np.array(POISSON), u).astype(float)
+
+
 def bootstrap_sums(df: DataFrame, x: str, y: str, n_boot: int, seed: int, id_col: str = "id") -> DataFrame:
-    """(b, r): correlation of each resample, with Poisson(1) weights drawn from the row's hash; one pass of weighted sums."""
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.col("b"), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    weight, upto, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        upto += p
-        weight = weight + F.when(u > upto, 1).otherwise(0)
-        p /= k
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(id_col, F.col(x).alias("x"), F.col(y).alias("y"), F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b")).withColumn("w", weight)
-    s = {k: F.sum(e) for k, e in {"n": F.col("w"), "x": F.expr("w * x"), "y": F.expr("w * y"), "xx": F.expr("w * x * x"), "yy": F.expr("w * y * y"), "xy": F.expr("w * x * y")}.items()}
-    agg = rows.groupBy("b").agg(*[v.cast("double").alias(f"s_{k}") for k, v in s.items()])
-    return agg.select("b", F.expr("(s_n * s_xy - s_x * s_y) / sqrt((s_n * s_xx - s_x * s_x) * (s_n * s_yy - s_y * s_y))").alias("r"))
+    """(b, r): ``bootstrap_correlations`` of one predictor."""
+    return bootstrap_correlations(df, y, [x], n_boot, seed, id_col).select("b", "r")
 
 
 def holdout(df: DataFrame, share: float, seed: int, id_col: str = "id") -> DataFrame:

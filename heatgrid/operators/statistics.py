@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatgrid.operators.sampling import bootstrap_sums
+from heatgrid.operators.sampling import bootstrap_correlations
 
 
 class Gram:
@@ -109,18 +109,21 @@ def correlation(df: DataFrame, response: str, predictors: list[str], controls: l
     """r, p and stars of each predictor, by falling |r|; with ``controls`` also partial r and p (n - 2 degrees); with ``n_boot`` percentile intervals."""
     g = Gram(df, [response, *predictors, *(controls or [])])
     c, out = g.correlation(), []
+    a = (1 - level) / 2
+    ends = {}
+    if n_boot:
+        resampled = bootstrap_correlations(df, response, predictors, n_boot, seed, id_col)
+        ends = {r[0]: (r[1], r[2]) for r in resampled.groupBy("variable").agg(F.percentile("r", a), F.percentile("r", 1 - a)).collect()}  # a row for each predictor
     for v in predictors:
         r = float(c[0, g.cols.index(v)])
         p = _p_of_r(r, g.n)
-        partial_r = partial_p = low = high = None
+        partial_r = partial_p = None
+        low, high = ends.get(v, (None, None))
         if controls:
             at = [0, g.cols.index(v), *[g.cols.index(x) for x in controls]]
             inv = np.linalg.inv(c[np.ix_(at, at)])
             partial_r = float(-inv[0, 1] / math.sqrt(inv[0, 0] * inv[1, 1]))
             partial_p = _p_of_r(partial_r, g.n)
-        if n_boot:
-            a = (1 - level) / 2
-            low, high = bootstrap_sums(df, response, v, n_boot, seed, id_col).agg(F.percentile("r", a), F.percentile("r", 1 - a)).first()
         four = lambda x: None if x is None else round(x, 4)
         out.append((v, four(r), four(p), four(low), four(high), four(partial_r), four(partial_p), stars(p)))
     out.sort(key=lambda x: (-abs(x[1]), x[0]))

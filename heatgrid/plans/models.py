@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heatgrid.operators import bagging, scores
 from heatgrid.operators import models as op
-from heatgrid.operators import scores
 from heatgrid.operators.cells import FEATURES, featurize_frames
 from heatgrid.registry import query
 from heatgrid.sources import standins
@@ -23,4 +23,6 @@ for _kind in ("rf", "gbt", "linear"):
 query("x14_apply_regressor", "regress", "SELECT id, round(regr_slope(y, x1) OVER () * x1 + regr_intercept(y, x1) OVER (), 4) AS pred FROM {regress} t")(lambda df: op.apply_regressor(op.train_regressor(df, "y", ["x1"], "linear"), df).select("id", F.round("pred", 4).alias("pred")))
 query("x13_importances", "regress")(lambda df: op.importances(op.train_regressor(df, "y", ["x1", "x2"], "rf", 10), df))
 query("x16_cv_score", "classify")(lambda df: df.sparkSession.createDataFrame([(op.cv_score(df, "quality", XS, trees=5),)], "accuracy double"))
+query("x16_oob_accuracy", "classify")(lambda df: bagging.oob_score(bagging.train_bag(df, "quality", XS, trees=8), df))
+query("x16_oob_r2", "regress")(lambda df: bagging.oob_score(bagging.train_bag(df, "y", ["x1", "x2"], trees=8, regression=True), df))
 query("x17_segment_pixels", "labelled_pixels")(lambda px: op.segment_pixels(featurize_frames(px.drop("label"), px.select("frame_id", "row", "col", "label")), FEATURES).groupBy("pred").agg(F.count("*").alias("n")))

@@ -7,11 +7,12 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from compare import SF
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from heatgrid import registry
 from heatgrid.functions.order import medians, rank_descending
-from heatgrid.operators import camera, catalog, cells, cooling, coverage, identity, sampling, spatial, statistics, vectors
+from heatgrid.operators import bagging, camera, catalog, cells, cooling, coverage, identity, sampling, spatial, statistics, vectors
 from heatgrid.sources import standins
 from heatgrid.streaming import gatekeeper
 
@@ -281,3 +282,52 @@ def test_palette_ties_nulls_and_tolerance(spark):
     palette = spark.createDataFrame([(0, 100, 0, 5), (60, 100, 0, 4), (20, 10, 10, 9), (0, 10, 10, 8)], "pr int, pg int, pb int, code int")
     got = {(r["r"], r["g"]): r["code"] for r in cells.snap_palette(px, palette).collect()}
     assert got == {(0, 100): 5, (30, 100): 4, (31, 100): 4, (10, 10): 8, (None, 1): None}
+
+
+def test_out_of_bag_scores_equal_recomputed_votes(spark):
+    """Each row's vote by the trees that never drew it, from single predictions and draws."""
+    rnd = random.Random(3)
+    rows = [(i, float(i % 2), i % 2 + rnd.gauss(0, 0.6), rnd.random(), None if i % 50 == 0 else 1.0, 3.0 * (i % 7) + rnd.random()) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, label double, a double, b double, c double, y double")
+    for label, xs, regression in (("label", ["a", "b", "c"], False), ("y", ["a", "b"], True)):
+        bag = bagging.train_bag(df, label, xs, trees=5, regression=regression)
+        drawn = {r["id"]: r["w"] for r in df.select("id", F.array(*[bagging.times_drawn(bag.seed, t, "id") for t in range(5)]).alias("w")).collect()}
+        used = [v for w in drawn.values() for v in w]
+        assert 0.85 < sum(used) / len(used) < 1.15 and 0.3 < sum(v == 0 for v in used) / len(used) < 0.44
+        whole = VectorAssembler(inputCols=xs, outputCol="_features").transform(df.dropna(subset=xs))
+        votes = defaultdict(list)
+        for t, m in enumerate(bag.models):
+            for r in m.transform(whole).collect():
+                if drawn[r["id"]][t] == 0:
+                    votes[r["id"]].append(r["prediction"])
+        want = {i: sum(v) / len(v) if regression else min(set(v), key=lambda c: (-v.count(c), c)) for i, v in votes.items()}
+        got = {r["id"]: r for r in bagging.oob_predictions(bag, df).collect()}
+        assert {i: r["pred"] for i, r in got.items()} == pytest.approx(want) and all(r["trees"] == len(votes[i]) for i, r in got.items())
+        score = bagging.oob_score(bag, df).first()
+        truth = {r["id"]: r[label] for r in df.collect()}
+        if regression:
+            mean = sum(truth[i] for i in want) / len(want)
+            assert score["oob_r2"] == pytest.approx(1 - sum((truth[i] - p) ** 2 for i, p in want.items()) / sum((truth[i] - mean) ** 2 for i in want))
+        else:
+            assert score["oob_accuracy"] == pytest.approx(sum(truth[i] == p for i, p in want.items()) / len(want)) and score["oob_accuracy"] > 0.6
+        assert bagging.apply_bag(bag, df).count() == whole.count()
+
+
+def test_bootstrap_intervals_without_multiplied_rows(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=600)
+    y, z = 0.5 * x + rnd.normal(size=600), rnd.normal(size=600)
+    rows = [(i, float(1e6 + y[i]), float(x[i]) if i % 40 else None, float(z[i])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, y double, x double, z double")
+    got = sampling.bootstrap_correlations(df, "y", ["x", "z"], 300, 7)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    r = {v: np.array([q["r"] for q in got.where(F.col("variable") == v).collect()]) for v in ("x", "z")}
+    for v, own in (("x", x), ("z", z)):
+        keep = [i for i in range(600) if v == "z" or i % 40]
+        plain = np.array([np.corrcoef(own[at], y[at])[0, 1] for at in (rnd.choice(keep, len(keep)) for _ in range(600))])
+        assert np.abs(np.percentile(r[v], [2.5, 97.5]) - np.percentile(plain, [2.5, 97.5])).max() < 0.035
+    table = {q["variable"]: q for q in statistics.correlation(df, "y", ["x", "z"], n_boot=300, seed=7).collect()}
+    assert table["x"]["ci_low"] == pytest.approx(np.percentile(r["x"], 2.5), abs=1e-4) and table["z"]["ci_high"] == pytest.approx(np.percentile(r["z"], 97.5), abs=1e-4)
+    hashes = rnd.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    drawn = sampling.draws(hashes, 50)
+    assert drawn.mean() == pytest.approx(1, abs=0.02) and drawn.var() == pytest.approx(1, abs=0.03)
