@@ -17,6 +17,9 @@ from heatgrid.streaming import gatekeeper
 standins.SQL |= {
     "arrivals": """SELECT page_id AS id, CAST(page_id AS STRING) || CASE page_id % 4 WHEN 0 THEN '.geojson' WHEN 1 THEN '.tif' WHEN 2 THEN '.yml' ELSE '.txt' END AS path,
       CASE page_id % 20 WHEN 0 THEN '{"type":"FeatureCollection","features":[]}' WHEN 4 THEN '{"type":"FeatureCollection"}' WHEN 8 THEN '{"type":"Feature"}' WHEN 12 THEN '[1]' WHEN 16 THEN html WHEN 1 THEN 'MM' WHEN 2 THEN '{"city":{"name":"a","id":"b"},"crs":{"working":1}}' WHEN 6 THEN '{"city":{"id":"b"},"crs":{"working":1}}' ELSE html END AS body FROM {pages}""",
+    # every file once, broken ones a second time, half of those mended; the last row only moves the clock
+    "receives": """SELECT path, CASE id % 20 WHEN 12 THEN '[1]' WHEN 16 THEN '[2' ELSE body END AS body, id % 100 AS at FROM {arrivals} a WHERE id % 4 <> 3 UNION ALL
+      SELECT path, CASE id % 40 WHEN 12 THEN '{"type":"FeatureCollection","features":[]}' ELSE '[1]' END, id % 100 + CASE id % 80 WHEN 12 THEN 30 ELSE 90 END FROM {arrivals} b WHERE id % 20 = 12 UNION ALL SELECT 'clock.tif', 'MM', 100000""",
     "poses": "SELECT s_suppkey AS frame_id, 0.1E0 + CAST(s_suppkey % 5 AS DOUBLE) / 50 AS rx, 0.02E0 AS ry, 0.01E0 AS rz, -2.0E0 AS tx, -2.0E0 AS ty, 8.0E0 + CAST(s_suppkey % 7 AS DOUBLE) AS tz, 0.0E0 AS roi_x0, 4.0E0 AS roi_x1, 0.0E0 AS roi_y0, 4.0E0 AS roi_y1, 1.0E0 AS target_x0, 2.0E0 AS target_x1, 1.0E0 AS target_y0, 3.0E0 AS target_y1, CASE WHEN s_suppkey % 4 = 0 THEN 0.3E0 ELSE 0.9E0 END AS coverage FROM {supplier}",
     "frames_px": "SELECT l_suppkey AS frame_id, CAST(l_partkey % 64 AS INT) AS row, CAST(l_orderkey % 64 AS INT) AS col, CAST(max(l_partkey % 8) AS INT) AS code FROM {lineitem} GROUP BY 1, 2, 3",
 }
@@ -39,6 +42,18 @@ def routed(arrivals):
 
 query("k6_route", "arrivals", """SELECT path, CASE WHEN e IS NULL THEN 'quarantine' WHEN len(e) > 0 THEN 'invalid' ELSE 'ready' END AS routed, array_to_string(coalesce(e, ['unreadable']), ';') AS errors FROM (
 SELECT path, CASE id % 20 WHEN 0 THEN [] WHEN 4 THEN ['FeatureCollection without features'] WHEN 8 THEN ['Feature without geometry'] WHEN 1 THEN NULL WHEN 2 THEN [] WHEN 6 THEN ['missing city.name'] ELSE CASE WHEN id % 4 = 1 THEN ['no TIFF signature'] END END AS e FROM {arrivals} a WHERE id % 4 <> 3)""")(routed)
+def retried(receives):
+    """K6: arrivals with times, as a stream; poisoned files are received again before they are given up."""
+    spark, base = receives.sparkSession, new_folder(receives.sparkSession, "receives")
+    receives.select("path", F.encode("body", "UTF-8").alias("content"), F.timestamp_seconds(F.col("at") + 1_700_000_000).alias("received_at")).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("path string, content binary, received_at timestamp").parquet(f"{base}/in")
+    gatekeeper.route_decided(gatekeeper.with_retries(stream), f"{base}/out", f"{base}/state").awaitTermination()
+    read = [spark.read.schema("path string, attempts int, decided_at timestamp").parquet(f"{base}/out/{t}").select("path", F.lit(t).alias("routed"), "attempts", (F.unix_seconds("decided_at") - 1_700_000_000).alias("at")) for t in ("ready", "invalid", "quarantine")]
+    return read[0].unionByName(read[1]).unionByName(read[2]).where("path <> 'clock.tif'")
+
+
+query("k6_retries", "arrivals receives", """SELECT path, routed, CASE WHEN routed = 'quarantine' THEN 3 WHEN id % 80 = 12 THEN 2 WHEN id % 40 = 12 THEN 3 ELSE 1 END AS attempts, id % 100 + CASE WHEN routed = 'quarantine' THEN 120 WHEN id % 80 = 12 THEN 30 WHEN id % 40 = 12 THEN 90 ELSE 0 END AS at
+FROM (SELECT id, path, CASE WHEN id % 20 IN (0, 2) OR id % 40 = 12 THEN 'ready' WHEN id % 20 IN (4, 5, 6, 8, 9, 13, 17) THEN 'invalid' ELSE 'quarantine' END AS routed FROM {arrivals} a WHERE id % 4 <> 3)""")(lambda a, r: retried(r))
 query("k5_validation_sidecars", "arrivals", "SELECT CASE id % 4 WHEN 0 THEN 'geojson' WHEN 1 THEN 'geotiff' WHEN 2 THEN 'manifest' ELSE 'unknown' END AS file_type, count(*) AS n, '1' AS version FROM {arrivals} a GROUP BY 1")(
     lambda a: gatekeeper.sidecars(gatekeeper.validate(a.select("path", F.encode("body", "UTF-8").alias("content")))).groupBy("file_type").agg(F.count("*").alias("n"), F.max("validator_version").alias("version")))
 _SRC, _DST = Grid(3857, 0.0, 0.0, 1.0, 1.0, 64, 64), Grid(3857, 0.25, 0.25, 2.0, 2.0, 30, 30)

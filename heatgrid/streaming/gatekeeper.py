@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heatgrid.operators.cells import file_type
 
@@ -44,14 +48,14 @@ def manifest_errors(text: Column) -> Column:
     return F.when(is_object, F.filter(errors, lambda e: e.isNotNull()))
 
 
-def validate(files: DataFrame) -> DataFrame:
-    """(path, file_type, status, errors): ready, invalid, poisoned (unreadable) or skipped (unknown type)."""
+def validate(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, file_type, status, errors): ready, invalid, poisoned (unreadable) or skipped (unknown type); with the columns ``keep``."""
     text = F.decode("content", "UTF-8")
     kind = file_type(F.col("path"))
     errors = F.when(kind == "geojson", geojson_errors(text)).when(kind == "geotiff", tiff_errors(F.col("content"))).when(kind == "manifest", manifest_errors(text)).otherwise(F.array().cast("array<string>"))
-    out = files.select("path", kind.alias("file_type"), errors.alias("errors"))
+    out = files.select("path", kind.alias("file_type"), errors.alias("errors"), *keep)
     status = F.when(F.col("file_type") == "unknown", "skipped").when(F.col("errors").isNull(), "poisoned").when(F.size("errors") > 0, "invalid").otherwise("ready")
-    return out.select("path", "file_type", status.alias("status"), F.coalesce("errors", F.array(F.lit("unreadable"))).alias("errors"))
+    return out.select("path", "file_type", status.alias("status"), F.coalesce("errors", F.array(F.lit("unreadable"))).alias("errors"), *keep)
 
 
 def sidecars(checked: DataFrame) -> DataFrame:
@@ -68,3 +72,80 @@ def route(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         batch.unpersist()
 
     return sidecars(validate(files)).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_STATE = "attempts int, version string, deadline bigint, file_type string, errors array<string>, done boolean"
+_DECIDED = "path string, file_type string, status string, errors array<string>, attempts int, decided_ms bigint"
+#: a decided file's version is remembered so long, so that it counts once if it arrives again
+REMEMBER_MS = 86_400_000
+
+
+def with_retries(receives: DataFrame, max_receives: int = 3, visibility_s: float = 60.0, delay: str = "0 seconds") -> DataFrame:
+    """Decisions (path, file_type, status, errors, attempts, decided_at) over a stream of (path, content, received_at).
+
+    A file that can be read is decided at once. A poisoned one is out of sight for ``visibility_s`` and then received again,
+    unless another version of it came first; at ``max_receives`` it is dead and goes to quarantine. The same version arriving
+    again counts once. State is keyed by path and timers follow the watermark of ``received_at`` (late by ``delay``), so a
+    restart goes on where it stopped and results don't depend on how arrivals fall into batches.
+    """
+    wait = int(visibility_s * 1000)
+
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        attempts, version, deadline, kind, errors, done = state.get if state.exists else (0, "", 0, "", [], True)
+        out = []
+
+        def settle(status: str, at: int) -> None:
+            nonlocal done, deadline
+            out.append((key[0], kind, status, list(errors), attempts, at))
+            done, deadline = True, at + REMEMBER_MS
+
+        def again(now: int) -> None:
+            """The receives that fall due up to ``now``, of the version that is still poisoned."""
+            nonlocal attempts, deadline
+            while not done and deadline <= now:
+                attempts += 1
+                if attempts >= max_receives:
+                    settle("quarantine", deadline)
+                else:
+                    deadline += wait
+
+        rows = [] if state.hasTimedOut else sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (r.received_ms, r.version))
+        for r in rows:
+            again(r.received_ms)
+            if r.version == version:
+                continue
+            attempts = 1 if done else attempts + 1
+            version, kind, errors, done = r.version, r.file_type, list(r.errors), False
+            if r.status != "poisoned":
+                settle(r.status, r.received_ms)
+            elif attempts >= max_receives:
+                settle("quarantine", r.received_ms)
+            else:
+                deadline = r.received_ms + wait
+        mark = state.getCurrentWatermarkMs()
+        again(mark)
+        if done and deadline <= mark:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((attempts, version, deadline, kind, errors, done))
+            state.setTimeoutTimestamp(deadline)
+        if out:
+            yield pd.DataFrame(out, columns=["path", "file_type", "status", "errors", "attempts", "decided_ms"])
+
+    seen = receives.withWatermark("received_at", delay).withColumns({"version": F.md5("content"), "received_ms": F.unix_millis("received_at")})
+    checked = validate(seen, ("received_at", "version", "received_ms")).where("status <> 'skipped'")
+    decided = checked.groupBy("path").applyInPandasWithState(decide, _DECIDED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return decided.withColumn("decided_at", F.timestamp_millis("decided_ms")).drop("decided_ms")
+
+
+def route_decided(decided: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Decisions of a stream to three tables under ``out``: ready, invalid and quarantine; a batch that runs again replaces its own rows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for table in ("ready", "invalid", "quarantine"):
+            batch.where(F.col("status") == table).write.mode("overwrite").parquet(f"{out}/{table}/batch={number}")
+        batch.unpersist()
+
+    return decided.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 """Hand-computed cases of the branchy operators."""
 
+import datetime
 import math
 import random
 from collections import defaultdict
@@ -331,3 +332,26 @@ def test_bootstrap_intervals_without_multiplied_rows(spark):
     hashes = rnd.integers(0, 1 << 63, 4000, dtype=np.uint64)
     drawn = sampling.draws(hashes, 50)
     assert drawn.mean() == pytest.approx(1, abs=0.02) and drawn.var() == pytest.approx(1, abs=0.03)
+
+
+def test_retries_survive_a_restart(spark, tmp_path):
+    """A file that heals on its second try, one that never does, one that arrives twice, one that heals after its end."""
+    good, bad = b'{"type":"FeatureCollection","features":[]}', b"[1]"
+    t = lambda s: datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC)
+
+    def run(rows):
+        spark.createDataFrame([(p, c, t(s)) for p, c, s in rows], "path string, content binary, received_at timestamp").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema("path string, content binary, received_at timestamp").parquet(f"file://{tmp_path}/in")
+        gatekeeper.route_decided(gatekeeper.with_retries(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
+        out = set()
+        for table in ("ready", "invalid", "quarantine"):
+            got = spark.read.schema("path string, attempts int, decided_at timestamp, errors array<string>").parquet(f"file://{tmp_path}/out/{table}")
+            out |= {(r["path"], table, r["attempts"], r["decided_at"].timestamp() - 1_700_000_000) for r in got.withColumn("decided_at", F.col("decided_at")).collect()}
+        return out
+
+    first = run([("heals.geojson", bad, 0), ("never.geojson", bad, 1), ("twice.geojson", good, 2), ("twice.geojson", good, 3), ("invalid.geojson", b'{"type":"Feature"}', 3), ("skip.txt", b"x", 4), ("late.geojson", bad, 5)])
+    assert first == {("twice.geojson", "ready", 1, 2.0), ("invalid.geojson", "invalid", 1, 3.0)}
+    second = run([("heals.geojson", good, 40), ("never.geojson", bad, 50), ("twice.geojson", good, 55)])
+    assert second - first == {("heals.geojson", "ready", 2, 40.0)}
+    third = run([("clock.geojson", good, 1000), ("late.geojson", good, 999)])
+    assert third - second == {("never.geojson", "quarantine", 3, 121.0), ("late.geojson", "quarantine", 3, 125.0), ("late.geojson", "ready", 1, 999.0), ("clock.geojson", "ready", 1, 1000.0)}
