@@ -38,7 +38,7 @@ def medians(df: DataFrame, value: str, keys: list[str], weight: str | None = Non
     placed = sums.withColumn("_upto", F.sum("_n").over(w.orderBy("_b"))).withColumn("_all", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))
     low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
     middle = placed.where((F.col("_before") < high) & (F.col("_upto") >= low)).select(*[F.col(c).alias(f"_m_{c}") for c in keys], F.col("_b").alias("_mb"), "_before", "_all")
-    inside = counts.join(middle, _same(keys, "_m_") & (F.col("_b") == F.col("_mb")))
+    inside = counts.join(middle, _same(keys, "_m_") & F.col("_b").eqNullSafe(F.col("_mb")))  # null-safe, so that no filter is inferred and both sides share one shuffle
     upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_b").orderBy("_v"))
     ends = inside.withColumn("_u", upto).groupBy(*keys).agg(F.min(F.when(F.col("_u") >= low, F.col("_v"))).alias("_low"), F.min(F.when(F.col("_u") >= high, F.col("_v"))).alias("_high"))
     return ends.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias("median"))

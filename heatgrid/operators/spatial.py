@@ -171,14 +171,14 @@ def zonal_statistics(cells: DataFrame, edges: DataFrame, zones: DataFrame | None
 
     Cells count by their centre, with sample deviations, or ``exact``: by the share that the zone covers, with deviations of
     the weighted whole; ``count`` is then the sum of shares."""
-    v, w = F.col(value), F.col("units") if exact else F.lit(1)
-    inside = (covered_cells(cells, edges) if exact else cells_in_zones(cells, edges)).where(v.isNotNull())
-    top = inside.groupBy("feature_id", value).agg(F.sum(w).alias("ws")).groupBy("feature_id").agg(F.max_by(value, F.struct("ws", -v)).alias("majority"))
-    unit = UNIT if exact else 1
-    total, mean = F.sum(w), F.sum(v * w) / F.sum(w)
-    var = F.greatest(F.lit(0.0), F.sum(v * v * w) / total - mean * mean) if exact else F.variance(v)
-    out = inside.groupBy("feature_id").agg(mean.alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v * w) / unit).alias("sum"), (total / unit if exact else F.count("*")).alias("count"), F.sqrt(var).alias("stdev"), var.alias("variance"))
-    out = out.join(medians(inside, value, ["feature_id"], "units" if exact else None), "feature_id").join(top, "feature_id")
+    v, w, unit = F.col(value), F.col("units") if exact else F.lit(1), UNIT if exact else 1
+    inside = (covered_cells(cells, edges) if exact else cells_in_zones(cells, edges)).where(v.isNotNull() & F.col("feature_id").isNotNull())
+    times = inside.groupBy("feature_id", value).agg(F.sum(w).alias("_w"))  # the only pass over the cells; all below shares its shuffle
+    n, total, square = F.sum("_w"), F.sum(v * F.col("_w")), F.sum(v * v * F.col("_w"))
+    var = F.greatest(F.lit(0.0), (square - total * total / n) / (n if exact else F.when(n > 1, n - 1)))
+    var = F.when(n > (0 if exact else 1), var)
+    out = times.groupBy("feature_id").agg((total / n).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), (total / unit).alias("sum"), (n / unit if exact else n).alias("count"), F.sqrt(var).alias("stdev"), var.alias("variance"), F.max_by(value, F.struct("_w", -v)).alias("majority"))
+    out = out.join(medians(times, value, ["feature_id"], "_w"), "feature_id")
     ids = (zones if zones is not None else edges).select("feature_id").distinct()
     out = ids.join(out, "feature_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return out.select("feature_id", *[F.col(c).alias(prefix + c) for c in out.columns if c != "feature_id"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from heatgrid import registry
 from heatgrid.functions.order import medians, rank_descending
-from heatgrid.operators import bagging, camera, catalog, cells, cooling, coverage, identity, sampling, spatial, statistics, vectors
+from heatgrid.operators import bagging, camera, catalog, cells, cooling, coverage, identity, outcome, sampling, spatial, statistics, vectors
 from heatgrid.sources import standins
 from heatgrid.streaming import gatekeeper
 
@@ -355,3 +355,36 @@ def test_retries_survive_a_restart(spark, tmp_path):
     assert second - first == {("heals.geojson", "ready", 2, 40.0)}
     third = run([("clock.geojson", good, 1000), ("late.geojson", good, 999)])
     assert third - second == {("never.geojson", "quarantine", 3, 121.0), ("late.geojson", "quarantine", 3, 125.0), ("late.geojson", "ready", 1, 999.0), ("clock.geojson", "ready", 1, 1000.0)}
+
+
+def test_outcomes_measure_in_one_pass(spark, tmp_path):
+    """Metadata and warnings equal separate aggregates; the plan that wrote the result read its cells once."""
+    rows = [(r, c, None if (r * 7 + c) % 9 == 0 else float((r * 31 + c * 17) % 23), 10 if c < 2 else 30) for r in range(12) for c in range(12)]
+    spark.createDataFrame(rows, "row int, col int, value double, code int").write.parquet(f"file://{tmp_path}/cells")
+    cells = spark.read.parquet(f"file://{tmp_path}/cells")
+    edges = spark.createDataFrame(ring_edges("in", 1, [(1, 1), (7.5, 1), (7.5, 6), (1, 6)]) + ring_edges("out", 1, [(50, 50), (60, 50), (60, 60)]), EDGES)
+    nulls = sum(v is None for _, _, v, _ in rows)
+
+    def scans(run):
+        spark.sparkContext.setJobGroup("outcome", "outcome")
+        out = run()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("outcome") for s in tracker.getJobInfo(j).stageIds}
+        read = sum(d.inputRecords() for s in stages for d in [spark.sparkContext._jsc.sc().statusStore().lastStageAttempt(s)])
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return out, read
+
+    zonal, read = scans(lambda: outcome.zonal_outcome(cells, edges, f"file://{tmp_path}/a1"))
+    assert read == len(rows)
+    assert {k: zonal.metadata[k] for k in ("n_cells", "n_null", "lowest", "highest", "n_zones", "n_empty")} == {"n_cells": 144, "n_null": nulls, "lowest": 0.0, "highest": 22.0, "n_zones": 2, "n_empty": 1}
+    assert {tuple(r) for r in zonal.warnings.collect()} == {("warning", "zonal_statistics", "1 of 2 zones have no cells"), ("info", "zonal_statistics", "2 zones")}
+    assert {r["feature_id"]: r["count"] for r in zonal.data.collect()} == {r["feature_id"]: r["count"] for r in spatial.zonal_statistics(cells, edges).collect()}
+    cool = outcome.cooling_outcome(cells, [10], [30], f"file://{tmp_path}/a5", 30)
+    forest = sum(v is not None and k == 10 for _, _, v, k in rows)
+    assert cool.metadata["forest_n"] == forest < 30 and cool.metadata["n_valid"] == 144 - nulls
+    assert [r["level"] for r in cool.warnings.collect()] == ["warning"]
+    parts = spark.createDataFrame([(i, "test" if i % 4 == 0 else None) for i in range(20)], "id int, partition string")
+    split = outcome.split_outcome(parts, 0.25, 0.0, f"file://{tmp_path}/m11")
+    assert {r["level"] for r in split.warnings.collect()} == {"critical", "warning"} and split.metadata["n_without"] == 15
+    merged = {r["level"]: r["n"] for r in catalog.warnings_by_level(zonal.warnings, cool.warnings, split.warnings).collect()}
+    assert merged == {"warning": 3, "info": 1, "critical": 1}
