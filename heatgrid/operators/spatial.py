@@ -5,6 +5,8 @@ A cell (row, col) of size 1 has its centre at (col + 0.5, row + 0.5).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -44,12 +46,22 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, bucket: float = 4.0)
     return hits.groupBy("id", "feature_id").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "feature_id")
 
 
+def edge_buckets(edges: DataFrame, most: float) -> DataFrame:
+    """Edges with each square bucket (_bx, _by) of side ``most`` that may hold points within ``most`` of them. In each band of
+    buckets only the part of the edge that comes near it counts, so a slanted edge costs its length and not its bounding box."""
+    e = edges.withColumn("_by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / most) - 1, F.floor(F.greatest("y1", "y2") / most) + 1)))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    at = lambda y: F.col("x1") + dx * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(y - F.col("y1"), dy)))
+    a, b = at((F.col("_by") - 1) * most), at((F.col("_by") + 2) * most)
+    left, right = F.when(dy == 0, F.least("x1", "x2")).otherwise(F.least(a, b)), F.when(dy == 0, F.greatest("x1", "x2")).otherwise(F.greatest(a, b))
+    return e.withColumn("_bx", F.explode(F.sequence(F.floor(left / most) - 1, F.floor(right / most) + 1)))
+
+
 def edge_distances(cells: DataFrame, edges: DataFrame, most: float) -> DataFrame:
     """(feature_id, row, col, value, d): least distance, at most ``most``, of cell centres to a feature's outline."""
     x, y = F.col("col") + 0.5, F.col("row") + 0.5
     c = cells.withColumn("_bx", F.floor(x / most)).withColumn("_by", F.floor(y / most))
-    around = lambda a, b: F.sequence(F.floor((F.least(a, b) - most) / most), F.floor((F.greatest(a, b) + most) / most))
-    e = edges.withColumn("_bx", F.explode(around("x1", "x2"))).withColumn("_by", F.explode(around("y1", "y2")))
+    e = edge_buckets(edges, most)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
     d = F.hypot(x - (F.col("x1") + t * dx), y - (F.col("y1") + t * dy))
@@ -82,6 +94,27 @@ def neighbours(cells: DataFrame, d: float) -> DataFrame:
     return cells.select("row", "col", "value").join(moved, ["row", "col"])
 
 
+def disc_sums(cells: DataFrame, d: float) -> DataFrame:
+    """(row, col, value, w, l): number and sum of the other cells within ``d`` of each one, where there are any.
+
+    A disc is 2 d + 1 chords, one for each row, and a chord is the difference of two running sums along its row; so a cell
+    asks for 2 (2 d + 1) running sums, however many cells the disc holds. Values are taken less their mean, so that
+    differences keep their digits.
+    """
+    r = int(d)
+    mean = cells.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("_mean"))
+    base = cells.select("row", "col", "value").crossJoin(F.broadcast(mean)).withColumn("_v", F.col("value") - F.col("_mean"))  # one row
+    chords = [(k, int(math.sqrt(d * d - k * k) + 1e-9)) for k in range(-r, r + 1)]
+    ends = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(side).alias("at"), F.lit(sign).alias("sign")) for k, h in chords for side, sign in ((h, 1), (-h - 1, -1))])
+    asks = base.select("row", "col", F.explode(ends).alias("e")).select((F.col("row") + F.col("e.k")).alias("_row"), (F.col("col") + F.col("e.at")).alias("_col"), "row", "col", "e.sign")
+    marks = base.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(0).alias("sign"), "_v")
+    upto = W.partitionBy("_row").orderBy("_col", F.col("row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    sums = marks.unionByName(asks.withColumn("_v", F.lit(None).cast("double"))).select("row", "col", "sign", F.count("_v").over(upto).alias("n"), F.coalesce(F.sum("_v").over(upto), F.lit(0.0)).alias("s")).where("row IS NOT NULL")
+    disc = sums.groupBy("row", "col").agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("s")).alias("s")).where("n > 1")
+    n = F.col("n") - 1
+    return base.join(disc, ["row", "col"]).select("row", "col", "value", n.cast("double").alias("w"), (F.col("s") - F.col("_v") + n * F.col("_mean")).alias("l"))
+
+
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("row", "col").orderBy("d2", "n_row", "n_col"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
@@ -127,10 +160,11 @@ def knn(cells: DataFrame, k: int = 8, reach: int = 2) -> DataFrame:
 def local_gi(cells: DataFrame, d: float = 1.5, include_self: bool = False, queen: bool = False) -> DataFrame:
     """(row, col, value, z): the Getis-Ord statistic with binary weights; cells without neighbours go before the totals."""
     valid = cells.where("value IS NOT NULL")
-    pairs = neighbours(valid, d)
     if queen:
         pairs = knn(valid).join(valid.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.col("value").alias("other")), ["n_row", "n_col"]).join(valid, ["row", "col"])
-    local = pairs.groupBy("row", "col").agg(F.first("value").alias("value"), F.count("*").cast("double").alias("w"), F.sum("other").alias("l"))
+        local = pairs.groupBy("row", "col").agg(F.first("value").alias("value"), F.count("*").cast("double").alias("w"), F.sum("other").alias("l"))
+    else:
+        local = disc_sums(valid, d)
     total = local.agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     n, s, q, w, x = (F.col(c) for c in ("n", "s", "q", "w", "value"))
     if include_self:
@@ -213,18 +247,37 @@ def edge_metrics(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return pairs.join(area, [*by, "code"]).select(*by, "code", F.round(F.col("unlike") / F.col("all"), 4).alias("ED"), F.round(100 * F.col("like2") / 2 / F.when(most > 0, most), 4).alias("AI"))
 
 
+def runs(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cells with ``start``, the column in which their run begins: a run is a stretch of one code in a row."""
+    w = W.partitionBy(*by, "row").orderBy("col")
+    new = (F.lag("col").over(w).isNull()) | (F.lag("col").over(w) != F.col("col") - 1) | ~F.lag("code").over(w).eqNullSafe(F.col("code"))
+    return cells.select(*by, "row", "col", "code", F.when(new, F.col("col")).alias("_new")).withColumn("start", F.last("_new", ignorenulls=True).over(w)).drop("_new")
+
+
+def run_links(spans: DataFrame, by: tuple[str, ...] = (), block: int = 64) -> DataFrame:
+    """(a, b): runs (v, row, start, end, code) that touch a run of their code in the row above, also by a corner. Runs meet in
+    blocks of columns, so no task compares all runs of a row."""
+    blocks = lambda extra: F.explode(F.sequence(F.floor((F.col("start") - extra) / block), F.floor((F.col("end") + extra) / block)))
+    here = spans.withColumn("_b", blocks(1))
+    above = spans.select(*by, (F.col("row") + 1).alias("row"), "code", F.col("v").alias("u"), F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / block), F.floor(F.col("_e") / block))))
+    low = F.greatest("_s", F.col("start") - 1)
+    both = here.join(above, [*by, "row", "code", "_b"]).where((F.col("_s") <= F.col("end") + 1) & (F.col("_e") >= F.col("start") - 1) & (F.col("_b") == F.floor(low / block)))
+    return both.select(F.col("v").alias("a"), F.col("u").alias("b"))
+
+
 def patches(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, row, col, code, patch): patches of equal 8-neighbours; ``patch`` is the smallest cell number, by rounds of joins.
 
-    Every round takes the least label around a cell, then that label's label; rounds are checkpointed in turn and
-    end, as labels only fall.
+    Rows are cut into runs, runs are linked where they touch, and only runs take part in the rounds: each takes the least
+    label around a run, then that label's label. Rounds are checkpointed in turn and end, as labels only fall.
     """
-    key = F.col("row").cast("bigint") * (1 << 31) + F.col("col")
-    base = cells.select(*by, "row", "col", "code", (F.struct(*by, key.alias("cell")) if by else key).alias("v"))
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-    moved = base.withColumn("s", F.explode(shifts)).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "code", F.col("v").alias("u"))
-    links = checkpointed(base.select(*by, "row", "col", "code", "v").join(moved, [*by, "row", "col", "code"]).select("v", "u"))
-    label = checkpointed(base.select("v", F.col("v").alias("c")))
+    number = lambda col: F.col("row").cast("bigint") * (1 << 31) + F.col(col)
+    key = lambda col: F.struct(*by, number(col).alias("cell")) if by else number(col)
+    base = runs(cells, by).withColumn("v", key("start"))
+    spans = checkpointed(base.groupBy(*by, "v", "row", "start", "code").agg(F.max("col").alias("end")))
+    one_way = run_links(spans, by)
+    links = checkpointed(one_way.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(one_way.select(F.col("b").alias("v"), F.col("a").alias("u"))))
+    label = checkpointed(spans.select("v", F.col("v").alias("c")))
     while True:
         near = links.join(label.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("m"))
         low = label.join(near, "v", "left").select("v", "c", F.least("c", "m").alias("m"))
@@ -235,11 +288,11 @@ def patches(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; a new one only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(new_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+    """``df`` written to the shared folder and read back: cuts the lineage and, unlike a checkpoint, forgets the sizes that
+    joins were estimated to have, which square with every round."""
+    path = new_folder(df.sparkSession, "checkpoints")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def patch_metrics(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -27,6 +27,7 @@ query("j3_distance_bands_wide", "lst_wide zones_wide", _wide(f"""SELECT d.featur
 ANTI JOIN ({inside('lst', 'zones', 'value')}) i ON i.feature_id = d.feature_id AND i.row = d.row AND i.col = d.col WHERE d <= 6"""))(
     lambda lst, z: op.distance_bands(lst, z, 2, 6).select("feature_id", "row", "col", "distance_m"))
 query("x1_local_gi_wide", "lst_wide", _wide(f"SELECT row, col, value, round(z, 4) AS z FROM ({GI})"))(lambda lst: op.local_gi(lst).withColumn("z", F.round("z", 4)))
+query("x1_local_gi_band_wide", "lst_wide", _wide(f"SELECT row, col, value, round(z, 4) AS z FROM ({GI.replace('<= 2.25', '<= 64')})"))(lambda lst: op.local_gi(lst, 8.0).withColumn("z", F.round("z", 4)))
 query("q2_heat_islands_wide", "lst_wide", _wide(f"SELECT tier, count(*) AS n FROM (SELECT {TIER} AS tier FROM ({GI})) GROUP BY tier"))(lambda lst: op.classify_clusters(op.local_gi(lst)).groupBy("tier").agg(F.count("*").alias("n")))
 query("a1_zonal_statistics_wide", "lst_wide zones_wide", _wide(f"""SELECT feature_id, round(avg(value), 4) AS mean, round(median(value), 4) AS median, min(value) AS min, max(value) AS max, count(value) AS count
 FROM (SELECT DISTINCT feature_id FROM {{zones}} z) LEFT JOIN ({inside('lst', 'zones', 'value')}) USING (feature_id) GROUP BY 1"""))(

@@ -388,3 +388,57 @@ def test_outcomes_measure_in_one_pass(spark, tmp_path):
     assert {r["level"] for r in split.warnings.collect()} == {"critical", "warning"} and split.metadata["n_without"] == 15
     merged = {r["level"]: r["n"] for r in catalog.warnings_by_level(zonal.warnings, cool.warnings, split.warnings).collect()}
     assert merged == {"warning": 3, "info": 1, "critical": 1}
+
+
+def test_disc_sums_by_chords(spark):
+    rnd = random.Random(2)
+    grid = {(r, c): rnd.uniform(20, 40) for r in range(30) for c in range(-5, 35) if rnd.random() < 0.6} | {(100, 100): 1.0}
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in grid.items()], "row int, col int, value double")
+    for d in (1.0, 1.5, 8.0, 5.5):
+        want = {}
+        for r, c in grid:
+            near = [v for (a, b), v in grid.items() if 0 < (a - r) ** 2 + (b - c) ** 2 <= d * d]
+            if near:
+                want[r, c] = (len(near), sum(near))
+        got = {(q["row"], q["col"]): (q["w"], q["l"]) for q in spatial.disc_sums(cells, d).collect()}
+        assert set(got) == set(want) and all(got[k][0] == n and got[k][1] == pytest.approx(t, abs=1e-9) for k, (n, t) in want.items())
+    assert spatial.disc_sums(cells.limit(0), 8.0).count() == 0
+
+
+def test_buckets_along_an_edge(spark):
+    """A slanted edge of 100,000 units takes buckets in proportion to its length; distances equal those to each edge."""
+    long = spark.createDataFrame(ring_edges("z", 1, [(0, 0), (80_000, 60_000)])[:1], EDGES)
+    assert spatial.edge_buckets(long, 10.0).count() < 12 * 100_000 / 10
+    shapes = {"a": [(3.2, 4.1), (17.5, 9.3), (8.8, 22.6)], "flat": [(2, 12), (25, 12), (25, 12.5)]}
+    edges = spark.createDataFrame([e for f, points in shapes.items() for e in ring_edges(f, 1, points)], EDGES)
+    cells = spark.range(900).selectExpr("cast(id div 30 as int) row", "cast(id % 30 as int) col", "cast(id as double) value")
+    got = {(q["feature_id"], q["row"], q["col"]): q["d"] for q in spatial.edge_distances(cells, edges, 3.0).collect()}
+
+    def distance(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0, min(1, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    want = {(f, r, c): d for f, points in shapes.items() for r in range(30) for c in range(30) if (d := min(distance((c + 0.5, r + 0.5), a, b) for a, b in zip(points, points[1:] + points[:1], strict=True))) <= 3}
+    assert got == pytest.approx(want)
+
+
+def test_patches_from_runs(spark):
+    """Equal to a flood fill, with links between runs; a patch of a million cells is a thousand runs."""
+    rnd = random.Random(4)
+    grid = {(r, c): rnd.choice([1, 1, 2]) for r in range(40) for c in range(-3, 150) if rnd.random() < 0.8}
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in grid.items()], "row int, col int, code int")
+    want = {}
+    for start in sorted(grid):
+        todo = [start] if start not in want else []
+        while todo:
+            at = todo.pop()
+            if at in want:
+                continue
+            want[at] = start[0] * (1 << 31) + start[1]
+            todo += [(at[0] + i, at[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if grid.get((at[0] + i, at[1] + j)) == grid[at]]
+    assert {(r["row"], r["col"]): r["patch"] for r in spatial.patches(cells).collect()} == want
+    million = spark.range(1_000_000).selectExpr("cast(id div 1000 as int) row", "cast(id % 1000 as int) col", "1 code")
+    spans = spatial.runs(million).groupBy("row", "start", "code").agg(F.max("col").alias("end")).withColumn("v", F.col("row"))
+    assert spans.count() == 1000 and spatial.run_links(spans).count() == 999
+    assert spatial.patches(million).select("patch").distinct().count() == 1
