@@ -1,0 +1,20 @@
+"""Queries over co-partitioned rasters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heatgrid.registry import query
+from heatgrid.sources.tiles import align_tiles, mask_tiles, tile_classes, write_tiles
+
+_TILE = "(CAST(floor(row / 64) AS BIGINT) << 32) + CAST(floor(col / 64) AS BIGINT)"
+
+
+def classes_by_tile(lst, lc):
+    """J6, A5: both rasters written by tile, aligned and summed without an exchange."""
+    return tile_classes(align_tiles(write_tiles(lst), write_tiles(lc))).withColumn("mean", F.round("mean", 4))
+
+
+query("j6_tile_classes", "lst_wide lc_wide", f"SELECT {_TILE} AS tile, code, count(value) AS n, round(avg(value), 4) AS mean FROM {{lst_wide}} t JOIN (SELECT row AS r, col AS c, code FROM {{lc_wide}} u) ON r = row AND c = col GROUP BY 1, 2")(classes_by_tile)
+query("j6_mask_tiles", "lst_wide lc_wide", f"SELECT {_TILE} AS tile, row, col, value FROM {{lst_wide}} t WHERE NOT EXISTS (SELECT 1 FROM {{lc_wide}} u WHERE u.row = t.row AND u.col = t.col AND code IN (50, 80))")(
+    lambda lst, lc: mask_tiles(write_tiles(lst), write_tiles(lc), [50, 80]).select("tile", "row", "col", "value"))

@@ -1,0 +1,49 @@
+"""Cell tables bucketed by tile: rasters of one grid that are joined again and again meet without a shuffle."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heatgrid.operators.checks import require_columns
+from heatgrid.sources.shared import new_folder
+
+TILE_CELL = ["tile", "row", "col"]
+
+
+def tile_of(side: int = 64, row: str = "row", col: str = "col") -> Column:
+    """One number for each square of ``side`` x ``side`` cells, also left of and above the origin."""
+    return F.shiftleft(F.floor(F.col(row) / side).cast("bigint"), 32) + F.floor(F.col(col) / side).cast("bigint")
+
+
+def write_tiles(cells: DataFrame, side: int = 64, buckets: int = 64, name: str | None = None) -> DataFrame:
+    """``cells`` with their ``tile``, written once as a table of ``buckets`` files bucketed by tile and sorted within them.
+    Tables of equal ``side`` and ``buckets`` are co-partitioned. A tile holds at most side * side cells of a raster, so no
+    bucket is hot. The table is known to the session's catalog as ``name``; its files lie in the shared folder."""
+    spark = cells.sparkSession
+    name = name or f"tiles_{uuid.uuid4().hex}"
+    out = require_columns(cells, "row", "col").withColumn("tile", tile_of(side)).repartition(buckets, "tile")
+    out.write.bucketBy(buckets, "tile").sortBy(*TILE_CELL).option("path", new_folder(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def drop_tiles(spark: SparkSession, name: str) -> None:
+    """Forget the table; its files stay until the shared folder is cleared."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def align_tiles(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """Two tiled rasters of one grid by cell, bucket by bucket."""
+    return a.hint("merge").join(b, TILE_CELL, how)
+
+
+def mask_tiles(target: DataFrame, classes: DataFrame, codes: list[int]) -> DataFrame:
+    """``target`` without the cells that ``classes`` gives one of ``codes``."""
+    return target.hint("merge").join(classes.where(F.col("code").isin(codes)).select(*TILE_CELL), TILE_CELL, "left_anti")
+
+
+def tile_classes(cells: DataFrame) -> DataFrame:
+    """(tile, code, n, mean) of aligned cells (value, code); a tile lies in one bucket, so this needs no shuffle either."""
+    return cells.groupBy("tile", "code").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
