@@ -61,9 +61,35 @@ query("r1_reproject_cells_nearest", "lst", "SELECT CAST(y AS INT) AS row, CAST(x
 query("r1_reproject_cells_bilinear", "lst", """SELECT CAST(y AS INT) AS row, CAST(x AS INT) AS col, round(sum(CASE WHEN dy = 0 THEN 1 - wy ELSE wy END * CASE WHEN dx = 0 THEN 1 - wx ELSE wx END * value) / sum(CASE WHEN dy = 0 THEN 1 - wy ELSE wy END * CASE WHEN dx = 0 THEN 1 - wx ELSE wx END), 4) AS value
 FROM (SELECT y, x, 0.75::DOUBLE AS wy, 0.75::DOUBLE AS wx FROM range(30) a(y), range(30) b(x)), range(2) c(dy), range(2) d(dx) JOIN {lst} t ON t.row = 2 * y + dy AND t.col = 2 * x + dx GROUP BY y, x""")(lambda lst: reproject_cells(lst, _SRC, _DST).withColumn("value", F.round("value", 4)))
 query("r1_reproject_cells_utm", "lst")(lambda lst: reproject_cells(lst, Grid(32616, 500000.0, 4500000.0, 30.0, 30.0, 64, 64), Grid(4326, -87.0, 40.65, 0.0003, 0.0003, 60, 60), "nearest"))
-query("r5_rectify_to_ground", "frames_px poses")(lambda px, p: camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0))
-query("r5_valid_fraction", "frames_px poses")(lambda px, p: camera.valid_fraction(camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0)))
-query("a18_score_composition", "poses")(lambda p: camera.score_composition(p, CAMERA, (0.1, -0.05)))
+_AXIS = "SELECT *, cos(th) AS c, sin(th) AS s, rx / th AS ax, ry / th AS ay, rz / th AS az FROM (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS th FROM {poses} p)"
+
+
+def _point(x: str, y: str) -> tuple[str, str]:
+    """SQL: normalised image coordinates of a ground point by the rotation formula v cos + (a x v) sin + a (a . v)(1 - cos)."""
+    dot = f"((ax * ({x}) + ay * ({y})) * (1 - c))"
+    px, py, pz = f"(({x}) * c - az * ({y}) * s + ax * {dot} + tx)", f"(({y}) * c + az * ({x}) * s + ay * {dot} + ty)", f"((ax * ({y}) - ay * ({x})) * s + az * {dot} + tz)"
+    return f"({px} / {pz})", f"({py} / {pz})"
+
+
+_GX, _GY = _point("j / 4.0::DOUBLE", "4 - i / 4.0::DOUBLE")
+GROUND = f"""SELECT o.frame_id, CAST(i AS INT) AS row, CAST(j AS INT) AS col, coalesce(code, 0) AS code FROM (SELECT frame_id, i, j, round(60 * {_GY} + 32)::INT AS sr, round(60 * {_GX} + 32)::INT AS sc FROM ({_AXIS}), range(16) a(i), range(16) b(j)) o
+LEFT JOIN {{frames_px}} f ON f.frame_id = o.frame_id AND f.row = sr AND f.col = sc"""
+
+
+def _quad(k: str) -> str:
+    """SQL: image area of a ground rectangle under radial distortion."""
+    uv = []
+    for x, y in ((0, 0), (1, 0), (1, 1), (0, 1)):
+        nx, ny = _point(f"{k}_x{x}", f"{k}_y{y}")
+        far = f"(1 + 0.1 * ({nx} * {nx} + {ny} * {ny}) - 0.05 * ({nx} * {nx} + {ny} * {ny}) ** 2)"
+        uv.append((f"(60 * {nx} * {far} + 32)", f"(60 * {ny} * {far} + 32)"))
+    return "abs(" + " + ".join(f"{uv[i][0]} * {uv[(i + 1) % 4][1]} - {uv[(i + 1) % 4][0]} * {uv[i][1]}" for i in range(4)) + ") / 2"
+
+
+query("r5_rectify_to_ground", "frames_px poses", GROUND)(lambda px, p: camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0))
+query("r5_valid_fraction", "frames_px poses", f"SELECT *, valid_fraction < 0.5 AS warn FROM (SELECT frame_id, round(count(*) FILTER (code <> 0) / count(*), 4) AS valid_fraction FROM ({GROUND}) GROUP BY 1)")(lambda px, p: camera.valid_fraction(camera.rectify_to_ground(px, p, CAMERA, (0, 4, 0, 4), 4.0)))
+query("a18_score_composition", "poses", f"""SELECT frame_id, round(truth, 6) AS truth_fraction, round(raw, 6) AS raw_fraction, round(abs(raw - truth), 6) AS raw_error, coverage, CASE WHEN coverage < 0.5 THEN 'inconclusive' WHEN abs(raw - truth) > 0 THEN 'supported' ELSE 'not_supported' END AS verdict
+FROM (SELECT frame_id, coverage, (target_x1 - target_x0) * (target_y1 - target_y0) / ((roi_x1 - roi_x0) * (roi_y1 - roi_y0)) AS truth, {_quad('target')} / ({_quad('roi')}) AS raw FROM ({_AXIS}))""")(lambda p: camera.score_composition(p, CAMERA, (0.1, -0.05)))
 _MIRROR = """SELECT *, {at} AS _at FROM {t} UNION ALL SELECT *, 2 * lo - 1 - {at} FROM {t} WHERE 2 * lo - 1 - {at} >= lo - 3 UNION ALL SELECT *, 2 * hi + 1 - {at} FROM {t} WHERE 2 * hi + 1 - {at} <= hi + 3"""
 
 
