@@ -99,6 +99,35 @@ def counterfactual_cooling(composition: DataFrame, weights: dict[str, float], tr
     return out.select("space", F.round(score(F.col("m")), 4).alias("index_before"), F.round(score(F.col("after")), 4).alias("index_after")).withColumn("delta", F.round(F.col("index_after") - F.col("index_before"), 4))
 
 
+def counterfactual_from_tables(composition: DataFrame, weights: DataFrame, moves: DataFrame) -> DataFrame:
+    """``counterfactual_cooling`` with weights (cls, weight) and moves (ord, source, target, share) as data; moves with a
+    ``space`` are each space's own, others are those of all. Fractions of repeated classes add up; the largest of repeated
+    weights counts; a null share moves nothing; a space without moves keeps its index. ``weights`` has a row for each class."""
+    require_columns(composition, "space", "cls", "fraction")
+    require_columns(weights, "cls", "weight")
+    require_columns(moves, "ord", "source", "target", "share")
+    entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    known = weights.where("cls IS NOT NULL").groupBy("cls").agg(F.max("weight").cast("double").alias("weight")).agg(entries("cls", "weight").alias("w"))
+    shares = composition.where("cls IS NOT NULL").groupBy("space", "cls").agg(F.round(F.sum("fraction"), 5).alias("f")).groupBy("space").agg(entries("cls", "f").alias("m"))
+    steps = moves.select(*[c for c in ("space",) if c in moves.columns], F.struct("ord", "source", "target", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("share").cast("double"), F.lit(0.0)))).alias("share")).alias("t"))
+    listed = F.array_sort(F.collect_list("t")).alias("moves")
+    spaces = shares.crossJoin(known)  # one row
+    spaces = spaces.join(steps.groupBy("space").agg(listed), "space", "left") if "space" in moves.columns else spaces.crossJoin(steps.agg(listed))  # one row
+
+    def move(m: Column, t: Column) -> Column:
+        part = F.round(F.coalesce(F.element_at(m, t["source"]), F.lit(0.0)) * t["share"], 5)
+        moved = F.transform_values(m, lambda k, v: F.when(k == t["source"], F.round(v - part, 5)).when(k == t["target"], F.round(v + part, 5)).otherwise(v))
+        return F.when(F.map_contains_key("w", t["target"]) & (t["source"] != t["target"]), moved).otherwise(m)
+
+    score = lambda m: F.aggregate(F.map_entries(m), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.element_at("w", e["key"]), F.lit(0.0)))
+    absent = F.map_filter(F.transform_values("w", lambda k, v: F.lit(0.0)), lambda k, v: ~F.map_contains_key("m", k))
+    all_ = spaces.withColumn("before", F.map_concat("m", absent))
+    none = F.array().cast(all_.schema["moves"].dataType)
+    after = F.aggregate(F.coalesce("moves", none), F.col("before"), move)
+    out = all_.select("space", F.round(score(F.col("before")), 4).alias("index_before"), F.round(score(after), 4).alias("index_after"))
+    return out.withColumn("delta", F.round(F.col("index_after") - F.col("index_before"), 4))
+
+
 def predicted_lst(composition: DataFrame, class_lst: DataFrame, mode: str = "measured", grass: str = "grass", soil: str = "soil") -> DataFrame:
     """Mean class temperature by fraction; soil as ``measured``, ``excluded`` or ``organic`` (as grass); null if a class has none."""
     c = composition.where("fraction > 0")

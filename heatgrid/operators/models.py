@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from collections.abc import Callable
+
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -26,6 +28,17 @@ REGRESSORS = {
 }
 
 
+def register_estimator(name: str, make: Callable[[int | None], Estimator], regression: bool = False) -> None:
+    """Make an estimator known by ``name`` to the functions here; ``make`` takes the number of trees or rounds, or None."""
+    (REGRESSORS if regression else CLASSIFIERS)[name] = make
+
+
+def _estimator(kinds: dict, name: str, trees: int | None) -> Estimator:
+    if name not in kinds:
+        raise ValueError(f"no estimator {name!r}; there are {sorted(kinds)}")
+    return kinds[name](trees)
+
+
 def feature_columns(df: DataFrame, label: str, exclude: tuple[str, ...]) -> list[str]:
     return [c for c in df.columns if c != label and c not in exclude]
 
@@ -36,7 +49,7 @@ def train_classifier(df: DataFrame, label: str, features: list[str] | None = Non
     rows = require_columns(df, label, *features).dropna(subset=[label, *features])
     if rows.select(label).distinct().limit(2).count() < 2:
         raise ValueError("a classifier needs two classes")
-    model = CLASSIFIERS[estimator](trees)
+    model = _estimator(CLASSIFIERS, estimator, trees)
     model.setLabelCol(label).setFeaturesCol("features")
     if balanced and estimator != "gbt":
         share = rows.groupBy(label).agg(F.count("*").alias("_c"))
@@ -57,7 +70,7 @@ def apply_classifier(model: PipelineModel, df: DataFrame) -> DataFrame:
 def train_regressor(df: DataFrame, target: str, features: list[str] | None = None, estimator: str = "rf", trees: int | None = None) -> PipelineModel:
     features = features or feature_columns(df, target, ("id", "x", "y", "partition"))
     rows = require_columns(df, target, *features).dropna(subset=[target, *features])
-    model = REGRESSORS[estimator](trees)
+    model = _estimator(REGRESSORS, estimator, trees)
     model.setLabelCol(target).setFeaturesCol("features")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(rows)
 
@@ -76,7 +89,7 @@ def importances(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def cv_score(df: DataFrame, label: str, features: list[str], estimator: str = "rf", trees: int = 20, folds: int = 3, regression: bool = False) -> float:
     """Mean score of k-fold cross-validation, in place of out-of-bag scores, which MLlib has not."""
-    model = (REGRESSORS if regression else CLASSIFIERS)[estimator](trees).setLabelCol(label).setFeaturesCol("features")
+    model = _estimator(REGRESSORS if regression else CLASSIFIERS, estimator, trees).setLabelCol(label).setFeaturesCol("features")
     judge = RegressionEvaluator(labelCol=label, metricName="r2") if regression else MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[label, *features]))
     cv = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=42)

@@ -26,7 +26,7 @@ def query(name: str, inputs: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from heatgrid.plans import analyses, bucketed, catalog, cells, chains, cooling, models, sampling, scores, spatial, statistics, vectors, wide  # noqa: F401
+    from heatgrid.plans import analyses, bucketed, catalog, cells, chains, cooling, extension, models, sampling, scores, spatial, statistics, vectors, wide  # noqa: F401
 
     ORACLES.update({k: duck(v) for k, v in ORACLES.items()})
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from heatgrid import registry
 from heatgrid.functions.order import medians, rank_descending
-from heatgrid.operators import bagging, camera, catalog, cells, cooling, coverage, identity, outcome, sampling, spatial, statistics, vectors
+from heatgrid.operators import bagging, camera, catalog, cells, cooling, coverage, identity, models, outcome, sampling, spatial, statistics, vectors
 from heatgrid.sources import standins
 from heatgrid.streaming import gatekeeper
 
@@ -442,3 +442,45 @@ def test_patches_from_runs(spark):
     spans = spatial.runs(million).groupBy("row", "start", "code").agg(F.max("col").alias("end")).withColumn("v", F.col("row"))
     assert spans.count() == 1000 and spatial.run_links(spans).count() == 999
     assert spatial.patches(million).select("patch").distinct().count() == 1
+
+
+def test_any_operator_as_a_step(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None)], "scene string, v double")
+    got = outcome.run_step(cooling.scene_rollup, {"rows": rows}, {"by": ["scene"], "value": "v"}, f"file://{tmp_path}/one")
+    assert {tuple(r) for r in got.data.collect()} == {("a", 2.0, 2), ("b", None, 0)}
+    assert {(r["name"], r["value"]) for r in got.report().collect()} == {("n_rows", "3"), ("n_out", "2")}
+    empty = outcome.run_step(cooling.scene_rollup, {"rows": rows.limit(0)}, {"by": ["scene"], "value": "v"}, f"file://{tmp_path}/none")
+    assert [(r["level"], r["message"]) for r in empty.warnings.collect()] == [("warning", "the result has no rows")] and empty.metadata["n_rows"] == 0
+    with pytest.raises(ValueError, match="needs \\['value'\\]"):
+        outcome.run_step(cooling.scene_rollup, {"rows": rows}, {"by": ["scene"], "value": None}, f"file://{tmp_path}/x")
+    with pytest.raises(ValueError, match="takes no \\['colour'\\]"):
+        outcome.run_step(cooling.scene_rollup, {"rows": rows}, {"by": ["scene"], "value": "v", "colour": 1}, f"file://{tmp_path}/x")
+
+
+def test_user_filters(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
+    kept = outcome.filtered_outcome(rows, "s IS NULL OR id > 5", f"file://{tmp_path}/some")
+    assert [r["id"] for r in kept.data.collect()] == [2] and kept.warnings.count() == 0 and kept.metadata["n_before"] == 2
+    for i, bad in enumerate(("id >", "no_such > 1", "id + 1")):
+        with pytest.raises(ValueError, match="filter expression"):
+            outcome.filtered_outcome(rows, bad, f"file://{tmp_path}/bad{i}")
+    with pytest.raises(ValueError, match="there are \\['gbt'"):
+        models.train_regressor(rows, "id", ["id"], "no_such")
+
+
+def test_moves_from_tables_equal_moves_as_parameters(spark):
+    rnd = random.Random(4)
+    weights = {"canopy": 1.0, "grass": 0.5, "impervious": -0.5, "soil": 0.1}
+    rows = [(s, c, rnd.random()) for s in range(40) for c in (*weights, "other") if rnd.random() < 0.7]
+    comp = spark.createDataFrame(rows, "space int, cls string, fraction double")
+    moves = [("impervious", "grass", 0.25), ("grass", "canopy", 1.5), ("absent", "canopy", 1.0), ("soil", "no_such", 1.0), ("canopy", "soil", -0.5), ("other", "grass", 0.125)]
+    table = spark.createDataFrame([(i, *m) for i, m in enumerate(moves)], "ord int, source string, target string, share double")
+    known = spark.createDataFrame([*weights.items(), ("grass", 0.2), (None, 9.0)], "cls string, weight double")
+    want = {tuple(r) for r in cooling.counterfactual_cooling(comp, weights, moves).collect()}
+    assert {tuple(r) for r in cooling.counterfactual_from_tables(comp, known, table).collect()} == want
+    own = table.where("ord = 0").withColumn("space", F.lit(3)).unionByName(spark.createDataFrame([(0, "soil", "soil", 0.5, 4), (1, "soil", "grass", None, 4)], "ord int, source string, target string, share double, space int"))
+    got = {r["space"]: tuple(r) for r in cooling.counterfactual_from_tables(comp, known, own).collect()}
+    one = {r["space"]: tuple(r) for r in cooling.counterfactual_cooling(comp, weights, moves[:1]).collect()}
+    assert got[3] == one[3] and all(r[3] == 0 for s, r in got.items() if s != 3)
+    assert cooling.counterfactual_from_tables(comp.limit(0), known, table).count() == 0
+    assert {r[3] for r in cooling.counterfactual_from_tables(comp, known, table.limit(0)).collect()} == {0.0}
