@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from heatgrid.operators.sampling import bootstrap_correlations
 
+#: share of a column's squares below which the others are said to explain it whole
+ALIASED = 1e-7
+
 
 class Gram:
     """n, means and centred cross products of the columns, from rows where all are present."""
@@ -105,6 +108,17 @@ def _p_of_r(r: float, n: int) -> float:
     return 0.0 if abs(r) >= 1 else t_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
+def _partial(c: np.ndarray, v: int, controls: list[int]) -> float | None:
+    """Correlation of the first column and ``v`` without what ``controls`` explain, which may depend on one another; None where
+    they explain all of either."""
+    if not np.isfinite(c[np.ix_([0, v, *controls], [0, v, *controls])]).all():
+        return None
+    left = c[np.ix_([0, v], [0, v])] - c[np.ix_([0, v], controls)] @ np.linalg.pinv(c[np.ix_(controls, controls)], rcond=ALIASED) @ c[np.ix_(controls, [0, v])]
+    if min(left[0, 0], left[1, 1]) <= ALIASED:
+        return None
+    return float(np.clip(left[0, 1] / math.sqrt(left[0, 0] * left[1, 1]), -1, 1))
+
+
 def correlation(df: DataFrame, response: str, predictors: list[str], controls: list[str] | None = None, n_boot: int = 0, level: float = 0.95, seed: int = 1, id_col: str = "id") -> DataFrame:
     """r, p and stars of each predictor, by falling |r|; with ``controls`` also partial r and p (n - 2 degrees); with ``n_boot`` percentile intervals."""
     g = Gram(df, [response, *predictors, *(controls or [])])
@@ -120,10 +134,8 @@ def correlation(df: DataFrame, response: str, predictors: list[str], controls: l
         partial_r = partial_p = None
         low, high = ends.get(v, (None, None))
         if controls:
-            at = [0, g.cols.index(v), *[g.cols.index(x) for x in controls]]
-            inv = np.linalg.inv(c[np.ix_(at, at)])
-            partial_r = float(-inv[0, 1] / math.sqrt(inv[0, 0] * inv[1, 1]))
-            partial_p = _p_of_r(partial_r, g.n)
+            partial_r = _partial(c, g.cols.index(v), [g.cols.index(x) for x in controls])
+            partial_p = None if partial_r is None else _p_of_r(partial_r, g.n)
         four = lambda x: None if x is None else round(x, 4)
         out.append((v, four(r), four(p), four(low), four(high), four(partial_r), four(partial_p), stars(p)))
     out.sort(key=lambda x: (-abs(x[1]), x[0]))
@@ -166,7 +178,9 @@ class Fit:
 
 
 def stepwise(g: Gram, y: str, xs: list[str], direction: str = "backward", p_remove: float = 0.11, p_enter: float = 0.10) -> Fit:
-    """AIC-like steps with the penalty that the p-value stands for; every candidate is solved on the Gram table."""
+    """AIC-like steps with the penalty that the p-value stands for; every candidate is solved on the Gram table.
+    Columns that depend on those before them take no part."""
+    xs = unaliased(g, xs)
     penalty = chi2_1_quantile(p_remove if direction == "backward" else p_enter)
     used = list(xs) if direction == "backward" else []
     while True:
@@ -196,6 +210,17 @@ def vif_prune(g: Gram, xs: list[str], threshold: float = 7.5) -> list[str]:
     return xs
 
 
+def unaliased(g: Gram, xs: list[str]) -> list[str]:
+    """``xs`` without constants and without those that the ones before them explain but for a ten-millionth."""
+    kept: list[str] = []
+    for x in xs:
+        s = g.part([x, *kept])
+        left = s[0, 0] - (s[0, 1:] @ np.linalg.solve(s[1:, 1:], s[1:, 0]) if kept else 0.0)
+        if s[0, 0] > 0 and left > ALIASED * s[0, 0]:
+            kept.append(x)
+    return kept
+
+
 SUMMARY = "variable string, estimate double, std_error double, t_value double, p_value double, std_beta double, significance string"
 
 

@@ -68,7 +68,10 @@ def prepared_parks(parks: DataFrame, names: DataFrame, min_ha: float) -> DataFra
 
 def park_cooling_whole(parks: DataFrame, names: DataFrame, dn: DataFrame, min_ha: float = 0.0015, interval: float = 1.0, most: float = 4.0, min_rings: int = 3) -> DataFrame:
     """Q1 in full. Parks, the cropped raster and the parks' cells are written once; medians hold no park or ring in one task."""
-    zones = spatial.checkpointed(prepared_parks(parks, names, min_ha))
+    return cooling_of(spatial.checkpointed(prepared_parks(parks, names, min_ha)), dn, interval, most, min_rings)
+
+
+def cooling_of(zones: DataFrame, dn: DataFrame, interval: float = 1.0, most: float = 4.0, min_rings: int = 3) -> DataFrame:
     lst = spatial.checkpointed(spatial.crop(metric_raster(dn), zones, most))
     own = spatial.checkpointed(spatial.cells_in_zones(lst, zones))
     named = lambda df, keys: medians(df, "value", keys).withColumnRenamed("median", "lst_median")
@@ -205,12 +208,13 @@ def explained(rows: DataFrame, y: str, xs: list[str], controls: list[str], share
 
 
 def explain_pci_whole(parks: DataFrame, names: DataFrame, dn: DataFrame, lc: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Q9 in full, from the whole of Q1: landscape metrics and class shares of each park against its PCI."""
+    """Q9 in full, from the whole of Q1: landscape metrics and class shares of each park against its PCI. Each of the three,
+    a row for each park, is written before they are joined, so that the joins know their sizes."""
     zones = spatial.checkpointed(prepared_parks(parks, names, 0.0015))
-    pci = park_cooling_whole(parks, names, dn).where("PCI IS NOT NULL").select("feature_id", "PCI")
+    pci = spatial.checkpointed(cooling_of(zones, dn).where("PCI IS NOT NULL").select("feature_id", "PCI"))
     green = cells.scale_cells(dn, 1 / 5000, -9.0)
-    metrics = spatial.landscape_metrics(vectors.geometry(zones), zones, lc, green)
-    shares = spatial.land_cover_proportions(lc, zones, crosswalk, ["forest", "open", "built"])
+    metrics = spatial.checkpointed(spatial.landscape_metrics(vectors.geometry(zones), zones, lc, green))
+    shares = spatial.checkpointed(spatial.land_cover_proportions(lc, zones, crosswalk, ["forest", "open", "built"]))
     rows = pci.join(metrics, "feature_id").join(shares, "feature_id").withColumnRenamed("feature_id", "id")
     return explained(rows, "PCI", ["PA", "LPI", "prop_forest", "prop_open"], ["PP"])
 

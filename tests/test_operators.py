@@ -484,3 +484,23 @@ def test_moves_from_tables_equal_moves_as_parameters(spark):
     assert got[3] == one[3] and all(r[3] == 0 for s, r in got.items() if s != 3)
     assert cooling.counterfactual_from_tables(comp.limit(0), known, table).count() == 0
     assert {r[3] for r in cooling.counterfactual_from_tables(comp, known, table.limit(0)).collect()} == {0.0}
+
+
+def test_columns_that_depend_on_others(spark):
+    """Partial correlations and stepwise choice where a column repeats another, is their sum, or is constant."""
+    rng = np.random.default_rng(3)
+    a, b, e = rng.normal(size=(3, 300))
+    table = {"y": 2 * a - b + e, "a": a, "b": b, "twice": 2 * a, "both": a + b, "one": np.ones(300)}
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(*table.values(), strict=True))], "id int, " + ", ".join(f"{k} double" for k in table))
+    got = {r["variable"]: r for r in statistics.correlation(df, "y", ["a", "both"], ["twice"]).collect()}
+    assert (got["a"]["partial_r"], got["a"]["partial_p"]) == (None, None)
+    rest = lambda v: v - np.polyval(np.polyfit(a, v, 1), a)
+    assert got["both"]["partial_r"] == pytest.approx(np.corrcoef(rest(table["y"]), rest(table["both"]))[0, 1], abs=1e-4)
+    repeated = {r["variable"]: r["partial_r"] for r in statistics.correlation(df, "y", ["b"], ["a", "twice"]).collect()}
+    assert repeated == {r["variable"]: r["partial_r"] for r in statistics.correlation(df, "y", ["b"], ["a"]).collect()}
+    g = statistics.Gram(df, list(table))
+    assert statistics.unaliased(g, ["one", "a", "twice", "b", "both"]) == ["a", "b"]
+    assert statistics.unaliased(g, ["both", "twice", "b"]) == ["both", "twice"]
+    for direction in ("backward", "forward", "both"):
+        fit = statistics.stepwise(g, "y", ["a", "twice", "b", "both", "one"], direction)
+        assert sorted(fit.xs) == ["a", "b"] and fit.b[fit.xs.index("a")] == pytest.approx(2, abs=0.2)
