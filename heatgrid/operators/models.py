@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgrid.operators.checks import require_columns
+from heatgrid.sources.shared import new_folder
 
 CLASSIFIERS = {
     "rf": lambda trees: RandomForestClassifier(numTrees=trees or 200, seed=42),
@@ -56,7 +57,13 @@ def train_classifier(df: DataFrame, label: str, features: list[str] | None = Non
         total = rows.agg(F.count("*").alias("_t"), F.count_distinct(label).alias("_k"))
         rows = rows.join(share, label).crossJoin(F.broadcast(total)).withColumn("_w", F.col("_t") / (F.col("_k") * F.col("_c")))
         model.setWeightCol("_w")
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(rows)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(rows).copy()
+    # a training summary would take the session, unserializable once it has observed, to the tasks; forests' copies have none
+    if any(getattr(m, "hasSummary", False) for m in fitted.stages):
+        path = new_folder(df.sparkSession, "models")
+        fitted.save(path)
+        fitted = PipelineModel.load(path)
+    return fitted
 
 
 def apply_classifier(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -92,7 +99,8 @@ def cv_score(df: DataFrame, label: str, features: list[str], estimator: str = "r
     model = _estimator(REGRESSORS if regression else CLASSIFIERS, estimator, trees).setLabelCol(label).setFeaturesCol("features")
     judge = RegressionEvaluator(labelCol=label, metricName="r2") if regression else MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=[label, *features]))
-    cv = CrossValidator(estimator=model, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=42)
+    grid = ParamGridBuilder().addGrid(model.featuresCol, ["features"]).build()  # not empty, so that models are copied, as in train_classifier
+    cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=42)
     return float(cv.fit(rows).avgMetrics[0])
 
 

@@ -504,3 +504,11 @@ def test_columns_that_depend_on_others(spark):
     for direction in ("backward", "forward", "both"):
         fit = statistics.stepwise(g, "y", ["a", "twice", "b", "both", "one"], direction)
         assert sorted(fit.xs) == ["a", "b"] and fit.b[fit.xs.index("a")] == pytest.approx(2, abs=0.2)
+
+
+def test_forests_in_a_session_that_has_observed(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i), float(i % 7), int(i > 30)) for i in range(60)], "id int, a double, b double, label int")
+    outcome.filtered_outcome(rows, "id > 0", f"file://{tmp_path}/seen")
+    for kind in ("rf", "logistic", "gbt"):
+        assert models.apply_classifier(models.train_classifier(rows, "label", ["a", "b"], kind, 3), rows).where("pred = label").count() > 50
+    assert models.cv_score(rows, "label", ["a", "b"], trees=3) > 0.8
