@@ -86,12 +86,13 @@ def crop(cells: DataFrame, boundary: DataFrame, buffer: float) -> DataFrame:
 
 
 def neighbours(cells: DataFrame, d: float) -> DataFrame:
-    """(row, col, value, other): all pairs of cells with 0 < distance <= d, by an equi-join on shifted cells."""
+    """(row, col, value, other): all pairs of cells with 0 < distance <= d, by an equi-join on shifted cells. Size estimates
+    don't count the copies that explode makes, so joins with shifted cells name the sort-merge join, lest they are broadcast."""
     r = int(d)
     shifts = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if 0 < a * a + b * b <= d * d]
     moved = cells.select("row", "col", "value", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in shifts])).alias("s"))
     moved = moved.select((F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), F.col("value").alias("other"))
-    return cells.select("row", "col", "value").join(moved, ["row", "col"])
+    return cells.select("row", "col", "value").join(moved.hint("merge"), ["row", "col"])
 
 
 def disc_sums(cells: DataFrame, d: float) -> DataFrame:
@@ -124,7 +125,7 @@ def knn_within(cells: DataFrame, k: int = 8, reach: int = 2) -> DataFrame:
     """The k nearest cells of each one within ``reach`` (ties by row and column): (row, col, n_row, n_col, d2)."""
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a or b])
     moved = cells.select(F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.explode(shifts).alias("s"))
-    pairs = cells.select("row", "col").join(moved.select("n_row", "n_col", (F.col("n_row") - F.col("s.a")).alias("row"), (F.col("n_col") - F.col("s.b")).alias("col"), (F.col("s.a") * F.col("s.a") + F.col("s.b") * F.col("s.b")).alias("d2")), ["row", "col"])
+    pairs = cells.select("row", "col").join(moved.select("n_row", "n_col", (F.col("n_row") - F.col("s.a")).alias("row"), (F.col("n_col") - F.col("s.b")).alias("col"), (F.col("s.a") * F.col("s.a") + F.col("s.b") * F.col("s.b")).alias("d2")).hint("merge"), ["row", "col"])
     return _nearest(pairs, k)
 
 
@@ -239,7 +240,7 @@ def edge_metrics(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     columns whose every value is a landscape of its own, such as feature_id."""
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
     moved = cells.withColumn("s", F.explode(shifts)).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), F.col("code").alias("other"))
-    pairs = cells.join(moved, [*by, "row", "col"]).groupBy(*by, "code").agg(F.count_if(F.col("code") == F.col("other")).alias("like2"), F.count_if(F.col("code") != F.col("other")).alias("unlike"))
+    pairs = cells.join(moved.hint("merge"), [*by, "row", "col"]).groupBy(*by, "code").agg(F.count_if(F.col("code") == F.col("other")).alias("like2"), F.count_if(F.col("code") != F.col("other")).alias("unlike"))
     area = cells.groupBy(*by, "code").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(W.partitionBy(*by)))  # a row for each class
     side = F.floor(F.sqrt("n"))
     left = F.col("n") - side * side
@@ -301,7 +302,7 @@ def patch_metrics(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     p = checkpointed(patches(cells, by))
     shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])
     moved = p.withColumn("s", F.explode(shifts)).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"), "patch")
-    like = p.join(moved, [*by, "row", "col", "patch"]).groupBy(*by, "patch").agg(F.count("*").alias("like"))
+    like = p.join(moved.hint("merge"), [*by, "row", "col", "patch"]).groupBy(*by, "patch").agg(F.count("*").alias("like"))
     size = p.groupBy(*by, "patch").agg(F.first("code").alias("code"), F.count("*").alias("n")).join(like, [*by, "patch"], "left")
     shape = size.withColumn("outline", 4 * F.col("n") - F.coalesce("like", F.lit(0))).withColumn("least", 2 * F.ceil(2 * F.sqrt("n")))
     out = shape.groupBy(*by, "code").agg(F.count("*").alias("n_patches"), F.sum("n").alias("n"), F.avg(F.col("outline") / F.col("least")).alias("shape"))
