@@ -35,6 +35,7 @@ def rectify_to_ground(cells: DataFrame, poses: DataFrame, camera: tuple[float, f
     out = poses.withColumn("out_row", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("out_col", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
     u, v = to_camera(x0 + F.col("out_col") / scale, y1 - F.col("out_row") / scale)
     at = out.select("frame_id", "out_row", "out_col", F.round(fy * v + cy).cast("int").alias("row"), F.round(fx * u + cx).cast("int").alias("col"))
+    at = at.hint("merge")  # estimates leave out the cells that explode adds, which a filter behind would let be broadcast
     return at.join(cells, ["frame_id", "row", "col"], "left").select("frame_id", F.col("out_row").alias("row"), F.col("out_col").alias("col"), F.coalesce("code", F.lit(nodata)).alias("code"))
 
 

@@ -166,7 +166,7 @@ query("q5_evaluate_segmenters", "labelled_pixels")(evaluate_segmenters)
 def landscape_survey(px, poses, weights):
     """Q6: index of whole frames and of their ground view, with coverage; coldest first."""
     potential = lambda m, s: cooling.space_cooling_potential(m.select(F.col("frame_id").alias("space"), "code"), weights, {"green": [1, 2, 3]}).select("space", F.col("index").alias(s))
-    ground = camera.rectify_to_ground(px, poses, CAMERA, (0, 4, 0, 4), 4.0)
+    ground = spatial.checkpointed(camera.rectify_to_ground(px, poses, CAMERA, (0, 4, 0, 4), 4.0))  # read twice
     cover = camera.valid_fraction(ground).select(F.col("frame_id").alias("space"), "valid_fraction")
     return potential(px, "whole").join(potential(ground, "ground"), "space", "left").join(cover, "space", "left").where("whole IS NOT NULL").orderBy("whole", "space")
 

@@ -19,3 +19,11 @@ def test_shifted_cells_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan
     assert "BroadcastHashJoin" not in _plan(spatial.neighbours(cells, 1.0)) + _plan(spatial.knn_within(cells))
     assert spatial.neighbours(cells, 1.0).count() == 4 * 9 * 8
+
+
+def test_ground_cells_are_not_broadcast(spark):
+    poses = spark.createDataFrame([(i, 0.1, 0.02, 0.01, -2.0, -2.0, 8.0) for i in range(3)], "frame_id int, rx double, ry double, rz double, tx double, ty double, tz double")
+    pixels = spark.range(3 * 64 * 64).selectExpr("cast(id % 3 as int) frame_id", "cast(id div 3 % 64 as int) row", "cast(id div 192 as int) col", "cast(id % 5 as int) code")
+    ground = camera.rectify_to_ground(pixels, poses, (60.0, 60.0, 32.0, 32.0), (0, 4, 0, 4), 4.0)
+    assert "SortMergeJoin" in _plan(ground.where("code <> 0"))
+    assert ground.count() == 3 * 256
