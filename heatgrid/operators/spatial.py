@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,6 +17,9 @@ from heatgrid.functions.order import medians
 from heatgrid.operators.coverage import UNIT, covered_cells
 from heatgrid.sources.shared import new_folder
 
+#: cells along a side of the tiles of disc sums
+TILE = 256
+
 
 def zone_spans(edges: DataFrame) -> DataFrame:
     """(feature_id, row, from, to): columns whose centres lie inside on each row.
@@ -98,22 +103,39 @@ def neighbours(cells: DataFrame, d: float) -> DataFrame:
 def disc_sums(cells: DataFrame, d: float) -> DataFrame:
     """(row, col, value, w, l): number and sum of the other cells within ``d`` of each one, where there are any.
 
-    A disc is 2 d + 1 chords, one for each row, and a chord is the difference of two running sums along its row; so a cell
-    asks for 2 (2 d + 1) running sums, however many cells the disc holds. Values are taken less their mean, so that
+    Square tiles and the cells within ``d`` of them are groups, so a cell is shuffled little more than once, however many
+    cells the disc holds, and no group is larger than a tile. In a tile, a disc is 2 d + 1 chords, one for each row, and a
+    chord is the difference of two running sums over its cells in order. Values are taken less their mean, so that
     differences keep their digits.
     """
     r = int(d)
-    mean = cells.agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("_mean"))
-    base = cells.select("row", "col", "value").crossJoin(F.broadcast(mean)).withColumn("_v", F.col("value") - F.col("_mean"))  # one row
+    side = max(TILE, 4 * r)
+    width = side + 4 * r + 2
     chords = [(k, int(math.sqrt(d * d - k * k) + 1e-9)) for k in range(-r, r + 1)]
-    ends = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(side).alias("at"), F.lit(sign).alias("sign")) for k, h in chords for side, sign in ((h, 1), (-h - 1, -1))])
-    asks = base.select("row", "col", F.explode(ends).alias("e")).select((F.col("row") + F.col("e.k")).alias("_row"), (F.col("col") + F.col("e.at")).alias("_col"), "row", "col", "e.sign")
-    marks = base.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(0).alias("sign"), "_v")
-    upto = W.partitionBy("_row").orderBy("_col", F.col("row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    sums = marks.unionByName(asks.withColumn("_v", F.lit(None).cast("double"))).select("row", "col", "sign", F.count("_v").over(upto).alias("n"), F.coalesce(F.sum("_v").over(upto), F.lit(0.0)).alias("s")).where("row IS NOT NULL")
-    disc = sums.groupBy("row", "col").agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("s")).alias("s")).where("n > 1")
-    n = F.col("n") - 1
-    return base.join(disc, ["row", "col"]).select("row", "col", "value", n.cast("double").alias("w"), (F.col("s") - F.col("_v") + n * F.col("_mean")).alias("l"))
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / side), F.floor((F.col(c) + r) / side)))
+    base = cells.select("row", "col", "value", F.col("value").cast("double").alias("_v"))
+    near = base.withColumn("_tr", tiles("row")).withColumn("_tc", tiles("col"))
+
+    def sums(table: pa.Table) -> pa.Table:
+        row, col, v, tr, tc = (table[c].to_numpy() for c in ("row", "col", "_v", "_tr", "_tc"))
+        own = np.flatnonzero((row // side == tr) & (col // side == tc))
+        at = (row.astype(np.int64) - row.min()) * width + (col - col.min() + r + 1)
+        order = np.argsort(at, kind="stable")
+        mean = v.mean()
+        places, upto = at[order], np.r_[0.0, np.cumsum((v - mean)[order])]
+        own = own[np.argsort(at[own], kind="stable")]
+        n, total = np.full(len(own), -1), mean - v[own]
+        for k, h in chords:
+            a = np.searchsorted(places, at[own] + (k * width - h), "left")
+            b = np.searchsorted(places, at[own] + (k * width + h), "right")
+            n += b - a
+            total += upto[b] - upto[a]
+        some = n > 0
+        out = table.select(["row", "col", "value"]).take(pa.array(own[some]))
+        return out.append_column("w", pa.array(n[some].astype(float))).append_column("l", pa.array(total[some] + n[some] * mean))
+
+    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    return near.groupBy("_tr", "_tc").applyInArrow(sums, f"row {types['row']}, col {types['col']}, value {types['value']}, w double, l double")
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -166,6 +188,7 @@ def local_gi(cells: DataFrame, d: float = 1.5, include_self: bool = False, queen
         local = pairs.groupBy("row", "col").agg(F.first("value").alias("value"), F.count("*").cast("double").alias("w"), F.sum("other").alias("l"))
     else:
         local = disc_sums(valid, d)
+    local = checkpointed(local)  # read twice
     total = local.agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     n, s, q, w, x = (F.col(c) for c in ("n", "s", "q", "w", "value"))
     if include_self:

@@ -27,3 +27,17 @@ def test_ground_cells_are_not_broadcast(spark):
     ground = camera.rectify_to_ground(pixels, poses, (60.0, 60.0, 32.0, 32.0), (0, 4, 0, 4), 4.0)
     assert "SortMergeJoin" in _plan(ground.where("code <> 0"))
     assert ground.count() == 3 * 256
+
+
+def test_disc_sums_shuffle_cells_once(spark):
+    """Tiles with their margins; a cell is no longer sent once for each chord. Cells on both sides of tile borders."""
+    rnd = random.Random(3)
+    grid = {(r, c): rnd.uniform(20, 40) for r in range(-9, 9) for c in [*range(245, 268), *range(-267, -246)] if rnd.random() < 0.7}
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in grid.items()], "row int, col bigint, value double")
+    sums = spatial.disc_sums(cells, 5.0)
+    plan = _plan(sums)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    got = {(q["row"], q["col"]): (q["w"], q["l"]) for q in sums.collect()}
+    want = {(r, c): [v for (a, b), v in grid.items() if 0 < (a - r) ** 2 + (b - c) ** 2 <= 25] for r, c in grid}
+    assert set(got) == {k for k, v in want.items() if v} and sums.schema["col"].dataType.simpleString() == "bigint"
+    assert all(n == len(want[k]) and t == pytest.approx(sum(want[k]), abs=1e-9) for k, (n, t) in got.items())
