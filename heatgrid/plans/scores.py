@@ -20,6 +20,7 @@ standins.SQL |= {
     "surveyed": "SELECT o_orderkey AS id, o_orderpriority AS status, o_totalprice / 500000 AS agreement FROM {orders}",
     "three": "SELECT CAST(l_partkey % 5 AS INT) AS raw, CAST((l_partkey + l_linenumber) % 5 AS INT) AS rect, CAST(l_linenumber % 5 AS INT) AS truth FROM {lineitem}",
 }
+standins.SPARK["ranked"] = standins.SQL["ranked"].replace("CAST(c_acctbal AS INT)", "CAST(rint(c_acctbal) AS INT)")
 SEG = """WITH c AS (SELECT frame, model, truth AS t, pred AS p, count(*) AS n FROM {models} m WHERE truth <> 0 GROUP BY ALL), tot AS (SELECT frame, model, sum(n) AS n, sum(n) FILTER (t = p) AS hits FROM c GROUP BY ALL),
 r AS (SELECT frame, model, t AS k, sum(n) AS tn, coalesce(sum(n) FILTER (t = p), 0) AS tp FROM c GROUP BY ALL), q AS (SELECT frame, model, p AS k, sum(n) AS pn FROM c GROUP BY ALL),
 j AS (SELECT frame, model, k, coalesce(tn, 0) AS tn, coalesce(tp, 0) AS tp, coalesce(pn, 0) AS pn FROM r FULL JOIN q USING (frame, model, k)),

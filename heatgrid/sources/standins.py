@@ -29,10 +29,13 @@ SQL = {
     "catalog": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'daily' WHEN 'F' THEN 'weekly' ELSE 'always' END AS policy, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS fetched_at, CAST(o_orderkey % 40 AS INT) AS max_age_days, o_orderkey % 3 = 0 AS available, CASE o_orderkey % 4 WHEN 0 THEN 'vector' WHEN 1 THEN 'raster' WHEN 2 THEN 'tabular' ELSE 'image' END AS semantic_type, CASE o_orderkey % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'url' ELSE 'stac' END AS source_type, o_orderkey % 11 = 0 AS needs_auth FROM {orders}",
 }
 
+#: stand-ins that Spark says otherwise: its casts to whole numbers cut, DuckDB's round to the nearest, halves to the even one
+SPARK: dict[str, str] = {}
 
-def fill(sql: str, name) -> str:
-    """``sql`` with each {table} and each {stand-in} as a parenthesised query."""
-    return re.sub(r"\{(\w+)\}", lambda m: name(m[1]) if m[1] in TABLES else f"({fill(SQL[m[1]], name)})", sql)
+
+def fill(sql: str, name, own: dict[str, str] | None = None) -> str:
+    """``sql`` with each {table} and each {stand-in} as a parenthesised query; ``own``: stand-ins to use in place of those in SQL."""
+    return re.sub(r"\{(\w+)\}", lambda m: name(m[1]) if m[1] in TABLES else f"({fill((own or {}).get(m[1], SQL[m[1]]), name, own)})", sql)
 
 
 def duck(sql: str) -> str:
@@ -41,8 +44,8 @@ def duck(sql: str) -> str:
 
 
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(fill(sql, lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
+    return spark.sql(fill(sql, lambda t: f"parquet.`{sf_dir}/{t}.parquet`", SPARK))
 
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark_sql(spark, sf_dir, SQL[name])
+    return spark_sql(spark, sf_dir, SPARK.get(name, SQL[name]))

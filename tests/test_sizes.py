@@ -1,10 +1,17 @@
 """Plans and results of steps whose tables outgrow what their size estimates say."""
 
+import math
 import random
 
+import duckdb
+import numpy as np
 import pytest
+from compare import same
+from pyspark.sql import functions as F
 
-from heatgrid.operators import camera, spatial
+from heatgrid import registry
+from heatgrid.operators import camera, spatial, statistics
+from heatgrid.sources import standins
 
 
 def _plan(df) -> str:
@@ -41,3 +48,13 @@ def test_disc_sums_shuffle_cells_once(spark):
     want = {(r, c): [v for (a, b), v in grid.items() if 0 < (a - r) ** 2 + (b - c) ** 2 <= 25] for r, c in grid}
     assert set(got) == {k for k, v in want.items() if v} and sums.schema["col"].dataType.simpleString() == "bigint"
     assert all(n == len(want[k]) and t == pytest.approx(sum(want[k]), abs=1e-9) for k, (n, t) in got.items())
+
+
+def test_stand_ins_round_as_duckdb(spark, tmp_path):
+    """Spark's cast to a whole number cuts and DuckDB's rounds, so 9999.8 lost to an earlier 9999.4."""
+    balances = [9999.4, 9999.8, 9999.6, 0.5, 1.5, -0.5, -1.5, 9999.5]
+    spark.createDataFrame([(i, i, b) for i, b in enumerate(balances)], "c_custkey bigint, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    same(standins.standin(spark, str(tmp_path), "ranked"), con, standins.duck(standins.SQL["ranked"]))
+    same(registry.QUERIES["a14_winners"](spark, str(tmp_path)), con, registry.ORACLES["a14_winners"])
