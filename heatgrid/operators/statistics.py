@@ -12,6 +12,8 @@ from heatgrid.operators.sampling import bootstrap_correlations
 
 #: share of a column's squares below which the others are said to explain it whole
 ALIASED = 1e-7
+#: least eigenvalue of correlations below which some column is said to follow exactly from the others
+DEPENDENT = 1e-12
 
 
 class Gram:
@@ -32,9 +34,10 @@ class Gram:
         at = [self.cols.index(c) for c in names]
         return self.s[np.ix_(at, at)]
 
-    def correlation(self) -> np.ndarray:
-        d = np.sqrt(np.diag(self.s))
-        return self.s / np.outer(d, d)
+    def correlation(self, *names: str) -> np.ndarray:
+        s = self.part(list(names)) if names else self.s
+        d = np.sqrt(np.diag(s))
+        return s / np.outer(d, d)
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
@@ -194,9 +197,16 @@ def stepwise(g: Gram, y: str, xs: list[str], direction: str = "backward", p_remo
 
 
 def vif(g: Gram, xs: list[str]) -> dict[str, float]:
-    s = g.part(xs)
-    d = np.sqrt(np.diag(s))
-    return dict(zip(xs, np.diag(np.linalg.inv(s / np.outer(d, d))).tolist(), strict=True))
+    """Variance factors; infinite for columns that the others explain whole, whose inverse would be rounding errors."""
+    c = g.correlation(*xs)
+    if not np.isfinite(c).all() or np.linalg.eigvalsh(c)[0] > DEPENDENT:
+        return dict(zip(xs, np.diag(np.linalg.inv(c)).tolist(), strict=True))
+    out = {}
+    for i, x in enumerate(xs):
+        rest = [j for j in range(len(xs)) if j != i]
+        left = 1 - c[i, rest] @ np.linalg.pinv(c[np.ix_(rest, rest)], rcond=ALIASED) @ c[rest, i]
+        out[x] = float(1 / left) if left > ALIASED else math.inf
+    return out
 
 
 def vif_prune(g: Gram, xs: list[str], threshold: float = 7.5) -> list[str]:
@@ -204,6 +214,8 @@ def vif_prune(g: Gram, xs: list[str], threshold: float = 7.5) -> list[str]:
     while len(xs) > 1:
         v = vif(g, xs)
         worst = max(xs, key=lambda x: v[x])
+        if v[worst] == math.inf:  # factors are det(the others) / det(all): the largest of them, whatever the rounding of det(all)
+            worst = max((x for x in xs if v[x] == math.inf), key=lambda x: np.linalg.det(g.correlation(*[o for o in xs if o != x])))
         if v[worst] <= threshold:
             break
         xs.remove(worst)

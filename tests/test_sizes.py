@@ -58,3 +58,17 @@ def test_stand_ins_round_as_duckdb(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     same(standins.standin(spark, str(tmp_path), "ranked"), con, standins.duck(standins.SQL["ranked"]))
     same(registry.QUERIES["a14_winners"](spark, str(tmp_path)), con, registry.ORACLES["a14_winners"])
+
+
+def test_factors_of_columns_that_depend_on_one_another(spark):
+    """x4 follows from x1 and x2: its factor is infinite, also where the inverse is singular or its rounding errors are negative."""
+    for n in (300, 3000, 20_000):
+        rows = spark.range(n).selectExpr("double(id % 50) x1", "double(id % 7) x2", "double(id * 31 % 11) x3").withColumn("x4", F.col("x1") + F.col("x2") * 0.001)
+        g = statistics.Gram(rows, ["x1", "x2", "x3", "x4"])
+        v = statistics.vif(g, ["x1", "x2", "x3", "x4"])
+        assert v["x1"] == v["x4"] == math.inf and 1 <= v["x3"] < 1.01
+        rest = {x: np.linalg.det(g.correlation(*[o for o in g.cols if o != x])) for x in ("x1", "x4")}
+        worst = max(rest, key=rest.get)
+        assert statistics.vif_prune(g, ["x1", "x2", "x3", "x4"]) == [x for x in g.cols if x != worst]
+    g.cols, g.s = ["a", "b", "c"], np.array([[1.0, 0.0, 1.0], [0.0, 1.0, 1.0], [1.0, 1.0, 2.0]])
+    assert statistics.vif_prune(g, ["a", "b", "c"]) == ["a", "b"]  # a and b are unrelated, c half of each
