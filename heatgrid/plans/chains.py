@@ -162,7 +162,7 @@ def segmented_survey(photo_px: DataFrame, labels: DataFrame, poses: DataFrame, w
     both = spatial.checkpointed(apply_classifier(train_classifier(known, "label", feats, "logistic"), first.select("frame_id", "row", "col", *feats, F.col("pred").alias("a"))).select("frame_id", "row", "col", "a", F.col("pred").alias("b")))
     mask = both.select("frame_id", "row", "col", F.col("a").alias("code"))
     potential = lambda m, s: cooling.space_cooling_potential(m.select(F.col("frame_id").alias("space"), "code"), weights, {"green": [1, 2, 3]}).select("space", F.col("index").alias(s))
-    ground = camera.rectify_to_ground(mask, poses, CAMERA, (0, 4, 0, 4), 4.0)
+    ground = spatial.checkpointed(camera.rectify_to_ground(mask, poses, CAMERA, (0, 4, 0, 4), 4.0))  # read twice
     agreed = scores.disagreement_rate(both, ["frame_id"]).select(F.col("frame_id").alias("space"), "agreement")
     status = F.when(F.col("ground").isNull(), "no_ground").when(F.col("agreement") >= least, "agreed").otherwise("contested")
     cover = camera.valid_fraction(ground).select(F.col("frame_id").alias("space"), "valid_fraction")
