@@ -149,7 +149,7 @@ query("q4_predict_temperature", "lst lc")(predict_temperature)
 def evaluate_segmenters(px):
     """Q5: split labelled frames, fit on training pixels, apply, score by frame, average."""
     feats = cells.FEATURES
-    rows = cells.featurize_frames(px.drop("label"), px.select("frame_id", "row", "col", "label"))
+    rows = spatial.checkpointed(cells.featurize_frames(px.drop("label"), px.select("frame_id", "row", "col", "label")))  # training reads them many times
     parts = sampling.split_random(rows.select("frame_id").distinct(), 0.3, 0.0, 7, "frame_id")
     train = rows.join(parts.where("partition = 'train'"), "frame_id", "left_semi")
     test = rows.join(parts.where("partition = 'test'"), "frame_id", "left_semi")
