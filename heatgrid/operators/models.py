@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatgrid.operators.checks import require_columns
+from heatgrid.operators.spatial import checkpointed
 from heatgrid.sources.shared import new_folder
 
 CLASSIFIERS = {
@@ -107,6 +108,7 @@ def cv_score(df: DataFrame, label: str, features: list[str], estimator: str = "r
 def segment_pixels(pixels: DataFrame, features: list[str], label: str = "label", model: PipelineModel | None = None, min_labeled: int = 20) -> DataFrame:
     """Class of every pixel by a given model, or by one fitted on the labelled pixels (code 0: none)."""
     if model is None:
+        pixels = checkpointed(pixels)  # training reads them many times
         known = pixels.where(F.col(label).isNotNull() & (F.col(label) != 0))
         if known.limit(min_labeled).count() < min_labeled:
             raise ValueError(f"fewer than {min_labeled} labelled pixels")

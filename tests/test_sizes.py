@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from heatgrid import registry
 from heatgrid.operators import camera, spatial, statistics
+from heatgrid.operators.cells import FEATURES, featurize_frames
 from heatgrid.sources import standins
 
 
@@ -72,3 +73,15 @@ def test_factors_of_columns_that_depend_on_one_another(spark):
         assert statistics.vif_prune(g, ["x1", "x2", "x3", "x4"]) == [x for x in g.cols if x != worst]
     g.cols, g.s = ["a", "b", "c"], np.array([[1.0, 0.0, 1.0], [0.0, 1.0, 1.0], [1.0, 1.0, 2.0]])
     assert statistics.vif_prune(g, ["a", "b", "c"]) == ["a", "b"]  # a and b are unrelated, c half of each
+
+
+def test_labelled_pixels_are_featurized_once(spark, monkeypatch):
+    """Training reads its rows many times; each time every texture was computed again."""
+    from heatgrid.operators import models
+
+    written = []
+    monkeypatch.setattr(models, "checkpointed", lambda df: written.append(spatial.checkpointed(df)) or written[-1])
+    pixels = spark.range(400).selectExpr("cast(id % 2 as int) frame_id", "cast(id div 40 as int) row", "cast(id div 2 % 20 as int) col", "cast(id * 7 % 256 as int) r", "cast(id % 256 as int) g", "5 b", "cast(case when id % 3 = 0 then 0 when id * 7 % 256 > 128 then 1 else 2 end as int) label")
+    out = models.segment_pixels(featurize_frames(pixels.drop("label"), pixels.select("frame_id", "row", "col", "label")), FEATURES)
+    assert len(written) == 1 and "Window" not in _plan(out)
+    assert out.count() == 400 and {r["pred"] for r in out.select("pred").distinct().collect()} == {1, 2}
