@@ -14,9 +14,11 @@ writes no segment and reads as no rows; texts of any length are whole, and one t
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 
 from heatgrid.llm.pieces import PieceEncoder, freeing, ranges, text_slices
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 BLOCK = 1024
 SEGMENT_IDS = 1 << 20
 SHARE = 0.9
@@ -36,24 +41,42 @@ WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 HEADER = np.dtype([("min", "<u4"), ("width", "u1"), ("n", "<u2"), ("exceptions", "<u2")])
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(path: str, special: bool) -> Tokenizer:
+    """The tokenizer of a file; ``special``: added tokens in a text count as such. Reading the file costs as much as encoding
+    3 MB, so a Python worker keeps it for its next tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = not special
+    own.no_truncation()
+    own.no_padding()
+    return own
+
+
+@functools.lru_cache(maxsize=1)
+def token_sizes(path: str) -> np.ndarray:
+    """Bytes of each token."""
+    own = loaded(path, False)
+    sizes = np.zeros(own.get_vocab_size(), np.int64)
+    for token, i in own.get_vocab().items():
+        sizes[i] = len(token)  # a character of a token stands for a byte
+    return sizes
+
+
 class Encoder:
     """The tokenizers library, given each different piece of a slice once; texts that hold an added token go to it whole."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        for own in (self.whole, self.plain):
-            own.no_truncation()
-            own.no_padding()
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.sizes = np.zeros(self.plain.get_vocab_size(), np.int64)
-        for token, i in self.plain.get_vocab().items():
-            self.sizes[i] = len(token)  # a character of a token stands for a byte
+        self.path, self.plain, self.sizes = path, loaded(path, False), token_sizes(path)
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.pieces = PieceEncoder(self._learn, KNOWN_BYTES)
 
+    @property
+    def whole(self) -> Tokenizer:
+        return loaded(self.path, True)
+
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and how many each has. Pieces go through the tokenizer by the thousand, each that
         doesn't begin with white space after a line break, and are told apart by their bytes; those that end in white space

@@ -94,6 +94,7 @@ def test_bpe_equals_tiktoken(spark, sf, where):
 @pytest.mark.parametrize("where", ["given", "awkward"])
 def test_token_files_equal_tokenizers(spark, sf, where):
     import public_tokenizers as P
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = SF if where == "given" else f"file://{sf}"
@@ -355,6 +356,22 @@ def test_known_pieces_are_bounded(monkeypatch):
         assert ids.tolist() == [x for e in own.whole.encode_batch(texts, add_special_tokens=False) for x in e.ids]
 
 
+def test_encoder_reads_its_file_once_for_each_worker():
+    """Two tokenizers were read for each task; now a worker keeps them."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    a, b = tokenfiles.Encoder(path), tokenfiles.Encoder(path)
+    assert a.plain is b.plain and a.pieces is not b.pieces
+    whole = Tokenizer.from_file(path)
+    odd = [None, "", "some words", *[f"some {t} words{t}" for t in a.added], "some words again"]
+    for own in (a, b):
+        ids, counts = own.encode(pa.array(odd, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [whole.encode(t or "", add_special_tokens=False).ids for t in odd]
+
+
 def exchanges(df, *keys):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return sum("Exchange" in x and all(k in x for k in keys) for x in plan.split("\n"))
