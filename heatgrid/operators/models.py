@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -46,7 +46,8 @@ def feature_columns(df: DataFrame, label: str, exclude: tuple[str, ...]) -> list
 
 
 def train_classifier(df: DataFrame, label: str, features: list[str] | None = None, estimator: str = "rf", trees: int | None = None, balanced: bool = False) -> PipelineModel:
-    """At least two classes; ``balanced`` weighs rows by the inverse of their class's share (not for gbt)."""
+    """At least two classes; ``balanced`` weighs rows by the inverse of their class's share (not for gbt). Boosted trees are
+    fitted for the classes that there are, by their place among them; the model gives the labels back."""
     features = features or feature_columns(df, label, ("id", "frame", "frame_id", "partition", "x", "y"))
     rows = require_columns(df, label, *features).dropna(subset=[label, *features])
     if rows.select(label).distinct().limit(2).count() < 2:
@@ -58,7 +59,12 @@ def train_classifier(df: DataFrame, label: str, features: list[str] | None = Non
         total = rows.agg(F.count("*").alias("_t"), F.count_distinct(label).alias("_k"))
         rows = rows.join(share, label).crossJoin(F.broadcast(total)).withColumn("_w", F.col("_t") / (F.col("_k") * F.col("_c")))
         model.setWeightCol("_w")
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), model]).fit(rows).copy()
+    stages = [VectorAssembler(inputCols=features, outputCol="features"), model]
+    if isinstance(model, OneVsRest):  # which fits a model for each number up to the largest label
+        known = sorted(r[0] for r in rows.select(F.col(label).cast("double")).distinct().collect())  # a row for each class
+        rows = rows.withColumn(label, F.array_position(F.array(*[F.lit(k) for k in known]), F.col(label).cast("double")).cast("double") - 1)
+        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT (prediction), element_at(array({', '.join(f'{k!r}D' for k in known)}), CAST(prediction AS INT) + 1) AS prediction FROM __THIS__"))
+    fitted = Pipeline(stages=stages).fit(rows).copy()
     # a training summary would take the session, unserializable once it has observed, to the tasks; forests' copies have none
     if any(getattr(m, "hasSummary", False) for m in fitted.stages):
         path = new_folder(df.sparkSession, "models")

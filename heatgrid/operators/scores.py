@@ -17,11 +17,10 @@ def confusion(pairs: DataFrame, by: list[str], truth: str, pred: str, nodata: in
 def score_segmenters(pairs: DataFrame, by: list[str], truth: str = "truth", pred: str = "pred", nodata: int = 0) -> DataFrame:
     """Accuracy, mean IoU over the true classes and Cohen's kappa (null where chance agreement is 1) of each group."""
     c = confusion(pairs, by, truth, pred, nodata)
-    total = c.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("hits"))
-    rows = c.groupBy(*by, F.col("t").alias("k")).agg(F.sum("n").alias("tn"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"))
-    cols = c.groupBy(*by, F.col("p").alias("k")).agg(F.sum("n").alias("pn"))
-    marginal = rows.join(cols, [*by, "k"], "full").fillna(0, ["tn", "tp", "pn"]).groupBy(*by).agg(F.sum(F.col("tn").cast("double") * F.col("pn")).alias("cross"), F.avg(F.when(F.col("tn") > 0, F.col("tp") / (F.col("tn") + F.col("pn") - F.col("tp")))).alias("miou"))
-    out = total.join(marginal, by)
+    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)
+    sides = F.array(F.struct(F.col("t").alias("k"), F.col("n").alias("tn"), hit.alias("tp"), F.lit(0).cast("bigint").alias("pn")), F.struct(F.col("p").alias("k"), F.lit(0).cast("bigint").alias("tn"), F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("pn")))
+    marginal = c.dropna(subset=by).select(*by, F.explode(sides).alias("s")).groupBy(*by, "s.k").agg(*[F.sum(f"s.{x}").alias(x) for x in ("tn", "tp", "pn")])  # the pairs are read once
+    out = marginal.groupBy(*by).agg(F.sum("tn").alias("n"), F.sum("tp").alias("hits"), F.sum(F.col("tn").cast("double") * F.col("pn")).alias("cross"), F.avg(F.when(F.col("tn") > 0, F.col("tp") / (F.col("tn") + F.col("pn") - F.col("tp")))).alias("miou"))
     po, pe = F.col("hits") / F.col("n"), F.col("cross") / (F.col("n").cast("double") * F.col("n"))
     return out.select(*by, "n", F.round(po, 4).alias("accuracy"), F.round("miou", 4).alias("mean_iou"), F.round(F.when(1 - pe > 1e-12, (po - pe) / (1 - pe)), 4).alias("kappa"))
 

@@ -117,10 +117,11 @@ SELECT category, confidence, coalesce(n, 0) AS n_cells, round(100 * coalesce(n,
 
 
 def prepared_frames(photos: DataFrame, scribbles: DataFrame, scribble_px: DataFrame, palette: DataFrame, test: float = 0.2, val: float = 0.1, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(frames, labels): photographs with a scribble and their partition by scene; labelled pixels, by palette colour."""
+    """(frames, labels): photographs with a scribble and their partition by scene; labelled pixels, by palette colour. Frames
+    and the pixels of their scribbles, which are read more than once, are written."""
     pairs = catalog.pair_by_stem(photos, scribbles)
-    frames = sampling.split_stratified(pairs, test, val, seed, "scene", "stem").withColumnRenamed("stem", "frame_id")
-    own = scribble_px.join(frames.select("frame_id", F.col("label").alias("path")), "path")
+    frames = spatial.checkpointed(sampling.split_stratified(pairs, test, val, seed, "scene", "stem").withColumnRenamed("stem", "frame_id"))
+    own = spatial.checkpointed(scribble_px.join(frames.select("frame_id", F.col("label").alias("path")), "path"))
     return frames, cells.snap_palette(own, palette).where("code <> 0").select("frame_id", "row", "col", F.col("code").alias("label"))
 
 
@@ -133,12 +134,12 @@ def compared_segmenters(photos: DataFrame, scribbles: DataFrame, photo_px: DataF
     """Q5 in full: each model learns from the labelled pixels of the training frames and segments the test frames whole;
     (model, accuracy, mean_iou, kappa, wins), wins the measures in which it is the first, ties to the model named first."""
     frames, labels = prepared_frames(photos, scribbles, scribble_px, palette)
-    pixels = photo_px.join(frames.select(F.col("image").alias("path"), "frame_id", "partition"), "path").drop("path")
+    pixels = spatial.checkpointed(photo_px.join(frames.select(F.col("image").alias("path"), "frame_id", "partition"), "path").drop("path"))  # read twice
     rows = spatial.checkpointed(cells.featurize_frames(pixels, labels))
     train, test = rows.where("partition = 'train' AND label IS NOT NULL"), rows.where("partition = 'test'")
     done = [segment_pixels(test, cells.FEATURES, model=train_classifier(train, "label", cells.FEATURES, m, trees)).select("frame_id", "label", "pred", F.lit(m).alias("model")) for m in models]
     measures = ["accuracy", "mean_iou", "kappa"]
-    by_model = scores.macro_average(scores.score_segmenters(reduce(DataFrame.unionByName, done), ["frame_id", "model"], "label", "pred"), ["model"], measures)
+    by_model = spatial.checkpointed(scores.macro_average(scores.score_segmenters(reduce(DataFrame.unionByName, done), ["frame_id", "model"], "label", "pred"), ["model"], measures))  # read twice
     order = F.create_map(*[F.lit(x) for i, m in enumerate(models) for x in (m, i)])
     best = scores.winners(by_model.withColumn("rank", order[F.col("model")]), "model", measures).groupBy(F.col("winner").alias("model")).agg(F.array_join(F.array_sort(F.collect_list("dimension")), " ").alias("wins"))  # a row for each measure
     return by_model.join(best, "model", "left").fillna("", ["wins"])

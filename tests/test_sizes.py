@@ -85,3 +85,24 @@ def test_labelled_pixels_are_featurized_once(spark, monkeypatch):
     out = models.segment_pixels(featurize_frames(pixels.drop("label"), pixels.select("frame_id", "row", "col", "label")), FEATURES)
     assert len(written) == 1 and "Window" not in _plan(out)
     assert out.count() == 400 and {r["pred"] for r in out.select("pred").distinct().collect()} == {1, 2}
+
+
+def test_scores_read_their_pairs_once(spark):
+    """Sums, rows and columns of the confusions were three reads, each with all predictions of its own."""
+    from heatgrid.operators import scores
+
+    pairs = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, 2), ("a", 0, 2), ("b", 3, None), ("b", 3, 3), (None, 1, 1)], "g string, truth int, pred int")
+    out = scores.score_segmenters(pairs, ["g"])
+    assert _plan(out).count("Scan") == 1 and "Join" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == [("a", 3, 0.6667, 0.5, 0.4), ("b", 2, 0.5, 0.5, 0.0)]
+
+
+def test_boosted_trees_of_the_classes_there_are(spark):
+    """One against the rest was fitted for every number up to the largest label, also those that no row has."""
+    from heatgrid.operators import models
+
+    rows = spark.range(200).selectExpr("id % 20 a", "id % 7 b", "cast(case when id % 20 < 10 then 7 else 3 end as int) label")
+    model = models.train_classifier(rows, "label", ["a", "b"], "gbt", 2)
+    assert len(model.stages[1].models) == 2
+    assert models.apply_classifier(model, rows).where("pred = label").count() == 200
+    assert models.apply_classifier(model, rows.drop("label")).select("pred").distinct().count() == 2
