@@ -45,7 +45,7 @@ standins.SQL |= {
 
 
 def metric_raster(dn: DataFrame, step: float = DEG) -> DataFrame:
-    """Thermal numbers of a raster in degrees from (0, 0), scaled, on a grid of one metre a quarter step in."""
+    """Thermal numbers of a raster in degrees from (0, 0), scaled, on a grid of one metre a quarter step in; read twice."""
     far = dn.agg(F.max("row"), F.max("col")).first()
     rows, cols = (far[0] or 0) + 1, (far[1] or 0) + 1
     scaled = cells.scale_cells(dn, SCALE, OFFSET)
@@ -67,12 +67,13 @@ def prepared_parks(parks: DataFrame, names: DataFrame, min_ha: float) -> DataFra
 
 
 def park_cooling_whole(parks: DataFrame, names: DataFrame, dn: DataFrame, min_ha: float = 0.0015, interval: float = 1.0, most: float = 4.0, min_rings: int = 3) -> DataFrame:
-    """Q1 in full. Parks, the cropped raster and the parks' cells are written once; medians hold no park or ring in one task."""
-    return cooling_of(spatial.checkpointed(prepared_parks(parks, names, min_ha)), dn, interval, most, min_rings)
+    """Q1 in full. Parks, the rasters and the parks' cells are written once; medians hold no park or ring in one task."""
+    return cooling_of(spatial.checkpointed(prepared_parks(parks, names, min_ha)), spatial.checkpointed(dn), interval, most, min_rings)
 
 
 def cooling_of(zones: DataFrame, dn: DataFrame, interval: float = 1.0, most: float = 4.0, min_rings: int = 3) -> DataFrame:
-    lst = spatial.checkpointed(spatial.crop(metric_raster(dn), zones, most))
+    """The raster needs no crop to the parks: what follows looks at cells inside and within ``most`` alone, the cells that it would keep."""
+    lst = spatial.checkpointed(metric_raster(dn))
     own = spatial.checkpointed(spatial.cells_in_zones(lst, zones))
     named = lambda df, keys: medians(df, "value", keys).withColumnRenamed("median", "lst_median")
     return cooling.park_cooling_intensity(named(spatial.distance_bands(lst, zones, interval, most, own), ["feature_id", "distance_m"]), named(own, ["feature_id"]), min_rings=min_rings)
@@ -210,7 +211,9 @@ def explained(rows: DataFrame, y: str, xs: list[str], controls: list[str], share
 
 def explain_pci_whole(parks: DataFrame, names: DataFrame, dn: DataFrame, lc: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Q9 in full, from the whole of Q1: landscape metrics and class shares of each park against its PCI. Each of the three,
-    a row for each park, is written before they are joined, so that the joins know their sizes."""
+    a row for each park, is written before they are joined, so that the joins know their sizes; the rasters are written as
+    all three read them."""
+    dn, lc = spatial.checkpointed(dn), spatial.checkpointed(lc)
     zones = spatial.checkpointed(prepared_parks(parks, names, 0.0015))
     pci = spatial.checkpointed(cooling_of(zones, dn).where("PCI IS NOT NULL").select("feature_id", "PCI"))
     green = cells.scale_cells(dn, 1 / 5000, -9.0)
