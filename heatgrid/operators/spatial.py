@@ -62,16 +62,20 @@ def edge_buckets(edges: DataFrame, most: float) -> DataFrame:
     return e.withColumn("_bx", F.explode(F.sequence(F.floor(left / most) - 1, F.floor(right / most) + 1)))
 
 
-def edge_distances(cells: DataFrame, edges: DataFrame, most: float) -> DataFrame:
-    """(feature_id, row, col, value, d): least distance, at most ``most``, of cell centres to a feature's outline."""
+def _near_edges(cells: DataFrame, edges: DataFrame, most: float) -> DataFrame:
+    """Cells with each edge whose distance ``d`` from their centre is at most ``most``."""
     x, y = F.col("col") + 0.5, F.col("row") + 0.5
     c = cells.withColumn("_bx", F.floor(x / most)).withColumn("_by", F.floor(y / most))
     e = edge_buckets(edges, most)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
     d = F.hypot(x - (F.col("x1") + t * dx), y - (F.col("y1") + t * dy))
-    near = c.join(e, ["_bx", "_by"]).withColumn("d", d).where(F.col("d") <= most)
-    return near.groupBy("feature_id", "row", "col").agg(F.min("d").alias("d"), F.first("value").alias("value"))
+    return c.join(e, ["_bx", "_by"]).withColumn("d", d).where(F.col("d") <= most)
+
+
+def edge_distances(cells: DataFrame, edges: DataFrame, most: float) -> DataFrame:
+    """(feature_id, row, col, value, d): least distance, at most ``most``, of cell centres to a feature's outline."""
+    return _near_edges(cells, edges, most).groupBy("feature_id", "row", "col").agg(F.min("d").alias("d"), F.first("value").alias("value"))
 
 
 def distance_bands(cells: DataFrame, edges: DataFrame, interval: float, most: float, inside: DataFrame | None = None) -> DataFrame:
@@ -86,7 +90,7 @@ def distance_bands(cells: DataFrame, edges: DataFrame, interval: float, most: fl
 def crop(cells: DataFrame, boundary: DataFrame, buffer: float) -> DataFrame:
     """Cells inside the boundary or within ``buffer`` of it."""
     inside = cells_in_zones(cells, boundary).select("row", "col")
-    near = edge_distances(cells, boundary, buffer).select("row", "col")
+    near = _near_edges(cells, boundary, buffer).select("row", "col")
     return cells.join(inside.unionByName(near).distinct(), ["row", "col"], "left_semi")
 
 

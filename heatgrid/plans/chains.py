@@ -88,7 +88,8 @@ def chain_warnings(parks: DataFrame, dn: DataFrame) -> DataFrame:
 def heat_islands_whole(boundary: DataFrame, dn: DataFrame, buffer: float = 2.0, d: float = 1.5) -> DataFrame:
     """Q2 in full: reprojected, cropped to the boundary, Gi, tiers, summary."""
     city = metric_edges(vectors.normalise_rings(boundary))
-    lst = spatial.checkpointed(spatial.crop(metric_raster(dn), city, buffer))
+    raster = spatial.checkpointed(metric_raster(spatial.checkpointed(dn)))  # crop reads it three times
+    lst = spatial.checkpointed(spatial.crop(raster, city, buffer))
     return spatial.cluster_summary(spatial.classify_clusters(spatial.local_gi(lst, d)))
 
 

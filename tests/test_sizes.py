@@ -6,7 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from compare import same
+from compare import SF, same
 from pyspark.sql import functions as F
 
 from heatgrid import registry
@@ -106,3 +106,13 @@ def test_boosted_trees_of_the_classes_there_are(spark):
     assert len(model.stages[1].models) == 2
     assert models.apply_classifier(model, rows).where("pred = label").count() == 200
     assert models.apply_classifier(model, rows.drop("label")).select("pred").distinct().count() == 2
+
+
+@pytest.mark.parametrize("name", ["q1_park_cooling_reprojected", "q2_heat_islands_reprojected"])
+def test_rasters_are_written_before_they_are_read_again(spark, monkeypatch, name):
+    """A crop reads its raster three times; each time it was reprojected from the table again."""
+    seen = []
+    for step in ("crop", "edge_distances"):
+        monkeypatch.setattr(spatial, step, lambda c, *a, real=getattr(spatial, step): seen.append(_plan(c)) or real(c, *a))
+    registry.QUERIES[name](spark, SF)
+    assert seen and not any("Join" in p or "Aggregate" in p for p in seen)
