@@ -42,12 +42,17 @@ def cells_in_zones(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return at.join(cells, ["row", "col"])
 
 
-def points_in_polygons(points: DataFrame, edges: DataFrame, bucket: float = 4.0) -> DataFrame:
-    """(id, feature_id) of points (id, x, y) inside polygons, by the parity of crossings to the right, found in buckets of y."""
-    p = points.withColumn("_b", F.floor(F.col("y") / bucket))
+def points_in_polygons(points: DataFrame, edges: DataFrame, bucket: float = 4.0, block: int = 256) -> DataFrame:
+    """(id, feature_id) of points (id, x, y) inside polygons, by the parity of crossings to the right, found in buckets of y.
+
+    In each bucket a feature's edges are blocks of at most ``block``; a point counts its crossings of a block at once, and only
+    odd counts are summed, so no task holds a row for each crossing. Points are dealt by id, by which they are also summed."""
+    p = points.repartition("id").withColumn("_b", F.floor(F.col("y") / bucket))
     e = edges.where("y1 <> y2").withColumn("_b", F.explode(F.sequence(F.floor(F.least("y1", "y2") / bucket), F.floor(F.greatest("y1", "y2") / bucket))))
-    crosses = ((F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    hits = p.join(e, "_b").where(crosses)
+    part = F.floor((F.row_number().over(W.partitionBy("_b", "feature_id").orderBy("y1", "x1")) - 1) / block)
+    blocks = e.withColumn("_k", part).groupBy("_b", "feature_id", "_k").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_e"))
+    crosses = lambda e: ((e["y1"] <= F.col("y")) != (e["y2"] <= F.col("y"))) & (F.col("x") < e["x1"] + (F.col("y") - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
+    hits = p.join(blocks, "_b").where(F.size(F.filter("_e", crosses)) % 2 == 1)
     return hits.groupBy("id", "feature_id").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "feature_id")
 
 

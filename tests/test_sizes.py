@@ -1,7 +1,9 @@
 """Plans and results of steps whose tables outgrow what their size estimates say."""
 
+import collections
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -116,3 +118,15 @@ def test_rasters_are_written_before_they_are_read_again(spark, monkeypatch, name
         monkeypatch.setattr(spatial, step, lambda c, *a, real=getattr(spatial, step): seen.append(_plan(c)) or real(c, *a))
     registry.QUERIES[name](spark, SF)
     assert seen and not any("Join" in p or "Aggregate" in p for p in seen)
+
+
+def test_points_are_dealt_before_they_meet_edges(spark):
+    """One task summed a row for each crossing of all its points. Features of many edges, holes, and an id that is there twice."""
+    circle = lambda f, n, r: [(f, r * math.cos(2 * math.pi * i / n), r * math.sin(2 * math.pi * i / n), r * math.cos(2 * math.pi * (i + 1) / n), r * math.sin(2 * math.pi * (i + 1) / n)) for i in range(n)]
+    rings = circle("a", 90, 9.0) + circle("a", 40, 4.0) + circle("b", 7, 6.0)
+    rnd = random.Random(5)
+    points = [(i // 2 if i < 4 else i, rnd.uniform(-10, 10), rnd.uniform(-10, 10)) for i in range(400)]
+    out = spatial.points_in_polygons(spark.createDataFrame(points, "id bigint, x double, y double"), spatial.checkpointed(spark.createDataFrame(rings, "feature_id string, x1 double, y1 double, x2 double, y2 double")), block=8)
+    assert "hashpartitioning(id#" in _plan(out) and not re.search(r"hashpartitioning\(id#\d+L?, feature_id", _plan(out))
+    want = collections.Counter((i, f) for i, x, y in points for f, x1, y1, x2, y2 in rings if (y1 <= y) != (y2 <= y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+    assert sorted(map(tuple, out.collect())) == sorted(k for k, n in want.items() if n % 2)
