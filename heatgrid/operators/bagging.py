@@ -37,7 +37,7 @@ def times_drawn(bag_seed: int, tree: int, id_col: str) -> Column:
 def train_bag(df: DataFrame, label: str, features: list[str], id_col: str = "id", trees: int = 20, depth: int = 5, seed: int = 42, regression: bool = False) -> Bag:
     """Trees on rows without nulls in label and features; each split looks at a share of the features, as in a forest."""
     rows = require_columns(df, id_col, label, *features).dropna(subset=[label, *features])
-    rows = VectorAssembler(inputCols=features, outputCol="_features").transform(rows).select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label"), "_features").persist()
+    rows = VectorAssembler(inputCols=features, outputCol="_features").transform(rows).select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_label"), "_features").repartition("_id").persist()  # a small file would be one task
     if not regression and rows.select("_label").distinct().limit(2).count() < 2:
         raise ValueError("a classifier needs two classes")
     kind = RandomForestRegressor if regression else RandomForestClassifier
@@ -77,7 +77,7 @@ def apply_bag(bag: Bag, df: DataFrame) -> DataFrame:
 
 def oob_predictions(bag: Bag, df: DataFrame) -> DataFrame:
     """(id, truth, pred, trees) of the rows that some tree's bag left out, by those trees alone."""
-    rows = _voted(bag, df.dropna(subset=[bag.label]))
+    rows = _voted(bag, df.dropna(subset=[bag.label]).repartition(bag.id_col))
     out_of = F.array(*[times_drawn(bag.seed, t, bag.id_col) == 0 for t in range(len(bag.models))])
     left = F.filter(F.arrays_zip(F.col("_votes").alias("v"), out_of.alias("o")), lambda z: z["o"])
     rows = rows.withColumn("_left", F.transform(left, lambda z: z["v"])).where(F.size("_left") > 0)

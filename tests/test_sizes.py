@@ -130,3 +130,14 @@ def test_points_are_dealt_before_they_meet_edges(spark):
     assert "hashpartitioning(id#" in _plan(out) and not re.search(r"hashpartitioning\(id#\d+L?, feature_id", _plan(out))
     want = collections.Counter((i, f) for i, x, y in points for f, x1, y1, x2, y2 in rings if (y1 <= y) != (y2 <= y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))
     assert sorted(map(tuple, out.collect())) == sorted(k for k, n in want.items() if n % 2)
+
+
+def test_bags_vote_in_many_tasks(spark, tmp_path):
+    """Rows of one file were fitted and voted on by one task."""
+    from heatgrid.operators import bagging
+
+    spark.range(300).selectExpr("id", "double(id % 10) a", "double(id % 10 + id % 3) y").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    out = bagging.oob_predictions(bagging.train_bag(df, "y", ["a"], trees=2, regression=True), df)
+    assert "hashpartitioning(id#" in _plan(out)
+    assert 0 < out.count() < 300 and out.select("id").distinct().count() == out.count()
