@@ -5,11 +5,14 @@ All operators are narrow projections or equi-joins on the cell; null is the only
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from heatgrid.operators.checks import require_columns
+from heatgrid.operators.spatial import checkpointed
 
 CELL = ["row", "col"]
 
@@ -175,10 +178,15 @@ def visible_indices(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({"exg": 2 * g - r - b, "vari": vari, "gli": (2 * g - r - b) / (2 * g + r + b + 1e-6), "grey": (r + g + b) / 3})
 
 
-def focal_std(cells: DataFrame, k: int = 7, keys: tuple[str, ...] = ()) -> DataFrame:
+#: pixels that one task sorts at once
+TASK_ROWS = 500_000
+
+
+def focal_std(cells: DataFrame, k: int = 7, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Standard deviation of ``value`` over k x k cells of a full grid, edges reflected: sums along rows, then columns. Each
-    value of ``keys`` is a grid of its own."""
+    value of ``keys`` is a grid of its own. ``parts``: tasks of each step, if not those of the session."""
     h = k // 2
+    deal = lambda df, *by: df.repartition(parts, *by) if parts else df
 
     def mirrored(df: DataFrame, axis: str) -> DataFrame:
         other = "row" if axis == "col" else "col"
@@ -193,8 +201,8 @@ def focal_std(cells: DataFrame, k: int = 7, keys: tuple[str, ...] = ()) -> DataF
         other = "row" if axis == "col" else "col"
         w = W.partitionBy(*keys, other).orderBy(axis).rangeBetween(-h, h)
         inside = F.col(axis).between(F.col("_lo"), F.col("_hi"))
-        out = mirrored(out, axis).select(*keys, *CELL, F.avg("s").over(w).alias("s"), F.avg("q").over(w).alias("q"), inside.alias("_in")).where("_in").drop("_in")
-    return out.select(*keys, *CELL, F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))).alias("texture"))
+        out = mirrored(deal(out, *keys, other), axis).select(*keys, *CELL, F.avg("s").over(w).alias("s"), F.avg("q").over(w).alias("q"), inside.alias("_in")).where("_in").drop("_in")
+    return deal(out, *keys, *CELL).select(*keys, *CELL, F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))).alias("texture"))
 
 
 FEATURES = ["r", "g", "b", "exg", "vari", "gli", "texture"]
@@ -202,13 +210,19 @@ FEATURES = ["r", "g", "b", "exg", "vari", "gli", "texture"]
 
 def featurize_frames(pixels: DataFrame, labels: DataFrame | None = None, mode: str = "all", k: int = 7) -> DataFrame:
     """Colour, indices and texture (deviation of grey over k x k pixels) of each pixel (frame_id, row, col, r, g, b), with
-    labels if given; ``labeled`` keeps labelled ones. A pixel that is there more than once counts as its mean grey."""
+    labels if given; ``labeled`` keeps labelled ones. A pixel that is there more than once counts as its mean grey. Pixels are
+    written, as they are read twice, and where they are many dealt over as many tasks, so that none sorts more as they grow."""
     at = ["frame_id", "row", "col"]
-    base = visible_indices(pixels)
+    pixels = checkpointed(pixels)
+    parts = math.ceil(pixels.count() / TASK_ROWS)
+    if parts <= int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        parts = None
+    deal = lambda df: df.repartition(parts, *at) if parts else df
+    base = visible_indices(deal(pixels))
     grey = base.groupBy(*at).agg(F.avg("grey").alias("value"))
-    out = base.join(focal_std(grey, k, ("frame_id",)), at)
+    out = base.join(focal_std(grey, k, ("frame_id",), parts), at)
     if labels is not None:
-        out = out.join(labels, ["frame_id", "row", "col"], "left")
+        out = out.join(deal(labels), ["frame_id", "row", "col"], "left")
         if mode == "labeled":
             out = out.where("label IS NOT NULL AND label <> 0")
     return out

@@ -141,3 +141,17 @@ def test_bags_vote_in_many_tasks(spark, tmp_path):
     out = bagging.oob_predictions(bagging.train_bag(df, "y", ["a"], trees=2, regression=True), df)
     assert "hashpartitioning(id#" in _plan(out)
     assert 0 < out.count() < 300 and out.select("id").distinct().count() == out.count()
+
+
+def test_many_pixels_are_many_tasks(spark, monkeypatch):
+    """Tasks of the session's number sorted ever more pixels as these grew."""
+    from heatgrid.operators import cells
+
+    pixels = spark.range(800).selectExpr("id % 2 frame_id", "cast(id div 40 as int) row", "cast(id div 2 % 20 as int) col", "cast(id * 7 % 256 as int) r", "cast(id * 31 % 256 as int) g", "5 b")
+    labels = pixels.selectExpr("frame_id", "row", "col", "row % 3 label")
+    few = featurize_frames(pixels, labels)
+    want = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(cells, "TASK_ROWS", 40, raising=False)
+    many = featurize_frames(pixels, labels)
+    deals = set(re.findall(r"hashpartitioning\([^)]*, (\d+)\)", _plan(many)))
+    assert deals == {"20"} and sorted(map(tuple, many.collect())) == want
