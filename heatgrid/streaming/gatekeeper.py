@@ -109,19 +109,20 @@ def with_retries(receives: DataFrame, max_receives: int = 3, visibility_s: float
                 else:
                     deadline += wait
 
-        rows = [] if state.hasTimedOut else sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (r.received_ms, r.version))
-        for r in rows:
-            again(r.received_ms)
-            if r.version == version:
+        columns = ("received_ms", "version", "status", "file_type", "errors")  # itertuples would make a class for each file
+        rows = [] if state.hasTimedOut else sorted((r for f in frames for r in zip(*[f[c].tolist() for c in columns], strict=True)), key=lambda r: r[:2])
+        for at, new, status, kind_of, found in rows:
+            again(at)
+            if new == version:
                 continue
             attempts = 1 if done else attempts + 1
-            version, kind, errors, done = r.version, r.file_type, list(r.errors), False
-            if r.status != "poisoned":
-                settle(r.status, r.received_ms)
+            version, kind, errors, done = new, kind_of, list(found), False
+            if status != "poisoned":
+                settle(status, at)
             elif attempts >= max_receives:
-                settle("quarantine", r.received_ms)
+                settle("quarantine", at)
             else:
-                deadline = r.received_ms + wait
+                deadline = at + wait
         mark = state.getCurrentWatermarkMs()
         again(mark)
         if done and deadline <= mark:
